@@ -47,14 +47,16 @@ def rake(features: DataFrame, goals: DataFrame | None = None, langs: dict[str, f
     lang_goal, topic_goal = goal(langs, 0), goal(topics, 1)
     b, c = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
 
-    def factor() -> Column:
-        own = reduce(lambda x, y: x + y, [F.col(k) * (b[p[0]] * c[p[1]]) for k, p in zip(v, pairs, strict=True)])
-        return F.when(own > 0, F.col("share") / F.lit(first["share"]) / own).otherwise(0.0)
+    def with_factor() -> DataFrame:
+        """table with a, each source's factor. The pairs' factors come as one row, so that each round runs the same compiled code."""
+        one = table.sparkSession.createDataFrame([([b[x] * c[y] for x, y in pairs], float(first["share"] or 1.0))], "f array<double>, shares double")
+        own = reduce(lambda x, y: x + y, [F.col(k) * F.col("f")[i] for i, k in enumerate(v)])
+        return table.crossJoin(F.broadcast(one)).withColumn("own", own).withColumn("a", F.when(F.col("own") > 0, F.col("share") / F.col("shares") / F.col("own")).otherwise(0.0)).drop("own", "shares", "f")
 
-    a = F.lit(0.0)
+    raked = table.withColumn("a", F.lit(0.0))
     for _ in range(rounds if first["share"] else 0):
-        a = factor()
-        r = table.select(a.alias("a"), *v).agg(*[F.sum(F.col("a") * F.col(k)).alias(k) for k in v]).first()
+        raked = with_factor()
+        r = raked.agg(*[F.sum(F.col("a") * F.col(k)).alias(k) for k in v]).first()
         m = {p: r[k] for k, p in zip(v, pairs, strict=True)}
         for x in langs:
             now = sum(m[x, y] * c[y] for y in topics)
@@ -63,7 +65,7 @@ def rake(features: DataFrame, goals: DataFrame | None = None, langs: dict[str, f
             now = sum(m[x, y] * b[x] for x in langs)
             c[y] = topic_goal[y] / now if now else 0.0
     rows = F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(y).alias("topic"), F.col(k).cast("long").alias("tokens"), (F.col(k) * F.col("a") * (b[x] * c[y])).alias("w")) for k, (x, y) in zip(v, pairs, strict=True)])).alias("r")
-    return table.withColumn("a", a).select("source", rows).select("source", "r.*").where("tokens > 0")
+    return raked.select("source", rows).select("source", "r.*").where("tokens > 0")
 
 
 def probabilities(cells: DataFrame, all_tokens: int, fraction: float, fills: int = FILLS) -> DataFrame:
@@ -73,8 +75,8 @@ def probabilities(cells: DataFrame, all_tokens: int, fraction: float, fills: int
     cells = written(cells.withColumn("ratio", F.col("w") * float(all_tokens) / (F.col("tokens") * total)))
     c = float(fraction)
     for _ in range(fills):
-        full = F.lit(c) * F.col("ratio") >= 1
-        s = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("over"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("ratio"))).alias("under")).first()
+        full = F.col("c") * F.col("ratio") >= 1
+        s = cells.crossJoin(F.broadcast(cells.sparkSession.createDataFrame([(c,)], "c double"))).agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("over"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("ratio"))).alias("under")).first()
         if s["under"]:
             c = max(c, (fraction * all_tokens - s["over"]) / s["under"])
     return cells.withColumn("p", F.least(F.lit(1.0), F.lit(c) * F.col("ratio")))
