@@ -60,12 +60,14 @@ def spread(b: bytes, dtype) -> np.ndarray:
 
 
 def squeeze_sorted(a: np.ndarray) -> bytes:
-    """Ascending uint64 keys, as compressed differences."""
-    return squeeze(np.diff(a, prepend=U64(0)))
+    """Ascending uint64 keys, as compressed differences; bytes of the same weight stand together."""
+    d = np.diff(a, prepend=U64(0)) if len(a) else a
+    return squeeze(np.ascontiguousarray(d).view(np.uint8).reshape(-1, 8).T)
 
 
 def spread_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(spread(b, U64), dtype=U64)
+    d = np.ascontiguousarray(spread(b, np.uint8).reshape(8, -1).T)
+    return np.cumsum(d.view(U64).ravel(), dtype=U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

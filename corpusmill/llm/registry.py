@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import ctw, language_id, licenses, raking, temporal_lists
+from corpusmill.llm import ctw, language_id, licenses, raking, repeats, temporal_lists
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
     "op3_language_id": language_id.op3_language_id,
     "op4_url_lists": temporal_lists.op4_url_lists,
+    "op5_repeats": repeats.op5_repeats,
     "op6_licenses": licenses.op6_licenses,
     "op9_raking": raking.op9_raking,
 }
