@@ -137,3 +137,62 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
             return labels.select("node", F.col("label").alias("component_id"))
+
+
+class Words:
+    """64-bit hashes of the words of some texts, lower-cased A-Z, cut at ASCII whitespace; counts and starts by text."""
+
+    def __init__(self, texts: list[bytes]):
+        forms = [b" ".join(t.lower().split()) + b"\n" for t in texts]
+        sizes = np.array([len(f) for f in forms], np.int64)
+        a = np.frombuffer(b"".join(forms), np.uint8)
+        space = (a == 32) | (a == 10)
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
+        first, past = edge[::2], edge[1::2]
+        self.hashes = span_hash(*prefix_hash(a), first, past)
+        self.doc = np.searchsorted(np.cumsum(sizes) - sizes, first, "right") - 1
+        self.counts = np.bincount(self.doc, minlength=len(texts))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def shingles(self, n: int) -> list[np.ndarray]:
+        """Each text's distinct n-word shingles, ascending; texts of fewer words have the whole sequence as one, texts without words none."""
+        h = self.hashes
+        with np.errstate(over="ignore"):
+            roll = np.zeros(max(len(h) - n + 1, 0), U64)
+            for j in range(n):
+                roll += h[j : len(h) - n + 1 + j] * powers(n, U64(0xD1342543DE82EF95))[j] if len(roll) else roll
+            roll = mix(roll)
+            out = []
+            for s, c in zip(self.starts, self.counts, strict=True):
+                if c >= n:
+                    out.append(np.unique(roll[s : s + c - n + 1]))
+                elif c:
+                    out.append(mix((h[s : s + c] * powers(int(c), U64(0xD1342543DE82EF95))).sum(dtype=U64, keepdims=True) + U64(c)))
+                else:
+                    out.append(np.zeros(0, U64))
+        return out
+
+
+def sliced(texts: list[bytes], size: int):
+    """Ranges of texts of about `size` bytes."""
+    lo = 0
+    while lo < len(texts):
+        hi, n = lo, 0
+        while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= size):
+            n += len(texts[hi]) + 8
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def packed(rows: list[tuple], types: list, names: list[str]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def by_bucket(keys: np.ndarray, count: int):
+    """(bucket, indices in ascending order of key) for each bucket that has keys."""
+    order = np.argsort(keys)
+    b = bucket_of(keys[order], count)
+    cuts = np.flatnonzero(np.concatenate(([True], np.diff(b) != 0))) if len(b) else []
+    for i, at in enumerate(cuts):
+        yield int(b[at]), order[at : cuts[i + 1] if i + 1 < len(cuts) else len(b)]
