@@ -42,13 +42,31 @@ def pieces(docs: DataFrame, text: str, piece_bytes: int) -> int:
 
 
 def blocks(docs: DataFrame, id_col: str, text: str, count: int) -> DataFrame:
-    """(block, doc_id, text): rows dealt to `count` blocks by a hash of id and text; null text becomes empty."""
+    """(block, body): rows dealt to `count` blocks by a hash of id and text; null text becomes empty.
+
+    What a task reads for one block goes as one compressed Arrow table of doc_id and text; see opened()."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), t), F.lit(count)).cast("int").alias("block"),
-        F.col(id_col).alias("doc_id"),
-        t.alias("text"),
-    )
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("string"), t), F.lit(count)).cast("int"), F.col(id_col).alias("doc_id"), t.alias("text"))
+    return rows.mapInArrow(_packed_blocks, "block int, body binary")
+
+
+def _packed_blocks(batches):
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for b in batches:
+        block = b.column(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(block, kind="stable")
+        cuts = [*np.flatnonzero(np.diff(block[order], prepend=-1)), len(block)]
+        body = pa.RecordBatch.from_arrays([b.column(1), b.column(2)], ["doc_id", "text"])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, body.schema, options=options) as out:
+                out.write_batch(body.take(pa.array(order[lo:hi])))
+            yield pa.RecordBatch.from_arrays([pa.array([block[order[lo]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
+
+
+def opened(group: pa.Table) -> pa.Table:
+    """doc_id and text of a block's rows."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in group.column("body").to_pylist()])
 
 
 def squeeze(a: np.ndarray) -> bytes:

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, blocks, bucket_of, mix, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
+from corpusmill.llm.common import U64, blocks, bucket_of, mix, opened, pieces, prefix_hash, sliced, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
 
 DEPTH, TOP = 5, 2
-PIECE = 8 << 20
+PIECE = 5 << 20
 END = mix(np.array([0x656E64], U64))[0]
 HALF = math.lgamma(0.5)
 
@@ -39,7 +39,7 @@ class Piece:
         a = np.frombuffer(pad + pad.join(forms), np.uint8)
         self.sizes = np.array([len(f) for f in forms], np.int64)
         starts = np.cumsum(self.sizes + depth) - self.sizes
-        wide, keys = a.astype(U64), None
+        wide = a.astype(U64)
         keys = wide[depth:].copy()
         for j in range(1, depth + 1):
             keys |= wide[depth - j : len(a) - j] << U64(8 * j)
@@ -47,6 +47,7 @@ class Piece:
         if len(forms) > 1:
             scored[(starts[1:, None] - 2 * depth + np.arange(depth)).ravel()] = False
         self.keys = keys[scored]
+        del wide, keys, scored
         space = (a == 32) | (a == 10)
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
         first, past = edge[::2], edge[1::2]
@@ -69,20 +70,19 @@ def summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.
     return k[at], np.add.reduceat(counts[order], at) if len(k) else np.zeros(0, np.int64)
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)) if parts else (np.zeros(0, U64), np.zeros(0, np.int64))
+def inverse_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and where each key stands among them."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    at = np.empty(len(k), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return k[new], at
 
 
-def sliced(texts: list[bytes], size: int = PIECE):
-    """Ranges of texts of about `size` bytes."""
-    lo = 0
-    while lo < len(texts):
-        hi, n = lo, 0
-        while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= size):
-            n += len(texts[hi]) + 8
-            hi += 1
-        yield lo, hi
-        lo = hi
+def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)) if parts else (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
 def dealt(keys: np.ndarray, hashes: np.ndarray, count: int):
@@ -109,7 +109,7 @@ def count_keys(texts: DataFrame, buckets: int) -> DataFrame:
         kept: list = [[], []]
         for b in batches:
             train, t = b.column(0).to_numpy(zero_copy_only=False), texts_of(b.column(1))
-            for lo, hi in sliced(t):
+            for lo, hi in sliced(t, PIECE):
                 for flag in (True, False):
                     own = [t[i] for i in range(lo, hi) if bool(train[i]) is flag]
                     if own:
@@ -273,7 +273,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", modulus:
     parts = blocks(docs, id_col, text, buckets)
 
     def asked(table):
-        t, rows = texts_of(table.column("text")), []
+        t, rows = texts_of(opened(table).column("text")), []
         block = table.column("block")[0].as_py()
         for k, (lo, hi) in enumerate(sliced(t, 2 * PIECE)):
             p = Piece(t[lo:hi])
@@ -302,16 +302,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", modulus:
     def scored(left, right):
         out = []
         answers = {(k, b): x for k, b, x in zip(right.column("slice").to_pylist(), right.column("bucket").to_pylist(), right.column("vals").to_pylist(), strict=True)}
-        t, ids = texts_of(left.column("text")), left.column("doc_id").combine_chunks()
+        left = opened(left)
+        t, ids = texts_of(left.column("text")), left.column("doc_id")
         for k, (lo, hi) in enumerate(sliced(t, 2 * PIECE)):
             p = Piece(t[lo:hi])
             m = hi - lo
-            keys, at = np.unique(p.keys, return_inverse=True)
+            keys, at = inverse_of(p.keys)
             vals = np.zeros(len(keys), np.float32)
             for b, own in dealt(keys, mix(keys), buckets):
                 vals[own] = spread(answers[k, b], np.float32)
             total = np.bincount(p.byte_doc, weights=vals[at], minlength=m)
-            words, at = np.unique(np.append(p.words, END), return_inverse=True)
+            del keys, vals, at
+            words, at = inverse_of(np.append(p.words, END))
             counts = np.zeros(len(words), np.int64)
             for b, own in dealt(words, mix(words), buckets):
                 counts[own] = spread(answers[k, b + buckets], np.int64)
@@ -323,7 +325,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", modulus:
 
     ask = parts.groupBy("block").applyInArrow(asked, "bucket int, block int, slice int, keys binary")
     reply = ask.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answered, "block int, slice int, bucket int, vals binary")
-    result = parts.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(scored, f"doc_id {dict(parts.dtypes)['doc_id']}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    result = parts.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(scored, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     held_again = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus)) == held
     return result.select("doc_id", held_again.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.common import U64, blocks, bucket_of, mix, pieces, powers, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of
+from corpusmill.llm.common import U64, blocks, by_bucket, mix, opened, packed, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of
 
 WIDTH = 200
 PIECE = 4 << 20
@@ -79,19 +79,6 @@ class Texts:
 SENT = ([pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["bucket", "block", "keys", "checks"])
 
 
-def table(rows: list[tuple], types: list, names: list[str]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-
-def dealt(keys: np.ndarray, count: int):
-    """(bucket, indices in ascending order of key) for each bucket with keys."""
-    order = np.argsort(keys)
-    b = bucket_of(keys[order], count)
-    cuts = np.flatnonzero(np.concatenate(([True], np.diff(b) != 0))) if len(b) else []
-    for i, at in enumerate(cuts):
-        yield int(b[at]), order[at : cuts[i + 1] if i + 1 < len(cuts) else len(b)]
-
-
 def ties(sent):
     """(block, bucket, keys): keys of the bucket that came twice or more, answered to each block that sent them, as marks in its order."""
     bucket = sent.column("bucket")[0].as_py()
@@ -105,7 +92,7 @@ def ties(sent):
     tied = np.zeros(len(k), bool)
     tied[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
     ends = np.cumsum([len(x) for x in keys])
-    return table([(b, bucket, squeeze(np.packbits(x))) for b, x in zip(at, np.split(tied, ends[:-1]), strict=True) if x.any()], [pa.int32(), pa.int32(), pa.binary()], ["block", "bucket", "marks"])
+    return packed([(b, bucket, squeeze(np.packbits(x))) for b, x in zip(at, np.split(tied, ends[:-1]), strict=True) if x.any()], [pa.int32(), pa.int32(), pa.binary()], ["block", "bucket", "marks"])
 
 
 REPLY = "block int, bucket int, marks binary"
@@ -115,7 +102,7 @@ def marked(keys: np.ndarray, count: int, replies) -> np.ndarray:
     """Which of the keys a block sent are tied, from the replies to it."""
     out = np.zeros(len(keys), bool)
     marks = dict(zip(replies.column("bucket").to_pylist(), replies.column("marks").to_pylist(), strict=True))
-    for b, at in dealt(keys, count):
+    for b, at in by_bucket(keys, count):
         if b in marks:
             out[at] = np.unpackbits(spread(marks[b], np.uint8), count=len(at)).astype(bool)
     return out
@@ -139,9 +126,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def ranks(group):
         block = group.column("block")[0].as_py()
-        _, h = Texts(texts_of(group.column("text"))).sample(width, period, cover)
+        _, h = Texts(texts_of(opened(group).column("text"))).sample(width, period, cover)
         h = h >> low << low
-        return table([(b, block, squeeze_sorted(h[at]), squeeze(np.zeros(len(at), np.uint32))) for b, at in dealt(h, count)], *SENT)
+        return packed([(b, block, squeeze_sorted(h[at]), squeeze(np.zeros(len(at), np.uint32))) for b, at in by_bucket(h, count)], *SENT)
 
     def candidates(t: Texts, replies):
         at, h = t.sample(width, period, cover)
@@ -152,13 +139,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def suffixes(group, replies):
         if not group.num_rows:
-            return table([], *SENT)
+            return packed([], *SENT)
         block = group.column("block")[0].as_py()
-        at, h, c = candidates(Texts(texts_of(group.column("text"))), replies)
-        return table([(b, block, squeeze_sorted(h[x]), squeeze(c[x])) for b, x in dealt(h, count)], *SENT)
+        at, h, c = candidates(Texts(texts_of(opened(group).column("text"))), replies)
+        return packed([(b, block, squeeze_sorted(h[x]), squeeze(c[x])) for b, x in by_bucket(h, count)], *SENT)
 
     def kept(group, replies):
-        texts, ids = texts_of(group.column("text")), group.column("doc_id").combine_chunks()
+        group = opened(group)
+        texts, ids = texts_of(group.column("text")), group.column("doc_id")
         t = Texts(texts)
         rounds = np.array(replies.column("round").to_pylist(), np.int64)
         first, second = (replies.take(pa.array(np.flatnonzero(rounds == r))) for r in (1, 2))
@@ -185,7 +173,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared_ranks = texts.applyInArrow(ranks, sent).groupBy("bucket").applyInArrow(ties, REPLY)
     repeated = texts.cogroup(shared_ranks.groupBy("block")).applyInArrow(suffixes, sent).groupBy("bucket").applyInArrow(ties, REPLY)
     both = shared_ranks.selectExpr("*", "1 as round").unionByName(repeated.selectExpr("*", "2 as round"))
-    id_type = dict(parts.dtypes)["doc_id"]
+    id_type = dict(docs.dtypes)[id_col]
     return texts.cogroup(both.groupBy("block")).applyInArrow(kept, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
