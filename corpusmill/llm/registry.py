@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import ctw, language_id, licenses, line_join, minhash_join, raking, repeats, temporal_lists
+from corpusmill.llm import ctw, decontaminate, language_id, licenses, line_join, minhash_join, raking, repeats, temporal_lists
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
@@ -10,8 +10,9 @@ QUERIES = {
     "op4_url_lists": temporal_lists.op4_url_lists,
     "op5_repeats": repeats.op5_repeats,
     "op6_licenses": licenses.op6_licenses,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_minhash": minhash_join.op8_minhash,
     "op9_raking": raking.op9_raking,
     "op10_lines": line_join.op10_lines,
 }
-SQL = {"op4_url_lists": temporal_lists.op4_sql(), "op9_raking": raking.op9_sql()}
+SQL = {"op7_decontaminate": decontaminate.op7_sql(), "op4_url_lists": temporal_lists.op4_sql(), "op9_raking": raking.op9_sql()}
