@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import ctw, decontaminate, language_id, licenses, line_join, minhash_join, raking, repeats, temporal_lists
+from corpusmill.llm import ctw, decontaminate, language_id, licenses, line_join, minhash_join, pq_join, raking, repeats, temporal_lists
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
+    "op2_pq": pq_join.op2_pq,
     "op3_language_id": language_id.op3_language_id,
     "op4_url_lists": temporal_lists.op4_url_lists,
     "op5_repeats": repeats.op5_repeats,
