@@ -1,4 +1,23 @@
-"""All queries of the engine's own operators, by name, and their DuckDB SQL."""
+"""All queries of the engine's own operators, by name, and the DuckDB SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL if SQL can say it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from corpusmill.plans import anomaly, dlp, events, graph, relational, storage, text, vectors  # noqa: E402, F401
