@@ -41,12 +41,12 @@ def pieces(docs: DataFrame, text: str, piece_bytes: int) -> int:
     return max(1, -(-((total["b"] or 0) + 64 * total["n"]) // piece_bytes))
 
 
-def blocks(docs: DataFrame, id_col: str, text: str, count: int) -> DataFrame:
+def blocks(docs: DataFrame, id_col: str, text: str, count: int, others: tuple[str, ...] = ()) -> DataFrame:
     """(block, body): rows dealt to `count` blocks by a hash of id and text; null text becomes empty.
 
-    What a task reads for one block goes as one compressed Arrow table of doc_id and text; see opened()."""
+    What a task reads for one block goes as one compressed Arrow table of doc_id, text and the columns `others`; see opened()."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("string"), t), F.lit(count)).cast("int"), F.col(id_col).alias("doc_id"), t.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("string"), t), F.lit(count)).cast("int"), F.col(f"`{id_col}`").alias("doc_id"), t.alias("text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)])
     return rows.mapInArrow(_packed_blocks, "block int, body binary")
 
 
@@ -56,7 +56,7 @@ def _packed_blocks(batches):
         block = b.column(0).to_numpy(zero_copy_only=False)
         order = np.argsort(block, kind="stable")
         cuts = [*np.flatnonzero(np.diff(block[order], prepend=-1)), len(block)]
-        body = pa.RecordBatch.from_arrays([b.column(1), b.column(2)], ["doc_id", "text"])
+        body = b.select(b.schema.names[1:])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, body.schema, options=options) as out:
@@ -65,8 +65,8 @@ def _packed_blocks(batches):
 
 
 def opened(group: pa.Table) -> pa.Table:
-    """doc_id and text of a block's rows."""
-    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in group.column("body").to_pylist()])
+    """doc_id and text of a block's rows, in the same order each time: pieces of a shuffle may come in any."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in sorted(group.column("body").to_pylist())])
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -209,7 +209,7 @@ def packed(rows: list[tuple], types: list, names: list[str]) -> pa.Table:
 
 def by_bucket(keys: np.ndarray, count: int):
     """(bucket, indices in ascending order of key) for each bucket that has keys."""
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")
     b = bucket_of(keys[order], count)
     cuts = np.flatnonzero(np.concatenate(([True], np.diff(b) != 0))) if len(b) else []
     for i, at in enumerate(cuts):

@@ -166,9 +166,14 @@ def rejected() -> Column:
     return (F.col("lang_found") == "und") | (F.col("posterior") < SURE)
 
 
+def row_key() -> Column:
+    """64 bits of what a document's verdict depends on."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source")])
+
+
 def documents_with_language(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(row hash keys, lang_found, posterior) of documents: declared language is `lang`, the host is `source`."""
-    rows = docs.select("doc_id", F.xxhash64(F.col("text")).alias("text_key"), code(F.col("lang").cast("string")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    """(row_key, declared, host, lang_found, posterior, ...) of documents: `lang` is the declaration, `source` the host."""
+    rows = docs.select(row_key().alias("row_key"), code(F.col("lang").cast("string")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit("").alias("domain"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     return fused(rows, table, "_text", "declared", "suffix", "host", "domain")
 
 

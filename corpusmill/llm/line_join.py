@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, blocks, by_bucket, mix, opened, packed, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
+from corpusmill.llm.common import BYTE_CODES, U64, blocks, by_bucket, mix, opened, packed, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
 
 EDITS, SHORTEST, PIECE = 2, 24, 5 << 20
 #: Lists of up to so many lines are compared pairwise; in longer ones each line meets the earliest first.
 SMALL = 16
+#: Bytes fall into CLASSES classes in even groups, one more group than the classes that `edits` edits can touch.
+GROUP = 8
 
 
 def edit_distance_within(a: bytes, b: bytes, most: int) -> bool:
@@ -108,8 +110,8 @@ PAIRS = ([pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["buck
 LAST = np.iinfo(np.int64).max
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_text): a row for each row of docs; kept_text joins the lines left with line feeds.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_text) and the columns `others`: a row for each row of docs; kept_text joins the lines left with line feeds.
 
     A line of `shortest` bytes or more goes when an earlier line, of any text, is within `edits` edits of it (equal ones
     too): earlier by (id, line number), ids as longs and null ids last, rows of equal id by a hash of their text. It does not
@@ -118,7 +120,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edi
     Copies of a line are one entry from the first shuffle on. Under keys that many lines share each line first meets the earliest line; only those
     that this does not remove meet the others, so copies with slips do not become all pairs."""
     count = pieces(docs, text, PIECE)
-    parts = blocks(docs, id_col, text, count)
+    classes = GROUP * (2 * edits + 1)
+    of_class = (BYTE_CODES % U64(classes)).astype(np.int64)
+    parts = blocks(docs, id_col, text, count, others)
+    types, more = dict(docs.dtypes), len(others)
 
     def lines_of(group):
         group = opened(group)
@@ -126,7 +131,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edi
         ids = np.array([LAST if i is None else i for i in group.column("doc_id").cast(pa.int64()).to_pylist()], np.int64)
         t = Lines(texts, shortest)
         # rows of one id are set apart by their text
-        return t, ids[t.doc], t.number, texts, group.column("doc_id")
+        return t, ids[t.doc], t.number, texts, group
 
     def firsts(t, ids, numbers):
         """Each distinct line's earliest place in this block: hashes ascending, and line indices."""
@@ -203,6 +208,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edi
             "doc": ids[at],
             "number": numbers[at].astype(np.int64),
             "block": np.full(n + m, group.column("block")[0].as_py(), np.int32),
+            "bag": pa.array([*[None] * n, *(np.bincount(of_class[t.bytes[t.first[i] : t.past[i]]], minlength=classes) for i in own)], pa.list_(pa.int32())),
             "body": pa.array([*[None] * n, *(t.bytes[t.first[i] : t.past[i]].tobytes() for i in own)], pa.binary()),
         })
 
@@ -212,11 +218,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edi
     winners = g.applyInArrow(announce, sent).groupBy("bucket").applyInArrow(elect, reply)
     met = g.cogroup(winners.groupBy("block")).applyInArrow(lambda a, b: post(a, b), sent).groupBy("bucket").applyInArrow(meet, reply)
     both = winners.selectExpr("*", "1 as round").unionByName(met.selectExpr("*", "2 as round"))
-    found = written(g.cogroup(both.groupBy("block")).applyInArrow(lambda a, b: entries(a, b), "key long, role int, line long, doc long, number long, block int, body binary"))
+    found = written(g.cogroup(both.groupBy("block")).applyInArrow(lambda a, b: entries(a, b), "key long, role int, line long, doc long, number long, block int, bag array<int>, body binary"))
     near = near_lines(found, edits)
 
     def rebuilt(group, replies):
-        t, ids, numbers, texts, doc_ids = lines_of(group)
+        t, ids, numbers, texts, whole = lines_of(group)
         rounds = np.array(replies.column("round").to_pylist(), np.int64)
         first, second = (replies.take(pa.array(np.flatnonzero(rounds == r))) for r in (1, 2))
         stays = np.ones(len(t.first), bool)
@@ -231,10 +237,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edi
             s = stays[ends[i] : ends[i + 1]]
             kept = text_ if s.all() else b"\n".join(x for x, y in zip(text_.split(b"\n"), s, strict=True) if y)
             rows.append((len(s), int((~s).sum()), kept.decode()))
-        return pa.Table.from_arrays([doc_ids, *(pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_lines", "n_removed", "kept_text"])
+        made = [pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        return pa.Table.from_arrays([whole.column("doc_id"), *made, *(whole.column(f"_{i}") for i in range(more))], ["doc_id", "n_lines", "n_removed", "kept_text", *(f"_{i}" for i in range(more))])
 
     told = winners.selectExpr("*", "cast(null as long) as line", "1 as round").unionByName(near.selectExpr("block", "cast(null as int) as bucket", "cast(null as binary) as marks", "line", "2 as round"))
-    return g.cogroup(told.groupBy("block")).applyInArrow(rebuilt, f"doc_id {dict(docs.dtypes)[id_col]}, n_lines long, n_removed long, kept_text string")
+    fields = "".join(f", _{i} {types[c]}" for i, c in enumerate(others))
+    out = g.cogroup(told.groupBy("block")).applyInArrow(rebuilt, f"doc_id {types[id_col]}, n_lines long, n_removed long, kept_text string{fields}")
+    return out.select("doc_id", "n_lines", "n_removed", "kept_text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)])
 
 
 def near_lines(found: DataFrame, edits: int) -> DataFrame:
@@ -249,10 +258,14 @@ def near_lines(found: DataFrame, edits: int) -> DataFrame:
     large = sized.where(F.col("size") > SMALL)
     lead = large.where(F.col("place") > F.col("least")).select(F.col("least.line").alias("early"), F.col("line").alias("late"))
     first = written(verified(pairs.unionByName(lead).where("early <> late").distinct(), bodies, edits).distinct())
-    # what the earliest line of a long list has not removed meets all earlier lines of the list
-    open_ = large.join(first.select(F.col("late").alias("line")), "line", "left_anti").where(F.col("place") > F.col("least"))
-    others = large.select("key", F.col("line").alias("early"), F.col("place").alias("pe"), F.col("role").alias("re"))
-    rest = open_.join(others, "key").where("pe < place and re <> role and early <> line").select("early", F.col("line").alias("late")).distinct()
+    # What the earliest line of a long list has not removed meets earlier lines of the list. An edit changes the counts of at
+    # most two byte classes, so of 2 * edits + 1 groups of classes one keeps all its counts: lines meet by list and such a group.
+    bags = found.where("key is null").select("line", "bag")
+    grouped = large.join(bags, "line").select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * edits))).alias("g")).withColumn("key2", F.xxhash64("key", "g", F.slice("bag", F.col("g") * GROUP + 1, F.lit(GROUP))))
+    open_ = grouped.join(first.select(F.col("late").alias("line")), "line", "left_anti").where(F.col("place") > F.col("least"))
+    others = grouped.select("key2", F.col("line").alias("early"), F.col("place").alias("pe"), F.col("role").alias("re"), F.col("bag").alias("be"))
+    apart = F.aggregate(F.zip_with("bag", "be", lambda x, y: F.abs(x - y)), F.lit(0), lambda u, v: u + v)
+    rest = open_.join(others, "key2").where((F.col("pe") < F.col("place")) & (F.col("re") != F.col("role")) & (F.col("early") != F.col("line")) & (apart <= 2 * edits)).select("early", F.col("line").alias("late")).distinct()
     second = verified(rest, bodies, edits)
     return first.select("late").unionByName(second.select("late")).distinct().join(bodies.select(F.col("line").alias("late"), "block"), "late").select("block", F.col("late").alias("line"))
 

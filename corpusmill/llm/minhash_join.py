@@ -125,7 +125,7 @@ def compared(pairs: DataFrame, bodies: DataFrame, kind, accept) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+    """(doc_id, n_shingles, component_id, kept, text_key) for each row of docs.
 
     Linked are texts with 100 * |A n B| >= percent * |A u B| over their shingle sets, as confirmed on the full sets;
     component_id is the least id reachable. Texts without words (null and blank ones too) have an empty set and link with nothing; equal
@@ -182,9 +182,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     ids = classes.select("cid", "least_id").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = ids.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = ids.join(least, "label").select("cid", "component_id")
-    out = rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85).drop("text_key")

@@ -4,7 +4,11 @@ Only suffixes cut at WIDTH bytes matter here, and only whether two are equal. Po
 PERIOD are its sample: for any two positions some shift below PERIOD takes both into the sample. A sample suffix is ranked by its first
 WIDTH - PERIOD + 1 bytes; so if two suffixes agree on WIDTH bytes, shifted copies of them share a sample rank. A suffix none of
 whose shifts has a rank that occurs twice cannot tie with another for WIDTH bytes and never leaves its task. The others
-are sent by a fingerprint of their WIDTH bytes to buckets, and each bucket is sorted by itself; what ties there is repeated."""
+are sent by a fingerprint of their WIDTH bytes to buckets, and each bucket is sorted by itself; what ties there is repeated.
+
+In between, sample suffixes of a rank that occurs twice are compared on WIDTH + PERIOD - 1 bytes. All suffixes within a string that
+ties at this length are repeated, and but for the earliest such place they need not be sent: the earliest one sends them, or an
+earlier one still. So copies of a passage cost the passage once, and their ends."""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusmill.llm.common import U64, blocks, by_bucket, mix, opened, packed, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of
 
@@ -80,32 +85,39 @@ SENT = ([pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["bucket", "block",
 
 
 def ties(sent):
-    """(block, bucket, keys): keys of the bucket that came twice or more, answered to each block that sent them, as marks in its order."""
+    """(block, bucket, marks): for the keys that a block sent, in its order, whether another place has the key, and whether this place is the earliest."""
     bucket = sent.column("bucket")[0].as_py()
-    at = sent.column("block").to_pylist()
+    by_block = np.argsort(sent.column("block").to_numpy(), kind="stable")
+    sent = sent.take(pa.array(by_block))
     keys = [spread_sorted(k) for k in sent.column("keys").to_pylist()]
     checks = [spread(c, np.uint32) for c in sent.column("checks").to_pylist()]
     k, c = np.concatenate(keys), np.concatenate(checks)
     order = np.lexsort((c, k)) if c.any() else np.argsort(k, kind="stable")
     ks, cs = k[order], c[order]
     same = (ks[1:] == ks[:-1]) & (cs[1:] == cs[:-1])
-    tied = np.zeros(len(k), bool)
-    tied[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    ends = np.cumsum([len(x) for x in keys])
-    return packed([(b, bucket, squeeze(np.packbits(x))) for b, x in zip(at, np.split(tied, ends[:-1]), strict=True) if x.any()], [pa.int32(), pa.int32(), pa.binary()], ["block", "bucket", "marks"])
-
-
-REPLY = "block int, bucket int, marks binary"
-
-
-def marked(keys: np.ndarray, count: int, replies) -> np.ndarray:
-    """Which of the keys a block sent are tied, from the replies to it."""
-    out = np.zeros(len(keys), bool)
-    marks = dict(zip(replies.column("bucket").to_pylist(), replies.column("marks").to_pylist(), strict=True))
+    before, after = np.concatenate(([False], same)), np.concatenate((same, [False]))
+    tied, first = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    tied[order], first[order] = before | after, ~before
+    cuts = np.cumsum([len(x) for x in keys])[:-1]
+    return packed([(b, bucket, squeeze(np.packbits(np.concatenate((x, y))))) for b, x, y in zip(sent.column("block").to_pylist(), np.split(tied, cuts), np.split(first, cuts), strict=True) if x.any()], [pa.int32(), pa.int32(), pa.binary()], ["block", "bucket", "marks"])
+
+
+def marked(keys: np.ndarray, count: int, replies, round_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys a block sent in a round are tied, and which stand at the earliest place, from the replies to it."""
+    tied, first = np.zeros(len(keys), bool), np.ones(len(keys), bool)
+    rounds = replies.column("round").to_pylist()
+    marks = {b: m for r, b, m in zip(rounds, replies.column("bucket").to_pylist(), replies.column("marks").to_pylist(), strict=True) if r == round_}
     for b, at in by_bucket(keys, count):
         if b in marks:
-            out[at] = np.unpackbits(spread(marks[b], np.uint8), count=len(at)).astype(bool)
-    return out
+            got = np.unpackbits(spread(marks[b], np.uint8), count=2 * len(at)).astype(bool)
+            tied[at], first[at] = got[: len(at)], got[len(at) :]
+    return tied, first
+
+
+def covered(size: int, at: np.ndarray, width: int) -> np.ndarray:
+    """Whether each of `size` positions lies within `width` positions from one of `at`."""
+    edge = np.bincount(at, minlength=size + 1)[: size + 1] - np.bincount(at + width, minlength=size + 1)[: size + 1]
+    return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, period: int = PERIOD) -> DataFrame:
@@ -121,6 +133,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     cover = COVER if period == PERIOD else difference_cover(period)
     count = pieces(docs, text, PIECE)
     # A rank of more bits than positions need only takes room; one that two seeds share by chance only makes candidates.
+    longer = width + period - 1
     low = U64(max(0, 24 - int(count).bit_length()))
     parts = blocks(docs, id_col, text, count)
 
@@ -130,32 +143,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         h = h >> low << low
         return packed([(b, block, squeeze_sorted(h[at]), squeeze(np.zeros(len(at), np.uint32))) for b, at in by_bucket(h, count)], *SENT)
 
-    def candidates(t: Texts, replies):
+    def hot_strings(t: Texts, replies):
+        """Sample positions of a tied rank: all, and those with a long string, with its fingerprint."""
         at, h = t.sample(width, period, cover)
-        h = h >> low << low
-        hot = at[marked(h, count, replies)]
+        hot = at[marked(h >> low << low, count, replies, 1)[0]]
+        whole = hot[t.left[hot] >= longer]
+        return hot, whole, *t.fingerprints(whole, longer)
+
+    def strings(group, replies):
+        if not group.num_rows:
+            return packed([], *SENT)
+        block = group.column("block")[0].as_py()
+        _, _, h, c = hot_strings(Texts(texts_of(opened(group).column("text"))), replies)
+        return packed([(b, block, squeeze_sorted(h[x]), squeeze(c[x])) for b, x in by_bucket(h, count)], *SENT)
+
+    def candidates(t: Texts, replies):
+        """Suffixes to send, their fingerprints, and the positions of long strings that are tied."""
+        hot, whole, h, _ = hot_strings(t, replies)
+        tied, first = marked(h, count, replies, 2)
+        others = covered(len(t.bytes), whole[tied & ~first], period)
         at = t.suffixes(hot, width, period)
-        return at, *t.fingerprints(at, width)
+        at = at[~others[at]] if len(at) else at
+        return at, *t.fingerprints(at, width), whole[tied]
 
     def suffixes(group, replies):
         if not group.num_rows:
             return packed([], *SENT)
         block = group.column("block")[0].as_py()
-        at, h, c = candidates(Texts(texts_of(opened(group).column("text"))), replies)
+        at, h, c, _ = candidates(Texts(texts_of(opened(group).column("text"))), replies)
         return packed([(b, block, squeeze_sorted(h[x]), squeeze(c[x])) for b, x in by_bucket(h, count)], *SENT)
 
     def kept(group, replies):
         group = opened(group)
         texts, ids = texts_of(group.column("text")), group.column("doc_id")
         t = Texts(texts)
-        rounds = np.array(replies.column("round").to_pylist(), np.int64)
-        first, second = (replies.take(pa.array(np.flatnonzero(rounds == r))) for r in (1, 2))
-        at, h, _ = candidates(t, first)
-        at = at[marked(h, count, second)]
-        edge = np.zeros(len(t.bytes) + 1, np.int32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + width, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        at, h, _, long_ = candidates(t, replies)
+        at = at[marked(h, count, replies, 3)[0]]
+        gone = covered(len(t.bytes), at, width) | covered(len(t.bytes), long_, longer)
         rows = []
         for i, (lo, n) in enumerate(zip(t.starts, t.sizes, strict=True)):
             g = gone[lo : lo + n]
@@ -170,11 +194,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     sent = "bucket int, block int, keys binary, checks binary"
     texts = parts.groupBy("block")
-    shared_ranks = texts.applyInArrow(ranks, sent).groupBy("bucket").applyInArrow(ties, REPLY)
-    repeated = texts.cogroup(shared_ranks.groupBy("block")).applyInArrow(suffixes, sent).groupBy("bucket").applyInArrow(ties, REPLY)
-    both = shared_ranks.selectExpr("*", "1 as round").unionByName(repeated.selectExpr("*", "2 as round"))
-    id_type = dict(docs.dtypes)[id_col]
-    return texts.cogroup(both.groupBy("block")).applyInArrow(kept, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+
+    def resolved(asked: DataFrame, round_: int) -> DataFrame:
+        return asked.groupBy("bucket").applyInArrow(ties, "block int, bucket int, marks binary").withColumn("round", F.lit(round_))
+
+    told = resolved(texts.applyInArrow(ranks, sent), 1)
+    told = told.unionByName(resolved(texts.cogroup(told.groupBy("block")).applyInArrow(strings, sent), 2))
+    told = told.unionByName(resolved(texts.cogroup(told.groupBy("block")).applyInArrow(suffixes, sent), 3))
+    return texts.cogroup(told.groupBy("block")).applyInArrow(kept, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op5_repeats(spark, sf_dir: str) -> DataFrame:
