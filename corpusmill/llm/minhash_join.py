@@ -2,9 +2,13 @@
 
 Texts with equal shingle sets are one class. Each class is posted under its (coordinate, value) pairs; pairs that one class alone has can't collide
 and are dropped, and so is a class with fewer shared pairs than `matches`. Of the others only a prefix is posted on: the rarest shared
-pairs, as many as two classes need so that `matches` collisions force a common one. Lists are merged with skips: in each the members
-meet pivots, first one, then more, and members already in one component are passed over, so a list of m copies makes about m
-pairs. Pairs whose signatures collide in `matches` coordinates are confirmed on the full sets."""
+pairs, as many as two classes need so that `matches` collisions force a common one. The same holds of shingles: only those that two
+posted classes have can be in an intersection, so classes with too few of them for any partner in their lists go.
+
+Lists are merged with skips. In each the members first meet one lead, the one with the most common values; a list of m copies makes m
+pairs, and most members find their component. Members of one component are passed over from then on. Two others of a list can share, in the
+lead's set, no more than either has there, and outside it no more than either has left; pairs that this bound lets through collide in
+`matches` coordinates or go, and what remains is confirmed on the full sets."""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import U64, Words, by_bucket, components, mix, packed, sliced, spread, squeeze, squeeze_sorted, spread_sorted, texts_of, written
 
-COORDINATES, SHINGLE, SLICE, BLOCK = 64, 5, 1 << 20, 20_000
+COORDINATES, SHINGLE, SLICE, BLOCK, SET_BYTES = 64, 5, 1 << 20, 20_000, 8 << 20
 _DRAWN = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 FACTORS, ADDENDS = _DRAWN[:COORDINATES] | U64(1), _DRAWN[COORDINATES:]
 
@@ -72,7 +76,7 @@ def rows_of(docs: DataFrame, id_col: str, text: str, size: int, with_set: bool)
 
 
 def postings(classes: DataFrame, matches: int, blocks: int) -> DataFrame:
-    """(key, cid, size) of the prefix of each class that can reach `matches` collisions; size: the classes under the key."""
+    """(key, cid, weight) of the prefix of each class that can reach `matches` collisions; weight: the classes under all its keys, summed."""
 
     def keys_of(group):
         sig = np.frombuffer(b"".join(group.column("body").to_pylist()), np.uint32).reshape(-1, COORDINATES)
@@ -104,26 +108,99 @@ def postings(classes: DataFrame, matches: int, blocks: int) -> DataFrame:
         chosen &= (sizes > 1) & ((sizes > 1).sum(1) >= matches)[:, None]
         r, _ = np.nonzero(chosen)
         cids = group.column("cid").combine_chunks().to_numpy(zero_copy_only=False)
-        return pa.table({"key": keys[chosen].view(np.int64), "cid": cids[r], "size": sizes[chosen].astype(np.int64)})
+        return pa.table({"key": keys[chosen].view(np.int64), "cid": cids[r], "weight": sizes.sum(1, dtype=np.int64)[r]})
 
     g = classes.groupBy("block")
     sizes = g.applyInArrow(ask, "bucket int, block int, keys binary").groupBy("bucket").applyInArrow(count, "block int, bucket int, sizes binary")
-    return g.cogroup(sizes.groupBy("block")).applyInArrow(prefix, "key long, cid long, size long")
+    return g.cogroup(sizes.groupBy("block")).applyInArrow(prefix, "key long, cid long, weight long")
+
+
+def shared_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, s, body) from (cid, n, body): body without the shingles that no other set has, s of n; sets go that could reach `percent` with none."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    count = max(1, -(-8 * total // SET_BYTES))
+    g = sets.withColumn("block", F.pmod("cid", F.lit(count)).cast("int")).groupBy("block")
 
+    def distinct(group):
+        flat = np.frombuffer(b"".join(group.column("body").to_pylist()), U64)
+        return flat, *np.unique(flat, return_inverse=True, return_counts=True)
+
+    def ask(group):
+        block = group.column("block")[0].as_py()
+        _, keys, _, n = distinct(group)
+        return packed([(b, block, squeeze_sorted(keys[at]), squeeze(np.packbits(n[at] > 1))) for b, at in by_bucket(keys, count)], [pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["bucket", "block", "keys", "twice"])
 
-def compared(pairs: DataFrame, bodies: DataFrame, kind, accept) -> DataFrame:
-    """Pairs (a, b) for which accept(body of a, body of b) is not None, with its value as `score`. Bodies meet by joins on cid."""
+    def tell(sent):
+        bucket = sent.column("bucket")[0].as_py()
+        keys = [spread_sorted(k) for k in sent.column("keys").to_pylist()]
+        twice = [np.unpackbits(spread(x, np.uint8), count=len(k)) for x, k in zip(sent.column("twice").to_pylist(), keys, strict=True)]
+        _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        parts = np.split((n[at] > 1) | (np.concatenate(twice) > 0), np.cumsum([len(k) for k in keys])[:-1])
+        return packed([(b, bucket, squeeze(np.packbits(p))) for b, p in zip(sent.column("block").to_pylist(), parts, strict=True)], [pa.int32(), pa.int32(), pa.binary()], ["block", "bucket", "marks"])
+
+    def keep(group, replies):
+        flat, keys, at, _ = distinct(group)
+        told = dict(zip(replies.column("bucket").to_pylist(), replies.column("marks").to_pylist(), strict=True))
+        shared = np.zeros(len(keys), bool)
+        for b, x in by_bucket(keys, count):
+            shared[x] = np.unpackbits(spread(told[b], np.uint8), count=len(x)).astype(bool)
+        own, rows, lo = shared[at], [], 0
+        for cid, n in zip(group.column("cid").to_pylist(), group.column("n").to_pylist(), strict=True):
+            body = flat[lo : lo + n][own[lo : lo + n]]
+            lo += n
+            if 100 * len(body) >= percent * n:
+                rows.append((cid, n, len(body), body.tobytes()))
+        return packed(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["cid", "n", "s", "body"])
+
+    marks = g.applyInArrow(ask, "bucket int, block int, keys binary, twice binary").groupBy("bucket").applyInArrow(tell, "block int, bucket int, marks binary")
+    return g.cogroup(marks.groupBy("block")).applyInArrow(keep, "cid long, n long, s long, body binary")
+
+
+def compared(pairs: DataFrame, bodies: DataFrame, kind, same) -> DataFrame:
+    """(a, b, score): same(body of a, body of b) of each pair. Bodies meet by joins on cid."""
     j = pairs.join(bodies.select(F.col("cid").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("cid").alias("a"), F.col("body").alias("body_a")), "a")
 
     def run(batches):
         for x in batches:
-            got = [accept(np.frombuffer(p, kind), np.frombuffer(q, kind)) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
-            keep = [i for i, v in enumerate(got) if v is not None]
-            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(keep, pa.int64())), x.column(1).take(pa.array(keep, pa.int64())), pa.array([got[i] for i in keep], pa.int64())], ["a", "b", "score"])
+            got = [int(same(np.frombuffer(p, kind), np.frombuffer(q, kind))) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(got, pa.int64())], ["a", "b", "score"])
 
     return j.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, score long")
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def links_of(posted: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b) linked classes that join all linked ones of (key, cid, weight); sigs: (cid, body), sets: (cid, n, s, body) of shared shingles."""
+    sizes = sets.select("cid", "n", "s")
+    # what a pair of n and m shingles has in common at the least
+    enough = lambda have, n, m: (100 + percent) * have >= percent * (n + m)
+    here = posted.join(sizes, "cid")
+    lists = here.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    here = here.join(lists, "key").where(enough(F.col("s"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100))))
+    leads = here.groupBy("key").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"))
+    met = here.join(leads, "key").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+    met = written(compared(met, sets, U64, common))
+    a, b = (sizes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    met = met.join(a, "a").join(b, "b")
+    first = met.where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    labels = components(first).select(F.col("node").alias("cid"), F.col("component_id").alias("label"))
+    members = met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.col("score").alias("inside"), F.col("n_b").alias("n"), F.col("s_b").alias("s"))
+    members = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    main = met.select(F.col("a").alias("lead")).distinct().join(labels, F.col("lead") == F.col("cid"), "left").select("lead", F.coalesce("label", "lead").alias("main"))
+    members = written(members.join(main, "lead").select("lead", "cid", "label", "main", "n", "inside", (F.col("s") - F.col("inside")).alias("outside")))
+    x = members.where("label <> main")
+    y = members.select("lead", *[F.col(c).alias(f"_{c}") for c in ("cid", "label", "n", "inside", "outside")])
+    apart = (F.col("label") != F.col("_label")) & ((F.col("_label") == F.col("main")) | (F.col("cid") < F.col("_cid")))
+    most = F.least("inside", "_inside") + F.least("outside", "_outside")
+    pairs = x.join(y, (x["lead"] == y["lead"]) & apart & enough(most, F.col("n"), F.col("_n"))).select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b")).distinct()
+    close = compared(pairs, sigs, np.uint32, lambda p, q: (p == q).sum()).where(F.col("score") >= matches).select("a", "b")
+    second = compared(close, sets, U64, common).join(a, "a").join(b, "b").where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return first.unionByName(second)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key) for each row of docs.
 
@@ -140,45 +217,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = written(classes.select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "least_id", "body", F.pmod("cid", F.lit(blocks)).cast("int").alias("block")))
     posted = written(postings(classes, matches, blocks))
     candidates = posted.select("cid").distinct()
-    sigs = classes.join(candidates, "cid", "left_semi").select("cid", "body")
-    reps = classes.join(candidates, "cid", "left_semi").select("cid", "rep_id", "rep_key")
+    reps = classes.join(candidates, "cid", "left_semi").select("rep_id", "rep_key")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     chosen = docs.select(F.col(id_col).alias("doc_id"), t.alias("t")).withColumn("k", F.xxhash64("t"))
-    chosen = chosen.join(reps.select("rep_id", "rep_key"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("k") == F.col("rep_key")), "left_semi")
-    labels = written(candidates.select("cid", F.col("cid").alias("label")))
-    links = tested = None
-    largest = posted.agg(F.max("size")).first()[0] or 0
-    def same(x, y):
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both if 100 * both >= percent * (len(x) + len(y) - both) else None
-
-    sets = written(rows_of(chosen, "doc_id", "t", shingle, True).dropDuplicates(["cid"]).select("cid", "body")) if largest else None
-    pivots, done = 1, 1
-    while done < largest:
-        # lists of up to `done` members have met all pivots; the others go on as long as they span components
-        here = posted.where(F.col("size") > done).join(labels, "cid")
-        here = here.join(here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi")
-        if pivots == 1:
-            lead = here.groupBy("key").agg(F.min_by("cid", F.xxhash64("cid")).alias("a"), F.min_by("label", F.xxhash64("cid")).alias("la"))
-        else:
-            step = F.greatest(F.lit(1), F.floor(F.col("size") / pivots))
-            lead = here.where(F.pmod(F.xxhash64("cid", F.lit(pivots)), step) == 0).select("key", F.col("cid").alias("a"), F.col("label").alias("la"))
-        pairs = here.join(lead, "key").where("label <> la").select("a", F.col("cid").alias("b")).distinct()
-        if pivots > 1:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        close = compared(pairs, sigs, np.uint32, lambda x, y: n if (n := int((x == y).sum())) >= matches else None)
-        if pivots == 1:  # one pair a class to begin with: most find their component by it
-            close = close.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a"))
-        close = written(close.select("a", "b"))
-        found = written(compared(close, sets, np.uint64, same).select("a", "b"))
-        links = found if links is None else links.unionByName(found)
-        both = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = both if tested is None else tested.unionByName(both)
-        if not found.isEmpty():
-            new = components(links).select(F.col("node").alias("cid"), "component_id")
-            labels = written(candidates.join(new, "cid", "left").select("cid", F.coalesce("component_id", "cid").alias("label")))
-        done = pivots if pivots > 1 else 1
-        pivots *= 16
+    chosen = chosen.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("k") == F.col("rep_key")), "left_semi")
+    sets = written(rows_of(chosen, "doc_id", "t", shingle, True).dropDuplicates(["cid"]).select("cid", "n", "body"))
+    sets = written(shared_sets(sets, percent))
+    sigs = classes.join(sets.select("cid"), "cid", "left_semi").select("cid", "body")
+    labels = components(links_of(posted, sigs, sets, percent, matches)).select(F.col("node").alias("cid"), F.col("component_id").alias("label"))
     ids = classes.select("cid", "least_id").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = ids.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = ids.join(least, "label").select("cid", "component_id")
