@@ -121,15 +121,39 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def prefix_hash(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial over the bytes, and the inverse powers that make spans comparable."""
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(a) + 1, U64)
-        np.cumsum(BYTE_CODES[a] * powers(len(a), BASE), dtype=U64, out=sums[1:])
-        return sums, powers(len(a) + 1, BASE_INVERSE)
+CHUNK = 1 << 14
+POWERS, INVERSES = powers(CHUNK + 1, BASE), powers(CHUNK, BASE_INVERSE)
+
 
+class InversePowers:
+    """Powers of BASE_INVERSE by position, as products from two small tables."""
 
-def span_hash(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def __init__(self, n: int):
+        self.steps = powers(n // CHUNK + 1, U64(pow(int(BASE_INVERSE), CHUNK, 1 << 64)))
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = np.take(INVERSES, at & (CHUNK - 1))
+        out *= np.take(self.steps, at // CHUNK)
+        return out
+
+
+def prefix_hash(a: np.ndarray) -> tuple[np.ndarray, InversePowers]:
+    """Prefix sums of a polynomial over the bytes, and the inverse powers that make spans comparable. Chunks stay in the processor's cache."""
+    sums = np.empty(len(a) + 1, U64)
+    sums[0] = 0
+    with np.errstate(over="ignore"):
+        step = U64(1)
+        for lo in range(0, len(a), CHUNK):
+            x = np.take(BYTE_CODES, a[lo : lo + CHUNK])
+            x *= POWERS[: len(x)]
+            x *= step
+            x[0] += sums[lo]
+            np.cumsum(x, dtype=U64, out=sums[lo + 1 : lo + 1 + len(x)])
+            step = step * POWERS[CHUNK]
+    return sums, InversePowers(len(a) + 1)
+
+
+def span_hash(sums: np.ndarray, inverse: InversePowers, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end)."""
     with np.errstate(over="ignore"):
         return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
