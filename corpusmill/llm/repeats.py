@@ -54,31 +54,51 @@ class Texts:
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.sums, self.inverse = prefix_hash(self.bytes)
-        self.within = np.arange(len(self.bytes)) - np.repeat(self.starts, self.sizes)
-        self.left = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(len(self.bytes))
+
+    def left(self, at: np.ndarray) -> np.ndarray:
+        """Bytes from each position to the end of its text."""
+        return (self.starts + self.sizes)[np.searchsorted(self.starts, at, "right") - 1] - at
+
+    def places(self, width: int, pattern: np.ndarray | None = None) -> np.ndarray:
+        """Mask of the positions with `width` bytes left, in each text those of the repeating pattern."""
+        mask = np.zeros(len(self.bytes), bool)
+        most = int(self.sizes.max(initial=0))
+        tile = np.ones(most, bool) if pattern is None else np.tile(pattern, most // len(pattern) + 1)
+        for lo, n in zip(self.starts.tolist(), (self.sizes - width + 1).tolist(), strict=True):
+            if n > 0:
+                mask[lo : lo + n] = tile[:n]
+        return mask
 
     def sample(self, width: int, period: int, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample positions with a whole seed of width - period + 1 bytes, and the seeds' hashes."""
         inside = np.zeros(period, bool)
         inside[cover] = True
         seed = width - period + 1
-        at = np.flatnonzero(inside[self.within % period] & (self.left >= seed))
+        at = np.flatnonzero(self.places(seed, inside))
         return at, span_hash(self.sums, self.inverse, at, at + seed)
 
-    def suffixes(self, hot: np.ndarray, width: int, period: int) -> np.ndarray:
-        """Positions with `width` bytes left that have a position of `hot` at a shift below `period`."""
-        near = np.zeros(len(self.bytes) + 1, np.int32)
-        np.add.at(near, hot + 1, 1)
-        near = np.cumsum(near)
-        at = np.flatnonzero(self.left >= width)
-        return at[near[at + period] > near[at]] if len(at) else at
+    def suffixes(self, hot: np.ndarray, others: np.ndarray, width: int, period: int) -> np.ndarray:
+        """Positions with `width` bytes left, not in the mask `others`, that have a position of `hot` at a shift below `period`."""
+        edge = np.zeros(len(self.bytes) + 1, np.int32)
+        edge[0] = np.count_nonzero(hot < period)
+        edge[hot[hot >= period] - period + 1] += 1
+        edge[hot + 1] -= 1
+        near = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        return np.flatnonzero(near & ~others & self.places(width))
 
     def fingerprints(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """64 bits that order a suffix within its bucket, and 32 more by other powers, that must agree too."""
+        """64 bits that order a suffix within its bucket, and 24 of its first half, that must agree too."""
         first = span_hash(self.sums, self.inverse, at, at + width)
-        half = width // 2
-        other = span_hash(self.sums, self.inverse, at, at + half) * U64(0xD6E8FEB86659FD93) ^ span_hash(self.sums, self.inverse, at + half, at + width)
-        return first, (mix(other) >> U64(32)).astype(np.uint32)
+        half = span_hash(self.sums, self.inverse, at, at + width // 2)
+        return first, (half >> U64(40)).astype(np.uint32)
+
+
+def squeeze_checks(c: np.ndarray) -> bytes:
+    return squeeze(np.ascontiguousarray(c, np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def spread_checks(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(spread(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 SENT = ([pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["bucket", "block", "keys", "checks"])
@@ -90,7 +110,7 @@ def ties(sent):
     by_block = np.argsort(sent.column("block").to_numpy(), kind="stable")
     sent = sent.take(pa.array(by_block))
     keys = [spread_sorted(k) for k in sent.column("keys").to_pylist()]
-    checks = [spread(c, np.uint32) for c in sent.column("checks").to_pylist()]
+    checks = [spread_checks(c) for c in sent.column("checks").to_pylist()]
     k, c = np.concatenate(keys), np.concatenate(checks)
     order = np.lexsort((c, k)) if c.any() else np.argsort(k, kind="stable")
     ks, cs = k[order], c[order]
@@ -115,9 +135,11 @@ def marked(keys: np.ndarray, count: int, replies, round_: int) -> tuple[np.ndarr
 
 
 def covered(size: int, at: np.ndarray, width: int) -> np.ndarray:
-    """Whether each of `size` positions lies within `width` positions from one of `at`."""
-    edge = np.bincount(at, minlength=size + 1)[: size + 1] - np.bincount(at + width, minlength=size + 1)[: size + 1]
-    return np.cumsum(edge[:-1]) > 0
+    """Whether each of `size` positions lies within `width` positions from one of `at`, which has each once."""
+    edge = np.zeros(size + 1, np.int32)
+    edge[at] += 1
+    edge[at + width] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, period: int = PERIOD) -> DataFrame:
@@ -141,13 +163,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         block = group.column("block")[0].as_py()
         _, h = Texts(texts_of(opened(group).column("text"))).sample(width, period, cover)
         h = h >> low << low
-        return packed([(b, block, squeeze_sorted(h[at]), squeeze(np.zeros(len(at), np.uint32))) for b, at in by_bucket(h, count)], *SENT)
+        return packed([(b, block, squeeze_sorted(h[at]), squeeze_checks(np.zeros(len(at)))) for b, at in by_bucket(h, count)], *SENT)
 
     def hot_strings(t: Texts, replies):
         """Sample positions of a tied rank: all, and those with a long string, with its fingerprint."""
         at, h = t.sample(width, period, cover)
         hot = at[marked(h >> low << low, count, replies, 1)[0]]
-        whole = hot[t.left[hot] >= longer]
+        whole = hot[t.left(hot) >= longer]
         return hot, whole, *t.fingerprints(whole, longer)
 
     def strings(group, replies):
@@ -155,15 +177,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             return packed([], *SENT)
         block = group.column("block")[0].as_py()
         _, _, h, c = hot_strings(Texts(texts_of(opened(group).column("text"))), replies)
-        return packed([(b, block, squeeze_sorted(h[x]), squeeze(c[x])) for b, x in by_bucket(h, count)], *SENT)
+        return packed([(b, block, squeeze_sorted(h[x]), squeeze_checks(c[x])) for b, x in by_bucket(h, count)], *SENT)
 
     def candidates(t: Texts, replies):
         """Suffixes to send, their fingerprints, and the positions of long strings that are tied."""
         hot, whole, h, _ = hot_strings(t, replies)
         tied, first = marked(h, count, replies, 2)
         others = covered(len(t.bytes), whole[tied & ~first], period)
-        at = t.suffixes(hot, width, period)
-        at = at[~others[at]] if len(at) else at
+        at = t.suffixes(hot, others, width, period)
         return at, *t.fingerprints(at, width), whole[tied]
 
     def suffixes(group, replies):
@@ -171,7 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             return packed([], *SENT)
         block = group.column("block")[0].as_py()
         at, h, c, _ = candidates(Texts(texts_of(opened(group).column("text"))), replies)
-        return packed([(b, block, squeeze_sorted(h[x]), squeeze(c[x])) for b, x in by_bucket(h, count)], *SENT)
+        return packed([(b, block, squeeze_sorted(h[x]), squeeze_checks(c[x])) for b, x in by_bucket(h, count)], *SENT)
 
     def kept(group, replies):
         group = opened(group)
