@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import written
+
 WINDOW = 5
 #: A text leaks an item that has two thirds of its windows in it. If all runs of shared words were below 2 * WINDOW - 1 words long, an item of
 #: LEAST_WORDS or more could not reach this share; so windows at every fifth word find each such item.
@@ -37,10 +39,13 @@ def template(words: Column) -> Column:
 
 
 def windows(source: DataFrame, key: str, words: str) -> DataFrame:
-    """(key, at, window, slots): every WINDOW-word template window of marked words, and the values in its placeholders."""
-    w = F.split(F.col(words), " ")
-    at = F.posexplode(F.when(F.size(w) >= WINDOW, F.sequence(F.lit(1), F.size(w) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))).alias("at", "i")
-    rows = source.select(key, w.alias("w"), at).select(key, "at", F.array_join(F.slice("w", F.col("i"), WINDOW), " ").alias("m"))
+    """(key, at, window, slots): every WINDOW-word template window of marked words, and the values in its placeholders.
+
+    Windows are cut before they become rows, so that no row carries its whole text."""
+    rows = source.select(key, F.split(F.col(words), " ").alias("w"))
+    starts = F.when(F.size("w") >= WINDOW, F.sequence(F.lit(1), F.size("w") - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(key, F.transform(starts, lambda i: F.array_join(F.slice("w", i, WINDOW), " ")).alias("all"))
+    rows = rows.select(key, F.posexplode("all").alias("at", "m"))
     return rows.select(key, "at", template(F.col("m")).alias("window"), F.regexp_extract_all("m", F.lit(r"#[nup]([^ ]*)"), F.lit(1)).alias("slots"))
 
 
@@ -61,11 +66,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     probes = keyed.select("text_key", line.alias("l"))
     cut = [F.regexp_extract_all(F.regexp_replace("l", rf"^(?:[^ ]+ ){{{k}}}", "") if k else F.col("l"), F.lit(rf"(?:[^ ]+ ){{{WINDOW}}}"), F.lit(0)) for k in offsets]
     met = probes.select("text_key", F.explode(F.concat(*cut)).alias("window")).select("text_key", F.xxhash64("window").alias("h"))
-    met = met.join(held(bench.select(F.xxhash64(F.concat("window", F.lit(" "))).alias("h"), "item").distinct()), "h").select("text_key", "item").distinct()
-    texts = keyed.join(met.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.any_value("t").alias("t"))
+    met = met.join(held(bench.select(F.xxhash64(F.concat("window", F.lit(" "))).alias("h")).distinct()), "h", "left_semi").select("text_key").distinct()
+    met = written(met)
+    texts = keyed.join(met, "text_key", "left_semi").groupBy("text_key").agg(F.any_value("t").alias("t"))
     there = windows(texts.select("text_key", marked(F.col("t")).alias("m")), "text_key", "m")
     b = bench.select("item", F.col("at").alias("b_at"), "window", F.col("slots").alias("b_slots"))
-    same = there.join(held(b), "window").join(met, ["text_key", "item"], "left_semi")
+    same = written(there.join(held(b), "window"))
     # one alignment of an item in a text: windows at one distance
     whole = bench.groupBy("item").agg(F.countDistinct("window").alias("n_windows"))
     found = same.groupBy("text_key", "item").agg(F.countDistinct("window").alias("n_found"))
