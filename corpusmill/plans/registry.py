@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from corpusmill.plans import anomaly, dlp, events, graph, relational, storage, text, vectors  # noqa: E402, F401
+from corpusmill.plans import anomaly, dlp, events, graph, operations, relational, storage, text, vectors  # noqa: E402, F401
