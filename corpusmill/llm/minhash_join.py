@@ -7,7 +7,7 @@ posted classes have can be in an intersection, so classes with too few of them f
 
 Lists are merged with skips. In each the members first meet one lead, the one with the most common values; a list of m copies makes m
 pairs, and most members find their component. Members of one component are passed over from then on. Two others of a list can share, in the
-lead's set, no more than either has there, and outside it no more than either has left; pairs that this bound lets through collide in
+lead's set, no more than either has there, and outside it just what both have; pairs that this bound lets through collide in
 `matches` coordinates or go, and what remains is confirmed on the full sets."""
 
 from __future__ import annotations
@@ -156,16 +156,19 @@ def shared_sets(sets: DataFrame, percent: int) -> DataFrame:
     return g.cogroup(marks.groupBy("block")).applyInArrow(keep, "cid long, n long, s long, body binary")
 
 
-def compared(pairs: DataFrame, bodies: DataFrame, kind, same) -> DataFrame:
-    """(a, b, score): same(body of a, body of b) of each pair. Bodies meet by joins on cid."""
+def compared(pairs: DataFrame, bodies: DataFrame, kind, same, with_rest: bool = False) -> DataFrame:
+    """(a, b, score): same(body of a, body of b) of each pair; rest: what b has and a has not. Bodies meet by joins on cid."""
     j = pairs.join(bodies.select(F.col("cid").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("cid").alias("a"), F.col("body").alias("body_a")), "a")
 
     def run(batches):
         for x in batches:
-            got = [int(same(np.frombuffer(p, kind), np.frombuffer(q, kind))) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(got, pa.int64())], ["a", "b", "score"])
+            both = [(np.frombuffer(p, kind), np.frombuffer(q, kind)) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            out = [x.column(0), x.column(1), pa.array([int(same(p, q)) for p, q in both], pa.int64())]
+            if with_rest:
+                out.append(pa.array([np.setdiff1d(q, p, assume_unique=True).view(np.int64) for p, q in both], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "score", "rest"][: len(out)])
 
-    return j.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, score long")
+    return j.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, score long" + ", rest array<long>" * with_rest)
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -182,20 +185,21 @@ def links_of(posted: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int,
     here = here.join(lists, "key").where(enough(F.col("s"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100))))
     leads = here.groupBy("key").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"))
     met = here.join(leads, "key").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
-    met = written(compared(met, sets, U64, common))
     a, b = (sizes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-    met = met.join(a, "a").join(b, "b")
+    met = written(compared(met, sets, U64, common, True).join(a, "a").join(b, "b"))
     first = met.where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     labels = components(first).select(F.col("node").alias("cid"), F.col("component_id").alias("label"))
-    members = met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.col("score").alias("inside"), F.col("n_b").alias("n"), F.col("s_b").alias("s"))
+    members = met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.col("score").alias("inside"), F.col("n_b").alias("n"), "rest")
     members = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     main = met.select(F.col("a").alias("lead")).distinct().join(labels, F.col("lead") == F.col("cid"), "left").select("lead", F.coalesce("label", "lead").alias("main"))
-    members = written(members.join(main, "lead").select("lead", "cid", "label", "main", "n", "inside", (F.col("s") - F.col("inside")).alias("outside")))
+    members = written(members.join(main, "lead").select("lead", "cid", "label", "main", "n", "inside", "rest"))
     x = members.where("label <> main")
-    y = members.select("lead", *[F.col(c).alias(f"_{c}") for c in ("cid", "label", "n", "inside", "outside")])
+    y = members.select("lead", *[F.col(c).alias(f"_{c}") for c in ("cid", "label", "n", "inside", "rest")])
     apart = (F.col("label") != F.col("_label")) & ((F.col("_label") == F.col("main")) | (F.col("cid") < F.col("_cid")))
-    most = F.least("inside", "_inside") + F.least("outside", "_outside")
-    pairs = x.join(y, (x["lead"] == y["lead"]) & apart & enough(most, F.col("n"), F.col("_n"))).select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b")).distinct()
+    # two bounds, the cheap one first: how much of what stands outside the lead either has, and how much of it both have
+    inside, needed = F.least("inside", "_inside"), lambda have: enough(have, F.col("n"), F.col("_n"))
+    bound = needed(inside + F.least(F.size("rest"), F.size("_rest"))) & needed(inside + F.size(F.array_intersect("rest", "_rest")))
+    pairs = x.join(y, (x["lead"] == y["lead"]) & apart & bound).select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b")).distinct()
     close = compared(pairs, sigs, np.uint32, lambda p, q: (p == q).sum()).where(F.col("score") >= matches).select("a", "b")
     second = compared(close, sets, U64, common).join(a, "a").join(b, "b").where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     return first.unionByName(second)
