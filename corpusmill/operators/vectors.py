@@ -48,3 +48,21 @@ def page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
     r = few.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), ranked.columns[0])))
     more = F.broadcast(r.agg((F.max("rank") > offset + limit).alias("has_more")))  # one row
     return r.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).crossJoin(more)
+
+
+def similar_pairs(sets: DataFrame, key: str, words: str, least: float) -> DataFrame:
+    """(a, b, similarity): pairs of rows whose arrays of distinct words have a Jaccard similarity of `least` or more.
+
+    Words go by rising frequency. Such a pair shares `least` of the larger set's words, so their prefixes, of all but that many
+    words and one, meet; a common word stands in few prefixes."""
+    w = sets.select(F.col(key).alias("key"), F.size(words).alias("n"), F.explode(words).alias("w"))
+    often = w.groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    o = w.join(often, "w").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("o"))
+    o = o.withColumn("w", F.explode(F.slice("o.w", F.lit(1), F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1))).select("key", "n", "w")
+    a, b = o.select(F.col("key").alias("a"), F.col("n").alias("na"), "w"), o.select(F.col("key").alias("b"), F.col("n").alias("nb"), "w")
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
+    pairs = a.join(b, "w").where(near).select("a", "b").distinct()
+    full = sets.select(F.col(key).alias("k"), F.col(words).alias("t"))
+    met = pairs.join(full.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(full.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return met.withColumn("similarity", both / (F.size("ta") + F.size("tb") - both)).where(F.col("similarity") >= least).select("a", "b", "similarity")

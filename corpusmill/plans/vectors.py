@@ -72,3 +72,10 @@ def doc_similarity_pairs(spark, d):
     both = w.withColumnRenamed("item_id", "a").join(b, "w").where("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
     s = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
     return both.where(s >= 0.2).select("a", "b", F.round(s, 6).alias("similarity"))
+
+
+@query()
+def doc_similarity_documents(spark, d):
+    """Pairs of documents by shared words."""
+    t = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", F.array_distinct(T.plain_tokens(F.coalesce("text", F.lit("")))).alias("t"))
+    return V.similar_pairs(t, "doc_id", "t", 0.2).withColumn("similarity", F.round("similarity", 6))

@@ -1,6 +1,7 @@
 """Operators on hand-made rows."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import anomaly, chunking, dlp, graph, predicates, relational, stats, vectors
+from corpusmill.plans import registry
 from corpusmill.sources import files, html
 
 
@@ -167,3 +169,39 @@ def test_archive_entries_of_tar():
         info.size = 2
         t.addfile(info, io.BytesIO(b"hi"))
     assert list(files.archive_entries("a.tar.gz", raw.getvalue())) == [("a.txt", b"hi")]
+
+
+def test_graph_queries_read_all_lines(spark, tmp_path):
+    lines = [(1, 10, 50), (1, 27, 3), (2, 77, 1), (3, 77, 7), (4, 99, 20), (4, 99, 20), (9, 60, 50)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = {}
+    for s, p, _ in lines:
+        near.setdefault(f"s{s}", set()).add(f"p{p}")
+        near.setdefault(f"p{p}", set()).add(f"s{s}")
+    d = str(tmp_path)
+    run = lambda name: registry.QUERIES[name](spark, d).collect()
+    assert {r["src"]: (r["n"], r["weight"]) for r in run("kg_all_cooccurrence")} == {k: (len(v), len(v) * (1.0 + int(k[1:]) % 7)) for k, v in near.items() if k[0] == "s"}
+    assert {r["node"]: r["degree"] for r in run("kg_all_degree_density")} == {k: len(v) for k, v in near.items()}
+
+    def reached(node):
+        seen, todo = {node: 0}, [node]
+        for x in todo:
+            for y in near[x] - set(seen):
+                seen[y] = seen[x] + 1
+                todo.append(y)
+        return seen
+
+    assert {r["node"]: r["component"] for r in run("kg_all_components")} == {k: min(reached(k)) for k in near}
+    assert {r["node"]: r["hops"] for r in run("kg_all_k_hop")} == {k: n for k, n in reached("s1").items() if n <= 2}
+    assert {r["node"]: r["distance"] for r in run("kg_all_shortest_path")} == {"s1": 0.0, "p10": 2.0, "p27": 2.0}
+    ranks = {r["node"]: r["rank"] for r in run("kg_all_pagerank")}
+    base = 0.15 / len(near)
+    assert set(ranks) == set(near) and all(v == pytest.approx(base + (0.85 * sum(base / len(near[s]) for s in near[k]) if k[0] == "p" else 0.0), abs=1e-6) for k, v in ranks.items())
+
+
+def test_similar_pairs_are_those_of_brute_force(spark):
+    r = random.Random(0)
+    sets = [(i, r.sample([f"w{k}" for k in range(40)], r.randint(0, 12)) + ["the"] * (i % 3 > 0)) for i in range(60)]
+    got = {(x["a"], x["b"]): x["similarity"] for x in vectors.similar_pairs(spark.createDataFrame(sets, "k long, t array<string>"), "k", "t", 0.2).collect()}
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets for b, y in sets if a < b and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.2}
+    assert got == pytest.approx(want)
