@@ -1,4 +1,6 @@
-"""Queries of personal data over `documents`."""
+"""Queries of personal data over `documents`.
+
+Those with SQL have the types of _VALID, without phone; dlp_all_* and sensitivity_all have every type of dlp.TYPES."""
 
 from __future__ import annotations
 
@@ -110,3 +112,37 @@ def sensitivity_level(spark, d):
 def entity_enrich(spark, d):
     f = found(spark, d).where("kind = 'email'").select("doc_id", "value").distinct()
     return f.select("doc_id", "value", F.split("value", "@")[0].alias("mail_user"), F.split("value", "@")[1].alias("mail_domain"))
+
+
+@query()
+def dlp_all_findings(spark, d):
+    return D.scan(docs(spark, d)).withColumn("risk", D.risk(F.col("kind"), F.col("confidence")))
+
+
+@query()
+def dlp_all_risk_score(spark, d):
+    return D.scores(docs(spark, d)).withColumn("risk_score", F.round("risk_score", 6))
+
+
+@query()
+def dlp_all_batch_stats(spark, d):
+    return dlp_all_findings(spark, d).groupBy("kind", "risk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query()
+def dlp_all_compliance(spark, d):
+    return D.compliance(spark, D.scan(docs(spark, d)))
+
+
+@query()
+def dlp_all_hash_token(spark, d):
+    return D.scan(docs(spark, d)).groupBy("doc_id", D.tokenised(F.col("kind"), F.col("value")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def sensitivity_all(spark, d):
+    """A phone number counts as a secret, as ssn and card do."""
+    t = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumn("k", F.transform(D.findings_of(F.col("text")), lambda x: x["kind"]))
+    score, level = T.sensitivity(F.col("text"), F.arrays_overlap("k", F.array(*[F.lit(x) for x in ("ssn", "credit_card", "phone")])), F.array_contains("k", "email"))
+    return t.select("doc_id", F.round(score, 6).alias("score"), level.alias("level"))

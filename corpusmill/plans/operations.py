@@ -67,6 +67,15 @@ def compliance_flags(spark, d):
     return t.select("doc_id", F.array_join(flags, ",").alias("flags"))
 
 
+@query()
+def compliance_flags_all(spark, d):
+    """GDPR for phone numbers too."""
+    text = F.coalesce("text", F.lit(""))
+    t = table(spark, d, "documents").select("doc_id", text.alias("text"), F.transform(dlp.findings_of(text, ["email", "phone", "credit_card"]), lambda x: x["kind"]).alias("k"))
+    flags = F.array(F.when(F.array_contains("k", "email") | F.array_contains("k", "phone"), "GDPR"), F.when(T.mentions(F.col("text"), T.HEALTH), "HIPAA"), F.when(F.array_contains("k", "credit_card"), "PCI"))
+    return t.select("doc_id", F.array_join(flags, ",").alias("flags"))
+
+
 _Q = "len(list_distinct(t)) / greatest(len(t), 1)"
 
 

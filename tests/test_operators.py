@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -205,3 +206,19 @@ def test_similar_pairs_are_those_of_brute_force(spark):
     got = {(x["a"], x["b"]): x["similarity"] for x in vectors.similar_pairs(spark.createDataFrame(sets, "k long, t array<string>"), "k", "t", 0.2).collect()}
     want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets for b, y in sets if a < b and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.2}
     assert got == pytest.approx(want)
+
+
+def test_phone_numbers_count(spark, tmp_path):
+    texts = ["call 555-123-4567 now", "a@b.org, 555.123.4567 and +1 555 123 4567", "no data", None, "x555-123-4567, 555-123-45678"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [k for k, (p, _, _) in dlp.TYPES.items() for _ in re.findall(p, t or "")] for i, t in enumerate(texts)}
+    assert [want[i].count("phone") for i in range(5)] == [1, 2, 0, 0, 0]
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    found = [(r["doc_id"], r["kind"], r["risk"]) for r in run("dlp_all_findings")]
+    assert sorted(found) == sorted((i, k, "high") for i, ks in want.items() for k in ks)
+    assert {r["doc_id"]: (r["n_findings"], r["n_high"], r["risk_score"]) for r in run("dlp_all_risk_score")} == {i: (len(k), len(k), 0.8 if k else 0.0) for i, k in want.items()}
+    assert {r["kind"]: (r["n"], r["documents"]) for r in run("dlp_all_batch_stats")} == {"email": (1, 1), "phone": (3, 2)}
+    assert {r["doc_id"]: r["n"] for r in run("dlp_all_compliance") if r["rule"] == "GDPR-001"} == {0: 1, 1: 3}
+    assert sorted((r["doc_id"], r["token"].split("_")[0]) for r in run("dlp_all_hash_token")) == [(0, "PHONE"), (1, "EMAIL"), (1, "PHONE"), (1, "PHONE")]
+    assert {r["doc_id"]: (r["score"], r["level"]) for r in run("sensitivity_all")} == {0: (0.4, "internal"), 1: (0.6, "confidential"), 2: (0.0, "public"), 3: (0.0, "public"), 4: (0.0, "public")}
+    assert {r["doc_id"]: r["flags"] for r in run("compliance_flags_all")} == {0: "GDPR", 1: "GDPR", 2: "", 3: "", 4: ""}
