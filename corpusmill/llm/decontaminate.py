@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import written
 
 WINDOW = 5
-#: A text leaks an item that has two thirds of its windows in it. If all runs of shared words were below 2 * WINDOW - 1 words long, an item of
-#: LEAST_WORDS or more could not reach this share; so windows at every fifth word find each such item.
-SHARE, LEAST_WORDS, CONSISTENT = 2 / 3, 11, 0.8
+#: A text leaks an item that has two thirds of its windows in it, wherever they stand; so texts are probed at every word.
+SHARE, CONSISTENT = 2 / 3, 0.8
 UNITS = "km|kg|cm|mm|ml|mg|lb|oz|usd|eur|dollars|euros|metres|meters|miles|hours|minutes|seconds|days|weeks|years|percent"
 NAME = r"(?<=[a-z0-9,;][ \n])([A-Z][a-z][A-Za-z]*)"
 UNIT = rf"([0-9]) ?({UNITS})\b"
@@ -58,14 +57,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     plain = F.size(F.filter(F.split("window", " "), lambda x: ~x.contains("#")))
     bench = bench.where(plain >= 2)
     small = bench.count() <= BROADCAST_ROWS
-    shortest = benchmark.where(F.col(item).isNotNull()).select(F.size(F.split(marked(F.col(item_text)), " ")).alias("n")).where(F.col("n") >= WINDOW).agg(F.min("n")).first()[0]
-    offsets = range(WINDOW) if (shortest or 0) < LEAST_WORDS else range(1)
     held = lambda df: F.broadcast(df) if small else df
     keyed = docs.select(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key"), F.col(text).alias("t"))
     line = F.concat(template(marked(F.col("t"))), F.lit(" "))
     probes = keyed.select("text_key", line.alias("l"))
-    cut = [F.regexp_extract_all(F.regexp_replace("l", rf"^(?:[^ ]+ ){{{k}}}", "") if k else F.col("l"), F.lit(rf"(?:[^ ]+ ){{{WINDOW}}}"), F.lit(0)) for k in offsets]
-    met = probes.select("text_key", F.explode(F.concat(*cut)).alias("window")).select("text_key", F.xxhash64("window").alias("h"))
+    # the lookahead reads WINDOW words, of which one is consumed
+    cut = F.regexp_extract_all("l", F.lit(rf"(?=((?:[^ ]++ ){{{WINDOW}}}))[^ ]++ "), F.lit(1))
+    met = probes.select("text_key", F.explode(cut).alias("window")).select("text_key", F.xxhash64("window").alias("h"))
     met = met.join(held(bench.select(F.xxhash64(F.concat("window", F.lit(" "))).alias("h")).distinct()), "h", "left_semi").select("text_key").distinct()
     met = written(met)
     texts = keyed.join(met, "text_key", "left_semi").groupBy("text_key").agg(F.any_value("t").alias("t"))

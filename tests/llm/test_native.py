@@ -67,6 +67,16 @@ def test_re_parameterised_questions(spark):
     assert decontaminate.with_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_number_heavy_items_are_found_at_every_alignment(spark):
+    item = "Find the mean of 12 15 18 21 24 27 30"
+    long = "one plain item of the benchmark that has many more words than eleven so that none is short"
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    texts = [" ".join([*["So."] * k, part, "end"]) for k in range(6) for part in (item, "Find the mean of 12 15", "Find the mean of 12 or")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.leaked_items for r in decontaminate.with_leaks(docs, bench).collect()}
+    assert got == {i: "1" if i % 3 < 2 else "" for i in range(len(texts))}
+
+
 def test_language_on_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     table = language_id.fit(docs.where("doc_id % 2 = 0"))
