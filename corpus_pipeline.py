@@ -13,10 +13,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a sure language; those without letters, or in none of the languages, go."""
+    """Documents of a sure language, with the language found as `lang`; those without letters, or in none of the languages, go."""
     found = language_id.documents_with_language(docs, language_id.fit(docs))
-    gone = found.where(language_id.rejected()).select(F.col("row_key").alias("_gone")).distinct()
-    return docs.join(gone, language_id.row_key() == F.col("_gone"), "left_anti").select(*COLUMNS)
+    other = found.where(language_id.rejected() | ~F.col("declared").eqNullSafe(F.col("lang_found")))
+    other = other.groupBy(F.col("row_key").alias("_key")).agg(F.max(language_id.rejected()).alias("_gone"), F.max("lang_found").alias("_found"))
+    kept = docs.join(other, language_id.row_key() == F.col("_key"), "left").where(~F.coalesce("_gone", F.lit(False)))
+    return kept.withColumn("lang", F.coalesce("_found", language_id.code(F.col("lang").cast("string")))).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

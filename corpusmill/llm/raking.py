@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import ASCII_SPACE, written
+from corpusmill.llm.language_id import LANGS, code
 
 DIMS = ["source", "lang", "topic"]
 ROUNDS, FILLS = 12, 6
+#: But for the query that has SQL, fitting goes on after ROUNDS until no share is further than this from its target. Targets that the cells cannot meet end it after MOST_ROUNDS, with a warning.
+TOLERANCE, MOST_ROUNDS = 1e-4, 200
 
 
 def topic_of(text: Column) -> Column:
@@ -23,8 +27,9 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{ASCII_SPACE}]+")).cast("long")
 
 
-def rake(features: DataFrame, goals: DataFrame | None = None, langs: dict[str, float] | None = None, topics: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, tokens, w): token sums of the cells with a target, and their weights after fitting the marginals in turn.
+def rake(features: DataFrame, goals: DataFrame | None = None, langs: dict[str, float] | None = None, topics: dict[str, float] | None = None, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, w): token sums of the cells with a target, and their weights after fitting the marginals in turn, `rounds` times
+    and then until they are within `tolerance`, if there is one.
 
     A source is one row with a column for each pair of language and topic targets, as many as the targets name. Sources stay a
     DataFrame of any length: their factor is arithmetic within the row. A round is one grouped sum of those columns over all
@@ -49,14 +54,25 @@ def rake(features: DataFrame, goals: DataFrame | None = None, langs: dict[str, f
 
     def with_factor() -> DataFrame:
         """table with a, each source's factor. The pairs' factors come as one row, so that each round runs the same compiled code."""
-        one = table.sparkSession.createDataFrame([([b[x] * c[y] for x, y in pairs], float(first["share"] or 1.0))], "f array<double>, shares double")
-        own = reduce(lambda x, y: x + y, [F.col(k) * F.col("f")[i] for i, k in enumerate(v)])
-        return table.crossJoin(F.broadcast(one)).withColumn("own", own).withColumn("a", F.when(F.col("own") > 0, F.col("share") / F.col("shares") / F.col("own")).otherwise(0.0)).drop("own", "shares", "f")
-
-    raked = table.withColumn("a", F.lit(0.0))
-    for _ in range(rounds if first["share"] else 0):
-        raked = with_factor()
-        r = raked.agg(*[F.sum(F.col("a") * F.col(k)).alias(k) for k in v]).first()
+        one = table.sparkSession.createDataFrame([([b[x] * c[y] for x, y in pairs], before, float(first["share"] or 1.0))], "f array<double>, g array<double>, shares double")
+        own, had = (reduce(lambda x, y: x + y, [F.col(k) * F.col(f)[i] for i, k in enumerate(v)]) for f in "fg")
+        goal = F.col("share") / F.col("shares")
+        out = table.crossJoin(F.broadcast(one)).withColumns({"own": own, "had": had})
+        # how far the last round left the source's share from its target
+        out = out.withColumn("off", F.when(F.col("had") > 0, F.abs(F.col("own") / F.col("had") - 1) * goal).otherwise(0.0))
+        return out.withColumn("a", F.when(F.col("own") > 0, goal / F.col("own")).otherwise(0.0)).drop("own", "had", "shares", "f", "g")
+
+    raked, before, n, off = table.withColumn("a", F.lit(0.0)), [1.0] * len(pairs), 0, 0.0
+    while first["share"] and rounds and (tolerance is not None or n < rounds):
+        new = with_factor()
+        r = new.agg(F.max("off").alias("off"), *[F.sum(F.col("a") * F.col(k)).alias(k) for k in v]).first()
+        off = max(off, r["off"])
+        if n >= rounds and off <= tolerance:
+            break
+        if n >= max(rounds, MOST_ROUNDS):
+            warnings.warn(f"a share is {off:.2g} from its target after {n} rounds", stacklevel=2)
+            break
+        raked, before = new, [b[x] * c[y] for x, y in pairs]
         m = {p: r[k] for k, p in zip(v, pairs, strict=True)}
         for x in langs:
             now = sum(m[x, y] * c[y] for y in topics)
@@ -64,6 +80,8 @@ def rake(features: DataFrame, goals: DataFrame | None = None, langs: dict[str, f
         for y in topics:
             now = sum(m[x, y] * b[x] for x in langs)
             c[y] = topic_goal[y] / now if now else 0.0
+        off = max(abs(sum(m[x, y] * b[x] * c[y] for y in topics) - lang_goal[x]) for x in langs)
+        n += 1
     rows = F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(y).alias("topic"), F.col(k).cast("long").alias("tokens"), (F.col(k) * F.col("a") * (b[x] * c[y])).alias("w")) for k, (x, y) in zip(v, pairs, strict=True)])).alias("r")
     return raked.select("source", rows).select("source", "r.*").where("tokens > 0")
 
@@ -93,36 +111,46 @@ TOPIC_SHARES = {"prose": 0.7, "table": 0.1, "code": 0.05, "noise": 0.05, "legal"
 FRACTION = 0.5
 
 
+def language_of(lang: Column) -> Column:
+    """The code of a listed language, so en for EN and en-GB; others as they are, without a target share."""
+    return F.when(code(lang).isin(LANGS), code(lang)).otherwise(F.coalesce(lang, F.lit("")))
+
+
 def categories(docs: DataFrame) -> list[Column]:
-    return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), topic_of(F.coalesce(F.col("text"), F.lit(""))).alias("topic")]
+    return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), language_of(F.col("lang").cast("string")).alias("lang"), topic_of(F.coalesce(F.col("text"), F.lit(""))).alias("topic")]
 
 
-def mix(docs: DataFrame, fraction: float = FRACTION) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, fraction: float = FRACTION, tolerance: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(features, cells): features (doc_id, source, lang, topic, n_tokens) of all docs, written once, and the raked cells with p.
 
     Null categories count as '' and null texts as empty. A category without a target share is sampled with p = 0.
     Empty docs give an empty result."""
     features = written(docs.select("doc_id", *categories(docs), tokens_of(F.coalesce(F.col("text"), F.lit(""))).alias("n_tokens")))
     all_tokens = features.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
-    return features, probabilities(rake(features), all_tokens, fraction)
+    return features, probabilities(rake(features, tolerance=tolerance), all_tokens, fraction)
 
 
 def sampled(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """The rows of docs drawn by the calibrated probabilities, all columns as they are."""
-    _, cells = mix(docs, fraction)
+    _, cells = mix(docs, fraction, TOLERANCE)
     s, l, t = categories(docs)
     keyed = docs.select("*", s.alias("_source"), l.alias("_lang"), t.alias("_topic"))
     p = cells.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("p").alias("_p"))
     return keyed.join(p, ["_source", "_lang", "_topic"]).where(draw(F.col("doc_id")) < F.col("_p")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def op9_raking(spark, sf_dir: str) -> DataFrame:
+def op9_raking(spark, sf_dir: str, tolerance: float | None = None) -> DataFrame:
     """Every document with its cell's fitted ratio and probability and whether it is drawn."""
-    features, cells = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    features, cells = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), tolerance=tolerance)
     out = features.join(cells.select(*DIMS, "ratio", "p"), DIMS, "left").withColumns({"ratio": F.coalesce("ratio", F.lit(0.0)), "p": F.coalesce("p", F.lit(0.0))})
     return out.select("doc_id", *DIMS, "n_tokens", F.round("ratio", 6).alias("ratio"), F.round("p", 6).alias("probability"), (draw(F.col("doc_id")) < F.col("p")).alias("kept"))
 
 
+def op9_raking_converged(spark, sf_dir: str) -> DataFrame:
+    """As op9_raking, raked until the targets are met."""
+    return op9_raking(spark, sf_dir, TOLERANCE)
+
+
 def sql_steps(docs: str, columns: str, prefix: str = "", rounds: int = ROUNDS, fills: int = FILLS, fraction: float = FRACTION) -> list[str]:
     """DuckDB CTEs from a relation `docs` to `{prefix}p` (the dims, ratio, p) and `{prefix}f` (columns and the dims)."""
     topic = "case when contains(coalesce(text, ''), 'icense') then 'legal' when contains(coalesce(text, ''), ' | ') then 'table' when contains(coalesce(text, ''), '{') or contains(coalesce(text, ''), '();') then 'code' when contains(coalesce(text, ''), '###') or contains(coalesce(text, ''), '$$$') then 'noise' else 'prose' end"

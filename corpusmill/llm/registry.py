@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_minhash": minhash_join.op8_minhash,
     "op9_raking": raking.op9_raking,
+    "op9_raking_converged": raking.op9_raking_converged,
     "op10_lines": line_join.op10_lines,
 }
 SQL = {"op7_decontaminate": decontaminate.op7_sql(), "op4_url_lists": temporal_lists.op4_sql(), "op9_raking": raking.op9_sql()}

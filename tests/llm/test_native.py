@@ -44,6 +44,25 @@ def test_raked_marginals_meet_their_targets(spark):
     assert p["p"].between(0, 1).all()
 
 
+def test_raking_goes_on_until_the_shares_are_met(spark):
+    rows = [(s, l, t, 100_000 if own == l else 100) for s, own in (("a", "en"), ("b", "fr"), ("c", "de"), ("d", "es")) for l in raking.LANG_SHARES for t in raking.TOPIC_SHARES]
+    cells = raking.rake(spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long"), tolerance=raking.TOLERANCE).toPandas()
+    for dim, shares in (("source", dict.fromkeys("abcd", 0.25)), ("lang", raking.LANG_SHARES), ("topic", raking.TOPIC_SHARES)):
+        got = cells.groupby(dim)["w"].sum() / cells["w"].sum()
+        assert all(abs(got[k] - share) <= 1.1 * raking.TOLERANCE for k, share in shares.items())
+
+
+def test_the_language_found_is_the_one_mixed(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    label = F.element_at(F.array(F.lit(None), F.lit(" "), F.lit("EN"), F.lit("en-GB"), F.lit("zz")), (F.col("doc_id") % 5 + 1).cast("int"))
+    odd = docs.withColumn("lang", F.when((F.col("lang") == "en") & (F.col("n_chars") > 200) & (F.col("doc_id") % 2 == 0), label).otherwise(F.col("lang")))
+    out = corpus_pipeline.language_stage(spark, odd, sf)
+    assert out.count() > 0.8 * docs.count()
+    assert {r[0] for r in out.select("lang").distinct().collect()} <= set(language_id.LANGS)
+    ids = spark.createDataFrame([(1, "EN"), (2, "en-GB"), (3, "zz"), (4, None)], "i int, lang string")
+    assert [r[0] for r in ids.orderBy("i").select(raking.language_of(F.col("lang"))).collect()] == ["en", "en", "zz", ""]
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "some words", "en", None, 10), (3, "some words", "en", "s", 10), (3, "some words", "en", "s", 10)]
     df = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", p string")
