@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
 
 import numpy as np
@@ -28,13 +30,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/written-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: survives lost executors, and later jobs prune columns."""
-    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    """Writes df as Parquet to the shared folder and reads it again: survives lost executors, and later jobs prune columns.
+
+    The copies of an application stand in one folder; discard() deletes it once the results are stored."""
+    path = f"{written_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Deletes what written() has left in the shared folder. Results that are not stored yet can no longer be computed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(written_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(f):
+    """f, a function of one group, of two, or of an iterator of batches, with give_back() at its end."""
+
+    def batches(x):
+        yield from f(x)
+        give_back()
+
+    def group(x):
+        out = f(x)
+        give_back()
+        return out
+
+    def groups(x, y):
+        out = f(x, y)
+        give_back()
+        return out
+
+    return batches if inspect.isgeneratorfunction(f) else group if len(inspect.signature(f).parameters) == 1 else groups
+
+
 def pieces(docs: DataFrame, text: str, piece_bytes: int) -> int:
     """Number of pieces of about piece_bytes of text: follows the whole input, at least 1."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("b"), F.count(F.lit(1)).alias("n")).first()
@@ -47,7 +89,7 @@ def blocks(docs: DataFrame, id_col: str, text: str, count: int, others: tuple[st
     What a task reads for one block goes as one compressed Arrow table of doc_id, text and the columns `others`; see opened()."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("string"), t), F.lit(count)).cast("int"), F.col(f"`{id_col}`").alias("doc_id"), t.alias("text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)])
-    return rows.mapInArrow(_packed_blocks, "block int, body binary")
+    return rows.mapInArrow(lean(_packed_blocks), "block int, body binary")
 
 
 def _packed_blocks(batches):
@@ -65,7 +107,7 @@ def _packed_blocks(batches):
 
 
 def opened(group: pa.Table) -> pa.Table:
-    """doc_id and text of a block's rows, in the same order each time: pieces of a shuffle may come in any."""
+    """doc_id and text of a block's rows, in the same order each time: the parts of a shuffle may come in any."""
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in sorted(group.column("body").to_pylist())])
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import texts_of, written
+from corpusmill.llm.common import lean, texts_of, written
 
 LANGS = ["de", "en", "es", "fr"]
 #: Flat log-probability of a trigram under 'und', the class of texts in none of LANGS.
@@ -54,7 +54,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
         i, s = np.nonzero(tally)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s), pa.array(tally[i, s])], ["i", "s", "n"])
 
-    counts = rows.mapInArrow(count, "i long, s long, n long").groupBy("i", "s").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(lean(count), "i long, s long, n long").groupBy("i", "s").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((SLOTS, len(LANGS)), 0.05)
     table[counts["s"].to_numpy(), counts["i"].to_numpy()] += counts["n"].to_numpy()
     return np.log(table / table.sum(0)).astype(np.float32)
@@ -95,7 +95,7 @@ def scored(rows: DataFrame, text: str, table: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in others), pa.array(ns, pa.int64()), pa.array(lls, pa.list_(pa.float64())), pa.array([flat_posterior(x) for x in lls], pa.list_(pa.float64()))], [*kept, "n_grams", "loglik", "_q"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != text)
-    return rows.mapInArrow(score, f"{fields}, n_grams long, loglik array<double>, _q array<double>")
+    return rows.mapInArrow(lean(score), f"{fields}, n_grams long, loglik array<double>, _q array<double>")
 
 
 CLASSES = [*LANGS, "und"]

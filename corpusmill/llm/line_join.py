@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import BYTE_CODES, U64, blocks, by_bucket, mix, opened, packed, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
+from corpusmill.llm.common import BYTE_CODES, U64, blocks, by_bucket, lean, mix, opened, packed, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
 
 EDITS, SHORTEST, PIECE = 2, 24, 5 << 20
 #: Lists of up to so many lines are compared pairwise; in longer ones each line meets the earliest first.
@@ -119,6 +119,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edi
 
     Copies of a line are one entry from the first shuffle on. Under keys that many lines share each line first meets the earliest line; only those
     that this does not remove meet the others, so copies with slips do not become all pairs."""
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be an integer: it says which line is the earlier one")
     count = pieces(docs, text, PIECE)
     classes = GROUP * (2 * edits + 1)
     of_class = (BYTE_CODES % U64(classes)).astype(np.int64)
@@ -215,10 +217,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edi
     g = parts.groupBy("block")
     sent = "bucket int, block int, keys binary, docs binary, numbers binary"
     reply = "block int, bucket int, marks binary"
-    winners = g.applyInArrow(announce, sent).groupBy("bucket").applyInArrow(elect, reply)
-    met = g.cogroup(winners.groupBy("block")).applyInArrow(lambda a, b: post(a, b), sent).groupBy("bucket").applyInArrow(meet, reply)
+    winners = g.applyInArrow(lean(announce), sent).groupBy("bucket").applyInArrow(lean(elect), reply)
+    met = g.cogroup(winners.groupBy("block")).applyInArrow(lean(post), sent).groupBy("bucket").applyInArrow(lean(meet), reply)
     both = winners.selectExpr("*", "1 as round").unionByName(met.selectExpr("*", "2 as round"))
-    found = written(g.cogroup(both.groupBy("block")).applyInArrow(lambda a, b: entries(a, b), "key long, role int, line long, doc long, number long, block int, bag array<int>, body binary"))
+    found = written(g.cogroup(both.groupBy("block")).applyInArrow(lean(entries), "key long, role int, line long, doc long, number long, block int, bag array<int>, body binary"))
     near = near_lines(found, edits)
 
     def rebuilt(group, replies):
@@ -242,7 +244,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edi
 
     told = winners.selectExpr("*", "cast(null as long) as line", "1 as round").unionByName(near.selectExpr("block", "cast(null as int) as bucket", "cast(null as binary) as marks", "line", "2 as round"))
     fields = "".join(f", _{i} {types[c]}" for i, c in enumerate(others))
-    out = g.cogroup(told.groupBy("block")).applyInArrow(rebuilt, f"doc_id {types[id_col]}, n_lines long, n_removed long, kept_text string{fields}")
+    out = g.cogroup(told.groupBy("block")).applyInArrow(lean(rebuilt), f"doc_id {types[id_col]}, n_lines long, n_removed long, kept_text string{fields}")
     return out.select("doc_id", "n_lines", "n_removed", "kept_text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)])
 
 
@@ -278,7 +280,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
             keep = [i for i, (p, q) in enumerate(zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)) if edit_distance_within(p, q, edits)]
             yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(keep, pa.int64()))], ["late"])
 
-    return j.select("late", "u", "v").mapInArrow(run, "late long")
+    return j.select("late", "u", "v").mapInArrow(lean(run), "late long")
 
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, blocks, by_bucket, mix, opened, packed, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of
+from corpusmill.llm.common import U64, blocks, by_bucket, lean, mix, opened, packed, pieces, prefix_hash, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of
 
 WIDTH = 200
 PIECE = 4 << 20
@@ -217,12 +217,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = parts.groupBy("block")
 
     def resolved(asked: DataFrame, round_: int) -> DataFrame:
-        return asked.groupBy("bucket").applyInArrow(ties, "block int, bucket int, marks binary").withColumn("round", F.lit(round_))
+        return asked.groupBy("bucket").applyInArrow(lean(ties), "block int, bucket int, marks binary").withColumn("round", F.lit(round_))
 
-    told = resolved(texts.applyInArrow(ranks, sent), 1)
-    told = told.unionByName(resolved(texts.cogroup(told.groupBy("block")).applyInArrow(strings, sent), 2))
-    told = told.unionByName(resolved(texts.cogroup(told.groupBy("block")).applyInArrow(suffixes, sent), 3))
-    return texts.cogroup(told.groupBy("block")).applyInArrow(kept, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    told = resolved(texts.applyInArrow(lean(ranks), sent), 1)
+    told = told.unionByName(resolved(texts.cogroup(told.groupBy("block")).applyInArrow(lean(strings), sent), 2))
+    told = told.unionByName(resolved(texts.cogroup(told.groupBy("block")).applyInArrow(lean(suffixes), sent), 3))
+    return texts.cogroup(told.groupBy("block")).applyInArrow(lean(kept), f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op5_repeats(spark, sf_dir: str) -> DataFrame:
