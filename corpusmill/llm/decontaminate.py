@@ -15,8 +15,11 @@ WINDOW = 5
 #: A text leaks an item that has two thirds of its windows in it, wherever they stand; so texts are probed at every word.
 SHARE, CONSISTENT = 2 / 3, 0.8
 UNITS = "km|kg|cm|mm|ml|mg|lb|oz|usd|eur|dollars|euros|metres|meters|miles|hours|minutes|seconds|days|weeks|years|percent"
-NAME = r"(?<=[a-z0-9,;][ \n])([A-Z][a-z][A-Za-z]*)"
-UNIT = rf"([0-9]) ?({UNITS})\b"
+#: Function and question words, which are no names where they begin a sentence.
+PLAIN = "A|About|After|All|Also|An|And|Any|Are|As|At|Based|Because|Before|Both|But|By|Calculate|Can|Choose|Compute|Consider|Could|Describe|Determine|Did|Do|Does|During|Each|Every|Explain|Find|First|For|From|Given|Had|Has|Have|He|Her|His|How|However|If|In|Into|Is|It|Its|Let|Many|More|Most|My|No|Not|Now|Of|On|One|Or|Our|Over|She|Should|Show|Since|So|Solve|Some|Suppose|Than|That|The|Their|Then|There|These|They|This|Those|Through|To|Under|Until|Was|We|Were|What|When|Where|Which|While|Who|Whose|Why|Will|With|Without|Would|Write|You|Your"
+WORD_NAME = "[A-Z][a-z][A-Za-z]*"
+NAME = rf"(?<![A-Za-z0-9_])(?!(?:{PLAIN})(?![A-Za-z]))({WORD_NAME})"
+UNIT = rf"(?i)([0-9]) ?({UNITS})\b"
 NUMBER = r"([0-9]+(?:[.,:/][0-9]+)*)"
 PUNCTUATION = ".,;:!?\"'()[]{}*%$&"
 #: Windows of this many benchmark entries are broadcast, some 32 MB; more are joined by a shuffle.
@@ -24,7 +27,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 def marked(text: Column) -> Column:
-    """Words with one space between; in place of a number, name or unit a mark and its value: #n, #p, #u."""
+    """Words with one space between; in place of a number, name or unit a mark and its value: #n, #p, #u.
+
+    A name is a capitalised word but those of PLAIN, wherever it stands; a unit follows a number, in any case."""
     s = F.translate(F.coalesce(text.cast("string"), F.lit("")), "#", "")
     s = F.regexp_replace(s, NAME, "#p$1")
     s = F.regexp_replace(s, UNIT, "$1 #u$2")
@@ -81,11 +86,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs, each row once, with leaked_items ('' for none) and containment (0 for none) of its text."""
-    found = leaks(docs, benchmark, text).withColumnRenamed("text_key", "_key")
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    out = keyed.join(found, F.col("_own") == F.col("_key"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("leaked_items", F.lit("")).alias("leaked_items"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
+    """docs, each row once, with leaked_items ('' for none) and containment (0 for none) of its text, in place of columns so named."""
+    found = leaks(docs, benchmark, text)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key"))
+    out = keyed.join(found, "text_key", "left")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("leaked_items", "containment")]
+    return out.select(*kept, F.coalesce("leaked_items", F.lit("")).alias("leaked_items"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -99,11 +105,12 @@ def sql_steps(docs: str, prefix: str = "") -> list[str]:
     """DuckDB CTEs up to {prefix}leak (text, leaked_items, containment), over all windows of all texts of the relation `docs`."""
     x = prefix
     quote = lambda s: s.replace("'", "''")
-    name = r"([a-z0-9,;][ \n])([A-Z][a-z][A-Za-z]*)"
+    # without look-around: all capitalised words are marked, then those of PLAIN freed
+    name, plain = rf"(^|[^A-Za-z0-9_])({WORD_NAME})", rf"#p({PLAIN})([^A-Za-z]|$)"
     mark = "coalesce(text, '')"
     mark = f"translate({mark}, '#', '')"
-    for _ in range(2):
-        mark = f"regexp_replace({mark}, '{name}', '\\1#p\\2', 'g')"
+    mark = f"regexp_replace({mark}, '{name}', '\\1#p\\2', 'g')"
+    mark = f"regexp_replace({mark}, '{plain}', '\\1\\2', 'g')"
     mark = f"regexp_replace({mark}, '{UNIT}', '\\1 #u\\2', 'g')"
     mark = f"regexp_replace({mark}, '{NUMBER}', '#n\\1', 'g')"
     mark = f"translate(lower({mark}), '{quote(PUNCTUATION)}', '')"
