@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import insort
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import texts_of
+from corpusmill.llm.common import lean, texts_of
 
 #: Phrases and their labels as the query's contract has them.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -23,6 +24,11 @@ TEMPLATES = {
     "gpl-3": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "cc-by-nc": "Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    "boost": "Distributed under the Boost Software License, Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
@@ -85,19 +91,14 @@ class Automaton:
         """(start, length, state) of matches that can't go on to the right, `shortest` tokens or longer."""
         out, s, n = [], 0, 0
         for i, t in enumerate(tokens):
-            grown = False
             if (to := self.next[s].get(t)) is not None:
-                s, n, grown = to, n + 1, True
-            else:
-                if n >= shortest:
-                    out.append((i - n, n, s))
-                while s >= 0 and t not in self.next[s]:
-                    s = self.link[s]
-                if s < 0:
-                    s, n = 0, 0
-                else:
-                    n, s = self.length[s] + 1, self.next[s][t]
-            del grown
+                s, n = to, n + 1
+                continue
+            if n >= shortest:
+                out.append((i - n, n, s))
+            while s >= 0 and t not in self.next[s]:
+                s = self.link[s]
+            s, n = (0, 0) if s < 0 else (self.next[s][t], self.length[s] + 1)
         if n >= shortest:
             out.append((len(tokens) - n, n, s))
         return out
@@ -105,8 +106,8 @@ class Automaton:
 
 class Scanner:
     def __init__(self, templates: dict[str, str], shortest: int = 4, gap: int = 6, covered: float = 0.5, least: int = 5):
-        """Matches of `shortest` tokens or more chain where both gaps are at most `gap` tokens. A chain labels a text if it covers
-        `covered` of the template or `least` tokens with a word only that template has."""
+        """Matches of `shortest` tokens or more chain where both gaps are at most `gap` tokens: each goes on the newest chain that it can. A chain
+        labels a text if it covers `covered` of the template or `least` tokens with a word only that template has."""
         self.names = list(templates)
         tokens = [words_of(t.encode()) for t in templates.values()]
         self.sizes = [len(t) for t in tokens]
@@ -133,14 +134,21 @@ class Scanner:
         out = []
         for k, matches in found.items():
             chains: list[list[int]] = []  # start, end in text, end in template, covered, own words
+            open_: dict[tuple[int, int], list[int]] = {}  # chains by both ends, the newest last
             for at, of, n in sorted(set(matches)):
                 own = len(self.own[k] & set(self.coded[k][of : of + n]))
-                for c in reversed(chains[-8:]):
-                    if 0 <= at - c[1] <= self.gap and 0 <= of - c[2] <= self.gap:
-                        c[1], c[2], c[3], c[4] = at + n, of + n, c[3] + n, c[4] + own
-                        break
+                near = [(x, y) for x in range(at - self.gap, at + 1) for y in range(of - self.gap, of + 1) if (x, y) in open_]
+                if near:
+                    ends = max(near, key=lambda e: open_[e][-1])
+                    i = open_[ends].pop()
+                    if not open_[ends]:
+                        del open_[ends]
+                    c = chains[i]
+                    c[1], c[2], c[3], c[4] = at + n, of + n, c[3] + n, c[4] + own
                 else:
+                    i = len(chains)
                     chains.append([at, at + n, of + n, n, own])
+                insort(open_.setdefault((at + n, of + n), []), i)
             out += [(self.names[k], c[0], c[1], c[3], c[3] / self.sizes[k]) for c in chains if c[3] >= self.covered * self.sizes[k] or c[3] >= self.least and c[4]]
         return sorted(out, key=lambda x: (x[1], -x[3], x[0]))
 
@@ -157,30 +165,31 @@ class Scanner:
         return sorted(out)
 
 
-TYPE = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,past:long,tokens:long,share:double>>"
+TYPE = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,past:long,tokens:long,share:double>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row for each row of docs, in one pass without a shuffle: phrase places, labels and template spans of the whole text.
 
     Null text counts as empty: no words, no labels, score 0. score: the largest share of a template that a chain covers, at least 0.5 where
-    a base phrase stands. Overlapping spans of several templates all stay."""
+    a base phrase stands. Overlapping spans of several templates all stay. doc_id keeps the type of `id_col`; repeated rows come back each."""
 
     def run(batches):
         scanner = Scanner(templates)
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+            for t in texts_of(b.column(1)):
                 words = words_of(t)
                 base, spans = scanner.phrases(words), scanner.spans(words)
                 own = {label for _, label in base}
                 score = max([0.5 if base else 0.0, *(min(1.0, s[4]) for s in spans)])
-                rows.append((i, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)), ",".join(sorted(own | {s[0] for s in spans})), score, [dict(zip(("label", "first", "past", "tokens", "share"), s, strict=True)) for s in spans]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("past", pa.int64()), ("tokens", pa.int64()), ("share", pa.float64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], re.findall(r"(\w+) (?:long|string|double|array)", TYPE))
+                rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)), ",".join(sorted(own | {s[0] for s in spans})), score, [dict(zip(("label", "first", "past", "tokens", "share"), s, strict=True)) for s in spans]))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("past", pa.int64()), ("tokens", pa.int64()), ("share", pa.float64())]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", *re.findall(r"(\w+) (?:long|string|double|array)", TYPE)])
 
-    return docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, TYPE)
+    return docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)[id_col]}, {TYPE}")
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
+    """Phrases, labels and score of all `documents`."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
