@@ -5,8 +5,8 @@ estimate is weighed against its children's, depth by depth, by the block probabi
 (context, byte) of full depth hold all of this: shallower ones are their sums.
 
 The model is as large as the corpus makes it and never leaves the cluster: training tasks send sorted counts to buckets, whose sums
-are dealt by the last three context bytes, where subtrees are weighed; only the nodes of depth 2 and less, at most 2^16 x 255 of
-them, meet on the driver. To score, blocks of texts ask buckets for the distinct keys they hold and get their values back."""
+are dealt by the last three context bytes, where subtrees are weighed. Nodes of depth 2 are weighed in groups by their last byte; only
+those of depth 1, at most 256 x 255 of them, meet on the driver. To score, blocks of texts ask buckets for the distinct keys they hold and get their values back."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, blocks, bucket_of, mix, opened, pieces, prefix_hash, sliced, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
+from corpusmill.llm.common import U64, blocks, bucket_of, lean, mix, opened, pieces, prefix_hash, sliced, span_hash, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
 
 DEPTH, TOP = 5, 2
 PIECE = 5 << 20
@@ -127,7 +127,7 @@ def count_keys(texts: DataFrame, buckets: int) -> DataFrame:
             for b_, at in dealt(keys, mix(keys), buckets):
                 yield batch([(b_ + kind * buckets, squeeze_sorted(keys[at]), squeeze(counts[at]))], *KEYED)
 
-    return texts.mapInArrow(run, "bucket int, keys binary, counts binary")
+    return texts.mapInArrow(lean(run), "bucket int, keys binary, counts binary")
 
 
 def sum_keys(counted: DataFrame, buckets: int) -> DataFrame:
@@ -142,7 +142,7 @@ def sum_keys(counted: DataFrame, buckets: int) -> DataFrame:
             rows = [(b, squeeze_sorted(keys[at]), squeeze(counts[at]), 0, 0) for b, at in dealt(keys, mix((keys >> U64(8)) & U64(0xFFFFFF)), buckets)]
         return pa.Table.from_batches([batch(rows, [*KEYED[0], pa.int64(), pa.int64()], [*KEYED[1], "distinct_keys", "total"])])
 
-    return counted.groupBy("bucket").applyInArrow(run, "bucket int, keys binary, counts binary, distinct_keys long, total long")
+    return counted.groupBy("bucket").applyInArrow(lean(run), "bucket int, keys binary, counts binary, distinct_keys long, total long")
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -219,42 +219,69 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, top: tuple[np.ndarra
     return np.log10(p).reshape(-1, 8).sum(1)
 
 
-def weigh_top(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The mixture over depths TOP to 0 as a constant and a share for each node of depth TOP."""
-    chain = [Level(keys.astype(U64), n0, n1, below)]
-    for d in range(TOP, 0, -1):
-        chain.append(Level(chain[-1].up(d), chain[-1].n0, chain[-1].n1, chain[-1].log_w))
-    at = np.arange(len(chain[0].keys))
+def mixed(levels: list[Level]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mixture over some levels, the deepest first, as a constant and a share of what lies below for each node of the deepest."""
+    at = np.arange(len(levels[0].keys))
     const, share = np.zeros(len(at)), np.ones(len(at))
-    for i, level in enumerate(chain):
+    for i, level in enumerate(levels):
         at = at if i == 0 else level.at[at]
         w = level.beta[at] / (1 + level.beta[at])
         const, share = w * level.one()[at] + (1 - w) * const, (1 - w) * share
-    return chain[0].keys, const, share
+    return levels[0].keys, const, share
 
 
-def top_nodes(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def run(table):
-        keys, counts = merge([(spread_sorted(k), spread(c, np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)])
-        level = subtrees(keys, counts)[1][TOP + 1]
+NODES = ("n0", "n1", "below")
+
+
+def level_of(table: pa.Table) -> Level:
+    column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+    return Level(column("node").astype(U64), *map(column, NODES))
+
+
+def opened_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return merge([(spread_sorted(k), spread(c, np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)])
+
+
+def top_nodes(model: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, node, n0, n1, below) of the depth-TOP nodes each bucket has keys under, summed over all buckets; the mixture of the depths above."""
+
+    def parts(table):
+        level = subtrees(*opened_counts(table))[1][TOP + 1]
         u, at = np.unique(level.up(TOP + 1), return_inverse=True)
         add = lambda w: np.bincount(at, weights=w, minlength=len(u))
-        return pa.table({"node": u.astype(np.int64), "n0": add(level.n0), "n1": add(level.n1), "below": add(level.log_w)})
+        return pa.table({"bucket": np.full(len(u), table.column("bucket")[0].as_py(), np.int32), "node": u.astype(np.int64), "n0": add(level.n0), "n1": add(level.n1), "below": add(level.log_w)})
 
-    got = model.groupBy("bucket").applyInArrow(run, "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toPandas()
-    return weigh_top(*(got[c].to_numpy() for c in ("node", "n0", "n1", "below")))
+    def above(table):
+        level = level_of(table)
+        up = Level(level.up(TOP), level.n0, level.n1, level.log_w)
+        return pa.table({"node": up.keys.astype(np.int64), "n0": up.n0, "n1": up.n1, "below": np.bincount(up.at, weights=level.log_w, minlength=len(up.keys))})
 
+    sums = [F.sum(c).alias(c) for c in NODES]
+    own = written(model.groupBy("bucket").applyInArrow(lean(parts), "bucket int, node long, n0 double, n1 double, below double"))
+    whole = own.groupBy("node").agg(*sums)
+    # a context of TOP bytes by its newest one, below 256 x 255 nodes a group and 255 that leave it
+    got = whole.groupBy(F.shiftright("node", 8).bitwiseAND(0xFF).alias("last")).applyInArrow(lean(above), "node long, n0 double, n1 double, below double").groupBy("node").agg(*sums).toPandas()
+    one = Level(*(got[c].to_numpy().astype(t) for c, t in (("node", U64), ("n0", float), ("n1", float), ("below", float))))
+    root = Level(one.up(1), one.n0, one.n1, one.log_w)
+    return own.select("bucket", "node").join(whole, "node"), mixed([one, root])
 
-def values(model: DataFrame, buckets: int, top) -> DataFrame:
-    """(bucket, keys, vals): log-probabilities of all (context, byte), dealt by the key."""
-    shared = model.sparkSession.sparkContext.broadcast(top)
 
-    def run(table):
-        keys, counts = merge([(spread_sorted(k), spread(c, np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)])
-        lp = log_probabilities(keys, counts, shared.value).astype(np.float32)
+def values(model: DataFrame, buckets: int, nodes: DataFrame, above) -> DataFrame:
+    """(bucket, keys, vals): log-probabilities of all (context, byte), dealt by the key."""
+    shared = model.sparkSession.sparkContext.broadcast(above)
+
+    def run(table, own):
+        if not table.num_rows:
+            return pa.Table.from_batches([batch([], KEYED[0], ["bucket", "keys", "vals"])])
+        keys, counts = opened_counts(table)
+        upper, const, share = shared.value
+        node, own_const, own_share = mixed([level_of(own)])
+        i = np.searchsorted(upper, node & U64(0xFFFF))
+        top = node, const[i] + share[i] * own_const, share[i] * own_share
+        lp = log_probabilities(keys, counts, top).astype(np.float32)
         return pa.Table.from_batches([batch([(b, squeeze_sorted(keys[at]), squeeze(lp[at])) for b, at in dealt(keys, mix(keys), buckets)], KEYED[0], ["bucket", "keys", "vals"])])
 
-    return model.groupBy("bucket").applyInArrow(run, "bucket int, keys binary, vals binary")
+    return model.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(lean(run), "bucket int, keys binary, vals binary")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -269,7 +296,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", modulus:
     size = model.where(F.col("bucket") >= buckets).agg(F.sum("distinct_keys").alias("v"), F.sum("total").alias("n")).first()
     v, n = size["v"] or 0, size["n"] or 0
     trees = model.where(F.col("bucket") < buckets)
-    known = values(trees, buckets, top_nodes(trees)).unionByName(model.where(F.col("bucket") >= buckets).select("bucket", "keys", F.col("counts").alias("vals")))
+    known = values(trees, buckets, *top_nodes(trees)).unionByName(model.where(F.col("bucket") >= buckets).select("bucket", "keys", F.col("counts").alias("vals")))
     parts = blocks(docs, id_col, text, buckets)
 
     def asked(table):
@@ -323,12 +350,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", modulus:
             out.append([np.bincount(p.word_doc, minlength=m) + 1, np.bincount(p.word_doc, weights=each > 0, minlength=m).astype(np.int64) + int(end > 0), base, total, p.sizes])
         return pa.table([ids, *(pa.array(np.concatenate([o[i] for o in out])) for i in range(5))], names)
 
-    ask = parts.groupBy("block").applyInArrow(asked, "bucket int, block int, slice int, keys binary")
-    reply = ask.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answered, "block int, slice int, bucket int, vals binary")
-    result = parts.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(scored, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    ask = parts.groupBy("block").applyInArrow(lean(asked), "bucket int, block int, slice int, keys binary")
+    reply = ask.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lean(answered), "block int, slice int, bucket int, vals binary")
+    result = parts.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(lean(scored), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     held_again = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus)) == held
     return result.select("doc_id", held_again.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op1_ctw(spark, sf_dir: str) -> DataFrame:
+    """Scores of all `documents`, learned from those whose crc32(doc_id) mod 7 is not 2."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
