@@ -2,7 +2,7 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed. A query probes each list that can
 hold a vector within the link radius: a vector nearer to its own centroid than to another lies on its side of the bisector, so a list
-whose bisector is farther from the query than the radius holds none. In a list, asymmetric table-lookup distances to the codes,
+whose bisector is farther from the query than the radius holds none. Lists of a label meet in groups, so a query travels once for a group however many of its lists it probes. In a list, asymmetric table-lookup distances to the codes,
 less the stored coding error of each entry, bound true distances from below; what passes is reranked by exact cosine in
 double precision. So no link is lost, whatever the codebooks."""
 
@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import components, written
+from corpusmill.llm.common import components, lean, written
 
 #: Fitting sample: at most so many distinct vectors, the first by a hash.
 SAMPLE, SUBSPACES, CODES, ROUNDS = 8192, 8, 64, 6
-BASE, QUERIES = 2000, 4000
+#: Vectors of a label that a task indexes, and queries that it asks them.
+BASE, QUERIES = 8000, 8000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -72,13 +73,17 @@ class Index:
         return np.sqrt(np.maximum(out, 0))
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v**2).sum(1, keepdims=True))
+
+
 def unit_vectors(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     rows = column.to_pylist()
     out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    out /= np.abs(out).max(1, keepdims=True)
-    return out / np.sqrt((out**2).sum(1, keepdims=True))
+    return unit(out)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,46 +109,71 @@ def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width, radius = shape["width"], float(np.sqrt(2 - 2 * least))
     sample = classes.select("v", "cid").orderBy(F.xxhash64("cid", F.lit(1)), "cid").limit(SAMPLE).select("v").toArrow()
-    model = classes.sparkSession.sparkContext.broadcast(Index(unit_vectors(sample.column("v"), width), int(max(1, min(1024, shape["n"] ** 0.5)))))
+    fitted = Index(unit_vectors(sample.column("v"), width), int(max(1, min(1024, shape["n"] ** 0.5))))
+    lists, model = len(fitted.centroids), classes.sparkSession.sparkContext.broadcast(fitted)
+
+    # float vectors travel as they are, others as doubles; both are normalised in double precision where they meet
+    exact32 = dict(vectors.dtypes)[vector] == "array<float>"
 
     def index(batches):
+        """Each vector's list, code and coding error, and the groups of lists it probes. Groups have as many lists as hold some BASE vectors of its label."""
         for b in batches:
-            own, codes, err, d = model.value.encode(x := unit_vectors(b.column(3), width))
-            lists = model.value.probes(own, d, radius)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([y.tobytes() for y in x], pa.binary()), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array([p.astype(np.int32) for p in lists], pa.list_(pa.int32()))], ["cid", "n", "part", "x", "list", "code", "err", "probes"])
-
-    indexed = written(classes.select("cid", "n", "part", "v").mapInArrow(index, "cid long, n long, part string, x binary, list int, code binary, err double, probes array<int>"))
-    entries = indexed.select("part", "list", "cid", "n", "x", "code", "err")
-    asked = indexed.select("part", F.explode("probes").alias("list"), "cid", "x")
-    sizes = entries.groupBy("part", "list").agg(F.ceil(F.count(F.lit(1)) / BASE).cast("int").alias("nb")).join(asked.groupBy("part", "list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("nq")), ["part", "list"])
-    # long lists and their queries are cut into pieces, and each piece of one meets each of the other
-    e = entries.join(sizes, ["part", "list"]).withColumn("pb", F.pmod("cid", F.col("nb")).cast("int")).withColumn("pq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    q = asked.join(sizes, ["part", "list"]).withColumn("pq", F.pmod("cid", F.col("nq")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            own, codes, err, d = model.value.encode(unit_vectors(b.column(3), width))
+            per = np.clip(lists * BASE // b.column(4).to_numpy(), 1, lists)
+            probes = [[{"grp": int(g), "lists": p[p // k == g].astype(np.int32).tobytes()} for g in np.unique(p // k)] for p, k in zip(model.value.probes(own, d, radius), per, strict=True)]
+            x = [np.array(v, np.float64).tobytes() for v in b.column(3).to_pylist()]
+            if exact32:
+                x = [np.frombuffer(v).astype(np.float32).tobytes() for v in x]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.binary()), pa.array(own.astype(np.int32)), pa.array((own // per).astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array(probes, pa.list_(pa.struct([("grp", pa.int32()), ("lists", pa.binary())])))], ["cid", "n", "part", "x", "list", "grp", "code", "err", "probes"])
+
+    many = classes.groupBy("part").agg(F.count(F.lit(1)).alias("of_part"))
+    indexed = written(classes.join(many, "part").select("cid", "n", "part", "v", "of_part").mapInArrow(lean(index), "cid long, n long, part string, x binary, list int, grp int, code binary, err double, probes array<struct<grp:int,lists:binary>>"))
+    entries = indexed.select("part", "grp", "list", "cid", "n", "x", "code", "err")
+    asked = indexed.select("part", F.explode("probes").alias("p"), "cid", "x").select("part", "p.grp", "p.lists", "cid", "x")
+    sizes = entries.groupBy("part", "grp").agg(F.ceil(F.count(F.lit(1)) / BASE).cast("int").alias("nb")).join(asked.groupBy("part", "grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("nq")), ["part", "grp"])
+    # large groups and their queries are cut into pieces, and each piece of one meets each of the other
+    e = entries.join(sizes, ["part", "grp"]).withColumn("pb", F.pmod("cid", F.col("nb")).cast("int")).withColumn("pq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    q = asked.join(sizes, ["part", "grp"]).withColumn("pq", F.pmod("cid", F.col("nq")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
 
     def search(base, queries):
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not base.num_rows or not queries.num_rows:
             return empty
-        m, list_ = model.value, base.column("list")[0].as_py()
-        read = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(t.num_rows, -1)
-        x, codes, err = read(base, "x", np.float64), read(base, "code", np.uint8), base.column("err").to_numpy()
-        y = read(queries, "x", np.float64)
+        m, kind = model.value, np.float32 if exact32 else np.float64
+
+        def units(t):
+            v = np.zeros((t.num_rows, width))
+            for i, r in enumerate(t.column("x").to_pylist()):
+                r = np.frombuffer(r, kind)
+                v[i, : len(r)] = r
+            return unit(v)
+
+        x, y = units(base), units(queries)
+        codes = np.frombuffer(b"".join(base.column("code").to_pylist()), np.uint8).reshape(base.num_rows, -1)
+        err, own_list = base.column("err").to_numpy(), base.column("list").to_numpy()
         ids, counts, own = base.column("cid").to_numpy(), base.column("n").to_numpy(), queries.column("cid").to_numpy()
+        probes = [np.frombuffer(p, np.int32) for p in queries.column("lists").to_pylist()]
+        who, which = np.repeat(np.arange(len(probes)), [len(p) for p in probes]), np.concatenate(probes)
         out = []
-        for lo in range(0, len(y), 256):
-            part = y[lo : lo + 256]
-            i, j = np.nonzero(m.lookup(list_, part, codes) <= radius + err[None] + 1e-6)
-            exact = np.concatenate([np.einsum("ij,ij->i", part[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-            good = (exact >= least) & (own[lo + i] != ids[j])
-            i, j = i[good], j[good]
-            links = np.bincount(i, weights=counts[j], minlength=len(part)).astype(np.int64)
-            a, b = spanning(own[lo + i], ids[j])
-            hit = np.flatnonzero(links)
-            out.append((np.concatenate((own[lo + hit], a)), np.concatenate((own[lo + hit], b)), np.concatenate((links[hit], np.zeros(len(a), np.int64)))))
-        return pa.table({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("a", "b", "n"))})
-
-    keys = ["part", "list", "pb", "pq"]
-    found = written(e.select(*keys, "cid", "n", "x", "code", "err").groupBy(*keys).cogroup(q.select(*[F.col(k).alias(k) for k in (*keys, "cid", "x")]).groupBy(*keys)).applyInArrow(search, "a long, b long, n long"))
+        for list_ in np.unique(own_list):
+            here, asking = np.flatnonzero(own_list == list_), who[which == list_]
+            for lo in range(0, len(asking), 256):
+                part = asking[lo : lo + 256]
+                i, j = np.nonzero(m.lookup(list_, y[part], codes[here]) <= radius + err[here][None] + 1e-6)
+                i, j = part[i], here[j]
+                exact = np.concatenate([np.einsum("ij,ij->i", y[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+                good = (exact >= least) & (own[i] != ids[j])
+                out.append((i[good], j[good]))
+        i, j = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        links = np.bincount(i, weights=counts[j], minlength=len(own)).astype(np.int64)
+        hit = np.flatnonzero(links)
+        a, b = spanning(own[i], ids[j])
+        return pa.table({"a": np.concatenate((own[hit], a)), "b": np.concatenate((own[hit], b)), "n": np.concatenate((links[hit], np.zeros(len(a), np.int64)))})
+
+    keys = ["part", "grp", "pb", "pq"]
+    found = written(e.select(*keys, "list", "cid", "n", "x", "code", "err").groupBy(*keys).cogroup(q.select(*[F.col(k).alias(k) for k in (*keys, "lists", "cid", "x")]).groupBy(*keys)).applyInArrow(lean(search), "a long, b long, n long"))
     degree = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     joined = components(found.where("a <> b").select("a", "b").distinct())
     named = classes.select("cid", "n", "least_id").join(joined.select(F.col("node").alias("cid"), "component_id"), "cid", "left").withColumn("g", F.coalesce("component_id", "cid")).drop("component_id")
@@ -155,4 +185,5 @@ def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector
 
 
 def op2_pq(spark, sf_dir: str) -> DataFrame:
+    """Links and components of all `embeddings` at a cosine of 0.98 within equal labels."""
     return link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
