@@ -6,9 +6,10 @@ pairs, as many as two classes need so that `matches` collisions force a common o
 posted classes have can be in an intersection, so classes with too few of them for any partner in their lists go.
 
 Lists are merged with skips. In each the members first meet one lead, the one with the most common values; a list of m copies makes m
-pairs, and most members find their component. Members of one component are passed over from then on. Two others of a list can share, in the
-lead's set, no more than either has there, and outside it just what both have; pairs that this bound lets through collide in
-`matches` coordinates or go, and what remains is confirmed on the full sets."""
+pairs, and most members find their component. Those that the lead does not join are listed again by a few coordinates, each list with a lead of
+its own: families of near copies under a foreign lead join there. Members of one component are passed over from then on. Two others
+of a list can share, in the lead's set, no more than either has there, and outside it just what both have; pairs that this bound lets
+through collide in `matches` coordinates or go, and what remains is confirmed on the full sets."""
 
 from __future__ import annotations
 
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, Words, by_bucket, components, mix, packed, sliced, spread, squeeze, squeeze_sorted, spread_sorted, texts_of, written
+from corpusmill.llm.common import U64, Words, by_bucket, components, lean, mix, packed, sliced, spread, spread_sorted, squeeze, squeeze_sorted, texts_of, written
 
 COORDINATES, SHINGLE, SLICE, BLOCK, SET_BYTES = 64, 5, 1 << 20, 20_000, 8 << 20
+#: Coordinates by which the members that a lead has not joined are listed once more.
+SPLITS = 6
 _DRAWN = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 FACTORS, ADDENDS = _DRAWN[:COORDINATES] | U64(1), _DRAWN[COORDINATES:]
 
@@ -72,7 +75,7 @@ def rows_of(docs: DataFrame, id_col: str, text: str, size: int, with_set: bool)
                     body = [next(sig).tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(body, pa.binary())], ["doc_id", "text_key", "n", "cid", "check", "body"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, n long, cid long, check long, body binary")
+    return rows.mapInArrow(lean(run), f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, n long, cid long, check long, body binary")
 
 
 def postings(classes: DataFrame, matches: int, blocks: int) -> DataFrame:
@@ -111,8 +114,8 @@ def postings(classes: DataFrame, matches: int, blocks: int) -> DataFrame:
         return pa.table({"key": keys[chosen].view(np.int64), "cid": cids[r], "weight": sizes.sum(1, dtype=np.int64)[r]})
 
     g = classes.groupBy("block")
-    sizes = g.applyInArrow(ask, "bucket int, block int, keys binary").groupBy("bucket").applyInArrow(count, "block int, bucket int, sizes binary")
-    return g.cogroup(sizes.groupBy("block")).applyInArrow(prefix, "key long, cid long, weight long")
+    sizes = g.applyInArrow(lean(ask), "bucket int, block int, keys binary").groupBy("bucket").applyInArrow(lean(count), "block int, bucket int, sizes binary")
+    return g.cogroup(sizes.groupBy("block")).applyInArrow(lean(prefix), "key long, cid long, weight long")
 
 
 def shared_sets(sets: DataFrame, percent: int) -> DataFrame:
@@ -152,8 +155,8 @@ def shared_sets(sets: DataFrame, percent: int) -> DataFrame:
                 rows.append((cid, n, len(body), body.tobytes()))
         return packed(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["cid", "n", "s", "body"])
 
-    marks = g.applyInArrow(ask, "bucket int, block int, keys binary, twice binary").groupBy("bucket").applyInArrow(tell, "block int, bucket int, marks binary")
-    return g.cogroup(marks.groupBy("block")).applyInArrow(keep, "cid long, n long, s long, body binary")
+    marks = g.applyInArrow(lean(ask), "bucket int, block int, keys binary, twice binary").groupBy("bucket").applyInArrow(lean(tell), "block int, bucket int, marks binary")
+    return g.cogroup(marks.groupBy("block")).applyInArrow(lean(keep), "cid long, n long, s long, body binary")
 
 
 def compared(pairs: DataFrame, bodies: DataFrame, kind, same, with_rest: bool = False) -> DataFrame:
@@ -168,13 +171,23 @@ def compared(pairs: DataFrame, bodies: DataFrame, kind, same, with_rest: bool =
                 out.append(pa.array([np.setdiff1d(q, p, assume_unique=True).view(np.int64) for p, q in both], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(out, ["a", "b", "score", "rest"][: len(out)])
 
-    return j.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long, score long" + ", rest array<long>" * with_rest)
+    return j.select("a", "b", "body_a", "body_b").mapInArrow(lean(run), "a long, b long, score long" + ", rest array<long>" * with_rest)
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
+def sublists(members: DataFrame, sigs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(a, b) pairs of members left over of one lead: under each of the first SPLITS coordinates of their signatures, those of a value meet the one
+    with the most common values. So a family of near copies whose list is led by another text finds its component by a few pairs a member."""
+    bodies = sigs.select("cid", *[F.hex(F.substring("body", 4 * i + 1, 4)).alias(f"c{i}") for i in range(SPLITS)])
+    own = members.select("lead", "cid").join(weights, "cid").join(bodies, "cid")
+    own = own.select("lead", "cid", "weight", F.posexplode(F.array(*[f"c{i}" for i in range(SPLITS)])).alias("i", "v"))
+    leads = own.groupBy("lead", "i", "v").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"))
+    return own.join(leads, ["lead", "i", "v"]).where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+
+
 def links_of(posted: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """(a, b) linked classes that join all linked ones of (key, cid, weight); sigs: (cid, body), sets: (cid, n, s, body) of shared shingles."""
     sizes = sets.select("cid", "n", "s")
@@ -185,14 +198,22 @@ def links_of(posted: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int,
     here = here.join(lists, "key").where(enough(F.col("s"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100))))
     leads = here.groupBy("key").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"))
     met = here.join(leads, "key").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
-    a, b = (sizes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    a, b = (sizes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     met = written(compared(met, sets, U64, common, True).join(a, "a").join(b, "b"))
     first = met.where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-    labels = components(first).select(F.col("node").alias("cid"), F.col("component_id").alias("label"))
-    members = met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.col("score").alias("inside"), F.col("n_b").alias("n"), "rest")
-    members = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    main = met.select(F.col("a").alias("lead")).distinct().join(labels, F.col("lead") == F.col("cid"), "left").select("lead", F.coalesce("label", "lead").alias("main"))
-    members = written(members.join(main, "lead").select("lead", "cid", "label", "main", "n", "inside", "rest"))
+
+    def unlinked(links: DataFrame) -> DataFrame:
+        """(lead, cid, label, main, n, inside): members under each lead, with their components' and the lead's labels."""
+        labels = components(links).select(F.col("node").alias("cid"), F.col("component_id").alias("label"))
+        members = met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.col("score").alias("inside"), F.col("n_b").alias("n"))
+        members = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        main = met.select(F.col("a").alias("lead")).distinct().join(labels, F.col("lead") == F.col("cid"), "left").select("lead", F.coalesce("label", "lead").alias("main"))
+        return written(members.join(main, "lead"))
+
+    around = sublists(unlinked(first).where("label <> main"), sigs, posted.groupBy("cid").agg(F.max("weight").alias("weight")))
+    around = compared(around, sets, U64, common).join(a, "a").join(b, "b").where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    first = written(first.unionByName(around))
+    members = unlinked(first).join(met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), "rest"), ["lead", "cid"])
     x = members.where("label <> main")
     y = members.select("lead", *[F.col(c).alias(f"_{c}") for c in ("cid", "label", "n", "inside", "rest")])
     apart = (F.col("label") != F.col("_label")) & ((F.col("_label") == F.col("main")) | (F.col("cid") < F.col("_cid")))
@@ -237,4 +258,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
+    """Components of all `documents` linked at a similarity of 0.85, and which one each keeps."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85).drop("text_key")
