@@ -134,9 +134,8 @@ def sampled(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """The rows of docs drawn by the calibrated probabilities, all columns as they are."""
     _, cells = mix(docs, fraction, TOLERANCE)
     s, l, t = categories(docs)
-    keyed = docs.select("*", s.alias("_source"), l.alias("_lang"), t.alias("_topic"))
-    p = cells.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("p").alias("_p"))
-    return keyed.join(p, ["_source", "_lang", "_topic"]).where(draw(F.col("doc_id")) < F.col("_p")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), s, l, t, draw(F.col("doc_id")).alias("drawn"))
+    return keyed.join(cells.select(*DIMS, "p"), DIMS).where("drawn < p").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op9_raking(spark, sf_dir: str, tolerance: float | None = None) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+#: The host of an address, without user and port; one in brackets (IPv6) is taken whole.
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    """The host in lower case, without the trailing dot of a full name; null for a null address, empty for one without a host."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def candidate_keys(url: Column) -> Column:
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
-    """captures with list_hits (sorted, comma-joined names of lists active for the URL on the fetch date), blocked.
+    """captures with list_hits (sorted, comma-joined names of lists active for the URL on the fetch date), blocked, in place of columns so named.
 
     A capture is blocked when a list of effect 'block' is active and none of effect 'allow'. Every row of captures comes
     back once, repeated rows too; a null or unparsable URL or a null fetch date is on no list. Verdicts are made once for each distinct
@@ -57,9 +59,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
         F.array_join(F.array_sort(F.collect_set("list_name")), ",").alias("_hits"),
         (F.coalesce(F.bool_or(F.col("effect") == "block"), F.lit(False)) & ~F.coalesce(F.bool_or(F.col("effect") == "allow"), F.lit(False))).alias("_blocked"),
     )
-    c, v = captures.withColumn("_day0", t), verdict
-    out = c.join(v, (c[url] == v["_url"]) & (c["_day0"] == v["_day"]), "left")
-    return out.select(*[c[f"`{x}`"] for x in captures.columns], F.coalesce("_hits", F.lit("")).alias("list_hits"), F.coalesce("_blocked", F.lit(False)).alias("blocked"))
+    rows = captures.select(F.struct(*[F.col(f"`{x}`") for x in captures.columns]).alias("row"), u.alias("_url"), t.alias("_day"))
+    out = rows.join(verdict, ["_url", "_day"], "left")
+    kept = [F.col(f"row.`{x}`") for x in captures.columns if x not in ("list_hits", "blocked")]
+    return out.select(*kept, F.coalesce("_hits", F.lit("")).alias("list_hits"), F.coalesce("_blocked", F.lit(False)).alias("blocked"))
 
 
 #: Dated entries of the query: (list_name, effect, kind, value, action, effective).
@@ -95,7 +98,7 @@ def op4_sql() -> str:
 with e(list_name, effect, kind, value, action, effective) as (values {rows}),
 daily as (select list_name, effect, kind, lower(value) as value, effective::date as d, max(action) as action from e group by all),
 spans as (select *, lead(d) over (partition by list_name, effect, kind, value order by d) as until from daily),
-cap as (select page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) as host,
+cap as (select page_id, url, regexp_replace(lower(regexp_extract(url, '{HOST}', 1)), '\\.$', '') as host,
   '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> ''), '/') || '/' as path,
   (date '2024-01-01' + (((page_id * 37) % 366 + 366) % 366)::int) as fetched from pages),
 hit as (select c.page_id, c.url, c.fetched, string_agg(distinct list_name, ',' order by list_name) as list_hits, bool_or(effect = 'block') and not bool_or(effect = 'allow') as blocked
