@@ -218,11 +218,52 @@ def test_matching_statistics_are_those_of_brute_force():
         text = [r.randint(0, 3) for _ in range(30)]
         for start, n, state in s.maximal(text, 3):
             own = tuple(text[start : start + n])
-            assert own in strings and tuple(text[start : start + n + 1]) not in strings | {own} and (start == 0 or tuple(text[start - 1 : start + n]) not in strings)
+            assert own in strings and (start + n == len(text) or tuple(text[start : start + n + 1]) not in strings) and (start == 0 or tuple(text[start - 1 : start + n]) not in strings)
             for k, end in s.ends[state]:
                 assert tuple(templates[k][end - n : end]) == own
 
 
+def brute_chains(scanner, words, k):
+    """Chains of a template's maximal matches, each match tried against all chains so far."""
+    t = scanner.coded[k]
+    ids = [scanner.ids.get(w, 0) for w in words]
+    strings = {tuple(o[i:j]) for o in scanner.coded for i in range(len(o)) for j in range(i + 1, len(o) + 1)}
+    found = set()
+    for i in range(len(ids)):
+        ends = [j for j in range(i + scanner.shortest, len(ids) + 1) if tuple(ids[i:j]) in strings]
+        if ends and not (i and tuple(ids[i - 1 : max(ends)]) in strings):
+            own = tuple(ids[i : max(ends)])
+            found |= {(i, p, len(own)) for p in range(len(t) - len(own) + 1) if tuple(t[p : p + len(own)]) == own}
+    chains = []
+    for at, of, n in sorted(found):
+        fits = [c for c in chains if 0 <= at - c[1] <= scanner.gap and 0 <= of - c[2] <= scanner.gap]
+        if fits:
+            fits[-1][1:] = [at + n, of + n, fits[-1][3] + n]
+        else:
+            chains.append([at, at + n, of + n, n])
+    return sorted((c[0], c[1], c[3]) for c in chains)
+
+
+def test_chains_are_those_of_brute_force():
+    r = random.Random(4)
+    for _ in range(40):
+        # a phrase that recurs many times opens many chains; the first of them must stay open
+        templates = {x: " ".join([*(r.choice("abcd") for _ in range(14)), x]) for x in ("one", "two")}
+        scanner = licenses.Scanner(templates, shortest=2, gap=3, covered=0.0, least=0)
+        parts = [templates["one"].split(), templates["two"].split(), ["zz"]]
+        words = [w.encode() for _ in range(12) for p in [r.choice(parts)] for a in [r.randrange(len(p))] for w in p[a : a + r.randint(1, 6)]]
+        got = scanner.spans(words)
+        for k, name in enumerate(templates):
+            assert sorted((a, b, n) for label, a, b, n, _ in got if label == name) == brute_chains(scanner, words, k)
+
+
+def test_first_of_many_chains_stays_open():
+    t = "p q r s u v w x p q r s"
+    scanner = licenses.Scanner({"t": "p q r s u v w x y z"}, shortest=4, gap=60, covered=0.7, least=99)
+    words = ("p q r s " + "k " + "p q r s k " * 10 + "u v w x").encode().split()
+    assert t and [s[3] for s in scanner.spans(words)] == [8]
+
+
 # --- op8
 
 
