@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words that join clauses, and terms of health.
-CONJUNCTIONS = ["and", "but", "or", "nor", "for", "yet", "so"]
-HEALTH = ["patient", "medical", "diagnosis", "treatment", "medication", "health record", "medical record", "hospital", "clinic", "doctor"]
+from corpusmill.functions import lexicons as L
+from corpusmill.functions.text import count_of, count_words
 
 BLANK = r"^[ \t\r]*$"
 
@@ -38,13 +39,16 @@ def profile(text: Column) -> dict[str, Column]:
 
 
 def syntax(text: Column) -> dict[str, Column]:
-    """Sentences by their end, a run of . ! or ?; shares of punctuation (by byte) and of conjunctions (by word)."""
-    s = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda x: x.rlike(r"[^ \t\r\n.!?]"))
+    """Sentences by their end, a run of . ! or ?, and those in the passive; punctuation a byte, conjunctions a word, and the case of the letters."""
+    s = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x.rlike(r"[^ \t\r\n.!?]"))
     n = lambda p: F.size(F.filter(s, lambda x: x.rlike(p)))
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    joins = F.regexp_count(F.lower(text), F.lit(rf"\b({'|'.join(CONJUNCTIONS)})\b"))
+    low = F.lower(text)
+    joins = reduce(lambda a, b: a + b, [count_of(low, f" {c} ") for c in L.CONJUNCTIONS])
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    return {"questions": n(r"\?$"), "exclamations": n("!$"), "statements": n("[^?!]$"), "punctuation": share(F.regexp_count(text, F.lit(r"\p{P}")), F.octet_length(text)), "conjunctions": share(joins, words)}
+    upper, lower = text.rlike(r"\p{Lu}"), text.rlike(r"\p{Ll}")
+    case = F.when(upper & lower, "mixed_case").when(upper, "uppercase").when(lower, "lowercase").otherwise("no_letters")
+    passive = F.size(F.filter(s, lambda x: F.lower(x).rlike("(was|were|is|are|been|being).*ed")))
+    return {"questions": n(r"\?$"), "exclamations": n("!$"), "statements": n("[^?!]$"), "passive": passive, "punctuation": share(F.regexp_count(text, F.lit(r"\p{P}")), F.octet_length(text)), "conjunctions": share(joins, count_words(text)), "capitals": case}
 
 
 def sections(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
@@ -53,12 +57,3 @@ def sections(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
     head = F.col(line).rlike("^#")
     rows = lines.withColumn("section", F.sum(F.when(head, 1).otherwise(0)).over(w))
     return rows.groupBy(key, "section").agg(F.max(F.when(head, F.col(line))).alias("heading"), F.count(F.lit(1)).alias("n_lines"))
-
-
-def mentions(text: Column, terms: list[str]) -> Column:
-    """Whether a text holds one of the terms, in any case."""
-    low = F.lower(text)
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(low, F.lit(t))
-    return out

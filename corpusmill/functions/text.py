@@ -1,4 +1,4 @@
-"""Text measures as Columns. Words are runs of anything but white space; sentences are cut at . ! ? and empty ones dropped."""
+"""Text measures as Columns. Words are runs of anything but ASCII white space; lengths in bytes where the word lists of the rules count so."""
 
 from __future__ import annotations
 
@@ -7,38 +7,34 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stop words by which the simple detector tells languages, in the order that breaks ties.
-LANGUAGE_WORDS = {
-    "en": ["the", "and", "of", "to", "in", "a", "is", "that", "for", "it"],
-    "es": ["el", "la", "de", "que", "y", "en", "un", "es", "se", "no"],
-    "fr": ["le", "de", "et", "un", "il", "en", "que", "pour", "dans", "ce"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
-}
-#: Lexicons of feelings and topics.
-POSITIVE = ["good", "great", "excellent", "amazing", "wonderful", "best", "love", "happy", "perfect", "better"]
-NEGATIVE = ["bad", "terrible", "awful", "worst", "hate", "sad", "poor", "trash", "worthless", "disgusting"]
-EMOTIONS = {
-    "joy": ["happy", "joy", "love", "delight"],
-    "anger": ["angry", "hate", "furious", "rage"],
-    "fear": ["afraid", "fear", "scared", "worry"],
-    "sadness": ["sad", "cry", "grief", "loss"],
-    "disgust": ["disgusting", "trash", "gross", "worthless"],
-}
-TOPICS = {
-    "technology": ["software", "computer", "data", "system", "code", "network", "digital", "internet", "program", "technology"],
-    "business": ["company", "market", "business", "customer", "sales", "revenue", "profit", "product", "service", "price"],
-    "legal": ["license", "licensed", "law", "contract", "agreement", "legal", "terms", "version", "public", "under"],
-    "health": ["health", "medical", "patient", "doctor", "hospital", "treatment", "disease", "care", "drug", "clinical"],
-}
-SENSITIVE = ["confidential", "secret", "private", "password", "internal only", "do not distribute"]
+from corpusmill.functions import lexicons as L
+
+SPACE = r"[\x20\x09-\x0D]+"
+#: An edge between a word character and another, by ASCII; the engine's own knows all letters.
+EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def pattern(p: str) -> str:
+    """A pattern of the lexicons for the engine's regular expressions."""
+    return p.replace(r"\b", EDGE)
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it: inside lambdas the engine shares no subexpressions."""
+    return F.transform(F.array(value), f)[0]
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, "[.!?]"), lambda s: F.trim(s) != "")
+    """Pieces between runs of . ! ? and white space, trimmed, empty ones dropped."""
+    return F.filter(F.transform(F.split(text, r"[.!?]+\s+"), lambda s: F.regexp_replace(s, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")), lambda s: s != "")
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
 def count_words(text: Column) -> Column:
@@ -49,55 +45,147 @@ def count_sentences(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[.!?]+")))
 
 
+def count_of(text: Column, part: str) -> Column:
+    """Occurrences of a string that do not overlap."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
 def hits(tokens: Column, lexicon: list[str]) -> Column:
     """How many tokens are in a lexicon; repeated ones count each."""
     return F.size(F.filter(tokens, lambda w: w.isin(lexicon)))
 
 
+def how_many(text: Column, terms: list[str]) -> Column:
+    """How many of the terms a lower-cased text holds."""
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms])
+
+
+def total_of(tokens: Column, weights: dict[str, float]) -> Column:
+    """Sum of the weights of the tokens."""
+    groups: dict[float, list[str]] = {}
+    for w, v in weights.items():
+        groups.setdefault(v, []).append(w)
+    weight = lambda w: reduce(lambda out, kv: out.when(w.isin(kv[1]), kv[0]), groups.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    return F.aggregate(tokens, F.lit(0.0), lambda s, w: s + weight(w))
+
+
 def plain_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
 
 
-def simple_language(tokens: Column) -> tuple[Column, Column]:
-    """Language with most of its stop words in the text, and confidence; English at .5 where none has any."""
-    counts = {k: F.size(F.array_intersect(tokens, F.array(*[F.lit(x) for x in v]))) for k, v in LANGUAGE_WORDS.items()}
+def cleaned(tokens: Column, least: int) -> Column:
+    """Tokens without what is no ASCII letter, digit or underscore, of `least` characters or more."""
+    return F.filter(F.transform(tokens, lambda w: F.regexp_replace(w, "[^0-9A-Za-z_]", "")), lambda w: F.length(w) >= least)
+
+
+def stripped(tokens: Column, marks: str = ".,!?;:") -> Column:
+    """Lower-cased tokens without the marks at their ends."""
+    m = "".join(f"\\{c}" for c in marks)
+    return F.transform(tokens, lambda w: F.lower(F.regexp_replace(w, f"^[{m}]+|[{m}]+$", "")))
+
+
+def sorted_counts(tokens: Column) -> tuple[Column, Column]:
+    """How many distinct tokens there are, and how many stand once."""
+    at = lambda s: F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+    once = lambda s: F.size(F.filter(at(s), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)) & ~F.get(s, i).eqNullSafe(F.get(s, i + 1))))
+    return F.size(F.array_distinct(tokens)), let(F.array_sort(tokens), once)
+
+
+def mean_of(values: Column) -> Column:
+    return let(values, lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(x))
+
+
+def variance_of(values: Column) -> Column:
+    """Population variance."""
+    spread = lambda x, m: F.aggregate(x, F.lit(0.0), lambda s, v: s + (v.cast("double") - m) * (v.cast("double") - m)) / F.size(x)
+    return let(values, lambda x: let(mean_of(x), lambda m: spread(x, m)))
+
+
+def simple_language(text: Column) -> tuple[Column, Column]:
+    """Language and confidence: by script for Chinese, Arabic and Cyrillic, else with most words in its list; English at .5 where none has any, '' for no text."""
+    t = words(F.lower(text))
+    counts = {k: hits(t, v) for k, v in L.SIMPLE_LANGUAGE.items()}
     top = F.greatest(*counts.values())
-    lang = reduce(lambda out, kv: out.when((kv[1] == top) & (top > 0), kv[0]), counts.items(), F.when(F.lit(False), "")).otherwise("en")
-    return lang, F.when(top > 0, F.least(top / 10, F.lit(1.0))).otherwise(0.5)
+    scripts = [("zh", r"\p{IsHan}", 0.9), ("ar", r"\p{IsArabic}", 0.9), ("ru", r"\p{IsCyrillic}", 0.8)]
+    lang, sure = F.when(text == "", ""), F.when(text == "", 0.0)
+    for name, script, confidence in scripts:
+        lang, sure = lang.when(text.rlike(script), name), sure.when(text.rlike(script), confidence)
+    for name, n in counts.items():
+        lang = lang.when((n == top) & (top > 0), name)
+    return lang.otherwise("en"), sure.when(top > 0, F.least(top / 10, F.lit(1.0))).otherwise(0.5)
 
 
-def sentiment_ratio(tokens: Column) -> tuple[Column, Column]:
-    """Net share of positive over negative words, and a label at a tenth."""
-    n = F.greatest(F.size(tokens), F.lit(1))
-    net = (hits(tokens, POSITIVE) - hits(tokens, NEGATIVE)) / n
-    return net, F.when(net > 0.1, "positive").when(net < -0.1, "negative").otherwise("neutral")
+def sentiment_ratio(text: Column) -> dict[str, Column]:
+    """Net weight of positive over negative words a word, its label at a tenth, the score, and subjectivity."""
+    c = cleaned(words(F.lower(text)), 2)
+    n = F.size(c)
+    good, bad = (F.when(n > 0, total_of(c, w) / n).otherwise(0.0) for w in (L.POSITIVE, L.NEGATIVE))
+    net = good - bad
+    label = F.when(net > 0.1, "positive").when(net < -0.1, "negative").otherwise("neutral")
+    score = F.when(n == 0, 0.5).when(F.abs(net) > 0.1, F.least(0.5 + F.abs(net), F.lit(1.0))).otherwise(1 - F.abs(net))
+    return {"net": net, "label": label, "score": score, "subjectivity": F.least((good + bad) * 2, F.lit(1.0))}
 
 
-def topic_scores(tokens: Column) -> dict[str, Column]:
-    """Share of a topic's words present times hits over the root of the number of words."""
-    n = F.sqrt(F.greatest(F.size(tokens), F.lit(1)))
-    found = {k: F.size(F.array_intersect(tokens, F.array(*[F.lit(x) for x in v]))) for k, v in TOPICS.items()}
-    return {k: (v / 10) * (v / n) for k, v in found.items()}
+def emotions(text: Column) -> dict[str, Column]:
+    """Weights of each emotion's words, ten times a word, at most 1."""
+    t = words(F.lower(text))
+    c, n = cleaned(t, 2), F.size(t)
+    return {k: F.when(n > 0, F.least(total_of(c, w) / n * 10, F.lit(1.0))).otherwise(0.0) for k, w in L.EMOTIONS.items()}
 
 
-def syllables(text: Column) -> Column:
-    """Vowel groups of a text."""
-    return F.regexp_count(F.lower(text), F.lit("[aeiouy]+"))
+def topic_scores(text: Column) -> Column:
+    """Array of (topic, score): share of a topic's words present times hits over the root of the number of words; topics with a word present."""
+    t = words(F.lower(text))
+    there, n = F.array_distinct(cleaned(t, 3)), F.sqrt(F.greatest(F.size(t), F.lit(1)))
+    found = {k: F.size(F.array_intersect(there, F.array(*[F.lit(x) for x in v]))) for k, v in L.TOPICS.items()}
+    rows = F.array(*[F.struct(F.lit(k).alias("topic"), (v / 10 * (v / n)).alias("score")) for k, v in found.items()])
+    return F.filter(rows, lambda r: r["score"] > 0)
 
 
-def readability(text: Column) -> dict[str, Column]:
-    """Flesch ease, Flesch-Kincaid, Coleman-Liau and automated readability over ASCII letters; zero words count as one."""
-    w = F.greatest(count_words(text), F.lit(1)).cast("double")
-    s = count_sentences(text).cast("double")
-    letters = F.regexp_count(text, F.lit("[A-Za-z]")).cast("double")
-    y = syllables(text).cast("double")
-    return {
-        "flesch": 206.835 - 1.015 * (w / s) - 84.6 * (y / w),
-        "kincaid": 0.39 * (w / s) + 11.8 * (y / w) - 15.59,
-        "coleman_liau": 0.0588 * (letters / w * 100) - 0.296 * (s / w * 100) - 15.8,
-        "ari": 4.71 * (letters / w) + 0.5 * (w / s) - 21.43,
-        "reading_seconds": w / 200 * 60,
-    }
+def syllables(word: Column) -> Column:
+    """Vowel groups of a word, less a silent e, 1 at the least."""
+    w = F.lower(word)
+    n = F.regexp_count(w, F.lit("[aeiouy]+"))
+    return F.greatest(F.lit(1), n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0))
+
+
+def vowels(word: Column) -> Column:
+    """Vowels of a word's letters, less one for a last e, 1 at the least; 0 for a word without letters."""
+    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    n = F.regexp_count(w, F.lit("[aeiouy]")) - F.when(w.endswith("e"), 1).otherwise(0)
+    return F.when(w == "", 0).when(n == 0, 1).otherwise(n)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def grades(w: Column, s: Column, y: Column, hard: Column) -> dict[str, Column]:
+    """Grade, ease and fog from words, sentences, syllables and hard words."""
+    return {"kincaid": 0.39 * (w / s) + 11.8 * (y / w) - 15.59, "flesch": 206.835 - 1.015 * (w / s) - 84.6 * (y / w), "fog": 0.4 * (w / s + 100 * hard / w)}
+
+
+def readability(text: Column, syllable: Column) -> dict[str, Column]:
+    """Of a text and its words' syllables: Flesch-Kincaid, Flesch ease, Fog, SMOG (0 below 30 sentences), Coleman-Liau, automated index; 0 for a text without words."""
+    w, s = count_words(text).cast("double"), F.size(sentences(text)).cast("double")
+    hard = F.size(F.filter(syllable, lambda n: n >= 3)).cast("double")
+    letters, characters = F.regexp_count(text, F.lit(r"\p{L}")).cast("double"), F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    out = grades(w, s, total(syllable).cast("double"), hard)
+    out["smog"] = F.when(s >= 30, 1.043 * F.sqrt(hard * 30 / s) + 3.1291).otherwise(0.0)
+    out["coleman_liau"] = 0.0588 * (letters / w * 100) - 0.296 * (s / w * 100) - 15.8
+    out["ari"] = 4.71 * characters / w + 0.5 * w / s - 21.43
+    return {k: F.when((w > 0) & (s > 0), v).otherwise(0.0) for k, v in out.items()}
+
+
+def readability_model(text: Column, syllable: Column) -> dict[str, Column]:
+    """The model's form: vowels for syllables, its own Coleman-Liau, seconds at 200 words a minute."""
+    w, s = count_words(text).cast("double"), count_sentences(text).cast("double")
+    hard = F.size(F.filter(syllable, lambda n: n >= 3)).cast("double")
+    letters = F.regexp_count(text, F.lit("[a-zA-Z]")).cast("double")
+    out = grades(w, s, total(syllable).cast("double"), hard)
+    out["smog"] = 1.043 * F.sqrt(hard * 30 / s) + 3.1291
+    out["coleman_liau"] = 0.0588 * (letters / w) * 100 / (w / s) - 0.296 * s * 100 / w - 15.8
+    return {**{k: F.when(w > 0, v).otherwise(0.0) for k, v in out.items()}, "reading_seconds": F.floor(w / 200 * 60).cast("int")}
 
 
 def level(kincaid: Column) -> Column:
@@ -105,10 +193,10 @@ def level(kincaid: Column) -> Column:
 
 
 def content_type(text: Column) -> Column:
-    """faq, technical, marketing or general by the density of ?, digits and !."""
-    n = F.greatest(count_words(text), F.lit(1))
-    share = lambda p: F.regexp_count(text, F.lit(p)) / n
-    return F.when(share(r"\?") > 0.05, "faq").when(share("[0-9]+") > 0.1, "technical").when(share("!") > 0.02, "marketing").otherwise("general")
+    """faq, technical, marketing or general: by question marks a byte, numbers a word, exclamation marks a byte."""
+    size, n = F.octet_length(text), count_words(text)
+    share = lambda p, of: F.coalesce(F.try_divide(F.regexp_count(text, F.lit(p)).cast("double"), of.cast("double")), F.lit(0.0))
+    return F.when(share(r"\?", size) > 0.05, "faq").when(share("[0-9]+", n) > 0.1, "technical").when(share("!", size) > 0.02, "marketing").otherwise("general")
 
 
 def quality(text: Column) -> dict[str, Column]:
@@ -121,12 +209,39 @@ def quality(text: Column) -> dict[str, Column]:
     }
 
 
+def quality_semantic(text: Column) -> dict[str, Column]:
+    """The semantic chunker's form: last mark, paragraphs and spread of sentence lengths, words a sentence, distinct words."""
+    parts = F.filter(F.split(text, "[.!?]"), lambda s: s != "")
+    sizes = F.transform(parts, lambda s: count_words(s))
+    spread, n, w = variance_of(sizes), F.size(parts), words(text)
+    flow = (n < 2) | ((spread > 4) & (spread < 100))
+    per = F.size(w) / n
+    return {
+        "completeness": F.when(trimmed(text).rlike("[.!?:]$"), 1.0).otherwise(0.7),
+        "coherence": F.when(F.contains(text, F.lit("\n\n")), 0.8).otherwise(0.5) + F.when(flow, 0.1).otherwise(0.0),
+        "readability": F.when((F.size(w) > 0) & (n > 0) & per.between(8, 22), 0.8).otherwise(0.5),
+        "uniqueness": F.when(F.size(w) > 0, F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w)).otherwise(0.7),
+    }
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two sets; two empty ones are alike."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def length_ratio(a: Column, b: Column) -> Column:
+    """The shorter length over the longer one; 1 for two empty strings."""
+    most = F.greatest(F.length(a), F.length(b))
+    return F.when(most == 0, 1.0).otherwise(F.least(F.length(a), F.length(b)) / most)
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 less the Levenshtein distance over the longer length."""
+    most = F.greatest(F.length(a), F.length(b))
+    return F.when(most == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / most)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -139,10 +254,3 @@ def cosine(a: Column, b: Column) -> Column:
     """0 where a length differs or a vector is zero."""
     n = norm(a) * norm(b)
     return F.when((F.size(a) != F.size(b)) | (n == 0), 0.0).otherwise(dot(a, b) / n)
-
-
-def sensitivity(text: Column, has_secret: Column, has_personal: Column) -> tuple[Column, Column]:
-    """Score by phrases and findings, and its level."""
-    phrases = reduce(lambda a, b: a + b, [F.when(F.contains(F.lower(text), F.lit(p)), 0.3).otherwise(0.0) for p in SENSITIVE])
-    score = F.least(F.lit(1.0), phrases + F.when(has_secret, 0.4).otherwise(0.0) + F.when(has_personal, 0.2).otherwise(0.0))
-    return score, F.when(score >= 0.8, "restricted").when(score >= 0.6, "confidential").when(score >= 0.3, "internal").otherwise("public")

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 BREAK = re.compile(r"[.!?](?=\s)")
 
 
-def fixed(text: str, size: int = 1000, overlap: int = 100, least: int = 50):
-    """Windows of `size` characters with `overlap`, ended after the last sentence in them where that gets on. Runs of white space count as one space."""
-    text = " ".join(text.split())
+def fixed(text: str, size: int = 1000, overlap: int = 100, least: int = 50, keep_paragraphs: bool = False):
+    """Windows of `size` characters with `overlap`, ended after the last sentence in them where that gets on. Runs of white space count as one space.
+
+    keep_paragraphs: blank lines stay, and a window ends at the last of them, if that is past its middle."""
+    text = "\n\n".join(" ".join(p.split()) for p in paragraphs(text)) if keep_paragraphs else " ".join(text.split())
     if len(text) <= size:
         yield text
         return
@@ -27,6 +29,8 @@ def fixed(text: str, size: int = 1000, overlap: int = 100, least: int = 50):
             # a break that does not pass the end before would give the same chunk for ever
             if stops and stops[-1] > max(start + least, last):
                 end = stops[-1]
+            if keep_paragraphs and (blank := text.rfind("\n\n", start, end)) > max(start + size // 2, last):
+                end = blank
         piece = text[start:end].strip()
         if len(piece) >= least:
             yield piece
@@ -88,8 +92,33 @@ def adaptive(text: str, most: int = 1000, least: float = 0.5):
             yield c
 
 
-CHUNKERS = {"fixed": fixed, "sentence": lambda t: fixed(t, overlap=0), "semantic": semantic, "adaptive": adaptive}
-NAMES = {"fixed": "chunk", "sentence": "chunk", "semantic": "semantic", "adaptive": "adaptive:text"}
+def mixed(items: list, mode: str = "separate"):
+    """Chunks of a list of texts and records: each by its kind, all as one text, the texts alone, or the records alone in batches of 100."""
+    records, texts = [x for x in items if isinstance(x, dict)], [x for x in items if isinstance(x, str)]
+    if mode == "separate":
+        for x in items:
+            yield from adaptive(x) if isinstance(x, str) else [json.dumps(x, ensure_ascii=False)]
+    elif mode == "combine":
+        yield from adaptive("\n---\n".join(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in items))
+    elif mode == "text_only":
+        yield from adaptive("\n\n".join(texts)) if texts else []
+    elif mode == "structured_only":
+        yield from (json.dumps(records[i : i + 100], ensure_ascii=False) for i in range(0, len(records), 100))
+    else:
+        raise ValueError(f"unknown mode {mode}")
+
+
+def of_items(text: str, mode: str = "separate"):
+    """mixed() over a JSON array; other texts as adaptive() has them."""
+    try:
+        items = json.loads(text)
+    except ValueError:
+        items = None
+    yield from mixed(items, mode) if isinstance(items, list) else adaptive(text)
+
+
+CHUNKERS = {"fixed": fixed, "paragraphs": lambda t: fixed(t, keep_paragraphs=True), "mixed": of_items, "combined": lambda t: of_items(t, "combine"), "sentence": lambda t: fixed(t, overlap=0), "semantic": semantic, "adaptive": adaptive}
+NAMES = {"fixed": "chunk", "paragraphs": "chunk", "mixed": "adaptive:mixed", "combined": "adaptive:mixed", "sentence": "chunk", "semantic": "semantic", "adaptive": "adaptive:text"}
 
 
 def chunked(docs: DataFrame, key: str, text: str, how: str) -> DataFrame:
@@ -118,6 +147,35 @@ def row_chunks(df: DataFrame, group: str, order: list[str], size: int) -> DataFr
     return parts.join(sums, [group, "_range"]).withColumn("chunk_id", F.concat(F.col(group).cast("string"), F.lit(":row:"), n.cast("string"))).drop("_range", "_before")
 
 
+def row_batches(df: DataFrame, group: str, order: list[str], size: int, cells: list[str], how: str = "records", most: int = 10 << 20) -> DataFrame:
+    """(chunk_id, n, bytes, data): batches of `size` rows of a group, or fewer, as records (JSON objects), as a table (headers and rows) or as json text.
+
+    Where a group's largest batch would be over `most` bytes, its batches are as much smaller: a batch of k rows takes k times the group's largest row at the
+    most, so the size follows from that, without trying sizes one by one."""
+    cell = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells]
+    row = sum((F.octet_length(v) + len(c) + 10 for c, v in zip(cells, cell, strict=True)), F.lit(0))
+    widest = df.groupBy(group).agg(F.max(row).alias("_w"))
+    fit = widest.select(group, F.greatest(F.lit(1), F.least(F.lit(size), F.floor(most / F.col("_w")).cast("int"))).alias("_fit"))
+    body = F.to_json(F.struct(*cells)) if how in ("records", "json") else F.to_json(F.array(*cell))
+    one = row_chunks(df, group, order, 1).withColumn("_i", F.regexp_extract("chunk_id", r"([0-9]+)$", 1).cast("long"))
+    n = F.floor(F.col("_i") / F.col("_fit"))
+    g = one.join(fit, group).select(F.concat(F.col(group).cast("string"), F.lit(":row:"), n.cast("string")).alias("chunk_id"), "_i", body.alias("_b"), row.alias("_r"))
+    g = g.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("bytes"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_b"))), lambda x: x["_b"]).alias("_rows"))
+    joined = F.concat(F.lit("["), F.array_join("_rows", ","), F.lit("]"))
+    data = F.concat(F.lit('{"headers":' + json.dumps(cells, separators=(",", ":")) + ',"rows":'), joined, F.lit("}")) if how == "table" else joined
+    return g.select("chunk_id", "n", "bytes", data.alias("data"))
+
+
+#: Bytes that a field of a kind is reckoned at.
+FIELD_BYTES = {"string": 50, "text": 200, "integer": 10, "float": 15, "boolean": 5, "date": 20, "datetime": 20}
+
+
+def optimal_rows(kinds: list[str]) -> int:
+    """Rows of a chunk of some 1 MiB, 10 to 1000, by the kinds of the fields."""
+    width = sum(FIELD_BYTES.get(k, 30) for k in kinds) if kinds else 100
+    return max(10, min(1000, (1 << 20) // width))
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("number", "line"))
 

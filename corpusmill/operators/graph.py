@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import cosine
+
 
 def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
@@ -77,3 +79,50 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
         if moved < tolerance:
             break
     return ranks
+
+
+def cooccurrences(mentions: DataFrame, key: str, name: str) -> DataFrame:
+    """(src, dst, weight): names that stand under one key, src before dst, with how many keys bring them together."""
+    m = mentions.select(key, name).distinct()
+    a, b = m.withColumnRenamed(name, "src"), m.withColumnRenamed(name, "dst")
+    return a.join(b, key).where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def merged_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes (label, confidence, weight) of equal keys and labels, in any case, as one: confidence is their mean, weights add up."""
+    return nodes.groupBy(*keys, F.lower("label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.sum("weight").alias("weight"))
+
+
+def communities(edges: DataFrame, least: int = 3) -> DataFrame:
+    """(component, size, edges, density, score) of components of `least` nodes or more; score is density times size."""
+    e = settled(edges.select("src", "dst").distinct())
+    labels = components(e)
+    size = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    inside = e.join(labels.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    density = F.col("edges") / (F.col("size") * (F.col("size") - 1) / 2)
+    return size.join(inside, "component").where(F.col("size") >= least).select("component", "size", "edges", density.alias("density"), (density * F.col("size")).alias("score"))
+
+
+def modularity(edges: DataFrame, least: int = 3) -> DataFrame:
+    """One row (communities, modularity): over communities, the share of edges inside less the square of their share of degrees."""
+    e = settled(edges.select("src", "dst").distinct())
+    labels = components(e)
+    degree = undirected(e).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    g = labels.join(degree, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("degree").alias("degrees"))
+    inside = e.join(labels.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    m = F.broadcast(e.agg(F.count(F.lit(1)).alias("m")))  # one row
+    part = F.col("edges") / F.col("m") - F.pow(F.col("degrees") / (2 * F.col("m")), 2)
+    return g.join(inside, "component").where(F.col("size") >= least).crossJoin(m).agg(F.count(F.lit(1)).alias("communities"), F.sum(part).alias("modularity"))
+
+
+def nodes_of(nodes: DataFrame, kind: str | None = None, label: str | None = None) -> DataFrame:
+    """Nodes of a type and of a label, in any case; None is any."""
+    out = nodes if kind is None else nodes.where(F.col("kind") == kind)
+    return out if label is None else out.where(F.lower("label") == label.lower())
+
+
+def similar_nodes(nodes: DataFrame, key: str, vector: str, where: Column, least: float) -> DataFrame:
+    """(key, score) of the nodes that hold `where` with a cosine of `least` or more to the vector of the node of the least key that has one."""
+    q = F.broadcast(nodes.where(F.col(vector).isNotNull()).agg(F.min_by(vector, key).alias("_q")))  # one row
+    s = nodes.where(where).crossJoin(q).select(key, cosine(F.col(vector), F.col("_q")).alias("score"))
+    return s.where(F.col("score") >= least)

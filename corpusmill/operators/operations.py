@@ -88,3 +88,43 @@ def edge_metrics(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("src").alias("n")).unionByName(edges.select(F.col("dst").alias("n"))).agg(F.countDistinct("n").alias("nodes"))
     e = edges.agg(F.count(F.lit(1)).alias("edges"), F.avg("weight").alias("mean"), F.min("weight").alias("least"), F.max("weight").alias("most"), F.stddev_pop("weight").alias("deviation"))
     return e.crossJoin(nodes).withColumn("density", F.try_divide(F.col("edges").cast("double"), F.col("nodes") * (F.col("nodes") - 1) / 2))
+
+
+def next_single_run(run: Column, now: Column) -> Column:
+    """A run set once, while it is ahead."""
+    return F.when(run > now, run)
+
+
+def next_monthly_run(now: Column, day: Column, minutes: Column) -> Column:
+    """The next time after now on a day of the month (-1: the last one) at so many minutes after midnight. Days beyond a month's end run over into the next."""
+
+    def at(months: int) -> Column:
+        first = F.add_months(F.trunc(F.to_date(now), "month"), months)
+        on = F.when(day == -1, F.last_day(first)).otherwise(F.date_add(first, day - 1))
+        return on.cast("timestamp") + F.make_dt_interval(mins=minutes)
+
+    return F.when(at(0) > now, at(0)).otherwise(at(1))
+
+
+def estimated_seconds(files: Column, size: Column, ms_a_file: Column | None, at_once: int) -> Column:
+    """By the measured time of a file, else at a MB a second; more files than run at once take .8 of their share longer."""
+    base = F.floor(size / (1 << 20)).cast("double") if ms_a_file is None else files * ms_a_file / 1000
+    return base * F.when(files > at_once, files / at_once * 0.8).otherwise(1.0)
+
+
+def beyond(used: Column, limit: Column) -> Column:
+    """Whether a use is over its limit; 0 is no limit."""
+    return (limit > 0) & (used > limit)
+
+
+def error_spikes(events: DataFrame, key: str, ts: str, bad: Column, least: float) -> DataFrame:
+    """(key, hour, error_rate, severity) of hours whose percentage of errors is `least` or more; critical from 50 on."""
+    g = events.groupBy(key, F.date_trunc("hour", ts).alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(bad, 1).otherwise(0)).alias("bad"))
+    rate = 100.0 * F.col("bad") / F.col("n")
+    return g.where(rate >= least).select(key, "hour", rate.alias("error_rate"), F.when(rate >= 50, "critical").otherwise("high").alias("severity"))
+
+
+def remaining(rows: DataFrame, key: str, done: Column, ts: str) -> DataFrame:
+    """(key, progress, eta_seconds): share done, and the time left at the pace so far; null where nothing is done."""
+    g = rows.groupBy(key).agg(F.avg(F.when(done, 1.0).otherwise(0.0)).alias("progress"), ((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6).alias("elapsed"))
+    return g.select(key, "progress", F.when(F.col("progress") > 0, F.col("elapsed") / F.col("progress") - F.col("elapsed")).alias("eta_seconds"))

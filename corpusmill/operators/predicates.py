@@ -22,13 +22,15 @@ def condition(column: Column, operator: str, value) -> Column:
     elif op == "ne":
         out = column != value
     elif op == "in":
-        out = column.isin(list(value)) if len(value) else F.lit(True)
+        out = column.isin(list(value)) if len(value) else F.lit(False)
     elif op == "contains":
         out = F.contains(column.cast("string"), F.lit(value))
     elif op == "starts_with":
         out = F.startswith(column.cast("string"), F.lit(value))
     elif op == "ends_with":
         out = F.endswith(column.cast("string"), F.lit(value))
+    elif op == "has_tag":
+        out = F.array_contains(column, value)
     elif op == "matches":
         out = column.cast("string").rlike(value)
     else:
@@ -80,3 +82,33 @@ def is_ipv4(c: Column) -> Column:
 
 def is_port(c: Column) -> Column:
     return F.coalesce(c.try_cast("int").between(1, 65535), F.lit(False))
+
+
+def is_one_of(c: Column, values: list) -> Column:
+    return F.coalesce(c.isin(values), F.lit(False))
+
+
+def is_duration(c: Column) -> Column:
+    """Numbers with units, as 1h30m or 250ms."""
+    return F.coalesce(c.rlike(r"^[+-]?([0-9]+(\.[0-9]+)?(ns|us|ms|s|m|h))+$"), F.lit(False))
+
+
+def has_extension(c: Column, allowed: list[str]) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(c, r"(\.[A-Za-z0-9]+)$", 1)).isin([a.lower() for a in allowed]), F.lit(False))
+
+
+def has_pattern(c: Column, p: str) -> Column:
+    return F.coalesce(c.rlike(p), F.lit(False))
+
+
+def only_if(when: Column, rule: Column) -> Column:
+    """A rule that counts only where a condition holds."""
+    return ~F.coalesce(when, F.lit(False)) | rule
+
+
+def globbed(name: Column, include: list[str], exclude: list[str]) -> Column:
+    """Whether a glob of `include` (none: any) matches a whole name and none of `exclude` does. Stars do not stop at slashes."""
+    import fnmatch
+
+    hit = lambda globs: reduce(lambda a, b: a | b, [name.rlike("(?s)^" + fnmatch.translate(g).removeprefix("(?s:").removesuffix(r")\z").removesuffix(r")\Z") + "$") for g in globs], F.lit(False))
+    return F.coalesce((hit(include) if include else F.lit(True)) & ~hit(exclude), F.lit(False))

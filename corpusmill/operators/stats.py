@@ -9,6 +9,46 @@ from pyspark.sql import functions as F
 PERCENTS = [50, 90, 95, 99]
 
 
+CUTS = 256
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(keys, n, one column a place): the exact values at some indices of each ordered group, each given as an expression of `n`; nulls take no part.
+
+    Values are counted first. Cuts of a quantile sketch part a group into ranges of some 1/256 of its rows; running counts over the ranges tell in which
+    of them an index falls, and only those are ordered, each by itself. No task orders a group."""
+    v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 2000).alias("_cuts"))
+    b = v.join(g, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    up = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    ranges = b.groupBy(*keys, "_b").agg(F.sum("_c").alias("_of")).withColumn("_before", F.coalesce(F.sum("_of").over(up), F.lit(0)))
+    asked = g.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), i.cast("long").alias("at")) for k, i in places.items()])).alias("_p")).select(*keys, "_p.*")
+    here = ranges.join(asked, keys).where((F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_of")))
+    run = W.partitionBy(*keys, "_b", "name").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    found = b.join(here.drop("_of"), [*keys, "_b"]).withColumn("_to", F.col("_before") + F.sum("_c").over(run))
+    found = found.where((F.col("at") < F.col("_to")) & (F.col("at") >= F.col("_to") - F.col("_c")))
+    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in places])
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, n, one column a share): interpolated percentiles from the two values around each."""
+    at = {k: (F.col("n") - 1) * q for k, q in shares.items()}
+    o = order_statistics(df, keys, value, {f"{k}_{side}": f(F.round(i, 9)) for k, i in at.items() for side, f in (("low", F.floor), ("high", F.ceil))})
+    part = lambda k: F.round(at[k], 9) - F.floor(F.round(at[k], 9))
+    return o.select(*keys, "n", *[(F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * part(k)).alias(k) for k in shares])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], part: Column) -> DataFrame:
+    """df with _i, each row's place from 0 in its ordered group, and _n, the group's size. `part` follows the order and cuts a group into parts: rows are
+    numbered within one and offset by the counts of those before."""
+    d = df.withColumn("_part", part)
+    sums = d.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    w = W.partitionBy(*keys).orderBy("_part")
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(W.partitionBy(*keys))}).drop("_c")
+    own = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    return d.withColumn("_own", own).join(sums, [*keys, "_part"]).withColumn("_i", F.col("_own") + F.col("_before")).drop("_own", "_before")
+
+
 def series(df: DataFrame, keys: list[str], ts: str, value: str, window: str) -> DataFrame:
     """Count, sum, mean, extremes, sample deviation (0 for one row) and interpolated percentiles of each key and window."""
     v = F.col(value)
@@ -17,19 +57,23 @@ def series(df: DataFrame, keys: list[str], ts: str, value: str, window: str) ->
     return g.agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("deviation"), *p)
 
 
+SHARES = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, variance, range, interquartile range, and sample skewness and excess kurtosis with bias correction (0 where not defined).
+    """n, mean, variance, range, percentiles, interquartile range, and sample skewness and excess kurtosis with bias correction (0 where not defined).
 
     Values are shifted by each group's mean before powers are summed, so that sums of powers lose no digits."""
     v = F.col(value).cast("double")
-    base = df.where(v.isNotNull()).groupBy(*keys).agg(F.avg(v).alias("mean"), F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most"), F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.75)).alias("q3"))
-    z = (v - F.col("mean")) / F.col("sd")
-    sums = df.where(v.isNotNull()).join(base.select(*keys, "mean", "sd"), keys).groupBy(*keys).agg(F.sum(F.when(F.col("sd") > 0, F.pow(z, 3))).alias("z3"), F.sum(F.when(F.col("sd") > 0, F.pow(z, 4))).alias("z4"))
+    full = df.where(v.isNotNull()).select(*keys, v.alias("_x"))
+    base = full.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"), F.min("_x").alias("least"), F.max("_x").alias("most"))
+    z = (F.col("_x") - F.col("mean")) / F.col("sd")
+    sums = full.join(base.select(*keys, "mean", "sd"), keys).groupBy(*keys).agg(F.sum(F.when(F.col("sd") > 0, F.pow(z, 3))).alias("z3"), F.sum(F.when(F.col("sd") > 0, F.pow(z, 4))).alias("z4"))
+    out = base.join(sums, keys).join(percentiles(full, keys, "_x", SHARES), keys)
     n = F.col("n").cast("double")
-    out = base.join(sums, keys)
     skew = F.when((F.col("n") > 2) & (F.col("sd") > 0), n / ((n - 1) * (n - 2)) * F.col("z3")).otherwise(0.0)
     kurt = F.when((F.col("n") > 3) & (F.col("sd") > 0), n * (n + 1) / ((n - 1) * (n - 2) * (n - 3)) * F.col("z4") - 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))).otherwise(0.0)
-    return out.select(*keys, "n", "mean", F.coalesce(F.col("sd") * F.col("sd"), F.lit(0.0)).alias("variance"), (F.col("most") - F.col("least")).alias("spread"), "median", (F.col("q3") - F.col("q1")).alias("iqr"), skew.alias("skewness"), kurt.alias("kurtosis"))
+    return out.select(*keys, "n", "mean", F.coalesce(F.col("sd") * F.col("sd"), F.lit(0.0)).alias("variance"), (F.col("most") - F.col("least")).alias("spread"), *SHARES, (F.col("p75") - F.col("p25")).alias("iqr"), skew.alias("skewness"), kurt.alias("kurtosis"))
 
 
 def trend(df: DataFrame, keys: list[str], ts: str, value: str, level: float = 0.001) -> DataFrame:
@@ -39,32 +83,40 @@ def trend(df: DataFrame, keys: list[str], ts: str, value: str, level: float = 0.
     g = df.join(first, keys).withColumn("_x", x).groupBy(*keys).agg(F.regr_slope(value, "_x").alias("slope"), F.regr_intercept(value, "_x").alias("intercept"), F.regr_r2(value, "_x").alias("r2"), F.first("first_value").alias("a"), F.first("last_value").alias("b"))
     r2 = F.coalesce("r2", F.lit(1.0))
     way = F.when(F.col("slope") > level, "increasing").when(F.col("slope") < -level, "decreasing").otherwise("stable")
-    how = F.when(r2 >= 0.8, "strong").when(r2 >= 0.5, "moderate").when(r2 >= 0.2, "weak").otherwise("none")
+    how = F.when(r2 >= 0.8, "strong").when(r2 >= 0.5, "moderate").when(r2 >= 0.2, "weak").otherwise("very_weak")
     return g.select(*keys, "slope", "intercept", r2.alias("r2"), way.alias("direction"), how.alias("strength"), F.when(F.col("a") != 0, (F.col("b") - F.col("a")) / F.col("a") * 100).otherwise(0.0).alias("change_percent"))
 
 
-def volatility(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Population deviation of the returns against the row before; 0 where that is 0."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    before = F.lag(value).over(w)
-    r = df.select(*keys, F.when(before.isNull(), None).when(before == 0, 0.0).otherwise(F.col(value) / before - 1).alias("r"))
-    return r.groupBy(*keys).agg(F.coalesce(F.stddev_pop("r"), F.lit(0.0)).alias("volatility"))
+def volatility(df: DataFrame, keys: list[str], order: list[str], value: str, part: Column) -> DataFrame:
+    """(keys, volatility, momentum): population deviation of the returns against the row before, 0 where that is 0; change in percent over the last
+    tenth of ten rows or more, two at the least. Parts of a group are ordered each by itself; the first row of one meets the last of the part before."""
+    d = df.withColumn("_part", part)
+    w = W.partitionBy(*keys, "_part").orderBy(*order)
+    ends = d.groupBy(*keys, "_part").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    ends = ends.withColumn("_last", F.lag("_last").over(W.partitionBy(*keys).orderBy("_part")))
+    r = d.withColumns({"_lag": F.lag(value).over(w), "_k": F.row_number().over(w)}).join(ends, [*keys, "_part"])
+    before = F.when(F.col("_k") == 1, F.col("_last")).otherwise(F.col("_lag"))
+    r = r.select(*keys, F.when(before.isNull(), None).when(before == 0, 0.0).otherwise(F.col(value) / before - 1).alias("_r"))
+    v = r.groupBy(*keys).agg(F.coalesce(F.stddev_pop("_r"), F.lit(0.0)).alias("volatility"))
+    recent = F.greatest(F.floor(F.col("_n") * 0.1), F.lit(2))
+    i = numbered(df, keys, order, part).where((F.col("_i") == F.col("_n") - 1) | (F.col("_i") == F.col("_n") - recent))
+    m = i.groupBy(*keys, "_n").agg(F.min_by(value, "_i").alias("_a"), F.max_by(value, "_i").alias("_z"))
+    m = m.select(*keys, F.when((F.col("_n") >= 10) & (F.col("_a") != 0), (F.col("_z") - F.col("_a")) / F.col("_a") * 100).otherwise(0.0).alias("momentum"))
+    return v.join(m, keys)
 
 
 def iqr_outliers(df: DataFrame, keys: list[str], value: str, times: float = 1.5) -> DataFrame:
     """Rows outside the quartiles by `times` their distance. Quartiles are the values at index floor(n/4) and floor(3n/4), from groups of 4 or more."""
-    w = W.partitionBy(*keys)
-    r = df.select(*keys, value).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    q = r.groupBy(*keys).agg(F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 4), F.col(value))).alias("q1"), F.max(F.when(F.col("_i") == F.floor(3 * F.col("_n") / 4), F.col(value))).alias("q3"), F.max("_n").alias("n")).where("n >= 4")
+    q = order_statistics(df, keys, value, {"q1": F.floor(F.col("n") / 4), "q3": F.floor(3 * F.col("n") / 4)}).where("n >= 4")
     j = df.join(q, keys)
     return j.where((F.col(value) < F.col("q1") - times * (F.col("q3") - F.col("q1"))) | (F.col(value) > F.col("q3") + times * (F.col("q3") - F.col("q1"))))
 
 
 def modified_z(df: DataFrame, keys: list[str], value: str, over: float = 3.5) -> DataFrame:
     """Rows whose 0.6745 (x - median) / MAD is beyond `over`; groups of 3 or more with a MAD above 0."""
-    med = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n")).where("n >= 3")
+    med = percentiles(df, keys, value, {"median": 0.5}).where("n >= 3").drop("n")
     j = df.join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    mad = j.groupBy(*keys).agg(F.percentile("_d", F.lit(0.5)).alias("mad")).where("mad > 0")
+    mad = percentiles(j, keys, "_d", {"mad": 0.5}).where("mad > 0").drop("n")
     z = 0.6745 * (F.col(value) - F.col("median")) / F.col("mad")
     return j.join(mad, keys).withColumn("modified_z", z).where(F.abs("modified_z") > over).drop("_d")
 
@@ -102,6 +154,6 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
     As weights fall off geometrically by rank from the end, it is a weighted sum over a window rank, not a loop over a list."""
     w = W.partitionBy(*keys)
     back = F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) - 1
-    r = df.select(*keys, F.col(value).alias("v"), back.alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    weight = F.pow(F.lit(1 - alpha), F.col("k")) * F.when(F.col("k") == F.col("n") - 1, 1.0).otherwise(alpha)
-    return r.groupBy(*keys).agg(F.sum(weight * F.col("v")).alias("ema"))
+    r = df.select(*keys, F.col(value).alias("_value"), back.alias("_back"), F.count(F.lit(1)).over(w).alias("_rows"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_back")) * F.when(F.col("_back") == F.col("_rows") - 1, 1.0).otherwise(alpha)
+    return r.groupBy(*keys).agg(F.sum(weight * F.col("_value")).alias("ema"))

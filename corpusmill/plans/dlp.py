@@ -1,148 +1,189 @@
-"""Queries of personal data over `documents`.
-
-Those with SQL have the types of _VALID, without phone; dlp_all_* and sensitivity_all have every type of dlp.TYPES."""
+"""Queries of personal data over `documents`, every type of dlp.TYPES."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions import text as T
 from corpusmill.operators import dlp as D
+from corpusmill.plans.classify import LUHN
 from corpusmill.plans.registry import query
+from corpusmill.plans.text import TEXT, docs
 from corpusmill.session import table
 
-#: The patterns without look-around, which the SQL engine lacks: an edge is a character that is consumed, and edges are doubled first.
-_TEXT = "regexp_replace(coalesce(text, ''), '([^0-9A-Za-z_])', '\\1\\1', 'g')"
-
-
-def _all(kind: str) -> str:
-    body = D.TYPES[kind][0].removeprefix(D.EDGE).removesuffix(D.AFTER)
-    return body
-
-
-# Candidates are matched in SQL on maximal runs, then checked; kinds whose pattern can end inside a run are matched by word boundary, as RE2's is ASCII.
-_P = {k: "\\b" + _all(k) + "\\b" if k != "phone" else _all(k) for k in D.TYPES}
+_D = "regexp_replace(v, '[- ]', '', 'g')"
 _VALID = {
     "email": "true",
+    "phone": "true",
     "ip_address": "list_max(list_transform(string_split(v, '.'), lambda x: x::int)) <= 255",
-    "ssn": "v[1:3] not in ('000', '666') and v[1:3] < '900' and v[5:6] <> '00' and v[8:11] <> '0000'",
-    "credit_card": "list_sum(list_transform(range(1, length(v) + 1), lambda i: case when i % 2 = 1 then (reverse(v)[i])::int when (reverse(v)[i])::int > 4 then (reverse(v)[i])::int * 2 - 9 else (reverse(v)[i])::int * 2 end)) % 10 = 0",
+    "ssn": f"{_D}[1:3] not in ('000', '666') and {_D}[1:3] < '900' and {_D}[4:5] <> '00' and {_D}[6:9] <> '0000'",
+    "credit_card": LUHN(_D),
 }
-_KINDS = [k for k in D.TYPES if k in _VALID]
-_F = " union all ".join(f"select doc_id, '{k}' as kind, v as value, {D.TYPES[k][1]}::double as confidence, {D.TYPES[k][2]}::double as base from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_P[k]}')) as v from documents) where {_VALID[k]}" for k in _KINDS)
-_R = f"select *, case when (base + confidence) / 2 >= 0.8 then 'critical' when (base + confidence) / 2 >= 0.6 then 'high' when (base + confidence) / 2 >= 0.4 then 'medium' else 'low' end as risk from ({_F})"
-
-
-def docs(spark, d):
-    return table(spark, d, "documents")
-
-
-def found(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(D.findings_of(F.coalesce("text", F.lit("")), _KINDS)).alias("f")).select("doc_id", "f.*")
-
-
-@query(f"select doc_id, kind, value, confidence, risk from ({_R})")
+_SURE = {"email": "0.9", "ip_address": "0.8", "ssn": "case when regexp_matches(v, '[- ]') then 0.9 else 0.7 end", "credit_card": "case when regexp_matches(v, '[- ]') then 0.9 else 0.8 end", "phone": "case when contains(v, '(') and contains(v, ')') then 0.9 when regexp_matches(v, '[-.]') then 0.8 else 0.7 end"}
+_LEN = lambda x: f"coalesce(list_sum(list_transform({x}, lambda z: length(z))), 0)"
+_PLACED = lambda source, key: " union all ".join(
+    f"select {key}, '{k}' as kind, v as value, ({_SURE[k]})::double as confidence, {base}::double as base, start::int as start, (start + length(v))::int as past from (select {key}, m[i] as v, {_LEN('s[1:i]')} + {_LEN('m[1:i - 1]')} as start from (select {key}, m, s, unnest(range(1, len(m) + 1)) as i from (select {key}, regexp_extract_all(text, '{p}') as m, regexp_split_to_array(text, '{p}') as s from {source}))) where {_VALID[k]}"
+    for k, (p, base) in D.TYPES.items()
+)
+_RISK = "case when round((base + confidence) / 2, 6) >= 0.8 then 'critical' when round((base + confidence) / 2, 6) >= 0.6 then 'high' when round((base + confidence) / 2, 6) >= 0.4 then 'medium' else 'low' end"
+#: CTEs x (doc_id, text) and f (doc_id, kind, value, confidence, base, start, past, risk).
+FOUND = f"x as (select doc_id, {TEXT} as text from documents), f as materialized (select *, {_RISK} as risk from ({_PLACED('x', 'doc_id')}))"
+
+
+@query(f"with {FOUND} select f.doc_id, kind, value, confidence, start, past, substring(text, greatest(0, start - 20) + 1, past + 20 - greatest(0, start - 20)) as context, risk from f join x on f.doc_id = x.doc_id")
 def dlp_findings(spark, d):
-    return found(spark, d).withColumn("risk", D.risk(F.col("kind"), F.col("confidence")))
+    return D.scan(docs(spark, d)).withColumn("risk", D.risk(F.col("kind"), F.col("confidence")))
 
 
-@query(f"""with r as ({_R}) select d.doc_id, count(kind) as n_findings, count(*) filter (risk in ('critical', 'high')) as n_high,
-round(coalesce(avg(case risk when 'critical' then 1.0 when 'high' then 0.8 when 'medium' then 0.5 when 'low' then 0.2 end), 0), 6) as risk_score from documents d left join r on d.doc_id = r.doc_id group by 1""")
+@query(f"""with {FOUND} select d.doc_id, count(kind) as n_findings, count(*) filter (risk in ('critical', 'high')) as n_high,
+round(coalesce(avg(case risk when 'critical' then 1.0 when 'high' then 0.8 when 'medium' then 0.5 when 'low' then 0.2 end), 0), 6) as risk_score from documents d left join f on d.doc_id = f.doc_id group by 1""")
 def dlp_risk_score(spark, d):
-    rows = docs(spark, d).select("doc_id", F.transform(D.findings_of(F.coalesce("text", F.lit("")), _KINDS), lambda x: D.risk(x["kind"], x["confidence"])).alias("levels"))
-    total = F.aggregate("levels", F.lit(0.0), lambda s, x: s + D.weight(x))
-    return rows.select("doc_id", F.size("levels").alias("n_findings"), F.size(F.filter("levels", lambda x: x.isin("critical", "high"))).alias("n_high"), F.round(F.when(F.size("levels") > 0, total / F.size("levels")).otherwise(0.0), 6).alias("risk_score"))
+    return D.scores(docs(spark, d)).withColumn("risk_score", F.round("risk_score", 6))
 
 
-@query(f"select doc_id, value from ({_F}) where kind = 'ssn'")
+@query(f"with {FOUND} select doc_id, value, confidence from f where kind = 'ssn'")
 def dlp_ssn_valid(spark, d):
-    return found(spark, d).where("kind = 'ssn'").select("doc_id", "value")
+    return D.scan(docs(spark, d), kinds=["ssn"]).select("doc_id", "value", "confidence")
 
 
-@query(f"select doc_id, value from ({_F}) where kind = 'credit_card'")
+@query(f"with {FOUND} select doc_id, value from f where kind = 'credit_card'")
 def dlp_card_luhn(spark, d):
-    return found(spark, d).where("kind = 'credit_card'").select("doc_id", "value")
+    return D.scan(docs(spark, d), kinds=["credit_card"]).select("doc_id", "value")
 
 
-@query(f"select kind, risk, count(*) as n, count(distinct doc_id) as documents from ({_R}) group by 1, 2")
+@query(f"with {FOUND} select kind, risk, count(*) as n, count(distinct doc_id) as documents from f group by 1, 2")
 def dlp_batch_stats(spark, d):
-    f = found(spark, d)
+    f = D.scan(docs(spark, d))
     return f.groupBy("kind", D.risk(F.col("kind"), F.col("confidence")).alias("risk")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
-@query(f"""with rules(regulation, rule, kind) as (values {', '.join(f"('{a}', '{b}', '{k}')" for a, b, ks in D.RULES for k in ks)}) select doc_id, regulation, rule, count(*) as n from ({_F}) join rules using (kind) group by 1, 2, 3""")
+_RULES = "rules(regulation, rule, severity, kind) as (values " + ", ".join(f"('{a}', '{b}', '{s}', '{k}')" for a, b, ks, s, _ in D.RULES for k in ks) + ")"
+_BROKEN = f"{FOUND}, {_RULES}, b as (select doc_id, regulation, rule, severity, count(*) as n from f join rules using (kind) where rule <> 'GDPR-001' or risk <> 'low' group by 1, 2, 3, 4)"
+
+
+@query(f"with {_BROKEN} select *, case rule {' '.join(f'''when '{r[1]}' then '{'; '.join(r[4])}' ''' for r in D.RULES)} end as actions from b")
 def dlp_compliance(spark, d):
-    return D.compliance(spark, found(spark, d))
+    return D.compliance(spark, D.scan(docs(spark, d))).withColumn("actions", D.actions(F.col("rule")))
+
+
+@query(f"with {_BROKEN} select doc_id, rule, n from b where regulation = 'PCI-DSS'")
+def dlp_compliance_by_regulation(spark, d):
+    """Rules of one regulation, enabled by its name."""
+    return D.compliance(spark, D.scan(docs(spark, d)), regulations=["PCI-DSS"]).select("doc_id", "rule", "n")
+
+
+@query(f"with {_BROKEN}, r as (select distinct regulation from rules) select r.regulation, count(distinct doc_id) as documents, count(doc_id) = 0 as compliant, coalesce(sum(n), 0)::bigint as violations from r left join b on r.regulation = b.regulation group by 1")
+def dlp_regulation_status(spark, d):
+    """Compliant where no document breaks a rule of the regulation."""
+    b = D.compliance(spark, D.scan(docs(spark, d)))
+    r = spark.createDataFrame([(x,) for x in sorted({r[0] for r in D.RULES})], "regulation string")
+    return r.join(b, "regulation", "left").groupBy("regulation").agg(F.countDistinct("doc_id").alias("documents"), (F.count("doc_id") == 0).alias("compliant"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+
 
+_TOKEN = "case kind when 'ssn' then 'SSN' when 'credit_card' then 'CC' when 'email' then 'EMAIL' when 'phone' then 'PHONE' else 'PII' end || '_' || sha256({0})[1:8]"
 
-@query(f"select doc_id, upper(kind) || '_' || sha256(value)[1:8] as token, count(*) as n from ({_F}) group by 1, 2")
+
+@query(f"with {FOUND} select doc_id, {_TOKEN.format('value')} as token, count(*) as n from f group by 1, 2")
 def dlp_hash_token(spark, d):
-    return found(spark, d).groupBy("doc_id", D.tokenised(F.col("kind"), F.col("value")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    return D.scan(docs(spark, d)).groupBy("doc_id", D.tokenised(F.col("kind"), F.col("value")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SEP = "case when contains(v, '-') then '-' when contains(v, ' ') then ' ' else '' end"
+_AREA = "regexp_replace(v, '[()\\-. ]', '', 'g')[1:3]"
+_U = "split_part(v, '@', 1)"
+_RUN = f"repeat('X', length({_D}) - 4) || right({_D}, 4)"
+_FOURS = f"list_transform(range(0, (length({_D}) + 3) // 4), lambda j: ({_RUN})[j * 4 + 1:j * 4 + 4])"
+_MASK = f"""case kind when 'ssn' then 'XXX' || {_SEP} || 'XX' || {_SEP} || right({_D}, 4)
+when 'credit_card' then case {_SEP} when '-' then array_to_string({_FOURS}, '-') when ' ' then array_to_string({_FOURS}, ' ') else {_RUN} end
+when 'email' then case when length({_U}) <= 2 then repeat('X', length({_U})) else {_U}[1] || repeat('X', length({_U}) - 2) || {_U}[-1] end || '@' || split_part(v, '@', 2)
+when 'phone' then case when contains(v, '(') and contains(v, ')') then '(' || {_AREA} || ') XXX-XXXX' when contains(v, '-') then {_AREA} || '-XXX-XXXX' else {_AREA} || 'XXXXXXX' end
+when 'ip_address' then split_part(v, '.', 1) || '.XXX.XXX.XXX' else case when length(v) <= 4 then repeat('X', length(v)) else v[1] || repeat('X', length(v) - 2) || v[-1] end end"""
+_INSTEAD = {"mask": _MASK, "replace": "'[' || upper(kind) || ']'", "hash": "'[HASH:' || sha256(v)[1:16] || ']'", "remove": "''", "tokenize": _TOKEN.format("v")}
+
 
+def _redaction(mode: str) -> str:
+    return f"""with {FOUND}, o as (select *, max(past) over (partition by doc_id order by start, past, kind rows between unbounded preceding and 1 preceding) as before from f),
+c as (select *, sum(case when before is null or start >= before then 1 else 0 end) over (partition by doc_id order by start, past, kind) as c from o),
+g as (select doc_id, c, min(start) as start, max(past) as past, case when count(*) = 1 then any_value(kind) else 'pii' end as kind from c group by 1, 2),
+v as (select g.*, text, coalesce(lag(past) over (partition by g.doc_id order by start), 0) as gap, substring(text, (start + 1)::bigint, (past - start)::bigint) as v from g join x on g.doc_id = x.doc_id),
+r as (select doc_id, string_agg(substring(text, (gap + 1)::bigint, (start - gap)::bigint) || ({_INSTEAD[mode]}), '' order by start) || substring(any_value(text), (max(past) + 1)::bigint) as redacted, count(*) as n from v group by 1)
+select x.doc_id, coalesce(redacted, text) as redacted, coalesce(n, 0) as n from x left join r on x.doc_id = r.doc_id"""
 
-@query()
+
+@query(_redaction("mask"))
 def dlp_redact_mask(spark, d):
-    f = D.scan(docs(spark, d))
-    return f.select("doc_id", "kind", D.masked(F.col("kind"), F.col("value")).alias("mask"))
+    return D.redacted(docs(spark, d), "mask")
 
 
-@query()
+@query(_redaction("replace"))
 def dlp_redact_replace(spark, d):
-    return docs(spark, d).select("doc_id", D.replaced(F.coalesce("text", F.lit(""))).alias("redacted"))
+    return D.redacted(docs(spark, d), "replace")
 
 
-@query("""select doc_id, len(regexp_extract_all(text, '(?i)password\\s*[:=]\\s*\\S+')) as password, len(regexp_extract_all(text, '(?i)api[_-]?key\\s*[:=]\\s*\\S+')) as api_key, len(regexp_extract_all(text, '(?i)secret\\s*[:=]\\s*\\S+')) as secret, len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) as aws_key from documents""")
-def secrets_scan(spark, d):
-    return docs(spark, d).select("doc_id", *[v.alias(k) for k, v in D.secrets(F.col("text")).items()])
+@query(_redaction("hash"))
+def dlp_redact_hash(spark, d):
+    return D.redacted(docs(spark, d), "hash")
 
 
-_PHRASES = " + ".join(f"(case when contains(lower(text), '{p}') then 0.3 else 0.0 end)" for p in T.SENSITIVE)
+@query(_redaction("remove"))
+def dlp_redact_remove(spark, d):
+    return D.redacted(docs(spark, d), "remove")
 
 
-@query(f"""with f as ({_F}), g as (select doc_id, bool_or(kind in ('ssn', 'credit_card')) as s, bool_or(kind = 'email') as p from f group by 1),
-x as (select d.doc_id, least(1.0, {_PHRASES} + case when coalesce(s, false) then 0.4 else 0.0 end + case when coalesce(p, false) then 0.2 else 0.0 end)::double as score from documents d left join g on d.doc_id = g.doc_id)
-select doc_id, round(score, 6) as score, case when score >= 0.8 then 'restricted' when score >= 0.6 then 'confidential' when score >= 0.3 then 'internal' else 'public' end as level from x""")
-def sensitivity_level(spark, d):
-    t = docs(spark, d).select("doc_id", "text", F.transform(D.findings_of(F.coalesce("text", F.lit("")), _KINDS), lambda x: x["kind"]).alias("k"))
-    score, level = T.sensitivity(F.col("text"), F.array_contains("k", "ssn") | F.array_contains("k", "credit_card"), F.array_contains("k", "email"))
-    return t.select("doc_id", F.round(score, 6).alias("score"), level.alias("level"))
+@query(_redaction("tokenize"))
+def dlp_redact_tokenize(spark, d):
+    return D.redacted(docs(spark, d), "tokenize")
 
 
-@query(f"select distinct doc_id, value, split_part(value, '@', 1) as mail_user, split_part(value, '@', 2) as mail_domain from ({_F}) where kind = 'email'")
-def entity_enrich(spark, d):
-    f = found(spark, d).where("kind = 'email'").select("doc_id", "value").distinct()
-    return f.select("doc_id", "value", F.split("value", "@")[0].alias("mail_user"), F.split("value", "@")[1].alias("mail_domain"))
+@query(f"with {FOUND}, v as (select distinct doc_id, kind, value as v from f) select distinct doc_id, v as value, {_MASK} as replacement from v")
+def dlp_redaction_map(spark, d):
+    return D.redaction_map(docs(spark, d), "mask")
 
 
-@query()
-def dlp_all_findings(spark, d):
-    return D.scan(docs(spark, d)).withColumn("risk", D.risk(F.col("kind"), F.col("confidence")))
+@query(f"""with {FOUND}, a as (select doc_id, avg(case risk when 'critical' then 1.0 when 'high' then 0.8 when 'medium' then 0.5 else 0.2 end) as score, bool_or(risk in ('high', 'critical')) as high, bool_or(kind = 'credit_card') as card, bool_or(kind = 'ssn') as ssn, bool_or(kind in ({', '.join(f"'{k}'" for k in sorted({k for r in D.RULES for k in r[2]}))})) as ruled from f group by 1)
+select x.doc_id, array_to_string(list_filter([case when round(score, 6) >= 0.8 then 'high risk content: consider additional security measures' end, case when high then 'apply strong access controls' end, case when card then 'card data: ensure PCI DSS compliance' end, case when ssn then 'ssn: implement strong encryption and access controls' end, case when ruled then 'not compliant: review required actions' end], lambda v: v is not null), '; ') as advice from x left join a on x.doc_id = a.doc_id""")
+def dlp_recommendations(spark, d):
+    return D.recommendations(docs(spark, d)).withColumn("advice", F.array_join("advice", "; "))
 
 
-@query()
-def dlp_all_risk_score(spark, d):
-    return D.scores(docs(spark, d)).withColumn("risk_score", F.round("risk_score", 6))
+_META = "m as (select page_id || ':url' as k, coalesce(url, '') as text from pages union all select page_id || ':html' as k, coalesce(html, '') as text from pages)"
 
 
-@query()
-def dlp_all_batch_stats(spark, d):
-    return dlp_all_findings(spark, d).groupBy("kind", "risk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
+@query(f"with {_META} select split_part(k, ':', 1)::bigint as page_id, kind, value, confidence, 'metadata:' || split_part(k, ':', 2) as context from ({_PLACED('m', 'k')})")
+def dlp_metadata_scan(spark, d):
+    return D.scan_metadata(table(spark, d, "pages"), "page_id", ["url", "html"])
 
 
-@query()
-def dlp_all_compliance(spark, d):
-    return D.compliance(spark, D.scan(docs(spark, d)))
+_CUSTOM = [("license", "icense"), ("secret", "password")]
 
 
-@query()
-def dlp_all_hash_token(spark, d):
-    return D.scan(docs(spark, d)).groupBy("doc_id", D.tokenised(F.col("kind"), F.col("value")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+@query(" union all ".join(f"select doc_id, '{n}' as name, '{p}' as value, 0.7::double as confidence, strpos({TEXT}, '{p}') - 1 as start from documents where contains({TEXT}, '{p}')" for n, p in _CUSTOM))
+def dlp_custom_patterns(spark, d):
+    return D.scan_literals(docs(spark, d), _CUSTOM)
+
+
+#: Policy rules of the query.
+POLICY = [
+    {"name": "license-word", "kind": "keyword", "pattern": "license", "whole_word": True, "severity": "low", "exclusions": ["License"]},
+    {"name": "key", "kind": "regex", "pattern": "[A-Z]{4}[0-9]{4,}", "case_sensitive": True, "severity": "high"},
+    {"name": "mail", "kind": "builtin", "pattern": "email"},
+]
+
+
+@query(f"""select doc_id, 'license-word' as rule, 'low' as severity, v as value from (select doc_id, unnest(regexp_extract_all({TEXT}, '(?i)\\b(?:license)\\b')) as v from documents) where v <> 'License'
+union all select doc_id, 'key', 'high', unnest(regexp_extract_all({TEXT}, '[A-Z]{{4}}[0-9]{{4,}}')) from documents union all select doc_id, 'mail', 'medium', unnest(regexp_extract_all({TEXT}, '(?i){D.TYPES["email"][0]}')) from documents""")
+def dlp_policy_rules(spark, d):
+    return D.scan_rules(docs(spark, d), POLICY)
+
+
+_SECRET = " union all ".join(f"select doc_id, '{k}' as kind, '{s}' as severity, len(regexp_extract_all({TEXT}, '{p}')) as n from documents" for k, (p, s) in D.SECRETS.items())
+
+
+@query(f"select doc_id, kind, severity, n, least(n / 5, 1)::double as score from ({_SECRET}) where n > 0")
+def secrets_scan(spark, d):
+    return D.secrets(docs(spark, d))
 
 
-@query()
-def sensitivity_all(spark, d):
-    """A phone number counts as a secret, as ssn and card do."""
-    t = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("k", F.transform(D.findings_of(F.col("text")), lambda x: x["kind"]))
-    score, level = T.sensitivity(F.col("text"), F.arrays_overlap("k", F.array(*[F.lit(x) for x in ("ssn", "credit_card", "phone")])), F.array_contains("k", "email"))
-    return t.select("doc_id", F.round(score, 6).alias("score"), level.alias("level"))
+@query(f"""with {FOUND}, v as (select doc_id, kind, value as v from f) select doc_id, kind, case when kind in ('credit_card', 'ssn', 'phone') then case when length(v) > 4 then v[1:2] || repeat('*', length(v) - 4) || right(v, 2) else repeat('*', length(v)) end
+when kind = 'email' then case when length({_U}) > 2 then {_U}[1] || repeat('*', length({_U}) - 2) || {_U}[-1] else repeat('*', length({_U})) end || '@' || split_part(v, '@', 2) else v end as shown from v""")
+def dlp_sanitised(spark, d):
+    return D.scan(docs(spark, d)).select("doc_id", "kind", D.sanitised(F.col("kind"), F.col("value")).alias("shown"))

@@ -35,30 +35,35 @@ def timeseries_daily_percentiles(spark, d):
     return _series(spark, d, "1 day")
 
 
-@query("""select event_type, count(value) as n, round(avg(value), 6) as mean, round(var_samp(value), 6) as variance, round(max(value) - min(value), 6) as spread, round(quantile_cont(value, 0.5), 6) as median,
+_Q = ", ".join(f"round(quantile_cont(value, {q}), 6) as {k}" for k, q in S.SHARES.items())
+
+
+@query(f"""select event_type, count(value) as n, round(avg(value), 6) as mean, round(var_samp(value), 6) as variance, round(max(value) - min(value), 6) as spread, {_Q},
 round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) as iqr, round(skewness(value), 6) as skewness, round(kurtosis(value), 6) as kurtosis from events group by 1""")
 def stat_moments(spark, d):
-    return rounded(S.moments(table(spark, d, "events"), ["event_type"], "value"), "mean", "variance", "spread", "median", "iqr", "skewness", "kurtosis")
+    return rounded(S.moments(table(spark, d, "events"), ["event_type"], "value"), "mean", "variance", "spread", *S.SHARES, "iqr", "skewness", "kurtosis")
 
 
 @query("""with f as (select *, epoch_us(ts) / 1e6 - min(epoch_us(ts)) over (partition by event_type) / 1e6 as x from events),
 g as (select event_type, regr_slope(value, x) as slope, regr_intercept(value, x) as intercept, coalesce(regr_r2(value, x), 1) as r2, arg_min(value, (ts, value)) as a, arg_max(value, (ts, value)) as b from f group by 1)
 select event_type, round(slope * 1e6, 4) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2, case when slope > 0.001 then 'increasing' when slope < -0.001 then 'decreasing' else 'stable' end as direction,
-case when r2 >= 0.8 then 'strong' when r2 >= 0.5 then 'moderate' when r2 >= 0.2 then 'weak' else 'none' end as strength, round(case when a <> 0 then (b - a) / a * 100 else 0 end, 6) as change_percent from g""")
+case when r2 >= 0.8 then 'strong' when r2 >= 0.5 then 'moderate' when r2 >= 0.2 then 'weak' else 'very_weak' end as strength, round(case when a <> 0 then (b - a) / a * 100 else 0 end, 6) as change_percent from g""")
 def trend_regression(spark, d):
     out = S.trend(table(spark, d, "events"), ["event_type"], "ts", "value")
     return rounded(out.withColumn("slope", F.round(F.col("slope") * 1e6, 4)), "intercept", "r2", "change_percent")
 
 
-@query("""with r as (select event_type, value, lag(value) over (partition by event_type order by ts, event_id) as b from events)
-select event_type, round(coalesce(stddev_pop(case when b is null then null when b = 0 then 0 else value / b - 1 end), 0), 4) as volatility from r group by 1""")
+@query("""with r as (select event_type, value, lag(value) over w as b, row_number() over w as i, count(*) over (partition by event_type) as n from events window w as (partition by event_type order by ts, event_id)),
+m as (select event_type, any_value(n) as n, max(value) filter (i = n) as z, max(value) filter (i = n - greatest(floor(n * 0.1), 2) + 1) as a from r group by 1)
+select r.event_type, round(coalesce(stddev_pop(case when b is null then null when b = 0 then 0 else value / b - 1 end), 0), 4) as volatility, round(any_value(case when m.n >= 10 and a <> 0 then (z - a) / a * 100 else 0 end), 4) as momentum from r join m on r.event_type = m.event_type group by 1""")
 def trend_volatility_momentum(spark, d):
-    return S.volatility(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value").withColumn("volatility", F.round("volatility", 4))
+    v = S.volatility(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value", F.to_date("ts"))
+    return v.withColumns({c: F.round(c, 4) for c in ("volatility", "momentum")})
 
 
-@query()
+@query("""with v as (select user_id, list(value order by ts, event_id) as v from events where value is not null group by 1) select user_id, round(list_reduce(v, lambda a, x: (a + x) / 2), 6) as ema from v""")
 def ema_running(spark, d):
-    return S.ema(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return rounded(S.ema(table(spark, d, "events").where("value is not null"), ["user_id"], ["ts", "event_id"], "value"), "ema")
 
 
 @query("select user_id, arg_max(value, (ts, event_id)) as latest from events group by 1")
@@ -156,6 +161,64 @@ def alert_fire_resolve(spark, d):
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("fired", "resolved")})
 
 
+@query("""with s as (select event_type, list_sort(list(distinct floor(epoch(ts))::bigint)) as s from events where value > 20 group by 1),
+k as (select event_type, list_reduce(s, lambda a, x: case when x - a[-1] >= 7200 then list_append(a, x) else a end, [s[1]]) as k from s)
+select event_type, unnest(k) as second from k""")
+def alert_cooldown(spark, d):
+    """Alerts of a rule that fire: after one, none for two hours."""
+    from corpusmill.operators.anomaly import cooled
+
+    e = table(spark, d, "events").where("value > 20")
+    return cooled(e, ["event_type"], F.unix_seconds(F.col("ts").cast("timestamp")), 7200).select("event_type", "second")
+
+
+@query("""with r as (select event_id, user_id || ':' || event_type as k, floor(epoch(ts))::bigint as s from events), g as (select k, list_sort(list(distinct s)) as s from r group by 1),
+f as (select k, unnest(list_reduce(s, lambda a, x: case when x - a[-1] >= 86400 then list_append(a, x) else a end, [s[1]])) as second from g) select split_part(k, ':', 1)::bigint as user_id, split_part(k, ':', 2) as event_type, second from f""")
+def alert_dedup(spark, d):
+    """Alerts of one subject and rule, once a day's window."""
+    from corpusmill.operators.anomaly import cooled
+
+    return cooled(table(spark, d, "events"), ["user_id", "event_type"], F.unix_seconds(F.col("ts").cast("timestamp")), 86400)
+
+
+@query("""with p as (select *, json_extract_string(props, '$.k')::int % 10 as place, user_id::varchar || '@' || strftime(ts, '%Y-%m-%d') as session from events),
+s as (select session, count(distinct place) as n from p group by 1), f as (select user_id, place, min(ts) as t from p group by 1, 2), r as (select *, row_number() over (partition by user_id order by t, place) - 1 as known from f)
+select session as subject, 'many_locations' as finding, 'high' as severity, n::bigint as n from s where n > 3
+union all select user_id || '/' || place, 'new_location', case when known > 3 then 'high' else 'medium' end, known::bigint from r where known > 0""")
+def location_anomalies(spark, d):
+    from corpusmill.operators.anomaly import new_places, sessions_of_many_places
+
+    e = table(spark, d, "events").withColumns({"place": F.get_json_object("props", "$.k").cast("int") % 10, "session": F.concat(F.col("user_id").cast("string"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))})
+    many = sessions_of_many_places(e, "session", "place", 3).select(F.col("session").alias("subject"), F.lit("many_locations").alias("finding"), F.lit("high").alias("severity"), "n")
+    new = new_places(e, "user_id", "place", "ts").select(F.concat_ws("/", F.col("user_id").cast("string"), F.col("place").cast("string")).alias("subject"), F.lit("new_location").alias("finding"), "severity", F.col("known").alias("n"))
+    return many.unionByName(new)
+
+
+@query("""with s as (select user_id::varchar || '@' || strftime(ts, '%Y-%m-%d') as session, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as seconds from events group by 1) select session, round(seconds, 3) as seconds, case when seconds > 10800 then 'medium' else 'low' end as severity, round(least(seconds / 86400, 1), 6) as score from s where seconds > 5400""")
+def long_sessions(spark, d):
+    """Sessions over three times half an hour; over six times they weigh more."""
+    from corpusmill.operators.anomaly import long_sessions as detect
+
+    e = table(spark, d, "events").withColumns({"session": F.concat(F.col("user_id").cast("string"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd")), "ts": F.col("ts").cast("timestamp")})
+    out = detect(e, "session", "ts")
+    return out.select("session", F.round("seconds", 3).alias("seconds"), "severity", F.round("score", 6).alias("score"))
+
+
+@query("""with h as (select user_id, hour(ts) as h, count(*) as n from events group by 1, 2), d as (select user_id, count(*) / count(distinct ts::date) as daily, count(distinct event_type) as kinds, count(*) as n from events group by 1)
+select d.user_id, n, round(daily, 6) as daily, kinds, (select string_agg(h::varchar, ',' order by h) from h where h.user_id = d.user_id and h.n >= 0.05 * d.n) as hours from d""")
+def user_profiles(spark, d):
+    """What is usual for a user: events a day, kinds, and the hours with a twentieth of the events or more."""
+    from corpusmill.operators.anomaly import profiles
+
+    return profiles(table(spark, d, "events"), "user_id", "event_type", "ts").withColumn("daily", F.round("daily", 6))
+
+
+@query("select user_id, count(*) as n, round(avg(value), 6) as mean from events group by 1")
+def stream_user_profile(spark, d):
+    """The running profile of each user, state carried from batch to batch."""
+    return jobs.latest(jobs.running_profiles(jobs.read_events(spark, d)), "user_id", "n").withColumn("mean", F.round("mean", 6))
+
+
 @query("select event_id, json_extract_string(props, '$.k')::int as k from events")
 def json_props_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -178,12 +241,47 @@ def stream_session(spark, d):
     return jobs.collected(jobs.sessions(jobs.read_events(spark, d), "6 hours"), "complete")
 
 
-@query()
+@query("select event_id, event_type from events")
 def stream_dedupe_watermark(spark, d):
     return jobs.collected(jobs.deduplicated(jobs.read_events(spark, d)).select("event_id", "event_type"), "append")
 
 
 @query("select case when json_extract_string(props, '$.k')::int >= 90 then 'dead' else 'good' end as sink, count(*) as n from events group by 1")
 def stream_dlq_split(spark, d):
-    good, dead = jobs.split_dead_letters(jobs.read_events(spark, d), F.get_json_object("props", "$.k").cast("int") >= 90)
+    good, dead = jobs.split_dead_letters(jobs.read_events(spark, d), F.get_json_object("props", "$.k").cast("int") >= 90, "event_type")
     return good.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("sink"), "n").unionByName(dead.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("dead").alias("sink"), "n"))
+
+
+@query("""select event_type as topic, user_id::varchar as key, count(*) as n, count(*) filter (value is null or json_extract_string(props, '$.k')::int >= 90) as high from events where event_type in ('purchase', 'signup') group by 1, 2""")
+def stream_dispatch(spark, d):
+    """Envelopes written as JSON, decoded, dispatched by type and made records of a topic with key and priority."""
+    wire = jobs.encoded(jobs.read_events(spark, d), "event_type", "user_id", F.when(F.col("value").isNull() | (F.get_json_object("props", "$.k").cast("int") >= 90), "high").otherwise("normal"))
+    back = jobs.decode(wire.select(F.col("value").cast("string").alias("value")), jobs.ENVELOPE)
+    out = jobs.collected(jobs.dispatched(back, ["purchase", "signup"]), "append")
+    return out.groupBy("topic", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("priority") == "high", 1).otherwise(0)).alias("high"))
+
+
+@query("""select 's3://b' || (user_id % 3) || '/' || event_id as url, 's3-b' || (user_id % 3) as source_id, event_type as event_name from events where event_type in ('click', 'purchase') and user_id % 2 = 0
+union all select 'file:///' || event_id, 'filesystem', event_type from events where event_type in ('click', 'purchase') and user_id % 2 = 1""")
+def stream_cdc_discovery(spark, d):
+    """Changes of an object store and a file system as one stream of discovered files."""
+    e = jobs.read_events(spark, d).where(F.col("event_type").isin("click", "purchase"))
+    k = F.col("event_id").cast("string")
+    s3 = jobs.discovered_s3(e.where("user_id % 2 = 0").select(F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")).alias("bucket"), k.alias("object"), F.col("ts").alias("changed"), F.col("event_type").alias("event_name")))
+    fs = jobs.discovered_files(e.where("user_id % 2 = 1").select(F.concat(F.lit("/"), k).alias("path"), F.col("ts").alias("changed"), F.col("event_type").alias("event_name")))
+    return jobs.collected(s3.unionByName(fs), "append").select("url", "source_id", "event_name")
+
+
+@query("""select case when json_extract_string(props, '$.k')::int >= 95 then 'file.failed' else 'file.completed' end as event, count(*) as n from events group by 1""")
+def stream_process_files(spark, d):
+    """Discovered files processed: each becomes a completed or a failed event with its error, after three tries."""
+    e = jobs.read_events(spark, d).select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    done = jobs.collected(jobs.processed(e, F.when(F.col("k") >= 95, F.lit("unreadable")), 3), "append")
+    return done.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_type, count(*) as n from events where ts > (select max(ts) from events) - interval 7 day group by 1")
+def window_retention(spark, d):
+    """Points of the last week before the newest one; older ones go, and with them kinds that have none."""
+    e = table(spark, d, "events")
+    return jobs.retained(e, "ts", 7 * 86400).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

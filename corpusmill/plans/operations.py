@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions import lexicons as L
 from corpusmill.functions import structure as T
 from corpusmill.functions import text as X
-from corpusmill.operators import chunking, dlp
 from corpusmill.operators import operations as O
 from corpusmill.plans.registry import query
 from corpusmill.plans.storage import _V, versions
@@ -38,9 +38,13 @@ def text_structure(spark, d):
 _S = "list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: regexp_matches(x, '[^ \\t\\r\\n.!?]'))"
 
 
+_MANY = " + ".join(f"((length(lower(text)) - length(replace(lower(text), ' {c} ', ''))) / {len(c) + 2})::int" for c in L.CONJUNCTIONS)
+
+
 @query(f"""select doc_id, len(list_filter({_S}, lambda x: ends_with(x, '?'))) as questions, len(list_filter({_S}, lambda x: ends_with(x, '!'))) as exclamations, len(list_filter({_S}, lambda x: not ends_with(x, '?') and not ends_with(x, '!'))) as statements,
-round(coalesce(len(regexp_extract_all(text, '\\p{{P}}')) / nullif(strlen(text), 0), 0), 6) as punctuation,
-round(coalesce(len(regexp_extract_all(lower(text), '\\b({'|'.join(T.CONJUNCTIONS)})\\b')) / nullif(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0), 0), 6) as conjunctions from documents""")
+len(list_filter({_S}, lambda x: regexp_matches(lower(x), '(was|were|is|are|been|being).*ed'))) as passive, round(coalesce(len(regexp_extract_all(text, '\\p{{P}}')) / nullif(strlen(text), 0), 0), 6) as punctuation,
+round(coalesce(({_MANY}) / nullif(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0), 0), 6) as conjunctions,
+case when regexp_matches(text, '\\p{{Lu}}') and regexp_matches(text, '\\p{{Ll}}') then 'mixed_case' when regexp_matches(text, '\\p{{Lu}}') then 'uppercase' when regexp_matches(text, '\\p{{Ll}}') then 'lowercase' else 'no_letters' end as capitals from documents""")
 def syntax_profile(spark, d):
     s = T.syntax(F.col("text"))
     return table(spark, d, "documents").select("doc_id", *[(F.round(v, 6) if k in ("punctuation", "conjunctions") else v).alias(k) for k, v in s.items()])
@@ -54,28 +58,6 @@ def markdown_sections(spark, d):
     return T.sections(lines, "doc_id", "i", "line")
 
 
-_HEALTH = " or ".join(f"contains(lower(text), '{t}')" for t in T.HEALTH)
-
-
-@query(f"""with f as (select doc_id, text, len(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b')) > 0 as p, {_HEALTH} as h,
-len(list_filter(regexp_extract_all(text, '\\b[3-6][0-9]{{12,15}}\\b'), lambda v: list_sum(list_transform(range(1, length(v) + 1), lambda i: case when i % 2 = 1 then (reverse(v)[i])::int when (reverse(v)[i])::int > 4 then (reverse(v)[i])::int * 2 - 9 else (reverse(v)[i])::int * 2 end)) % 10 = 0)) > 0 as c from documents)
-select doc_id, array_to_string(list_filter([case when p then 'GDPR' end, case when h then 'HIPAA' end, case when c then 'PCI' end], lambda x: x is not null), ',') as flags from f""")
-def compliance_flags(spark, d):
-    kinds = F.transform(dlp.findings_of(F.col("text"), ["email", "credit_card"]), lambda x: x["kind"])
-    t = table(spark, d, "documents").select("doc_id", "text", kinds.alias("k"))
-    flags = F.array(F.when(F.array_contains("k", "email"), "GDPR"), F.when(T.mentions(F.col("text"), T.HEALTH), "HIPAA"), F.when(F.array_contains("k", "credit_card"), "PCI"))
-    return t.select("doc_id", F.array_join(flags, ",").alias("flags"))
-
-
-@query()
-def compliance_flags_all(spark, d):
-    """GDPR for phone numbers too."""
-    text = F.coalesce("text", F.lit(""))
-    t = table(spark, d, "documents").select("doc_id", text.alias("text"), F.transform(dlp.findings_of(text, ["email", "phone", "credit_card"]), lambda x: x["kind"]).alias("k"))
-    flags = F.array(F.when(F.array_contains("k", "email") | F.array_contains("k", "phone"), "GDPR"), F.when(T.mentions(F.col("text"), T.HEALTH), "HIPAA"), F.when(F.array_contains("k", "credit_card"), "PCI"))
-    return t.select("doc_id", F.array_join(flags, ",").alias("flags"))
-
-
 _Q = "len(list_distinct(t)) / greatest(len(t), 1)"
 
 
@@ -171,3 +153,64 @@ def analysis_daily(spark, d):
     n = lambda k: F.sum(F.when(F.col("event_type") == k, 1).otherwise(0))
     e = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return e.agg(F.count(F.lit(1)).alias("n"), n("error").alias("errors"), n("purchase").alias("purchases"), F.round(F.avg("value"), 6).alias("mean"), F.countDistinct("user_id").alias("users"))
+
+
+@query(f"""select user_id, case when run > timestamp '{NOW}' then run end as next_run from (select user_id, min(ts) + to_days((user_id % 30)::int) as run from events group by user_id)""")
+def schedule_once(spark, d):
+    u = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("run"))
+    run = F.col("run") + F.make_dt_interval(days=(F.col("user_id") % 30).cast("int"))
+    return u.select("user_id", O.next_single_run(run, now()).alias("next_run"))
+
+
+@query(f"""with u as (select distinct user_id, case user_id % 4 when 0 then -1 else user_id % 28 + 1 end as day from events), m as (select *, date_trunc('month', timestamp '{NOW}') as m from u),
+t as (select user_id, case when day = -1 then m + interval 1 month - interval 1 day else m + to_days((day - 1)::int) end + to_minutes(user_id % 24 * 60) as a, case when day = -1 then m + interval 2 month - interval 1 day else m + interval 1 month + to_days((day - 1)::int) end + to_minutes(user_id % 24 * 60) as b from m)
+select user_id, case when a > timestamp '{NOW}' then a else b end as next_run from t""")
+def schedule_monthly(spark, d):
+    u = table(spark, d, "events").select("user_id").distinct()
+    day = F.when(F.col("user_id") % 4 == 0, -1).otherwise(F.col("user_id") % 28 + 1)
+    return u.select("user_id", O.next_monthly_run(now(), day.cast("int"), ((F.col("user_id") % 24) * 60).cast("int")).alias("next_run"))
+
+
+@query("""select o_custkey, count(*) as files, sum(o_totalprice) as bytes, round(case when count(*) > 4 then floor(sum(o_totalprice) / 1048576) * (count(*) / 4) * 0.8 else floor(sum(o_totalprice) / 1048576) end, 6) as seconds, round(count(*) * 250 / 1000 * case when count(*) > 4 then count(*) / 4 * 0.8 else 1 end, 6) as by_history from orders group by 1""")
+def session_time_estimate(spark, d):
+    """Seconds at a MB a second, and at 250 ms a file as measured, with four files at a time."""
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("files"), F.sum("o_totalprice").alias("bytes"))
+    est = lambda ms: F.round(O.estimated_seconds(F.col("files"), F.col("bytes"), ms, 4), 6)
+    return g.withColumns({"seconds": est(None), "by_history": est(F.lit(250.0))})
+
+
+@query("""with u as (select c_nationkey as tenant, count(*) as files, sum(c_acctbal) as bytes from customer group by 1) select tenant, files, round(bytes, 2) as bytes, (tenant % 3 > 0 and files > 20 * (tenant % 3)) or bytes > 200000 as exceeded from u""")
+def quota_check(spark, d):
+    """Tenants beyond their quota of files (0: no limit) or of bytes."""
+    u = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("tenant")).agg(F.count(F.lit(1)).alias("files"), F.sum("c_acctbal").alias("bytes"))
+    return u.select("tenant", "files", F.round("bytes", 2).alias("bytes"), (O.beyond(F.col("files"), 20 * (F.col("tenant") % 3)) | O.beyond(F.col("bytes"), F.lit(200000))).alias("exceeded"))
+
+
+@query("""with m as (select event_type, date_trunc('hour', ts) as hour, count(*) as n, count(*) filter (value > 20) as bad from events group by 1, 2) select event_type, strftime(hour, '%Y-%m-%d %H:%M:%S') as hour, round(100.0 * bad / n, 6) as error_rate, case when 100.0 * bad / n >= 50 then 'critical' else 'high' end as severity from m where 100.0 * bad / n >= 20""")
+def sync_error_spike(spark, d):
+    out = O.error_spikes(table(spark, d, "events"), "event_type", "ts", F.col("value") > 20, 20.0)
+    return out.withColumns({"hour": F.date_format("hour", "yyyy-MM-dd HH:mm:ss"), "error_rate": F.round("error_rate", 6)})
+
+
+@query("""with s as (select o_custkey, count(*) as total, count(*) filter (o_orderstatus in ('F', 'P')) as done, (epoch(max(o_orderdate)) - epoch(min(o_orderdate)))::double as elapsed from orders group by 1) select o_custkey, round(done / total, 6) as progress, round(case when done > 0 then elapsed / (done / total) - elapsed end, 3) as eta_seconds from s""")
+def session_eta(spark, d):
+    o = table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    return O.remaining(o, "o_custkey", F.col("o_orderstatus").isin("F", "P"), "o_orderdate").select("o_custkey", F.round("progress", 6).alias("progress"), F.round("eta_seconds", 3).alias("eta_seconds"))
+
+
+@query("""select p_partkey, case when regexp_matches(p_name, '^[a-m]') and not regexp_matches(p_name, 'e') then true else false end as chosen from part""")
+def glob_filter(spark, d):
+    """Names that a glob of the include list matches and none of the exclude list does."""
+    from corpusmill.operators.predicates import globbed
+
+    return table(spark, d, "part").select("p_partkey", globbed(F.col("p_name"), ["[a-m]*"], ["*e*"]).alias("chosen"))
+
+
+@query("""with f as (select l_orderkey, l_linenumber, joined as tags from (select l_orderkey, l_linenumber, l_returnflag || ',' || l_linestatus as joined from lineitem)) select l_orderkey, l_linenumber from f where starts_with(tags, 'A') and ends_with(tags, 'F') and list_contains(string_split(tags, ','), 'F')""")
+def lifecycle_conditions(spark, d):
+    """Rules over names and tags: starts_with, ends_with and has_tag."""
+    from corpusmill.operators.predicates import all_of, condition
+
+    tags = F.concat_ws(",", "l_returnflag", "l_linestatus")
+    f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tags.alias("name"), F.split(tags, ",").alias("tags"))
+    return f.where(all_of([("name", "starts_with", "A"), ("name", "ends_with", "F")]) & condition(F.col("tags"), "has_tag", "F")).select("l_orderkey", "l_linenumber")

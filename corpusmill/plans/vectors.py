@@ -14,7 +14,8 @@ _Q = "(select embedding::double[] from embeddings where vec_id = 0)"
 
 def asked(spark, d):
     v = table(spark, d, "embeddings")
-    return v, V.literal(list(v.where("vec_id = 0").first()["embedding"]))
+    own = v.where("vec_id = 0 and embedding is not null").first()
+    return v, V.literal(list(own["embedding"])) if own else F.lit(None).cast("array<double>")
 
 
 def answer(df):
@@ -53,29 +54,101 @@ def vector_page(spark, d):
     return V.page(ranked, 10, 5).withColumn("score", F.round("score", 6))
 
 
-@query("""with k as (select doc_id, (case when contains(lower(text), 'license') then 1 else 0 end + case when contains(lower(text), 'public') then 1 else 0 end) / 2 as kw, least(1.0, n_chars / 10000) as pop, (doc_id % 60)::double as age from documents),
-s as (select doc_id, 0.6 * kw + 0.2 * kw + 0.1 * pop + 0.1 * exp(-age / 30) as score from k) select doc_id, round(score, 6) as score from s order by s.score desc, doc_id limit 50""")
+@query(f"""with k as (select doc_id, coalesce(list_cosine_similarity(embedding::double[], {_Q}), 0) as near, (case when contains(lower(text), 'license') then 1 else 0 end + case when contains(lower(text), 'public') then 1 else 0 end) / 2 as kw, least(1.0, n_chars / 10000) as pop, (doc_id % 60)::double as age from documents left join embeddings on doc_id = vec_id),
+s as (select doc_id, 0.6 * near + 0.2 * kw + 0.1 * pop + 0.1 * exp(-age / 30) as score from k) select doc_id, round(score, 6) as score from s order by round(s.score, 6) desc, doc_id limit 50""")
 def hybrid_rank(spark, d):
+    """The 50 best documents by their vector's cosine, keywords, length as popularity and age; those without a vector have a cosine of 0."""
+    v, q = asked(spark, d)
     low = F.lower("text")
     kw = (F.contains(low, F.lit("license")).cast("int") + F.contains(low, F.lit("public")).cast("int")) / 2
-    s = table(spark, d, "documents").select("doc_id", V.hybrid(kw, kw, F.least(F.lit(1.0), F.col("n_chars") / 10000), (F.col("doc_id") % 60).cast("double")).alias("score"))
-    return s.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
+    near = v.select(F.col("vec_id").alias("doc_id"), V.distance("cosine", F.col("embedding"), q).alias("near"))
+    t = table(spark, d, "documents").join(near, "doc_id", "left")
+    s = t.select("doc_id", F.round(V.hybrid(F.coalesce("near", F.lit(0.0)), kw, F.least(F.lit(1.0), F.col("n_chars") / 10000), (F.col("doc_id") % 60).cast("double")), 6).alias("score"))
+    return s.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("""with t as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) as t from benchmark)
-select a.item_id as a, b.item_id as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from t a join t b on a.item_id < b.item_id where len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.2""")
-def doc_similarity_pairs(spark, d):
-    """Pairs of items by shared words: only items with a word in common meet, by an equi-join on their words."""
-    t = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.plain_tokens(F.col("text"))).alias("t"))
-    w = t.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    b = w.select(F.col("item_id").alias("b"), F.col("n").alias("m"), "w")
-    both = w.withColumnRenamed("item_id", "a").join(b, "w").where("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    s = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    return both.where(s >= 0.2).select("a", "b", F.round(s, 6).alias("similarity"))
+@query(f"""with a as (select 'a' as dataset, vec_id as id, list_cosine_similarity(embedding::double[], {_Q}) as score from embeddings where label % 2 = 0), b as (select 'b' as dataset, vec_id as id, list_inner_product(embedding::double[], {_Q}) as score from embeddings where label % 2 = 1)
+select dataset, id, round(score, 6) as score from (select * from a union all select * from b) order by round(score, 6) desc, dataset, id limit 20""")
+def vector_multi_search(spark, d):
+    """One ranking over two datasets with their own metrics."""
+    v, q = asked(spark, d)
+    return V.multi_search({"a": (v.where("label % 2 = 0"), "cosine"), "b": (v.where("label % 2 = 1"), "dot_product")}, q, 20).withColumn("score", F.round("score", 6))
+
+
+@query("""select label, count(*) as n, min(len(embedding)) as dims, round(avg(sqrt(list_inner_product(embedding::double[], embedding::double[]))), 6) as mean_norm from embeddings where embedding is not null group by 1""")
+def vector_dataset_stats(spark, d):
+    return V.dataset_stats(table(spark, d, "embeddings"), "label", "embedding").withColumn("mean_norm", F.round("mean_norm", 6))
+
+
+@query("""with c as (select vec_id, label, case when vec_id % 10 = 0 then list_transform(embedding, lambda x: -x) else embedding end as embedding from embeddings where vec_id % 7 <> 0 or vec_id % 10 = 0) select label, count(*) as n, round(sum(embedding[1]::double), 4) as first from c group by 1""")
+def vector_upsert_delete(spark, d):
+    """A dataset after changed vectors are put in place and others deleted."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    changes = v.where("vec_id % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    out = V.upserted(V.deleted(v, v.where("vec_id % 7 = 0").select("vec_id"), "vec_id"), changes, "vec_id")
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("first"))
 
 
 @query()
-def doc_similarity_documents(spark, d):
-    """Pairs of documents by shared words."""
+def embed_documents(spark, d):
+    """Documents as hashed bags of words, 64 dimensions of unit length; those without a word have none."""
+    return V.embedded(table(spark, d, "documents"), "doc_id", "text", 64)
+
+
+@query("""with c as (select label, count(*) as n, list_transform(range(1, 65), lambda i: 0) as z from embeddings group by 1), u as (select label, i, avg(x) as m from (select label, unnest(embedding::double[]) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2),
+m as (select label, sqrt(sum(m * m)) as norm from u group by 1) select c.label, n, round(norm, 6) as norm from c left join m on c.label = m.label""")
+def vector_clusters(spark, d):
+    """Clusters by label with the length of their mean vector, a measure of how tight they are."""
+    return V.clusters(table(spark, d, "embeddings"), "label", "embedding").withColumn("norm", F.round("norm", 6))
+
+
+def near_documents(spark, d, least: float):
     t = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", F.array_distinct(T.plain_tokens(F.coalesce("text", F.lit("")))).alias("t"))
-    return V.similar_pairs(t, "doc_id", "t", 0.2).withColumn("similarity", F.round("similarity", 6))
+    return V.similar_pairs(t, "doc_id", "t", least)
+
+
+@query()
+def doc_similarity_pairs(spark, d):
+    """Pairs of documents that share a fifth of their words or more."""
+    return near_documents(spark, d, 0.2).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""with t as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) as t from benchmark)
+select a.item_id as a, b.item_id as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from t a join t b on a.item_id < b.item_id where len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.2""")
+def item_similarity_pairs(spark, d):
+    """Pairs of benchmark items that share a fifth of their words or more."""
+    t = table(spark, d, "benchmark").where(F.col("item_id").isNotNull()).select("item_id", F.array_distinct(T.plain_tokens(F.coalesce("text", F.lit("")))).alias("t"))
+    return V.similar_pairs(t, "item_id", "t", 0.2).withColumn("similarity", F.round("similarity", 6))
+
+
+_W = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> ''))"
+_EVIDENCE = f"""t as (select item_id as id, {_W} as t, item_id % 3 as author, item_id % 2 as kind, item_id % 5 as lang, (item_id % 20)::double as day, [item_id % 4, item_id % 7] as tags, regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+')[1:4] as title from benchmark),
+p as (select a.id as a, b.id as b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) as content, (len(list_intersect(a.title, b.title)) / len(list_distinct(list_concat(a.title, b.title))) + (a.kind = b.kind)::int + 0.5 * (a.lang = b.lang)::int) / 3 as meta, exp(-abs(a.day - b.day) / 30) as time, (a.author = b.author)::int as author, len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) as tags from t a join t b on a.id < b.id where len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.2),
+s as (select a, b, case when content > 0.1 then 0.4 * content else 0 end + case when meta > 0.1 then 0.2 * meta else 0 end + case when time > 0.1 then 0.1 * time else 0 end + case when author > 0.1 then 0.15 * author else 0 end + case when tags > 0.1 then 0.15 * tags else 0 end as strength, ((content > 0.1)::int + (meta > 0.1)::int + (time > 0.1)::int + (author > 0.1)::int + (tags > 0.1)::int) / 5 as confidence from p)"""
+
+
+def relationships(spark, d):
+    """Benchmark items that share words, with further marks derived from their ids, and the strength of five evidences."""
+    i = F.col("item_id")
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")
+    t = table(spark, d, "benchmark").where(i.isNotNull()).select(i.alias("id"), F.array_distinct(T.plain_tokens(F.coalesce("text", F.lit("")))).alias("t"), (i % 3).alias("author"), (i % 2).alias("kind"), (i % 5).alias("lang"), (i % 20).cast("double").alias("day"), F.array(i % 4, i % 7).alias("tags"), F.slice(words, 1, 4).alias("title"))
+    return V.related(V.similar_pairs(t, "id", "t", 0.2), t.drop("t"), "id")
+
+
+@query(f"with {_EVIDENCE} select a, b, round(strength, 6) as strength, round(confidence, 6) as confidence, case when strength > 0.9 then 'duplicate' when strength > 0.7 then 'similar' else 'related' end as kind, strength >= 0.5 as kept from s")
+def relationship_strength(spark, d):
+    """Related items by content, metadata, time, author and tags; those of strength .5 or more are kept."""
+    r = relationships(spark, d)
+    return r.select("a", "b", F.round("strength", 6).alias("strength"), F.round("confidence", 6).alias("confidence"), "kind", (F.col("strength") >= 0.5).alias("kept"))
+
+
+@query(f"with {_EVIDENCE}, r as (select * from s where strength >= 0.3), h as (select a, b, 'strongest' as side, row_number() over (order by round(strength, 6) desc, a, b) as k from r union all select a, b, 'weakest', row_number() over (order by round(strength, 6), a, b) from r) select a, b, side, k from h where k <= 10")
+def relationship_extremes(spark, d):
+    """The ten strongest and the ten weakest relationships: a report."""
+    return V.extremes(relationships(spark, d).where("strength >= 0.3"), 10)
+
+
+@query(f"with {_EVIDENCE}, r as (select kind, strength from (select case when strength > 0.9 then 'duplicate' when strength > 0.7 then 'similar' else 'related' end as kind, strength from s)) select kind, count(*) as n, round(avg(strength), 6) as mean from r group by 1")
+def relationship_kinds(spark, d):
+    """Relationships by kind."""
+    return relationships(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("strength"), 6).alias("mean"))

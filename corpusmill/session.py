@@ -24,7 +24,9 @@ class Tenant:
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.base}/{name}.parquet")
-        return df.where(F.col(self.column) == self.tenant) if self.column in df.columns else df
+        if self.column not in df.columns:
+            raise ValueError(f"{name} has no column {self.column}, so it can't be narrowed to a tenant")
+        return df.where(F.col(self.column) == self.tenant)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import email
+import gzip
 import io
 import re
 import tarfile
 import zipfile
 from email import policy
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The reader of each file extension.
-READERS = {"csv": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "txt": "text", "log": "text", "html": "html", "htm": "html", "xml": "xml", "md": "markdown", "markdown": "markdown", "rtf": "rtf", "eml": "email", "zip": "zip"}
+READERS = {"csv": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "txt": "text", "text": "text", "log": "text", "html": "html", "htm": "html", "xml": "xml", "md": "markdown", "markdown": "markdown", "rtf": "rtf", "eml": "email", "zip": "zip", "gz": "archive", "tgz": "archive", "tar": "archive", "png": "image", "gif": "image", "bmp": "image", "jpg": "image", "jpeg": "image"}
 
 
 def reader_of(path: Column) -> Column:
@@ -37,10 +39,11 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
-def read_text(spark: SparkSession, path: str, by: str = "line", skip_empty: bool = True) -> DataFrame:
-    """(path, number, text) by line or by paragraph, trimmed."""
+def read_text(spark: SparkSession, path: str, by: str = "line", skip_empty: bool = True, size: int = 1000) -> DataFrame:
+    """(path, number, text) by line, by paragraph or by `size` characters, trimmed."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    parts = whole.select("path", F.posexplode(F.split("value", "\n" if by == "line" else r"\n\s*\n")).alias("number", "text")).withColumn("text", F.trim("text"))
+    pieces = F.regexp_extract_all("value", F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)) if by == "size" else F.split("value", "\n" if by == "line" else r"\n\s*\n")
+    parts = whole.select("path", F.posexplode(pieces).alias("number", "text")).withColumn("text", F.trim("text"))
     return parts.where("text <> ''") if skip_empty else parts
 
 
@@ -86,18 +89,42 @@ def read_mail(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(rows, "path string, subject string, sender string, recipients string, date string, body string, attachments array<string>")
 
 
-def archive_entries(name: str, data: bytes):
-    """(entry, bytes) of a zip, tar or tar.gz; hidden entries and folders are left out."""
-    if data[:2] == b"PK":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and not i.filename.rsplit("/", 1)[-1].startswith("."))
-    else:
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            yield from ((m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile() and not m.name.rsplit("/", 1)[-1].startswith("."))
+#: Endings of files that hold no text.
+BINARY = ["exe", "dll", "so", "bin", "jpg", "jpeg", "png", "gif", "bmp", "ico", "mp3", "mp4", "avi", "mov", "zip", "gz", "tar", "class", "jar", "woff", "ttf"]
+LARGE = 100 * 1024 * 1024
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, entry, content): an archive's files, one row each."""
+def archive_entries(name: str, data: bytes, extensions: list[str] | None = None, most: int | None = None, hidden: bool = False, binary: bool = False):
+    """(entry, bytes) of a zip, tar, tar.gz or gzip file, one at a time. Folders, hidden entries and those of BINARY endings are left out unless asked
+    for; `extensions` and `most` narrow them. An entry above 100 MB has a marker for its content. A gzip of anything but a tar is one entry."""
+
+    def wanted(entry: str) -> bool:
+        base = entry.rsplit("/", 1)[-1]
+        ext = base.rsplit(".", 1)[-1].lower() if "." in base else ""
+        return (hidden or not base.startswith(".")) and (binary or ext not in BINARY) and (extensions is None or ext in extensions)
+
+    def content(size: int, read) -> bytes:
+        return b"[content too large]" if size > LARGE else read()
+
+    def all_entries():
+        if data[:2] == b"PK":
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                yield from ((i.filename, content(i.file_size, lambda i=i: z.read(i))) for i in z.infolist() if not i.is_dir() and wanted(i.filename))
+            return
+        try:
+            with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                yield from ((m.name, content(m.size, lambda m=m: t.extractfile(m).read())) for m in t if m.isfile() and wanted(m.name))
+        except tarfile.ReadError:
+            if data[:2] == b"\x1f\x8b":
+                with gzip.GzipFile(fileobj=io.BytesIO(data)) as g:
+                    body = g.read(LARGE + 1)
+                yield name.rsplit("/", 1)[-1].removesuffix(".gz"), content(len(body), lambda: body)
+
+    yield from islice(all_entries(), most)
+
+
+def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(path, entry, content): an archive's files, one row each, written out entry by entry; options as archive_entries() has them."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def rows(batches):
@@ -105,12 +132,69 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         for b in batches:
             for p, c in zip(b["path"], b["content"], strict=True):
-                for entry, data in archive_entries(p, c):
+                for entry, data in archive_entries(p, c, **options):
                     yield pd.DataFrame({"path": [p], "entry": [entry], "content": [data]})
 
     return files.mapInPandas(rows, "path string, entry string, content binary")
 
 
+def compression_of(name: Column, content: Column) -> Column:
+    """zip, tar.gz, gzip, tar or none, by the name and the first bytes."""
+    low, mark = F.lower(name), F.hex(F.substring(content, 1, 4))
+    return F.when(low.rlike(r"\.(tar\.gz|tgz)$"), "tar.gz").when(mark.startswith("504B"), "zip").when(mark.startswith("1F8B"), "gzip").when(low.rlike(r"\.tar$"), "tar").otherwise("none")
+
+
+def read_decoded(spark: SparkSession, path: str) -> DataFrame:
+    """(path, charset, confidence, text) of text files, each in the character set that it tells or seems to have."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def rows(batches):
+        for b in batches:
+            found = [charset_of(c) for c in b["content"]]
+            yield b[["path"]].assign(charset=[n for n, _ in found], confidence=[c for _, c in found], text=[decoded(c, n) for c, (n, _) in zip(b["content"], found, strict=True)])
+
+    return files.mapInPandas(rows, "path string, charset string, confidence double, text string")
+
+
+def decoded(data: bytes, charset: str) -> str:
+    try:
+        return data.decode("utf-8-sig" if charset == "utf-8" else charset, "replace").lstrip("\ufeff")
+    except LookupError:
+        return data.decode("utf-8", "replace")
+
+
+def read_rtf(spark: SparkSession, path: str) -> DataFrame:
+    """(path, number, text): paragraphs of RTF files."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+    def rows(batches):
+        for b in batches:
+            yield b[["path"]].assign(text=[rtf_text(v) for v in b["value"]])
+
+    plain = files.mapInPandas(rows, "path string, text string")
+    return plain.select("path", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("number", "text"))
+
+
+def image_metadata(content: Column) -> dict[str, Column]:
+    """format, width and height from the first bytes of a PNG, GIF or BMP; null for others. Reads no pixels."""
+    h = F.hex(F.substring(content, 1, 32))
+    number = lambda at, size: F.conv(F.substring(h, 2 * at + 1, 2 * size), 16, 10).cast("int")
+    turned = lambda at: F.conv(F.concat(F.substring(h, 2 * at + 3, 2), F.substring(h, 2 * at + 1, 2)), 16, 10).cast("int")
+    kind = F.when(h.startswith("89504E47"), "png").when(h.startswith("474946"), "gif").when(h.startswith("424D"), "bmp").when(h.startswith("FFD8"), "jpeg")
+    return {"format": kind, "width": F.when(kind == "png", number(16, 4)).when(kind == "gif", turned(6)).when(kind == "bmp", turned(18)), "height": F.when(kind == "png", number(20, 4)).when(kind == "gif", turned(8)).when(kind == "bmp", turned(22))}
+
+
+def size_estimate(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """(path, bytes, est_rows, columns, complexity) of CSV files: rows by the mean line of the first 4 KiB; medium beyond 50 MB or 50 columns, high beyond 500 MB or 200."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, 4096).cast("string").alias("head"))
+    lines, width = F.split("head", "\n"), F.octet_length("head")
+    each = F.when(F.size(lines) > 1, F.greatest(F.floor(width / F.size(lines)), F.lit(1))).otherwise(100)
+    columns = F.size(F.split(lines[0], delimiter))
+    mb = 1024 * 1024
+    how = F.when((F.col("length") > 500 * mb) | (columns > 200), "high").when((F.col("length") > 50 * mb) | (columns > 50), "medium").otherwise("low")
+    return files.select("path", F.col("length").alias("bytes"), F.floor(F.col("length") / each).alias("est_rows"), columns.alias("columns"), how.alias("complexity"))
+
+
 def charset_of(data: bytes) -> tuple[str, float]:
     """Character set and confidence: mark, valid UTF-8, declaration, else a single-byte set."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):

@@ -35,3 +35,12 @@ def elements(pages: DataFrame, key: str, html: str) -> DataFrame:
     rows = pages.select(key, F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(F.lit("body>"), strip(F.col(html))))).alias("e"))
     out = rows.select(key, F.posexplode("e").alias("number", "m"))
     return out.select(key, "number", F.regexp_extract("m", "^([a-z0-9]+)", 1).alias("tag"), F.trim(F.regexp_replace("m", "(?s)^[^>]*>", "")).alias("content"))
+
+
+#: Block tags, matched by their beginning as they stand.
+BLOCKS = ["p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "section", "article"]
+
+
+def blocks(html: Column) -> Column:
+    """How many block elements begin in a page; `<p` counts `<pre>` too, and so on."""
+    return sum((F.regexp_count(html, F.lit(f"<{b}[^>]*>")) for b in BLOCKS), F.lit(0))

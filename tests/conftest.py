@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -32,7 +33,7 @@ def sf():
 
 
 def norm(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     if isinstance(value, float):
         return f"{value:.6g}"
