@@ -16,24 +16,23 @@ def letters_only(text: Column) -> Column:
     return T.trimmed(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\x20\x09-\x0D]", " "), T.SPACE, " "))
 
 
-def _array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def language_scores(clean: Column) -> Column:
     """Array of (score, lang) of a text of letters only: .4 common words + .3 stop words + .2 letter shares + .1 word pairs."""
-    t = F.filter(F.split(clean, " "), lambda w: w != "")
-    n = F.size(t)
-    pairs = F.zip_with(F.slice(t, F.lit(1), n - 1), F.slice(t, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
-    letters = F.length(F.replace(clean, F.lit(" "), F.lit(""))).cast("double")
-    rows = []
-    for lang, x in L.LANGUAGE.items():
-        share = lambda values: F.when(n > 0, T.hits(t, values) / n).otherwise(0.0)
-        alike = reduce(lambda a, b: a + b, [1 - F.abs(T.count_of(clean, c) / letters - f) for c, f in x["letters"].items()]) / len(x["letters"])
-        paired = F.when(n > 1, T.hits(pairs, x["pairs"]) / (n - 1)).otherwise(0.0) if x["pairs"] else F.lit(0.0)
-        score = 0.4 * share(x["common"]) + 0.3 * share(x["common"] + x["stop"]) + 0.2 * F.when(letters > 0, alike).otherwise(0.0) + 0.1 * paired
-        rows.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
-    return F.array(*rows)
+    pairs = lambda t: F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+    def of(x: Column) -> Column:
+        t, p, n, letters = x["t"], x["p"], F.size(x["t"]), x["letters"]
+        rows = []
+        for lang, y in L.LANGUAGE.items():
+            share = lambda values: F.when(n > 0, T.hits(t, values) / n).otherwise(0.0)
+            alike = reduce(lambda a, b: a + b, [1 - F.abs(T.count_of(clean, c) / letters - f) for c, f in y["letters"].items()]) / len(y["letters"])
+            paired = F.when(n > 1, T.hits(p, y["pairs"]) / (n - 1)).otherwise(0.0) if y["pairs"] else F.lit(0.0)
+            score = 0.4 * share(y["common"]) + 0.3 * share(y["common"] + y["stop"]) + 0.2 * F.when(letters > 0, alike).otherwise(0.0) + 0.1 * paired
+            rows.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
+        return F.array(*rows)
+
+    parts = lambda t: F.struct(t.alias("t"), pairs(t).alias("p"), F.length(F.replace(clean, F.lit(" "), F.lit(""))).cast("double").alias("letters"))
+    return T.let(F.filter(F.split(clean, " "), lambda w: w != ""), lambda t: T.let(parts(t), of))
 
 
 def scored_language(scores: Column, clean: Column) -> dict[str, Column]:

@@ -101,45 +101,53 @@ def variance_of(values: Column) -> Column:
     return let(values, lambda x: let(mean_of(x), lambda m: spread(x, m)))
 
 
-def simple_language(text: Column) -> tuple[Column, Column]:
-    """Language and confidence: by script for Chinese, Arabic and Cyrillic, else with most words in its list; English at .5 where none has any, '' for no text."""
-    t = words(F.lower(text))
-    counts = {k: hits(t, v) for k, v in L.SIMPLE_LANGUAGE.items()}
-    top = F.greatest(*counts.values())
+def simple_language(text: Column) -> Column:
+    """(lang, confidence): by script for Chinese, Arabic and Cyrillic, else with most words in its list; English at .5 where none has any, '' for no text."""
     scripts = [("zh", r"\p{IsHan}", 0.9), ("ar", r"\p{IsArabic}", 0.9), ("ru", r"\p{IsCyrillic}", 0.8)]
-    lang, sure = F.when(text == "", ""), F.when(text == "", 0.0)
-    for name, script, confidence in scripts:
-        lang, sure = lang.when(text.rlike(script), name), sure.when(text.rlike(script), confidence)
-    for name, n in counts.items():
-        lang = lang.when((n == top) & (top > 0), name)
-    return lang.otherwise("en"), sure.when(top > 0, F.least(top / 10, F.lit(1.0))).otherwise(0.5)
 
+    def chosen(counts: Column) -> Column:
+        top = F.array_max(counts)
+        lang, sure = F.when(text == "", ""), F.when(text == "", 0.0)
+        for name, script, confidence in scripts:
+            lang, sure = lang.when(text.rlike(script), name), sure.when(text.rlike(script), confidence)
+        for i, name in enumerate(L.SIMPLE_LANGUAGE):
+            lang = lang.when((counts[i] == top) & (top > 0), name)
+        return F.struct(lang.otherwise("en").alias("lang"), sure.when(top > 0, F.least(top / 10, F.lit(1.0))).otherwise(0.5).alias("confidence"))
 
-def sentiment_ratio(text: Column) -> dict[str, Column]:
-    """Net weight of positive over negative words a word, its label at a tenth, the score, and subjectivity."""
-    c = cleaned(words(F.lower(text)), 2)
-    n = F.size(c)
-    good, bad = (F.when(n > 0, total_of(c, w) / n).otherwise(0.0) for w in (L.POSITIVE, L.NEGATIVE))
-    net = good - bad
-    label = F.when(net > 0.1, "positive").when(net < -0.1, "negative").otherwise("neutral")
-    score = F.when(n == 0, 0.5).when(F.abs(net) > 0.1, F.least(0.5 + F.abs(net), F.lit(1.0))).otherwise(1 - F.abs(net))
-    return {"net": net, "label": label, "score": score, "subjectivity": F.least((good + bad) * 2, F.lit(1.0))}
+    return let(words(F.lower(text)), lambda t: let(F.array(*[hits(t, v) for v in L.SIMPLE_LANGUAGE.values()]), chosen))
 
 
-def emotions(text: Column) -> dict[str, Column]:
-    """Weights of each emotion's words, ten times a word, at most 1."""
-    t = words(F.lower(text))
-    c, n = cleaned(t, 2), F.size(t)
-    return {k: F.when(n > 0, F.least(total_of(c, w) / n * 10, F.lit(1.0))).otherwise(0.0) for k, w in L.EMOTIONS.items()}
+def sentiment_ratio(text: Column) -> Column:
+    """(net, label, score, subjectivity): net weight of positive over negative words a word, its label at a tenth, the score, and subjectivity."""
+
+    def of(x: Column) -> Column:
+        n, good, bad = x["n"], x["good"], x["bad"]
+        net = good - bad
+        label = F.when(net > 0.1, "positive").when(net < -0.1, "negative").otherwise("neutral")
+        score = F.when(n == 0, 0.5).when(F.abs(net) > 0.1, F.least(0.5 + F.abs(net), F.lit(1.0))).otherwise(1 - F.abs(net))
+        return F.struct(net.alias("net"), label.alias("label"), score.alias("score"), F.least((good + bad) * 2, F.lit(1.0)).alias("subjectivity"))
+
+    share = lambda c, w: F.when(F.size(c) > 0, total_of(c, w) / F.size(c)).otherwise(0.0)
+    sums = lambda c: F.struct(F.size(c).alias("n"), share(c, L.POSITIVE).alias("good"), share(c, L.NEGATIVE).alias("bad"))
+    return let(cleaned(words(F.lower(text)), 2), lambda c: let(sums(c), of))
+
+
+def emotions(text: Column) -> Column:
+    """A field for each emotion: weights of its words, ten times a word, at most 1."""
+    one = lambda x, w: F.when(x["n"] > 0, F.least(total_of(x["c"], w) / x["n"] * 10, F.lit(1.0))).otherwise(0.0)
+    both = lambda t: F.struct(F.size(t).alias("n"), cleaned(t, 2).alias("c"))
+    return let(words(F.lower(text)), lambda t: let(both(t), lambda x: F.struct(*[one(x, w).alias(k) for k, w in L.EMOTIONS.items()])))
 
 
 def topic_scores(text: Column) -> Column:
     """Array of (topic, score): share of a topic's words present times hits over the root of the number of words; topics with a word present."""
-    t = words(F.lower(text))
-    there, n = F.array_distinct(cleaned(t, 3)), F.sqrt(F.greatest(F.size(t), F.lit(1)))
-    found = {k: F.size(F.array_intersect(there, F.array(*[F.lit(x) for x in v]))) for k, v in L.TOPICS.items()}
-    rows = F.array(*[F.struct(F.lit(k).alias("topic"), (v / 10 * (v / n)).alias("score")) for k, v in found.items()])
-    return F.filter(rows, lambda r: r["score"] > 0)
+
+    def of(x: Column) -> Column:
+        found = {k: F.size(F.array_intersect(x["there"], F.array(*[F.lit(w) for w in v]))) for k, v in L.TOPICS.items()}
+        return F.filter(F.array(*[F.struct(F.lit(k).alias("topic"), (v / 10 * (v / x["n"])).alias("score")) for k, v in found.items()]), lambda r: r["score"] > 0)
+
+    both = lambda t: F.struct(F.array_distinct(cleaned(t, 3)).alias("there"), F.sqrt(F.greatest(F.size(t), F.lit(1))).alias("n"))
+    return let(words(F.lower(text)), lambda t: let(both(t), of))
 
 
 def syllables(word: Column) -> Column:

@@ -111,4 +111,4 @@ def globbed(name: Column, include: list[str], exclude: list[str]) -> Column:
     import fnmatch
 
     hit = lambda globs: reduce(lambda a, b: a | b, [name.rlike("(?s)^" + fnmatch.translate(g).removeprefix("(?s:").removesuffix(r")\z").removesuffix(r")\Z") + "$") for g in globs], F.lit(False))
-    return F.coalesce((hit(include) if include else F.lit(True)) & ~hit(exclude), F.lit(False))
+    return F.coalesce(name.isNotNull() & (hit(include) if include else F.lit(True)) & ~hit(exclude), F.lit(False))

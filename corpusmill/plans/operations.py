@@ -142,10 +142,10 @@ def conflict_size_change(spark, d):
 
 
 @query("""with e as (select l_suppkey as src, -l_partkey as dst, l_discount as weight from lineitem), n as (select count(distinct n) as nodes from (select src as n from e union all select dst from e))
-select count(*) as edges, round(avg(weight), 6) as mean, min(weight) as least, max(weight) as most, round(stddev_pop(weight), 6) as deviation, any_value(nodes) as nodes, round(count(*) / (any_value(nodes) * (any_value(nodes) - 1) / 2), 9) as density from e, n""")
+select count(*) as edges, round(avg(weight), 5) as mean, min(weight) as least, max(weight) as most, round(stddev_pop(weight), 6) as deviation, any_value(nodes) as nodes, round(count(*) / (any_value(nodes) * (any_value(nodes) - 1) / 2), 9) as density from e, n""")
 def relationship_metrics(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst"), F.col("l_discount").alias("weight"))
-    return O.edge_metrics(e).withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6), "density": F.round("density", 9)})
+    return O.edge_metrics(e).withColumns({"mean": F.round("mean", 5), "deviation": F.round("deviation", 6), "density": F.round("density", 9)})
 
 
 @query("""select strftime(ts, '%Y-%m-%d') as day, count(*) as n, count(*) filter (event_type = 'error') as errors, count(*) filter (event_type = 'purchase') as purchases, round(avg(value), 6) as mean, count(distinct user_id) as users from events group by 1""")

@@ -49,6 +49,11 @@ def rounded(columns: dict, digits: int = 6) -> list:
     return [v.alias(k) if isinstance(v, str) else (F.round(v, digits) if k not in ("label", "tone", "lang", "candidates", "reading_seconds") else v).alias(k) for k, v in columns.items()]
 
 
+def fields(rows, digits: int = 6):
+    """doc_id and the fields of r, numbers rounded."""
+    return rows.select("doc_id", *[(F.round(f"r.{f.name}", digits) if f.dataType.typeName() == "double" else F.col(f"r.{f.name}")).alias(f.name) for f in rows.schema["r"].dataType.fields])
+
+
 _counts = ", ".join(f"len(list_filter(t, lambda w: list_contains({LIST(v)}, w))) as n_{k}" for k, v in L.SIMPLE_LANGUAGE.items())
 _names = [f"n_{k}" for k in L.SIMPLE_LANGUAGE]
 
@@ -57,8 +62,7 @@ _names = [f"n_{k}" for k in L.SIMPLE_LANGUAGE]
 select doc_id, case when text = '' then '' when regexp_matches(text, '\\p{{Han}}') then 'zh' when regexp_matches(text, '\\p{{Arabic}}') then 'ar' when regexp_matches(text, '\\p{{Cyrillic}}') then 'ru' {' '.join(f"when n_{k} = top and top > 0 then '{k}'" for k in L.SIMPLE_LANGUAGE)} else 'en' end as lang,
 case when text = '' then 0.0 when regexp_matches(text, '\\p{{Han}}|\\p{{Arabic}}') then 0.9 when regexp_matches(text, '\\p{{Cyrillic}}') then 0.8 when top > 0 then least(top / 10, 1.0) else 0.5 end as confidence from m""")
 def lang_simple(spark, d):
-    lang, sure = T.simple_language(F.col("text"))
-    return docs(spark, d).select("doc_id", lang.alias("lang"), sure.alias("confidence"))
+    return docs(spark, d).select("doc_id", T.simple_language(F.col("text")).alias("l")).select("doc_id", "l.*")
 
 
 _ONLY = TRIM(f"regexp_replace(regexp_replace(lower({TEXT}), '[^\\p{{L}}\\x20\\x09-\\x0D]', ' ', 'g'), '{SPACE}', ' ', 'g')")
@@ -85,7 +89,7 @@ def lang_scored(spark, d):
 s as (select doc_id, n, coalesce(g, 0) as g, coalesce(b, 0) as b, coalesce(g, 0) - coalesce(b, 0) as net from n)
 select doc_id, round(net, 6) as net, case when net > 0.1 then 'positive' when net < -0.1 then 'negative' else 'neutral' end as label, round(case when n = 0 then 0.5 when abs(net) > 0.1 then least(0.5 + abs(net), 1) else 1 - abs(net) end, 6) as score, round(least((g + b) * 2, 1), 6) as subjectivity from s""")
 def sentiment_ratio(spark, d):
-    return docs(spark, d).select("doc_id", *rounded(T.sentiment_ratio(F.col("text"))))
+    return fields(docs(spark, d).select("doc_id", T.sentiment_ratio(F.col("text")).alias("r")))
 
 
 _IN = lambda i: f"coalesce(w[{i}], '')"
@@ -113,7 +117,7 @@ _emotion = ", ".join(f"coalesce(round(least(1.0, {total('c', v)} / nullif(len(t)
 
 @query(f"with t as (select doc_id, {WORDS(f'lower({TEXT})')} as t from documents), c as (select doc_id, t, {CLEAN('t', 2)} as c from t) select doc_id, {_emotion} from c")
 def emotion(spark, d):
-    return docs(spark, d).select("doc_id", *rounded(T.emotions(F.col("text"))))
+    return fields(docs(spark, d).select("doc_id", T.emotions(F.col("text")).alias("r")))
 
 
 _topic = " union all ".join(f"select doc_id, '{k}' as topic, len(list_intersect(c, {LIST(v)})) as k, n from c" for k, v in L.TOPICS.items())
@@ -147,10 +151,10 @@ def readability_linguistic(spark, d):
 @query(f"""with t as (select doc_id, {TEXT} as text from documents), a as (select doc_id, text, {WORDS('text')} as t from t), b as (select doc_id, text, len(t) as n, {_VOW.format(w='t')} as l from a),
 c as (select doc_id, text, n, nullif(n, 0)::double as w, greatest(1, len(regexp_extract_all(text, '[.!?]+')))::double as s, coalesce(list_sum(l), 0)::double as y, len(list_filter(l, lambda x: x >= 3))::double as h from b),
 g as (select *, {_GRADES}, 1.043 * sqrt(h * 30 / s) + 3.1291 + 0 * w as smog, 0.0588 * (len(regexp_extract_all(text, '[a-zA-Z]')) / w) * 100 / (w / s) - 0.296 * s * 100 / w - 15.8 as coleman_liau from c)
-select doc_id, {', '.join(f'coalesce(round({k}, 2), 0) as {k}' for k in ['kincaid', 'flesch', 'fog', 'smog', 'coleman_liau'])}, floor(n / 200 * 60)::int as reading_seconds from g""")
+select doc_id, {', '.join(f'coalesce(round({k}, 4), 0) as {k}' for k in ['kincaid', 'flesch', 'fog', 'smog', 'coleman_liau'])}, floor(n / 200 * 60)::int as reading_seconds from g""")
 def readability_ml(spark, d):
     t = docs(spark, d).select("doc_id", "text", F.transform(T.words(F.col("text")), T.vowels).alias("y"))
-    return t.select("doc_id", *rounded(T.readability_model(F.col("text"), F.col("y")), 2))
+    return t.select("doc_id", *rounded(T.readability_model(F.col("text"), F.col("y")), 4))
 
 
 _HAS = lambda terms: " + ".join(f"contains(lower(text), '{x}')::int" for x in terms)
