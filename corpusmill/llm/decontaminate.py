@@ -18,7 +18,7 @@ UNITS = "km|kg|cm|mm|ml|mg|lb|oz|usd|eur|dollars|euros|metres|meters|miles|hours
 #: Function and question words, which are no names where they begin a sentence.
 PLAIN = "A|About|After|All|Also|An|And|Any|Are|As|At|Based|Because|Before|Both|But|By|Calculate|Can|Choose|Compute|Consider|Could|Describe|Determine|Did|Do|Does|During|Each|Every|Explain|Find|First|For|From|Given|Had|Has|Have|He|Her|His|How|However|If|In|Into|Is|It|Its|Let|Many|More|Most|My|No|Not|Now|Of|On|One|Or|Our|Over|She|Should|Show|Since|So|Solve|Some|Suppose|Than|That|The|Their|Then|There|These|They|This|Those|Through|To|Under|Until|Was|We|Were|What|When|Where|Which|While|Who|Whose|Why|Will|With|Without|Would|Write|You|Your"
 WORD_NAME = "[A-Z][a-z][A-Za-z]*"
-NAME = rf"(?<![A-Za-z0-9_])(?!(?:{PLAIN})(?![A-Za-z]))({WORD_NAME})"
+NAME = rf"(?=[A-Z])(?<![A-Za-z0-9_])(?!(?:{PLAIN})(?![A-Za-z]))({WORD_NAME})"
 UNIT = rf"(?i)([0-9]) ?({UNITS})\b"
 NUMBER = r"([0-9]+(?:[.,:/][0-9]+)*)"
 PUNCTUATION = ".,;:!?\"'()[]{}*%$&"
