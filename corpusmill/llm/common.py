@@ -205,18 +205,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component_id) for each node of undirected edges (a, b); component_id is the least node reachable.
 
     Each round every node takes the least label among its neighbours and then its label's label, as grouped minima;
-    rounds end when no label changes. Labels are cut from their lineage each round."""
-    spark = edges.sparkSession
+    rounds end when no label changes. Labels are cut from their lineage each round, in as many parts as their number asks for."""
     both = cut(edges.where("a <> b").select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    parts = 1 + both.count() // 200_000
+    both = both.coalesce(parts)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = cut(labels)
+    labels = cut(labels.coalesce(parts))
     if both.isEmpty():
         return labels.select("node", F.col("label").alias("component_id"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = labels.join(near, "node").join(hop, "label", "left").select("node", F.least("label", "m", "up").alias("new"), "label")
-        new = cut(new)
+        new = cut(new.coalesce(parts))
         changed = new.where("new <> label").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:

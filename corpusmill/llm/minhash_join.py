@@ -160,69 +160,67 @@ def shared_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, bodies: DataFrame, kind, same, with_rest: bool = False) -> DataFrame:
-    """(a, b, score): same(body of a, body of b) of each pair; rest: what b has and a has not. Bodies meet by joins on cid."""
+    """pairs (a, b, n_a, n_b) with score: same(body of a, body of b); rest: what b has and a has not. Bodies meet by joins on cid."""
     j = pairs.join(bodies.select(F.col("cid").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("cid").alias("a"), F.col("body").alias("body_a")), "a")
 
     def run(batches):
         for x in batches:
-            both = [(np.frombuffer(p, kind), np.frombuffer(q, kind)) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
-            out = [x.column(0), x.column(1), pa.array([int(same(p, q)) for p, q in both], pa.int64())]
+            both = [(np.frombuffer(p, kind), np.frombuffer(q, kind)) for p, q in zip(x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True)]
+            out = [*(x.column(i) for i in range(4)), pa.array([int(same(p, q)) for p, q in both], pa.int64())]
             if with_rest:
                 out.append(pa.array([np.setdiff1d(q, p, assume_unique=True).view(np.int64) for p, q in both], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(out, ["a", "b", "score", "rest"][: len(out)])
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "n_a", "n_b", "score", "rest"][: len(out)])
 
-    return j.select("a", "b", "body_a", "body_b").mapInArrow(lean(run), "a long, b long, score long" + ", rest array<long>" * with_rest)
+    return j.select("a", "b", "n_a", "n_b", "body_a", "body_b").mapInArrow(lean(run), "a long, b long, n_a long, n_b long, score long" + ", rest array<long>" * with_rest)
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
-def sublists(members: DataFrame, sigs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(a, b) pairs of members left over of one lead: under each of the first SPLITS coordinates of their signatures, those of a value meet the one
-    with the most common values. So a family of near copies whose list is led by another text finds its component by a few pairs a member."""
-    bodies = sigs.select("cid", *[F.hex(F.substring("body", 4 * i + 1, 4)).alias(f"c{i}") for i in range(SPLITS)])
-    own = members.select("lead", "cid").join(weights, "cid").join(bodies, "cid")
-    own = own.select("lead", "cid", "weight", F.posexplode(F.array(*[f"c{i}" for i in range(SPLITS)])).alias("i", "v"))
-    leads = own.groupBy("lead", "i", "v").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"))
-    return own.join(leads, ["lead", "i", "v"]).where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+def met_by_lead(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(a, b, n_a, n_b): under each of the keys one row of (cid, n) leads, the last by `order`, and the others meet it; each pair once."""
+    leads = rows.groupBy(*keys).agg(F.max_by(F.struct("cid", "n"), F.struct(*order, "cid")).alias("_lead"))
+    met = rows.join(leads, keys).where("_lead.cid <> cid")
+    return met.select(F.col("_lead.cid").alias("a"), F.col("cid").alias("b"), F.col("_lead.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
+
+
+def sublists(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Members (lead, cid, n) that their lead does not join, under the lead and each of the first SPLITS coordinates of their signatures: pairs with the
+    largest of each list. So a family of near copies whose list is led by another text finds its component by a few pairs a member."""
+    values = F.array(*[F.hex(F.substring("body", 4 * i + 1, 4)) for i in range(SPLITS)])
+    own = members.join(sigs.select("cid", values.alias("_v")), "cid").select("lead", "cid", "n", F.posexplode("_v").alias("i", "v"))
+    return met_by_lead(own, ["lead", "i", "v"], ["n"])
 
 
 def links_of(posted: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """(a, b) linked classes that join all linked ones of (key, cid, weight); sigs: (cid, body), sets: (cid, n, s, body) of shared shingles."""
-    sizes = sets.select("cid", "n", "s")
     # what a pair of n and m shingles has in common at the least
     enough = lambda have, n, m: (100 + percent) * have >= percent * (n + m)
-    here = posted.join(sizes, "cid")
+    linked = enough(F.col("score"), F.col("n_a"), F.col("n_b"))
+    here = posted.join(sets.select("cid", "n", "s"), "cid")
     lists = here.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     here = here.join(lists, "key").where(enough(F.col("s"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100))))
-    leads = here.groupBy("key").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"))
-    met = here.join(leads, "key").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
-    a, b = (sizes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    met = written(compared(met, sets, U64, common, True).join(a, "a").join(b, "b"))
-    first = met.where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-
-    def unlinked(links: DataFrame) -> DataFrame:
-        """(lead, cid, label, main, n, inside): members under each lead, with their components' and the lead's labels."""
-        labels = components(links).select(F.col("node").alias("cid"), F.col("component_id").alias("label"))
-        members = met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.col("score").alias("inside"), F.col("n_b").alias("n"))
-        members = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        main = met.select(F.col("a").alias("lead")).distinct().join(labels, F.col("lead") == F.col("cid"), "left").select("lead", F.coalesce("label", "lead").alias("main"))
-        return written(members.join(main, "lead"))
-
-    around = sublists(unlinked(first).where("label <> main"), sigs, posted.groupBy("cid").agg(F.max("weight").alias("weight")))
-    around = compared(around, sets, U64, common).join(a, "a").join(b, "b").where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-    first = written(first.unionByName(around))
-    members = unlinked(first).join(met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), "rest"), ["lead", "cid"])
+    met = written(compared(met_by_lead(here, ["key"], ["weight"]), sets, U64, common, True))
+    apart = met.where(~linked).select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.col("n_b").alias("n"))
+    around = compared(sublists(apart, sigs), sets, U64, common).where(linked).select("a", "b")
+    first = written(met.where(linked).select("a", "b").unionByName(around))
+    labels = components(first).select(F.col("node").alias("cid"), F.col("component_id").alias("label"))
+    members = met.select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.col("score").alias("inside"), F.col("n_b").alias("n"), "rest")
+    members = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    main = met.select(F.col("a").alias("lead")).distinct().join(labels, F.col("lead") == F.col("cid"), "left").select("lead", F.coalesce("label", "lead").alias("main"))
+    members = written(members.join(main, "lead").select("lead", "cid", "label", "main", "n", "inside", "rest"))
     x = members.where("label <> main")
     y = members.select("lead", *[F.col(c).alias(f"_{c}") for c in ("cid", "label", "n", "inside", "rest")])
-    apart = (F.col("label") != F.col("_label")) & ((F.col("_label") == F.col("main")) | (F.col("cid") < F.col("_cid")))
+    other = (F.col("label") != F.col("_label")) & ((F.col("_label") == F.col("main")) | (F.col("cid") < F.col("_cid")))
     # two bounds, the cheap one first: how much of what stands outside the lead either has, and how much of it both have
     inside, needed = F.least("inside", "_inside"), lambda have: enough(have, F.col("n"), F.col("_n"))
     bound = needed(inside + F.least(F.size("rest"), F.size("_rest"))) & needed(inside + F.size(F.array_intersect("rest", "_rest")))
-    pairs = x.join(y, (x["lead"] == y["lead"]) & apart & bound).select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b")).distinct()
-    close = compared(pairs, sigs, np.uint32, lambda p, q: (p == q).sum()).where(F.col("score") >= matches).select("a", "b")
-    second = compared(close, sets, U64, common).join(a, "a").join(b, "b").where(enough(F.col("score"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    lower = F.col("cid") < F.col("_cid")
+    sizes = [F.when(lower, F.col(u)).otherwise(F.col(v)).alias(w) for u, v, w in (("n", "_n", "n_a"), ("_n", "n", "n_b"))]
+    pairs = x.join(y, (x["lead"] == y["lead"]) & other & bound).select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b"), *sizes).distinct()
+    close = compared(pairs, sigs, np.uint32, lambda p, q: (p == q).sum()).where(F.col("score") >= matches).drop("score")
+    second = compared(close, sets, U64, common).where(linked).select("a", "b")
     return first.unionByName(second)
 
 
