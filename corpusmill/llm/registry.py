@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import ctw, decontaminate, language_id, licenses, line_join, minhash_join, pq_join, raking, repeats, temporal_lists, vp_clusters
+from corpusmill.llm import ctw, decontaminate, language_id, licenses, line_join, minhash_join, phrases, pq_join, raking, repeats, temporal_lists, vp_clusters
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
@@ -17,5 +17,6 @@ QUERIES = {
     "op9_raking_converged": raking.op9_raking_converged,
     "op10_lines": line_join.op10_lines,
     "op12_vp_clusters": vp_clusters.op12_vp_clusters,
+    "op13_phrases": phrases.op13_phrases,
 }
-SQL = {"op7_decontaminate": decontaminate.op7_sql(), "op4_url_lists": temporal_lists.op4_sql(), "op9_raking": raking.op9_sql(), "op12_vp_clusters": vp_clusters.op12_sql()}
+SQL = {"op7_decontaminate": decontaminate.op7_sql(), "op4_url_lists": temporal_lists.op4_sql(), "op9_raking": raking.op9_sql(), "op12_vp_clusters": vp_clusters.op12_sql(), "op13_phrases": phrases.op13_sql()}
