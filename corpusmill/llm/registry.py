@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import ctw, decontaminate, language_id, licenses, line_join, minhash_join, phrases, pq_join, raking, repeats, temporal_lists, vp_clusters
+from corpusmill.llm import ctw, decontaminate, language_id, licenses, line_join, minhash_join, page_text, phrases, pq_join, raking, repeats, temporal_lists, vp_clusters
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_raking": raking.op9_raking,
     "op9_raking_converged": raking.op9_raking_converged,
     "op10_lines": line_join.op10_lines,
+    "op11_page_text": page_text.op11_page_text,
     "op12_vp_clusters": vp_clusters.op12_vp_clusters,
     "op13_phrases": phrases.op13_phrases,
 }
