@@ -16,7 +16,7 @@ def test_query_matches_sql(name, same):
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
 
 
 def test_list_intervals(spark):
