@@ -1,6 +1,7 @@
 """Phrase collocations by partitioned mining (SON): shards are mined whole at a support lowered in proportion, then all candidates are counted.
 
-A shard is a run of texts of one task, SHARD bytes at most. A phrase of f >= support places in all has at least
+A shard is a run of texts of one task, SHARD bytes and a SHARE of all at most, so that small inputs are mined in as many shards, at
+the same lowered support, as large ones until SHARD bounds it. A phrase of f >= support places in all has at least
 ceil(support * shard words / all words) places in some shard, so mining every shard at that count finds it. What shards find is
 united into a bitmap of hashed phrases, and a second pass counts by their text all phrases that the bitmap passes: its bits are
 shared, so it may pass more, never less, and counts at or over the support are exact. Words come first, then pairs of frequent
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import U64, cut, lean, mix, prefix_hash, span_hash, texts_of, written
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
-SHARD = 32 << 20
+SHARD, SHARE = 32 << 20, 1 / 25
+#: Into how many parts the totals of a language are repeated, so that the phrases of one language meet them in as many tasks.
+SPREAD = 16
 #: Bytes of text hashed at a time.
 HASHED = 4 << 20
 BITS = 1 << 27
@@ -185,7 +188,10 @@ def scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:
     cuts = frequent.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("at"), words.alias("w"))
     cuts = cuts.select("lang", "phrase", "k", "a", "at", F.array_join(F.slice("w", F.lit(1), F.col("at")), " ").alias("first"), F.array_join(F.slice("w", F.col("at") + 1, F.col("k") - F.col("at")), " ").alias("rest"))
     of = lambda part, name: frequent.select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
-    cuts = cuts.join(of("first", "l"), ["lang", "first"]).join(of("rest", "r"), ["lang", "rest"]).join(totals, "lang")
+    cuts = cuts.join(of("first", "l"), ["lang", "first"]).join(of("rest", "r"), ["lang", "rest"])
+    # all phrases of a language meet one total, which is repeated
+    salted = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)).cast("int")).join(salted, ["lang", "salt"])
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     cuts = cuts.withColumns({"up": (wide("a") * 1000).cast("decimal(19,0)") * wide("n"), "down": wide("l") * wide("r")}).withColumn("score", F.expr("up div down"))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "at", "k", "a", "l", "r", "n")).alias("m"))
@@ -202,7 +208,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", suppor
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     single = written(counted(rows, [1], None, None, None, shard))
     totals = cut(single.groupBy("lang").agg(F.sum("f").alias("n")))
-    all_words = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
+    size = single.agg(F.sum("f").alias("n"), F.sum(F.col("f") * (F.octet_length("phrase") + 1)).alias("bytes")).first()
+    all_words, shard = size["n"] or 0, max(1, min(shard, int(SHARE * (size["bytes"] or 0))))
     levels = [single.where(F.col("f") >= support)]
     frequent = bitmap(levels[0].select("key"), bits)
     pairs = None
