@@ -148,12 +148,23 @@ def cumulative_histogram(df: DataFrame, value: Column, bounds: list[float]) -> D
     return df.agg(*aggs).select(rows).select("r.*")
 
 
-def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.5) -> DataFrame:
-    """Exponential running average at the end of each ordered group: old and new weigh 1 - alpha and alpha, from the first value on.
-
-    As weights fall off geometrically by rank from the end, it is a weighted sum over a window rank, not a loop over a list."""
-    w = W.partitionBy(*keys)
-    back = F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) - 1
-    r = df.select(*keys, F.col(value).alias("_value"), back.alias("_back"), F.count(F.lit(1)).over(w).alias("_rows"))
-    weight = F.pow(F.lit(1 - alpha), F.col("_back")) * F.when(F.col("_back") == F.col("_rows") - 1, 1.0).otherwise(alpha)
-    return r.groupBy(*keys).agg(F.sum(weight * F.col("_value")).alias("ema"))
+def ema(df: DataFrame, keys: list[str], order: list[str], value: str, part: Column | None = None, alpha: float = 0.5, fan: int = 32) -> DataFrame:
+    """Exponential running average at the end of each ordered group: old and new weigh 1 - alpha and alpha, from the first value on; null values take no part.
+
+    `part` is an integer that grows with the order; without it a group is one part. The rows of a part are one map x -> a x + b of the average before them; maps of neighbouring parts
+    are composed, `fan` at a time, until one is left, and that takes the group's first value. So no task has more than a part or `fan` maps of a group."""
+    part = F.lit(0) if part is None else part
+    back = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*[F.desc(c) for c in order])) - 1
+    r = df.where(F.col(value).isNotNull()).withColumn("_part", part.cast("long")).withColumn("_back", back)
+    weight = F.pow(F.lit(1 - alpha), F.col("_back"))
+    m = r.groupBy(*keys, "_part").agg(F.pow(F.lit(1 - alpha), F.count(F.lit(1))).alias("a"), F.sum(weight * alpha * F.col(value)).alias("b"), F.max_by(value, "_back").cast("double").alias("v"))
+    ends = df.agg(F.min(part.cast("long")).alias("lo"), F.max(part.cast("long")).alias("hi")).first()  # one row
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    then = lambda s, x: F.struct((x["a"] * s["a"]).alias("a"), (x["a"] * s["b"] + x["b"]).alias("b"))
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    while hi > lo:
+        up = F.floor((F.col("_part") - lo) / fan).cast("long").alias("_part")
+        m = m.groupBy(*keys, up).agg(F.array_sort(F.collect_list(F.struct("_part", "a", "b"))).alias("l"), F.min_by("v", "_part").alias("v"))
+        m = m.withColumn("l", F.aggregate("l", none, then)).select(*keys, "_part", "l.a", "l.b", "v")
+        lo, hi = 0, (hi - lo) // fan
+    return m.select(*keys, (F.col("a") * F.col("v") + F.col("b")).alias("ema"))

@@ -63,7 +63,7 @@ def trend_volatility_momentum(spark, d):
 
 @query("""with v as (select user_id, list(value order by ts, event_id) as v from events where value is not null group by 1) select user_id, round(list_reduce(v, lambda a, x: (a + x) / 2), 6) as ema from v""")
 def ema_running(spark, d):
-    return rounded(S.ema(table(spark, d, "events").where("value is not null"), ["user_id"], ["ts", "event_id"], "value"), "ema")
+    return rounded(S.ema(table(spark, d, "events").where("value is not null"), ["user_id"], ["ts", "event_id"], "value", F.datediff("ts", F.lit("1970-01-01"))), "ema")
 
 
 @query("select user_id, arg_max(value, (ts, event_id)) as latest from events group by 1")
