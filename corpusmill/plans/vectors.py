@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import vector_index
 from corpusmill.operators import vectors as V
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import SQL, query
 from corpusmill.session import table
+from corpusmill.streaming.jobs import shared
 
 _Q = "(select embedding::double[] from embeddings where vec_id = 0)"
 
@@ -152,3 +156,29 @@ def relationship_extremes(spark, d):
 def relationship_kinds(spark, d):
     """Relationships by kind."""
     return relationships(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("strength"), 6).alias("mean"))
+
+
+def pruned(spark, d, metric: str):
+    """The 20 nearest to the vector of vec_id 0, from a table in cells."""
+    v = table(spark, d, "embeddings")
+    own = v.where("vec_id = 0 and embedding is not null").first()
+    path = f"{shared(spark)}/vectors-{uuid.uuid4().hex}"
+    query = list(own["embedding"]) if own else []
+    vector_index.build(v, path, metric, len(query))
+    found, _ = vector_index.search(spark, path, query, 20, metric, where=F.col("vec_id") != 0)
+    return answer(found)
+
+
+@query(SQL["vector_topk_cosine"])
+def vector_pruned_cosine(spark, d):
+    return pruned(spark, d, "cosine")
+
+
+@query(SQL["vector_topk_l2"])
+def vector_pruned_l2(spark, d):
+    return pruned(spark, d, "euclidean")
+
+
+@query(SQL["vector_topk_dot"])
+def vector_pruned_dot(spark, d):
+    return pruned(spark, d, "dot_product")
