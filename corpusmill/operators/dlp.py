@@ -108,16 +108,92 @@ def scan_literals(docs: DataFrame, patterns: list[tuple[str, str]], key: str = "
     return docs.select(key, F.explode(found).alias("f")).select(key, "f.*")
 
 
+def folded(c: Column) -> Column:
+    """A-Z in lower case: of one length with the text, whatever its other letters."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Characters of a gram; shorter patterns are their own gram.
+GRAM = 4
+
+
+def match_table(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", literal: str = "literal") -> DataFrame:
+    """(_key, _text, the columns of patterns): rows whose text holds the literal of a pattern, A-Z as a-z, for any number of patterns.
+
+    A text is cut into its distinct grams once. Each pattern is looked up by the one of its grams that stands in the fewest texts,
+    and only what that finds is held against the text. How many patterns there are changes the size of a join, not the plan.
+    Patterns that are null or empty match nothing; equal ones match each; repeated keys and null keys are rows of their own."""
+    taken = list(patterns.columns)
+    p = patterns.where(F.length(literal) > 0).withColumn("_low", folded(F.col(literal))).withColumn("_size", F.least(F.length("_low"), F.lit(GRAM)))
+    sizes = sorted(r["_size"] for r in p.select("_size").distinct().collect())  # GRAM at most
+    cut = lambda t, n: F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    none = F.array().cast("array<string>")
+    grams = lambda t: F.array_distinct(F.concat(none, *[cut(t, n) for n in sizes]))
+    own = reduce(lambda out, n: out.when(F.col("_size") == n, cut(F.col("_low"), n)), sizes, F.when(F.lit(False), none))
+    low = p.select("_low", F.explode(F.array_distinct(own)).alias("_gram")).distinct()
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    there = docs.select(F.col(key).alias("_key"), F.explode(grams(folded(t))).alias("_gram"))
+    often = there.join(low.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a gram that no text has rules the pattern out
+    rare = low.join(often, "_gram", "left").groupBy("_low").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("m")).where("m.n > 0").select("_low", F.col("m.g").alias("_gram"))
+    met = there.join(rare, "_gram").select(F.col("_key").alias("_k"), "_low").distinct()
+    rows = docs.select(F.col(key).alias("_key"), t.alias("_text"))
+    found = rows.join(met, F.col("_key").eqNullSafe(F.col("_k"))).where(F.contains(folded(F.col("_text")), F.col("_low"))).select("_key", "_text", "_low")
+    return found.join(p, "_low").select("_key", "_text", *taken)
+
+
+def scan_literal_table(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As scan_literals(), with the patterns as a table (name, literal) of any length."""
+    found = match_table(docs, patterns.select("name", "literal"), key, text)
+    return found.where(F.contains("_text", F.col("literal"))).select(F.col("_key").alias(key), "name", F.col("literal").alias("value"), F.lit(0.7).alias("confidence"), (F.position(F.col("literal"), F.col("_text")) - 1).alias("start"))
+
+
+RULE = "name string, severity string, kind string, pattern string, whole_word boolean, case_sensitive boolean, exclusions array<string>"
+
+
+def _quoted(c: Column) -> Column:
+    return F.regexp_replace(c, r"([^0-9A-Za-z\x80-\x{10FFFF} ])", r"\\$1")
+
+
+def scan_keyword_table(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rule, severity, value) of keyword rules, a table as RULE: every place where a keyword stands, as it is written there."""
+    found = match_table(docs, rules.select("name", F.coalesce("severity", F.lit("medium")).alias("severity"), F.col("pattern").alias("literal"), F.coalesce("whole_word", F.lit(False)).alias("whole"), F.coalesce("case_sensitive", F.lit(False)).alias("exact"), "exclusions"), key, text)
+    core = F.concat(F.lit("(?:"), _quoted(F.col("literal")), F.lit(")"))
+    edge = F.lit(pattern(r"\b"))
+    p = F.concat(F.when(F.col("exact"), "").otherwise("(?i)"), F.when(F.col("whole"), F.concat(edge, core, edge)).otherwise(core))
+    values = found.select(F.col("_key").alias(key), F.col("name").alias("rule"), "severity", "exclusions", F.explode(F.regexp_extract_all("_text", p, F.lit(0))).alias("value"))
+    return values.where(~F.coalesce(F.array_contains("exclusions", F.col("value")), F.lit(False))).drop("exclusions")
+
+
+def _not_in(values: list[str]):
+    return lambda v: ~v.isin(values)
+
+
+def _finding(rule: str, severity: str):
+    return lambda v: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), v.alias("value"))
+
+
 def scan_rules(docs: DataFrame, rules: list[dict], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, rule, severity, value) of policy rules: `kind` regex, keyword or builtin, `pattern`, and whole_word, case_sensitive, exclusions (values that don't count)."""
+    """(key, rule, severity, value) of policy rules: `kind` regex, keyword or builtin, `pattern`, and whole_word, case_sensitive, exclusions (values that don't count).
+
+    Patterns are looked for in one pass over the texts, keywords go as a table."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = []
+    found, words = [], []
     for r in rules:
-        p = TYPES[r["pattern"]][0] if r["kind"] == "builtin" else "".join(f"\\{c}" if not c.isalnum() and ord(c) < 128 and c != " " else c for c in r["pattern"]) if r["kind"] == "keyword" else r["pattern"]
+        if r["kind"] == "keyword":
+            words.append((r["name"], r.get("severity", "medium"), "keyword", r["pattern"], bool(r.get("whole_word")), bool(r.get("case_sensitive")), r.get("exclusions")))
+            continue
+        p = TYPES[r["pattern"]][0] if r["kind"] == "builtin" else r["pattern"]
         p = ("" if r.get("case_sensitive") else "(?i)") + (pattern(rf"\b(?:{p})\b") if r.get("whole_word") else pattern(p))
         values = F.regexp_extract_all(t, F.lit(p), F.lit(0))
-        rows = docs.select(key, F.lit(r["name"]).alias("rule"), F.lit(r.get("severity", "medium")).alias("severity"), F.explode(values).alias("value"))
-        out.append(rows.where(~F.col("value").isin(r["exclusions"])) if r.get("exclusions") else rows)
+        if r.get("exclusions"):
+            values = F.filter(values, _not_in(r["exclusions"]))
+        found.append(F.transform(values, _finding(r["name"], r.get("severity", "medium"))))
+    out = []
+    if found:
+        out.append(docs.select(key, F.explode(F.concat(*found)).alias("f")).select(key, "f.*"))
+    if words or not out:
+        out.append(scan_keyword_table(docs, docs.sparkSession.createDataFrame(words, RULE), key, text))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -161,6 +161,16 @@ def dlp_custom_patterns(spark, d):
     return D.scan_literals(docs(spark, d), _CUSTOM)
 
 
+_WORDS = "select distinct w as name, w as literal from (select unnest(regexp_split_to_array(coalesce(text, ''), '[^A-Za-z]+')) as w from benchmark) where length(w) >= 3"
+
+
+@query(f"with p as ({_WORDS}) select doc_id, name, literal as value, 0.7::double as confidence, strpos({TEXT}, literal) - 1 as start from documents join p on contains({TEXT}, literal)")
+def dlp_pattern_table(spark, d):
+    """All words of the benchmark as custom patterns, wherever they stand in a document."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+")).alias("name")).where(F.length("name") >= 3).distinct()
+    return D.scan_literal_table(docs(spark, d), words.withColumn("literal", F.col("name")))
+
+
 #: Policy rules of the query.
 POLICY = [
     {"name": "license-word", "kind": "keyword", "pattern": "license", "whole_word": True, "severity": "low", "exclusions": ["License"]},
