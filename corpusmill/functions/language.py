@@ -16,23 +16,26 @@ def letters_only(text: Column) -> Column:
     return T.trimmed(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\x20\x09-\x0D]", " "), T.SPACE, " "))
 
 
-def language_scores(clean: Column) -> Column:
-    """Array of (score, lang) of a text of letters only: .4 common words + .3 stop words + .2 letter shares + .1 word pairs."""
-    pairs = lambda t: F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+def _standing(padded: Column, terms: list[str]) -> Column:
+    """How often the terms stand in a text of words with a space on either side; terms of several words may overlap."""
+    return F.regexp_count(padded, F.lit(f"(?<= )(?=(?:{'|'.join(terms)}) )"))
 
-    def of(x: Column) -> Column:
-        t, p, n, letters = x["t"], x["p"], F.size(x["t"]), x["letters"]
-        rows = []
-        for lang, y in L.LANGUAGE.items():
-            share = lambda values: F.when(n > 0, T.hits(t, values) / n).otherwise(0.0)
-            alike = reduce(lambda a, b: a + b, [1 - F.abs(T.count_of(clean, c) / letters - f) for c, f in y["letters"].items()]) / len(y["letters"])
-            paired = F.when(n > 1, T.hits(p, y["pairs"]) / (n - 1)).otherwise(0.0) if y["pairs"] else F.lit(0.0)
-            score = 0.4 * share(y["common"]) + 0.3 * share(y["common"] + y["stop"]) + 0.2 * F.when(letters > 0, alike).otherwise(0.0) + 0.1 * paired
-            rows.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
-        return F.array(*rows)
 
-    parts = lambda t: F.struct(t.alias("t"), pairs(t).alias("p"), F.length(F.replace(clean, F.lit(" "), F.lit(""))).cast("double").alias("letters"))
-    return T.let(F.filter(F.split(clean, " "), lambda w: w != ""), lambda t: T.let(parts(t), of))
+def language_scores(clean: Column) -> Column:
+    """Array of (score, lang) of a text of letters only: .4 common words + .3 stop words + .2 letter shares + .1 word pairs.
+
+    All are counts over the whole text, so that they run compiled and what languages share is counted once."""
+    padded = F.concat(F.lit(" "), clean, F.lit(" "))
+    n = F.regexp_count(clean, F.lit("[^ ]+"))
+    letters = F.length(F.replace(clean, F.lit(" "), F.lit(""))).cast("double")
+    rows = []
+    for lang, y in L.LANGUAGE.items():
+        share = lambda values: F.when(n > 0, _standing(padded, values) / n).otherwise(0.0)
+        alike = reduce(lambda a, b: a + b, [1 - F.abs(T.count_of(clean, c) / letters - f) for c, f in y["letters"].items()]) / len(y["letters"])
+        paired = F.when(n > 1, _standing(padded, y["pairs"]) / (n - 1)).otherwise(0.0) if y["pairs"] else F.lit(0.0)
+        score = 0.4 * share(y["common"]) + 0.3 * share(y["common"] + y["stop"]) + 0.2 * F.when(letters > 0, alike).otherwise(0.0) + 0.1 * paired
+        rows.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
+    return F.array(*rows)
 
 
 def scored_language(scores: Column, clean: Column) -> dict[str, Column]:
@@ -96,32 +99,39 @@ def sentiment_overall(s: Column) -> dict[str, Column]:
     return {"score": score, "magnitude": magnitude, "label": label, "confidence": F.when(n > 0, F.least(F.lit(1.0), magnitude * 0.7 + alike * 0.3)).otherwise(0.0)}
 
 
-def linguistic(text: Column, syllable: Column) -> dict[str, Column]:
+def linguistic(text: Column, syllables: Column, hard: Column) -> dict[str, Column]:
     """Lengths, diversity, words that stand once, hard words, formality and abstractness; 0 for a text without words."""
     w = T.words(text)
-    n, s = F.size(w).cast("double"), F.size(T.sentences(text)).cast("double")
+    n, s = T.count_words(text).cast("double"), F.size(T.sentences(text)).cast("double")
     distinct, once = T.sorted_counts(T.stripped(w))
     low = F.lower(text)
     formal, informal = T.how_many(low, L.FORMAL), T.how_many(low, L.INFORMAL)
     out = {
         "sentence_bytes": F.octet_length(text) / s,
         "sentence_words": n / s,
-        "word_syllables": T.total(syllable) / n,
+        "word_syllables": syllables / n,
         "type_token": distinct / n,
         "hapax": once.cast("double"),
-        "hard_percent": F.size(F.filter(syllable, lambda x: x >= 3)) / n * 100,
+        "hard_percent": hard / n * 100,
         "formality": F.when(formal + informal == 0, 0.5).otherwise(F.try_divide(formal.cast("double"), formal + informal)),
         "abstractness": T.how_many(low, L.ABSTRACT) / n,
     }
     return {k: F.when((n > 0) & (s > 0), v).otherwise(0.0) for k, v in out.items()}
 
 
-def semantic(text: Column) -> dict[str, Column]:
-    """Repeated content words, content density, abstract words and technical terms a hundred words, tone, subjectivity; 0 where there are no words."""
+def stop_words(lang: Column) -> Column:
+    """The analyser's stop words of a language; English ones for all that have none of their own."""
+    own = lambda words: F.array(*[F.lit(w) for w in words])
+    return reduce(lambda out, kv: out.when(lang == kv[0], own(kv[1])), [kv for kv in L.ANALYSER_STOPS.items() if kv[0] != "en"], F.when(F.lit(False), own([""]))).otherwise(own(L.ANALYSER_STOPS["en"]))
+
+
+def semantic(text: Column, lang: Column) -> dict[str, Column]:
+    """Of a text and the language found in it: repeated content words, content density, abstract words and technical terms a hundred words, tone, subjectivity; 0 where there are no words."""
     w = T.words(text)
     n = F.size(w).cast("double")
     clean, low = T.stripped(w), F.lower(text)
-    content = lambda least: F.filter(clean, lambda x: ~x.isin(L.ANALYSER_STOP) & (F.octet_length(x) >= least))
+    stops = stop_words(lang)
+    content = lambda least: F.filter(clean, lambda x: (F.octet_length(x) >= least) & ~F.array_contains(stops, x))
     distinct, once = T.sorted_counts(content(4))
     technical = F.size(F.filter(w, lambda x: (F.octet_length(F.regexp_replace(x, r"^[.,!?;:]+|[.,!?;:]+$", "")) > 8) | F.contains(x, F.lit("_")) | x.rlike("[A-Z]{2,}")))
     tally = lambda terms: reduce(lambda a, b: a + b, [T.count_of(low, t) for t in terms])

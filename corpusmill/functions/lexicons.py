@@ -153,7 +153,13 @@ TONE_BAD = ["bad", "terrible", "awful", "sad", "angry", "hate", "fear"]
 SUBJECTIVE = ["think", "believe", "feel", "opinion", "personally", "maybe", "probably"]
 OBJECTIVE = ["fact", "data", "evidence", "research", "study", "analysis"]
 CONJUNCTIONS = ["and", "or", "but", "so", "yet", "for", "nor", "because", "since", "although"]
-ANALYSER_STOP = "the and to of a in is it you that he was for on are as with his they at be this have from or one had by words but not what all were we when your can said".split()
+ANALYSER_STOP = "the and to of a in is it you that he was for on are as with his they at be this have from or one had by words but not what all were they we when your can said".split()
+#: By the language found; other languages take the English ones.
+ANALYSER_STOPS = {
+    "en": ANALYSER_STOP,
+    "es": "el la de que y a en un es se no te lo le da su por son con para".split(),
+    "fr": "le de et à un il être et en avoir que pour dans ce son une sur avec ne se".split(),
+}
 PHRASE_STOP = "the a an and or but in on at to for of with by is are was were be been have has had do does did will would could should this that these those i you he she it we they them".split()
 #: Words that keywords leave out, and common ones that count for less; both are parameters of the operator.
 KEYWORD_STOP = "a an and are as at be by for from has he in is it its of on that the to was were will with this but they have had what said each which she do how their if up out many then them these so some her would make like into him more go no way could my than first been call who now find long down day did get come made may part over new sound take only little work know".split()

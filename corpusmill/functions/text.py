@@ -157,6 +157,32 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0))
 
 
+_V, _S = "aeiouy", r"\x20\x09-\x0D"
+#: Counts of words by their vowel groups, each a pattern over a whole lower-cased text: a word's start, its letters, its end.
+_START, _END = f"(?<![^{_S}])", f"(?![^{_S}])"
+_GROUP, _GAP = f"[{_V}]++", f"[^{_V}{_S}]++"
+_NO_GROUP = f"{_START}[^{_V}{_S}]++{_END}"
+_LAST_E = f"[{_V}][^{_V}{_S}]++[{_V}]*e{_END}"
+_THREE = f"{_START}[^{_V}{_S}]*+{_GROUP}{_GAP}{_GROUP}{_GAP}[{_V}]"
+_THREE_E = f"{_START}[^{_V}{_S}]*+{_GROUP}{_GAP}{_GROUP}{_GAP}[{_V}]*e{_END}"
+_NO_VOWEL = f"{_START}[^aeiou{_S}]++{_END}"
+_THREE_VOWELS = f"{_START}(?:[^aeiou{_S}]*+[aeiou]){{3}}"
+
+
+def syllable_counts(text: Column, lang: Column) -> tuple[Column, Column]:
+    """Syllables of all words of a text, and how many words have three or more.
+
+    Spanish and French words have as many as single vowels, those of all other languages as syllables() says; each word has one at the
+    least. They are counted by patterns over the whole text: vowel groups, less one for words of two groups or more that end in e,
+    and one for each word without any."""
+    low = F.lower(text)
+    count = lambda p: F.regexp_count(low, F.lit(p))
+    single = lang.isin("es", "fr")
+    total = F.when(single, count("[aeiou]") + count(_NO_VOWEL)).otherwise(count(f"[{_V}]+") - count(_LAST_E) + count(_NO_GROUP))
+    hard = F.when(single, count(_THREE_VOWELS)).otherwise(count(_THREE) - count(_THREE_E))
+    return total.cast("double"), hard.cast("double")
+
+
 def vowels(word: Column) -> Column:
     """Vowels of a word's letters, less one for a last e, 1 at the least; 0 for a word without letters."""
     w = F.regexp_replace(F.lower(word), "[^a-z]", "")
@@ -173,12 +199,11 @@ def grades(w: Column, s: Column, y: Column, hard: Column) -> dict[str, Column]:
     return {"kincaid": 0.39 * (w / s) + 11.8 * (y / w) - 15.59, "flesch": 206.835 - 1.015 * (w / s) - 84.6 * (y / w), "fog": 0.4 * (w / s + 100 * hard / w)}
 
 
-def readability(text: Column, syllable: Column) -> dict[str, Column]:
-    """Of a text and its words' syllables: Flesch-Kincaid, Flesch ease, Fog, SMOG (0 below 30 sentences), Coleman-Liau, automated index; 0 for a text without words."""
+def readability(text: Column, syllables: Column, hard: Column) -> dict[str, Column]:
+    """Of a text, its words' syllables and how many are hard: Flesch-Kincaid, Flesch ease, Fog, SMOG (0 below 30 sentences), Coleman-Liau, automated index; 0 for a text without words."""
     w, s = count_words(text).cast("double"), F.size(sentences(text)).cast("double")
-    hard = F.size(F.filter(syllable, lambda n: n >= 3)).cast("double")
     letters, characters = F.regexp_count(text, F.lit(r"\p{L}")).cast("double"), F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
-    out = grades(w, s, total(syllable).cast("double"), hard)
+    out = grades(w, s, syllables, hard)
     out["smog"] = F.when(s >= 30, 1.043 * F.sqrt(hard * 30 / s) + 3.1291).otherwise(0.0)
     out["coleman_liau"] = 0.0588 * (letters / w * 100) - 0.296 * (s / w * 100) - 15.8
     out["ari"] = 4.71 * characters / w + 0.5 * w / s - 21.43
@@ -200,6 +225,18 @@ def level(kincaid: Column) -> Column:
     return F.when(kincaid < 6, "elementary").when(kincaid < 9, "middle").when(kincaid < 13, "high").otherwise("college")
 
 
+def reading_level(r: dict[str, Column]) -> Column:
+    """Five levels by the mean of the scores of readability()."""
+    mean = (r["kincaid"] + r["fog"] + r["coleman_liau"] + r["ari"]) / 4
+    return F.when(mean <= 6, "Elementary").when(mean <= 8, "Middle School").when(mean <= 12, "High School").when(mean <= 16, "College").otherwise("Graduate")
+
+
+def complexity_level(r: dict[str, Column]) -> Column:
+    """Four levels by the same mean."""
+    mean = (r["kincaid"] + r["fog"] + r["coleman_liau"] + r["ari"]) / 4
+    return F.when(mean <= 6, "elementary").when(mean <= 9, "intermediate").when(mean <= 13, "advanced").otherwise("expert")
+
+
 def content_type(text: Column) -> Column:
     """faq, technical, marketing or general: by question marks a byte, numbers a word, exclamation marks a byte."""
     size, n = F.octet_length(text), count_words(text)

@@ -75,6 +75,19 @@ _SCORES = ", ".join(
 )
 
 
+#: (doc_id, lang): the language found, as lang_scored says.
+_FOUND = f"""with c as (select doc_id, {_ONLY} as c from documents), t as (select doc_id, c, list_filter(string_split(c, ' '), lambda w: w <> '') as t, length(replace(c, ' ', '')) as l from c),
+p as (select *, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) as p from t), s as (select doc_id, c, {_SCORES} from p), m as (select *, greatest({', '.join(f's_{k}' for k in L.LANGUAGE)}) as best from s)
+select doc_id, case when strlen(c) < 10 or best < 0.3 then 'unknown' {' '.join(f"when s_{k} = best then '{k}'" for k in L.LANGUAGE)} end as lang from m"""
+
+
+def with_language(spark, d):
+    """doc_id, text and the language found in it."""
+    t = docs(spark, d).select("doc_id", "text", G.letters_only(F.col("text")).alias("c"))
+    s = t.select("doc_id", "text", "c", G.language_scores(F.col("c")).alias("s"))
+    return s.select("doc_id", "text", G.scored_language(F.col("s"), F.col("c"))["lang"].alias("lang"))
+
+
 @query(f"""with c as (select doc_id, {_ONLY} as c from documents), t as (select doc_id, c, list_filter(string_split(c, ' '), lambda w: w <> '') as t, length(replace(c, ' ', '')) as l from c),
 p as (select *, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) as p from t), s as (select doc_id, c, {_SCORES} from p), m as (select *, greatest({', '.join(f's_{k}' for k in L.LANGUAGE)}) as best from s)
 select doc_id, case when strlen(c) < 10 or best < 0.3 then 'unknown' {' '.join(f"when s_{k} = best then '{k}'" for k in L.LANGUAGE)} end as lang, case when strlen(c) < 10 or best < 0.3 then 0 else round(best, 6) end as confidence,
@@ -133,19 +146,22 @@ def topics_dictionary(spark, d):
 # sums over words; `y` a list of syllables
 _SYL = "list_transform({w}, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - case when ends_with(lower(x), 'e') and len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 then 1 else 0 end))"
 _VOW = "list_transform(list_transform({w}, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')), lambda x: case when x = '' then 0 when len(regexp_extract_all(x, '[aeiouy]')) - case when ends_with(x, 'e') then 1 else 0 end = 0 then 1 else len(regexp_extract_all(x, '[aeiouy]')) - case when ends_with(x, 'e') then 1 else 0 end end)"
+_BY_LANG = f"case when lang in ('es', 'fr') then list_transform(t, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiou]')))) else {_SYL.format(w='t')} end"
 SENTENCES = f"list_filter(list_transform(regexp_split_to_array(text, '[.!?]+[\\x20\\x09-\\x0D]+'), lambda x: {TRIM('x')}), lambda x: x <> '')"
 _GRADES = "0.39 * (w / s) + 11.8 * (y / w) - 15.59 as kincaid, 206.835 - 1.015 * (w / s) - 84.6 * (y / w) as flesch, 0.4 * (w / s + 100 * h / w) as fog"
 _ZERO = lambda names: ", ".join(f"coalesce(round({n}, 6), 0) as {n}" for n in names)
 
 
-@query(f"""with t as (select doc_id, {TEXT} as text from documents), a as (select doc_id, text, {WORDS('text')} as t, {SENTENCES} as p from t), b as (select doc_id, text, len(t) as n, len(p) as m, {_SYL.format(w='t')} as l from a),
+@query(f"""with found as materialized ({_FOUND}), t as (select doc_id, {TEXT} as text, found.lang from documents join found using (doc_id)), a as (select doc_id, text, lang, {WORDS('text')} as t, {SENTENCES} as p from t), b as (select doc_id, text, len(t) as n, len(p) as m, {_BY_LANG} as l from a),
 c as (select doc_id, text, nullif(n, 0)::double as w, nullif(m, 0)::double as s, coalesce(list_sum(l), 0)::double as y, len(list_filter(l, lambda x: x >= 3))::double as h from b),
 g as (select *, {_GRADES}, case when s >= 30 then 1.043 * sqrt(h * 30 / s) + 3.1291 else 0 end as smog, 0.0588 * (len(regexp_extract_all(text, '\\p{{L}}')) / w * 100) - 0.296 * (s / w * 100) - 15.8 as coleman_liau, 4.71 * strlen(replace(text, ' ', '')) / w + 0.5 * w / s - 21.43 as ari from c)
-select doc_id, {_ZERO(['kincaid', 'flesch', 'fog', 'smog', 'coleman_liau', 'ari'])}, case when coalesce(kincaid, 0) < 6 then 'elementary' when kincaid < 9 then 'middle' when kincaid < 13 then 'high' else 'college' end as level from g""")
+select doc_id, {_ZERO(['kincaid', 'flesch', 'fog', 'smog', 'coleman_liau', 'ari'])}, case when coalesce(kincaid, 0) < 6 then 'elementary' when kincaid < 9 then 'middle' when kincaid < 13 then 'high' else 'college' end as level,
+case when mean <= 6 then 'Elementary' when mean <= 8 then 'Middle School' when mean <= 12 then 'High School' when mean <= 16 then 'College' else 'Graduate' end as reading_level, case when mean <= 6 then 'elementary' when mean <= 9 then 'intermediate' when mean <= 13 then 'advanced' else 'expert' end as complexity
+from (select *, coalesce((kincaid + fog + coleman_liau + ari) / 4, 0) as mean from g)""")
 def readability_linguistic(spark, d):
-    t = docs(spark, d).select("doc_id", "text", F.transform(T.words(F.col("text")), T.syllables).alias("y"))
-    r = T.readability(F.col("text"), F.col("y"))
-    return t.select("doc_id", *rounded(r), T.level(r["kincaid"]).alias("level"))
+    """Scores and levels, syllables counted by the language found."""
+    r = T.readability(F.col("text"), *T.syllable_counts(F.col("text"), F.col("lang")))
+    return with_language(spark, d).select("doc_id", *rounded(r), T.level(r["kincaid"]).alias("level"), T.reading_level(r).alias("reading_level"), T.complexity_level(r).alias("complexity"))
 
 
 @query(f"""with t as (select doc_id, {TEXT} as text from documents), a as (select doc_id, text, {WORDS('text')} as t from t), b as (select doc_id, text, len(t) as n, {_VOW.format(w='t')} as l from a),
@@ -161,42 +177,44 @@ _HAS = lambda terms: " + ".join(f"contains(lower(text), '{x}')::int" for x in te
 _MANY = lambda terms: " + ".join(f"((length(lower(text)) - length(replace(lower(text), '{x}', ''))) / {len(x)})::int" for x in terms)
 
 
-@query(f"""with t as (select doc_id, {TEXT} as text from documents), a as (select doc_id, text, {WORDS('text')} as t, {SENTENCES} as p from t), b as (select doc_id, text, t, len(t)::double as n, len(p)::double as s, {_SYL.format(w='t')} as l from a),
+@query(f"""with found as materialized ({_FOUND}), t as (select doc_id, {TEXT} as text, found.lang from documents join found using (doc_id)), a as (select doc_id, text, lang, {WORDS('text')} as t, {SENTENCES} as p from t), b as (select doc_id, text, t, len(t)::double as n, len(p)::double as s, {_BY_LANG} as l from a),
 u as (select doc_id, unnest({STRIPPED('t', '.,!?;:')}) as w from b), c as (select doc_id, w, count(*) as k from u group by 1, 2), v as (select doc_id, count(*) as types, count(*) filter (k = 1) as once from c group by 1),
 m as (select b.doc_id, case when n > 0 and s > 0 then 1 end as ok, strlen(text) / s as sentence_bytes, n / s as sentence_words, list_sum(l) / n as word_syllables, types / n as type_token, once::double as hapax, len(list_filter(l, lambda x: x >= 3)) / n * 100 as hard_percent,
 coalesce(({_HAS(L.FORMAL)}) / nullif({_HAS(L.FORMAL)} + {_HAS(L.INFORMAL)}, 0), 0.5) as formality, ({_HAS(L.ABSTRACT)}) / n as abstractness from b left join v on b.doc_id = v.doc_id)
 select doc_id, {', '.join(f'coalesce(round(ok * {k}, 6), 0) as {k}' for k in ['sentence_bytes', 'sentence_words', 'word_syllables', 'type_token', 'hapax', 'hard_percent', 'formality', 'abstractness'])} from m""")
 def linguistic_features(spark, d):
-    t = docs(spark, d).select("doc_id", "text", F.transform(T.words(F.col("text")), T.syllables).alias("y"))
-    return t.select("doc_id", *rounded(G.linguistic(F.col("text"), F.col("y"))))
+    r = G.linguistic(F.col("text"), *T.syllable_counts(F.col("text"), F.col("lang")))
+    return with_language(spark, d).select("doc_id", *rounded(r))
 
 
-_CONTENT = lambda least: f"list_filter(c, lambda w: not list_contains({LIST(L.ANALYSER_STOP)}, w) and strlen(w) >= {least})"
+_STOPS = f"case lang when 'es' then {LIST(L.ANALYSER_STOPS['es'])} when 'fr' then {LIST(L.ANALYSER_STOPS['fr'])} else {LIST(L.ANALYSER_STOPS['en'])} end"
+_CONTENT = lambda least: f"list_filter(c, lambda w: not list_contains({_STOPS}, w) and strlen(w) >= {least})"
 
 
-@query(f"""with t as (select doc_id, {TEXT} as text from documents), a as (select doc_id, text, {WORDS('text')} as t from t), b as (select *, {STRIPPED('t', '.,!?;:')} as c, nullif(len(t), 0)::double as n from a),
+@query(f"""with found as materialized ({_FOUND}), t as (select doc_id, {TEXT} as text, found.lang from documents join found using (doc_id)), a as (select doc_id, text, lang, {WORDS('text')} as t from t), b as (select *, {STRIPPED('t', '.,!?;:')} as c, nullif(len(t), 0)::double as n from a),
 u as (select doc_id, unnest({_CONTENT(4)}) as w from b), k as (select doc_id, w, count(*) as k from u group by 1, 2), r as (select doc_id, count(*) filter (k > 1) / count(*) as repeated from k group by 1),
 m as (select b.doc_id, repeated, len({_CONTENT(3)}) / n as density, ({_HAS(L.ABSTRACT)} + least(10, len(list_filter(t, lambda w: strlen(trim(w, '.,!?;:')) > 8 or contains(w, '_') or regexp_matches(w, '[A-Z]{{2,}}'))))) / n * 100 as complexity,
 {_MANY(L.TONE_GOOD)} as good, {_MANY(L.TONE_BAD)} as bad, {_MANY(L.SUBJECTIVE)} as own, {_MANY(L.OBJECTIVE)} as facts from b left join r on b.doc_id = r.doc_id)
 select doc_id, coalesce(round(repeated, 6), 0) as repeated, coalesce(round(density, 6), 0) as density, coalesce(round(complexity, 6), 0) as complexity, case when good > bad then 'positive' when bad > good then 'negative' else 'neutral' end as tone, round(coalesce(own / nullif(own + facts, 0), 0.5), 6) as subjectivity from m""")
 def semantic_features(spark, d):
-    return docs(spark, d).select("doc_id", *rounded(G.semantic(F.col("text"))))
+    return with_language(spark, d).select("doc_id", *rounded(G.semantic(F.col("text"), F.col("lang"))))
 
 
 _MARKS = ".,!?;:\"''()[]{}"
 
 
-@query(f"""with w as (select doc_id, unnest({STRIPPED(WORDS(TEXT), _MARKS)}) as w from documents), c as (select doc_id, w, count(*) as n from w group by 1, 2),
+@query(f"""with found as materialized ({_FOUND}), w as (select doc_id, unnest({STRIPPED(WORDS(TEXT), _MARKS)}) as w from documents), c as (select doc_id, w, lang, count(*) as n from w join found using (doc_id) group by 1, 2, 3),
 h as (select doc_id, string_agg(size || ':' || n, ',' order by size) as lengths from (select doc_id, strlen(w) as size, sum(n)::bigint as n from c where w <> '' group by 1, 2) group by 1),
-g as (select doc_id, sum(n)::bigint as words, count(*) filter (w <> '') as distinct_words, count(*) filter (n > 3 and w <> '' and not list_contains({LIST(L.ANALYSER_STOP)}, w)) as common, count(*) filter (n = 1 and strlen(w) > 6) as rare, count(*) filter (strlen(w) > 8) as long_words from c group by 1)
+g as (select doc_id, sum(n)::bigint as words, count(*) filter (w <> '') as distinct_words, count(*) filter (n > 3 and w <> '' and not list_contains({_STOPS}, w)) as common, count(*) filter (n = 1 and strlen(w) > 6) as rare, count(*) filter (strlen(w) > 8) as long_words from c group by 1)
 select g.*, coalesce(lengths, '') as lengths from g left join h on g.doc_id = h.doc_id""".replace("select g.*, coalesce", "select g.doc_id, words, distinct_words, common, rare, long_words, coalesce"))
 def vocabulary_stats(spark, d):
     """Words, distinct ones, common, rare and long ones, and a histogram of lengths in bytes as size:count."""
-    w = docs(spark, d).select("doc_id", F.explode(T.stripped(T.words(F.col("text")), ".,!?;:\"'()[]{}")).alias("w"))
-    c = w.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    w = with_language(spark, d).select("doc_id", "lang", F.explode(T.stripped(T.words(F.col("text")), ".,!?;:\"'()[]{}")).alias("w"))
+    c = w.groupBy("doc_id", "lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    stop = F.array_contains(G.stop_words(F.col("lang")), F.col("w"))
     n, size, full = F.col("n"), F.octet_length("w"), F.col("w") != ""
     tally = lambda p: F.sum(F.when(p, 1).otherwise(0))
-    g = c.groupBy("doc_id", size.alias("size")).agg(F.sum("n").alias("words"), tally(full).alias("distinct_words"), tally((n > 3) & full & ~F.col("w").isin(L.ANALYSER_STOP)).alias("common"), tally((n == 1) & (size > 6)).alias("rare"), tally(size > 8).alias("long_words"))
+    g = c.groupBy("doc_id", size.alias("size")).agg(F.sum("n").alias("words"), tally(full).alias("distinct_words"), tally((n > 3) & full & ~stop).alias("common"), tally((n == 1) & (size > 6)).alias("rare"), tally(size > 8).alias("long_words"))
     bars = F.transform(F.array_sort(F.collect_list(F.when(F.col("size") > 0, F.struct("size", "words")))), lambda x: F.concat_ws(":", x["size"].cast("string"), x["words"].cast("string")))
     return g.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in ("words", "distinct_words", "common", "rare", "long_words")], F.array_join(bars, ",").alias("lengths"))
 
