@@ -32,6 +32,47 @@ TEMPLATES = {
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+#: Further texts of a label, each a template of its own: versions, relatives, and the way a license is named in a line.
+FURTHER = {
+    "gpl-2": [
+        "GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "Licensed under the GNU General Public License version 2",
+    ],
+    "gpl-3": ["GNU General Public License as published by the Free Software Foundation; either version 3 of the License", "Licensed under the GNU General Public License version 3"],
+    "lgpl-2": ["GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License", "Licensed under the GNU Library General Public License version 2"],
+    "lgpl-2.1": [
+        "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License version 2.1",
+    ],
+    "lgpl-3": [
+        "GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License version 3",
+    ],
+    "agpl-3": [
+        "GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License version 3",
+    ],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ],
+    "cc-by": ["Licensed under a Creative Commons Attribution License", "Licensed under CC BY 4.0"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0"],
+    "cc-by-nd": ["This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0"],
+    "cc-by-nc-sa": ["This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0"],
+    "cc-by-nc-nd": ["This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0"],
+}
+
+#: Words that tell relatives of a family apart, in the form that they are held against each other.
+KINDS = {b"lesser": "lesser", b"library": "library", b"affero": "affero"}
+TERMS = {b"attribution": "by", b"noncommercial": "nc", b"sharealike": "sa", b"noderivatives": "nd", b"noderivs": "nd", b"by": "by", b"nc": "nc", b"sa": "sa", b"nd": "nd"}
+
 _WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -104,16 +145,59 @@ class Automaton:
         return out
 
 
+def version_of(words: list[bytes]) -> str | None:
+    """The first version that is named: after `version`, `v` or a license's name; 2 and 2.0 are one."""
+    for i, w in enumerate(words):
+        if w.startswith(b"v") and w[1:].isdigit():
+            major, rest = w[1:], words[i + 1 : i + 2]
+        elif w in (b"version", b"v", b"license", b"gpl", b"lgpl", b"agpl") and i + 1 < len(words) and words[i + 1].removeprefix(b"v").isdigit():
+            major, rest = words[i + 1].removeprefix(b"v"), words[i + 2 : i + 3]
+        else:
+            continue
+        if len(major) < 3:
+            minor = rest[0].decode() if rest and rest[0].isdigit() and len(rest[0]) == 1 else "0"
+            return major.decode() if minor == "0" else f"{major.decode()}.{minor}"
+    return None
+
+
+def traits(words: list[bytes], first: int, past: int) -> tuple[str, frozenset[str], str | None]:
+    """(family, kind, version) of the words [first, past) and those close by: `gpl` for the GNU licenses, `cc` for Creative Commons, else ''.
+
+    A kind before a license's name counts, and what comes shortly after; of several versions the first one behind."""
+    own = words[first:past]
+    version = version_of(words[first : past + 8])
+    if b"public" in own and b"general" in own:
+        return "gpl", frozenset(KINDS[w] for w in words[max(0, first - 3) : past] if w in KINDS), version
+    near = words[first : past + 3]
+    if b"creative" in own or b"cc" in own:
+        at = next(i for i, w in enumerate(near) if w in (b"creative", b"cc"))
+        chain, i = set(), at + 1
+        while i < len(near) and (near[i] in TERMS or near[i] in (b"commons", b"non", b"commercial", b"share", b"alike", b"no")):
+            pair = b"".join(near[i : i + 2])
+            if near[i] in TERMS or pair in TERMS:
+                chain.add(TERMS.get(near[i]) or TERMS[pair])
+            i += 1
+        return "cc", frozenset(chain), None
+    return "", frozenset(), version
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], shortest: int = 4, gap: int = 6, covered: float = 0.5, least: int = 5):
+    def __init__(self, templates: dict[str, str], shortest: int = 4, gap: int = 6, covered: float = 0.5, least: int = 5, further: dict[str, list[str]] | None = None):
         """Matches of `shortest` tokens or more chain where both gaps are at most `gap` tokens: each goes on the newest chain that it can. A chain
-        labels a text if it covers `covered` of the template or `least` tokens with a word only that template has."""
-        self.names = list(templates)
-        tokens = [words_of(t.encode()) for t in templates.values()]
+        labels a text if it covers `covered` of the template or `least` tokens with a word that only templates of its label have, or `least` tokens of a family whose kind and version stand there, and if the words around it don't
+        contradict the template (another version, another kind of its family). See unrivalled() for chains of several labels over the same words."""
+        texts = [*templates.items(), *((k, t) for k, more in (further or {}).items() for t in more)]
+        self.names = [k for k, _ in texts]
+        tokens = [words_of(t.encode()) for _, t in texts]
+        self.traits = [traits(t, 0, len(t)) for t in tokens]
         self.sizes = [len(t) for t in tokens]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in tokens for w in t}))}
         self.coded = [[self.ids[w] for w in t] for t in tokens]
-        self.own = [{x for x in t if sum(x in o for o in self.coded) == 1} for t in self.coded]
+        labels: dict[int, set[str]] = {}
+        for name, t in zip(self.names, self.coded, strict=True):
+            for x in t:
+                labels.setdefault(x, set()).add(name)
+        self.own = [{x for x in t if len(labels[x]) == 1} for t in self.coded]
         self.shortest, self.gap, self.covered, self.least = shortest, gap, covered, least
         self.sam = Automaton()
         for k, t in enumerate(self.coded):
@@ -149,9 +233,19 @@ class Scanner:
                     i = len(chains)
                     chains.append([at, at + n, of + n, n, own])
                 insort(open_.setdefault((at + n, of + n), []), i)
-            out += [(self.names[k], c[0], c[1], c[3], c[3] / self.sizes[k]) for c in chains if c[3] >= self.covered * self.sizes[k] or c[3] >= self.least and c[4]]
+            out += [(self.names[k], c[0], c[1], c[3], c[3] / self.sizes[k]) for c in chains if (c[3] >= self.covered * self.sizes[k] or c[3] >= self.least and (c[4] or self.traits[k][0])) and self.agrees(k, words, c[0], c[1])]
         return sorted(out, key=lambda x: (x[1], -x[3], x[0]))
 
+    def agrees(self, k: int, words: list[bytes], first: int, past: int) -> bool:
+        """Whether the words around a chain are of the template's kind and version; a license of a family must say its own, others may leave it out."""
+        family, kind, version = self.traits[k]
+        if not family and version is None:
+            return True
+        family_there, kind_there, version_there = traits(words, first, past)
+        if family:
+            return family_there == family and kind_there == kind and version_there == version
+        return version_there is None or version_there == version
+
     def phrases(self, words: list[bytes]) -> list[tuple[int, str]]:
         """(start, label) of every place where the words of a phrase stand one after another."""
         out = []
@@ -165,22 +259,37 @@ class Scanner:
         return sorted(out)
 
 
+def unrivalled(spans: list[tuple]) -> list[tuple]:
+    """Spans but for those within whose words a span of another label covers more: of the words a text shares with several licenses, the longest match has them."""
+    beaten = set()
+    live: list[tuple] = []
+    for x in sorted(spans, key=lambda x: (x[1], -x[2])):
+        live = [y for y in live if y[2] > x[1]]
+        for y in live:
+            if x[0] != y[0]:
+                small, big = sorted((x, y), key=lambda z: z[3])
+                if small[3] < big[3] and big[1] <= small[1] and small[2] <= big[2]:
+                    beaten.add(small)
+        live.append(x)
+    return [x for x in spans if x not in beaten]
+
+
 TYPE = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,past:long,tokens:long,share:double>>"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, further: dict[str, list[str]] = FURTHER) -> DataFrame:
     """One row for each row of docs, in one pass without a shuffle: phrase places, labels and template spans of the whole text.
 
     Null text counts as empty: no words, no labels, score 0. score: the largest share of a template that a chain covers, at least 0.5 where
     a base phrase stands. Overlapping spans of several templates all stay. doc_id keeps the type of `id_col`; repeated rows come back each."""
 
     def run(batches):
-        scanner = Scanner(templates)
+        scanner = Scanner(templates, further=further)
         for b in batches:
             rows = []
             for t in texts_of(b.column(1)):
                 words = words_of(t)
-                base, spans = scanner.phrases(words), scanner.spans(words)
+                base, spans = scanner.phrases(words), unrivalled(scanner.spans(words))
                 own = {label for _, label in base}
                 score = max([0.5 if base else 0.0, *(min(1.0, s[4]) for s in spans)])
                 rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)), ",".join(sorted(own | {s[0] for s in spans})), score, [dict(zip(("label", "first", "past", "tokens", "share"), s, strict=True)) for s in spans]))

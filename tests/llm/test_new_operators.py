@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusmill.llm import page_text, phrases, vp_clusters
+from corpusmill.llm import licenses, page_text, phrases, vp_clusters
 
 # --- page text
 
@@ -200,3 +200,39 @@ def test_bitmap_passes_its_keys(spark):
     held = phrases.bitmap(spark.createDataFrame([(int(k),) for k in keys], "key long"))
     assert held.passes(keys.view(np.uint64)).all()
     assert held.passes(r.integers(-(2**63), 2**63 - 1, 4000).view(np.uint64)).mean() < 0.1
+
+
+# --- licenses that are easily taken for each other
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
+        ("terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+        ("under the terms of the GNU General Public License as published by the Free Software Foundation", ""),
+        ("GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License", "lgpl-2"),
+        ("licensed under the GNU Lesser General Public License version 2.1", "lgpl-2.1"),
+        ("licensed under the GNU Lesser General Public License, version 3", "lgpl-3"),
+        ("licensed under the GNU Affero General Public License v3", "agpl-3"),
+        ("licensed under the terms of the GNU General Public License version 2 or the GNU Lesser General Public License version 2.1", "gpl-2,lgpl-2.1"),
+        ("Creative Commons Attribution ShareAlike 4.0 International License", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        ("licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd"),
+        ("licensed under a Creative Commons license", ""),
+        ("Licensed under the Apache License, Version 1.1; you may not use this file except in compliance with the License", ""),
+        ("Licensed under the Apache License, Version 2.0; you may not use this file except in compliance", "apache-2"),
+    ],
+)
+def test_relatives_are_told_apart(text, want):
+    scanner = licenses.Scanner(licenses.TEMPLATES, further=licenses.FURTHER)
+    for before, after in (("", ""), ("some words of prose stand here and ", " and more of them follow")):
+        assert ",".join(sorted({s[0] for s in licenses.unrivalled(scanner.spans(licenses.words_of((before + text + after).encode())))})) == want
+
+
+def test_every_template_has_its_own_label_only():
+    scanner = licenses.Scanner(licenses.TEMPLATES, further=licenses.FURTHER)
+    for label, texts in [*((k, [t]) for k, t in licenses.TEMPLATES.items()), *licenses.FURTHER.items()]:
+        for t in texts:
+            assert {s[0] for s in licenses.unrivalled(scanner.spans(licenses.words_of(t.encode())))} == {label}
