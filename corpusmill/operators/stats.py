@@ -168,3 +168,21 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, part: Colu
         m = m.withColumn("l", F.aggregate("l", none, then)).select(*keys, "_part", "l.a", "l.b", "v")
         lo, hi = 0, (hi - lo) // fan
     return m.select(*keys, (F.col("a") * F.col("v") + F.col("b")).alias("ema"))
+
+
+def sketched(df: DataFrame, keys: list[str], ts: str, value: str, unit: str = "hour", k: int = 800) -> DataFrame:
+    """(keys, start, n, total, least, most, sketch) of the values of each unit of time: a KLL sketch of bounded size beside the exact sums.
+
+    Its ranks are off by some 2.3 / k^0.9 of the rows, .6 % at 800, with 99 % confidence, however many rows there are. Nulls and rows without a time take no part."""
+    v = df.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(*keys, F.date_trunc(unit, ts).alias("start"), F.col(value).cast("double").alias("_v"))
+    return v.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.kll_sketch_agg_double("_v", k).alias("sketch"))
+
+
+def rolled_up(sketches: DataFrame, keys: list[str], unit: str, k: int = 800) -> DataFrame:
+    """Sketches of a longer unit from those of a shorter one; no value is read again."""
+    return sketches.groupBy(*keys, F.date_trunc(unit, "start").alias("start")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """The sketch read at some shares of the rows, a column each."""
+    return sketches.withColumns({name: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))) for name, q in shares.items()}).drop("sketch")

@@ -97,7 +97,7 @@ def search(spark: SparkSession, path: str, query: list[float], k: int, metric: s
         n += r["n"]
     while True:
         # a filter can leave fewer than k rows: then all that is left may hold one
-        scores = [r["score"] for r in top(read).select("score").collect()]
+        scores = [-math.inf if r["score"] is None else r["score"] for r in top(read).select("score").collect()]
         least = -math.inf if len(scores) < k else min(scores)
         more = [r["cell"] for r in order if r["cell"] not in read and best[r["cell"]] >= least]
         if not more:

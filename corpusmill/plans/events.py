@@ -35,6 +35,19 @@ def timeseries_daily_percentiles(spark, d):
     return _series(spark, d, "1 day")
 
 
+@query("""select event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(value) as n, round(sum(value), 4) as total, min(value) as least, max(value) as most, true as p50_within, true as p95_within from events where value is not null and ts is not null group by 1, 2""")
+def timeseries_sketches(spark, d):
+    """Days rolled up from the sketches of hours, and whether the ranks of their median and 95th percentile are within 1.5 % of the rows and one row."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = S.sketch_quantiles(S.rolled_up(S.sketched(e, ["event_type"], "ts", "value"), ["event_type"], "day"), {"p50": 0.5, "p95": 0.95})
+    j = e.where("value is not null and ts is not null").withColumn("start", F.date_trunc("day", "ts")).join(days, ["event_type", "start"])
+    first = lambda c: F.first(c).alias(c)
+    g = j.groupBy("event_type", "start").agg(*map(first, ("n", "total", "least", "most")), *[F.sum((F.col("value") < F.col(p)).cast("int")).alias(f"{p}_lo") for p in ("p50", "p95")], *[F.sum((F.col("value") <= F.col(p)).cast("int")).alias(f"{p}_hi") for p in ("p50", "p95")])
+    within = lambda p, q: (F.col(f"{p}_lo") <= (q + 0.015) * F.col("n") + 1) & (F.col(f"{p}_hi") >= (q - 0.015) * F.col("n") - 1)
+    return g.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"), "least", "most", within("p50", 0.5).alias("p50_within"), within("p95", 0.95).alias("p95_within"))
+
+
+
 _Q = ", ".join(f"round(quantile_cont(value, {q}), 6) as {k}" for k, q in S.SHARES.items())
 
 

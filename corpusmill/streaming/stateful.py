@@ -220,3 +220,71 @@ def fold_alerts(df: DataFrame, keys: list[str], ts: str, breach, lasting: int, c
         return F.struct(F.when(fires, at).otherwise(acc["fired"]).alias("fired"), F.when(fires, new).otherwise(acc["out"]).alias("out"))
 
     return runs.select(*keys, F.explode(F.aggregate(pairs, zero, fold)["out"]).alias("r")).select(*keys, "r.event", "r.at")
+
+
+class Retries(StatefulProcessor):
+    """Records whose handler fails wait in state and are tried again by a timer, `backoff` ms after each attempt, `most` times in all.
+
+    handler(body, attempt) returns None or an error. A record that succeeds is written as completed with the tries it took, one that
+    fails `most` times as dead with its last error. Its attempts are in the checkpoint with it, so a restart neither loses one nor counts it twice."""
+
+    def __init__(self, keys: list[str], handler, most: int, backoff: int):
+        self.keys, self.handler, self.most, self.backoff = keys, handler, most, backoff
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "due long, tries int, error string, body string")
+
+    def _tried(self, key: tuple, body: str, tries: int, at: int) -> tuple[list[tuple], list[tuple]]:
+        """What attempt number `tries` at a time writes, and what it leaves waiting."""
+        error = self.handler(body, tries)
+        if error is None:
+            return [(*key, body, "completed", tries, None)], []
+        if tries >= self.most:
+            return [(*key, body, "dead", tries, error)], []
+        return [], [(at + self.backoff, tries, error, body)]
+
+    def _out(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=[*self.keys, "body", "event", "tries", "error"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out, left = [], []
+        for f in rows:
+            for at, body in zip(f["at"], f["body"], strict=True):
+                done, again = self._tried(key, body, 1, int(at))
+                out, left = out + done, left + again
+        if left:
+            self.waiting.appendList(left)
+            for r in left:
+                self.handle.registerTimer(r[0])
+        return self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs()
+        todo, left, out = [tuple(r) for r in self.waiting.get()], [], []
+        while todo:
+            due, tries, error, body = todo.pop()
+            if due > until:
+                left.append((due, tries, error, body))
+                continue
+            done, again = self._tried(key, body, tries + 1, due)
+            out, todo = out + done, todo + again
+        if left:
+            self.waiting.put(left)
+            for r in left:
+                self.handle.registerTimer(r[0])
+        else:
+            self.waiting.clear()
+        return self._out(out)
+
+    def close(self) -> None:
+        pass
+
+
+def retried(stream: DataFrame, keys: list[str], ts: str, body: str, handler, most: int = 3, backoff: int = 60_000, lateness: str = LATENESS) -> DataFrame:
+    """(keys, body, event, tries, error): completed or dead records. The first attempt is made as a record comes, the others when the watermark has passed its time by the backoff, twice the backoff, and so on."""
+    kinds = dict(stream.dtypes)
+    rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, lateness).select(*keys, _millis(ts).alias("at"), F.col(body).cast("string").alias("body"), ts)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "body string, event string, tries int, error string"])
+    return rows.groupBy(*keys).transformWithStateInPandas(Retries(keys, handler, most, backoff), schema, "Append", "EventTime")

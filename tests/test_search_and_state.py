@@ -1,4 +1,4 @@
-"""The stemmer and the index, alerts and sessions with timers, running averages in parts."""
+"""The stemmer and the index, streams with timers, running averages in parts, sketches, pruned vectors, tables of patterns, features by language."""
 
 import datetime as dt
 import random
@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.stem import stemmed
-from corpusmill.operators import search, stats
+from corpusmill.functions import language
+from corpusmill.functions import text as T
+from corpusmill.operators import dlp, search, stats, vector_index, vectors
 from corpusmill.streaming import jobs, stateful
 
 #: Pairs of the stemmer's published vocabulary.
@@ -128,3 +130,95 @@ def test_running_average_of_a_hot_key(spark, fan):
     got = {x.k: x.ema for x in out.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert stats.ema(df.limit(0), ["k"], ["t"], "v", F.col("t")).count() == 0
+
+
+def test_retries_until_done_or_dead(spark, tmp_path):
+    rows = [(1, 0, "ok", None), (1, 10, "twice", None), (2, 20, "never", None), (2, 30, "once", None)]
+    ticks = [[(9, t, "ok", None)] for t in (1500, 3000, 5000, 8000)]
+    fails = {"ok": 0, "once": 1, "twice": 2, "never": 99}
+    handler = lambda body, attempt: f"error {attempt}" if attempt <= fails[body] else None
+    src, out = f"file://{tmp_path}/r", f"file://{tmp_path}/out"
+    for i, part in enumerate([rows, *ticks]):
+        events(spark, part).coalesce(1).write.parquet(f"{src}/part={i}")
+        # a run a file: each goes on from the checkpoint of the one before
+        stream = spark.readStream.schema(events(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part=*")
+        with stateful.rocksdb(spark):
+            save = lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")
+            q = stateful.retried(stream, ["user_id"], "ts", "kind", handler, 3, 600_000)
+            q.writeStream.outputMode("append").option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    got = sorted((r.body, r.event, r.tries, r.error) for r in spark.read.parquet(out).collect() if r.user_id != 9)
+    assert got == [("never", "dead", 3, "error 3"), ("ok", "completed", 1, None), ("once", "completed", 2, None), ("twice", "completed", 3, None)]
+
+
+def test_sketches_roll_up(spark):
+    r = random.Random(3)
+    rows = [(i % 2, BASE + dt.timedelta(minutes=i % 5000), r.gauss(0, 1) if i % 50 else None) for i in range(60_000)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, v double")
+    days = stats.sketch_quantiles(stats.rolled_up(stats.rolled_up(stats.sketched(df, ["k"], "ts", "v"), ["k"], "day"), ["k"], "month"), {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()
+    assert len(days) == 2
+    for d in days:
+        own = sorted(v for k, _, v in rows if k == d.k and v is not None)
+        assert d.n == len(own) and d.least == own[0] and d.most == own[-1] and d.total == pytest.approx(sum(own))
+        for name, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
+            assert abs(sum(v <= d[name] for v in own) / len(own) - q) < 0.012
+
+
+def planted(r, n):
+    at = [[r.gauss(0, 10) for _ in range(6)] for _ in range(20)]
+    return [(i, [c + r.gauss(0, 0.3) for c in r.choice(at)], i % 3) for i in range(n)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
+def test_pruned_search_equals_the_scan(spark, tmp_path, metric):
+    r = random.Random(5)
+    rows = planted(r, 1500)
+    rows += [(2000, None, 0), (2001, [1.0], 0), (2002, [0.0] * 6, 0), (2003, [None] * 6, 1), (2004, rows[3][1], 0), (2005, rows[3][1], 0)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    path = f"file://{tmp_path}/v"
+    vector_index.build(v, path, metric, 6, cells=30)
+    total = v.count()
+    for i, where in ((3, None), (70, F.col("label") == 1), (5, F.col("vec_id") < 3)):
+        q = rows[i][1]
+        found, cells = vector_index.search(spark, path, q, 10, metric, where=where)
+        want = vectors.top(v.where(F.size("embedding") == 6).where("not exists(embedding, x -> x is null)"), vectors.literal(q), 10, metric, where=where)
+        assert [(a.vec_id, round(a.score, 9)) for a in found.collect()] == [(a.vec_id, round(a.score, 9)) for a in want.collect()]
+        read = spark.read.parquet(path).where(F.col("cell").isin(cells)).count()
+        if where is None:
+            assert read < total / 2
+            assert "PartitionFilters: [cell" in found._jdf.queryExecution().toString()
+
+
+def test_a_table_of_ten_thousand_patterns(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdeXY.é") for _ in range(r.randint(1, 9))) for _ in range(10_000)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 3, 12])))) for i in range(40)] + [(None, "abc"), (None, "abc"), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    patterns = [(f"p{i}", w) for i, w in enumerate(words)] + [("null", None), ("empty", "")]
+    few, many = (dlp.scan_literal_table(df, spark.createDataFrame(p, "name string, literal string")) for p in (patterns[:3], patterns))
+    size = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(few) <= size(many) + 40 and size(many) <= size(few) + 40
+    want = sorted((str(i), n, (t or "").find(w)) for i, t in docs for n, w in patterns if w and w in (t or ""))
+    assert sorted((str(x.doc_id), x.name, x.start) for x in many.collect()) == want
+
+
+def test_keyword_rules_as_a_table(spark):
+    df = spark.createDataFrame([(1, "The Key (key) keyed. a+b A+B License"), (2, None)], "doc_id long, text string")
+    rules = [("w", "high", "keyword", "key", True, False, None), ("part", None, "keyword", "key", False, True, None), ("sum", "low", "keyword", "a+b", False, False, ["A+B"]), ("none", "low", "keyword", "zzzz", False, False, None)]
+    got = sorted(tuple(x) for x in dlp.scan_keyword_table(df, spark.createDataFrame(rules, dlp.RULE)).collect())
+    assert got == [(1, "part", "medium", "key"), (1, "part", "medium", "key"), (1, "sum", "low", "a+b"), (1, "w", "high", "Key"), (1, "w", "high", "key")]
+
+
+def test_features_by_language(spark):
+    rows = [("en", "Orange people make simple table. Rhythm!"), ("es", "El agua que corre es de la cocina y no es la mía."), ("fr", "Le chat mange une pomme rouge dans la cuisine.")]
+    t = spark.createDataFrame(rows, "lang string, text string")
+    got = {r.lang: (r.y, r.h) for r in t.select("lang", *[c.alias(n) for c, n in zip(T.syllable_counts(F.col("text"), F.col("lang")), "yh", strict=True)]).collect()}
+    # orange 2 (or-ang, silent e), people 1 (eo, silent e), make 1, simple 1, table. 2 (the mark ends the word), Rhythm! 1
+    assert got["en"] == (8.0, 0.0)
+    # single vowels: El 1 agua 3 que 2 corre 2 es 1 de 1 la 1 cocina 3 y 1 no 1 es 1 la 1 mía. 1
+    assert got["es"] == (19.0, 2.0)
+    # Le 1 chat 1 mange 2 une 2 pomme 2 rouge 3 dans 1 la 1 cuisine. 4
+    assert got["fr"] == (17.0, 2.0)
+    same = t.select("text", T.syllable_counts(F.col("text"), F.lit("en"))[0].alias("y"), F.aggregate(F.transform(T.words(F.col("text")), T.syllables), F.lit(0).cast("long"), lambda s, v: s + v).alias("z")).collect()
+    assert all(r.y == r.z for r in same)
+    stops = {r.lang: r.s for r in t.select("lang", language.stop_words(F.col("lang")).alias("s")).collect()}
+    assert "el" in stops["es"] and "avec" in stops["fr"] and "they" in stops["en"]
