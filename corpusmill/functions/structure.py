@@ -57,3 +57,77 @@ def sections(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
     head = F.col(line).rlike("^#")
     rows = lines.withColumn("section", F.sum(F.when(head, 1).otherwise(0)).over(w))
     return rows.groupBy(key, "section").agg(F.max(F.when(head, F.col(line))).alias("heading"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def markdown_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, i, line, fences, code, heading) of the lines after the front matter, `i` from 0 in the whole text: how many code fences there were up to a line, its own included, whether it is one or
+    stands in code, and whether it is a heading: a hash within code is none. An unclosed fence goes on to the end. Null texts have no lines."""
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    w = W.partitionBy(key).orderBy("i")
+    mark = F.rtrim("line") == "---"
+    # the second --- ends the front matter that the first line begins
+    rows = rows.withColumns({"_marks": F.sum(F.when(mark, 1).otherwise(0)).over(w), "_front": F.first(mark).over(w), "_all": F.sum(F.when(mark, 1).otherwise(0)).over(W.partitionBy(key))})
+    body = rows.where(~(F.col("_front") & (F.col("_all") > 1) & ((F.col("_marks") < 2) | (F.col("_marks") == 2) & mark)))
+    fence = F.startswith("line", F.lit("```"))
+    body = body.withColumn("fences", F.sum(F.when(fence, 1).otherwise(0)).over(w))
+    body = body.withColumn("code", fence | (F.col("fences") % 2 == 1))
+    return body.select(key, "i", "line", "fences", "code", (F.startswith("line", F.lit("#")) & ~F.col("code")).alias("heading"))
+
+
+def heading_level(line: Column) -> Column:
+    return F.least(F.length(F.regexp_extract(line, "^#*", 0)), F.lit(6))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+
+
+def heading_text(line: Column) -> Column:
+    return stripped(F.regexp_replace(line, "^#{1,6}", ""))
+
+
+def _joined(rows: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(rows), lambda x: x["line"]), "\n")
+
+
+def markdown_chunks(docs: DataFrame, key: str, text: str, by: str) -> DataFrame:
+    """(key, kind, content, level, language, line) of a text in Markdown, `line` from 1.
+
+    by heading: its headings; by section: headings, and what stands between them; by paragraph: what blank lines separate, a heading if it begins with one; by block:
+    code with its language, headings, and every other line that is not blank. Lines stay within their text, so a window or list holds one text."""
+    lines = markdown_lines(docs, key, text)
+    none = F.lit(None).cast("string")
+    heads = lines.where("heading").select(key, F.lit("heading").alias("kind"), heading_text(F.col("line")).alias("content"), heading_level(F.col("line")).alias("level"), none.alias("language"), (F.col("i") + 1).alias("line"))
+    if by == "heading":
+        return heads
+    w = W.partitionBy(key).orderBy("i")
+    if by == "section":
+        rows = lines.withColumn("s", F.sum(F.when(F.col("heading"), 1).otherwise(0)).over(w))
+        g = rows.groupBy(key, "s").agg(stripped(_joined(F.collect_list(F.when(~F.col("heading"), F.struct("i", "line"))))).alias("content"), F.max(F.when(F.col("heading"), heading_level(F.col("line")))).alias("level"), F.min("i").alias("i"))
+        return heads.unionByName(g.where(F.col("content") != "").select(key, F.lit("section").alias("kind"), "content", F.coalesce("level", F.lit(0)).alias("level"), none.alias("language"), (F.col("i") + 1).alias("line")))
+    blank = stripped(F.col("line")) == ""
+    if by == "paragraph":
+        rows = lines.withColumn("s", F.sum(F.when(blank, 1).otherwise(0)).over(w)).where(~blank)
+        g = rows.groupBy(key, "s").agg(stripped(_joined(F.collect_list(F.struct("i", "line")))).alias("content"), F.min_by("heading", "i").alias("h"), F.min("i").alias("i"))
+        return g.select(key, F.when(F.col("h"), "heading").otherwise("paragraph").alias("kind"), "content", F.lit(0).alias("level"), none.alias("language"), (F.col("i") + 1).alias("line"))
+    if by != "block":
+        raise ValueError(f"unknown chunks {by}")
+    fence = F.startswith("line", F.lit("```"))
+    code = lines.where("code").withColumn("s", F.floor((F.col("fences") + 1) / 2))
+    g = code.groupBy(key, "s").agg(_joined(F.collect_list(F.when(~fence, F.struct("i", "line")))).alias("content"), F.min_by("line", "i").alias("open"), F.min("i").alias("i"), F.count(F.lit(1)).alias("n"))
+    g = g.where("n > 1")  # a last fence with nothing after it opens no block
+    g = g.select(key, F.lit("code").alias("kind"), "content", F.lit(0).alias("level"), stripped(F.substring("open", 4, 1 << 20)).alias("language"), (F.col("i") + 1).alias("line"))
+    plain = lines.where(~F.col("code") & ~F.col("heading") & ~blank).select(key, F.lit("text").alias("kind"), F.col("line").alias("content"), F.lit(0).alias("level"), none.alias("language"), (F.col("i") + 1).alias("line"))
+    return heads.unionByName(g).unionByName(plain)
+
+
+#: Elements of a line of Markdown outside code.
+ELEMENTS = {"list_items": r"^[\x20\x09]*(?:[-*+]|[0-9]+[.)])[\x20\x09]", "table_rows": r"^[\x20\x09]*\|.*\|[\x20\x09]*$", "quotes": "^>", "links": r"(?<!!)\[[^\]]*\]\([^)]*\)", "images": r"!\[[^\]]*\]\([^)]*\)"}
+
+
+def markdown_elements(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, headings, code_blocks, and a count for each of ELEMENTS) of texts in Markdown; those without a line after the front matter are left out."""
+    lines = markdown_lines(docs, key, text)
+    count = lambda p: F.sum(F.when(F.col("code"), 0).otherwise(F.regexp_count("line", F.lit(p)))).alias
+    tally = [count(p)(name) for name, p in ELEMENTS.items()]
+    return lines.groupBy(key).agg(F.sum(F.col("heading").cast("int")).alias("headings"), F.ceil(F.max("fences") / 2).alias("code_blocks"), *tally)

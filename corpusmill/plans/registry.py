@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from corpusmill.plans import anomaly, classify, dlp, events, graph, operations, relational, search, state, storage, text, vectors  # noqa: E402, F401
+from corpusmill.plans import anomaly, classify, dlp, events, graph, markdown, operations, relational, search, state, storage, text, vectors  # noqa: E402, F401
