@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import vector_index
+from corpusmill.operators.graph import settled
 from corpusmill.operators import vectors as V
 from corpusmill.plans.registry import SQL, query
 from corpusmill.session import table
@@ -182,3 +183,19 @@ def vector_pruned_l2(spark, d):
 @query(SQL["vector_topk_dot"])
 def vector_pruned_dot(spark, d):
     return pruned(spark, d, "dot_product")
+
+
+@query(f"""with t as materialized (select doc_id, list_sort({_W}) as t from documents where doc_id is not null), p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t)) as k, len(a.t) + len(b.t) as n from t a join t b on a.doc_id <> b.doc_id and len(a.t) > 0 and len(b.t) > 0 and least(len(a.t), len(b.t)) >= 0.5 * greatest(len(a.t), len(b.t))),
+r as (select a, b, k / (n - k) as s, row_number() over (partition by a order by k / (n - k) desc, b) as i from p where k / (n - k) >= 0.5),
+d as (select doc_id, source, lang, regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+')[1:4] as title from documents)
+select a, b, round(s, 6) as similarity, round(case when s > 0.1 then 0.4 * s else 0 end + case when m > 0.1 then 0.2 * m else 0 end + case when au > 0.1 then 0.15 * au else 0 end, 6) as strength
+from (select r.a, r.b, s, (len(list_intersect(x.title, y.title)) / len(list_distinct(list_concat(x.title, y.title))) + 0.5 * coalesce((x.lang = y.lang)::int, 0)) / 3 as m, coalesce((x.source = y.source)::int, 0) as au from r join d x on x.doc_id = r.a join d y on y.doc_id = r.b where i <= 50)""")
+def related_documents(spark, d):
+    """The 50 documents likest each document, of those that share half of their words with it, and the strength of what relates them: words, first words and language, source."""
+    t = table(spark, d, "documents").where(F.col("doc_id").isNotNull())
+    pairs = settled(V.related_top(t.select("doc_id", F.array_distinct(T.plain_tokens(F.coalesce("text", F.lit("")))).alias("t")), "doc_id", "t"))
+    none = F.lit(None)
+    title = F.slice(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), 1, 4)
+    rows = t.select(F.col("doc_id").alias("id"), title.alias("title"), none.cast("string").alias("kind"), "lang", none.cast("double").alias("day"), F.col("source").alias("author"), none.cast("array<string>").alias("tags"))
+    r = V.related(pairs, rows, "id").select("a", "b", F.round("strength", 6).alias("strength"))
+    return pairs.join(r, ["a", "b"]).select("a", "b", F.round("similarity", 6).alias("similarity"), "strength")
