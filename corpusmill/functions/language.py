@@ -18,24 +18,31 @@ def letters_only(text: Column) -> Column:
 
 def _standing(padded: Column, terms: list[str]) -> Column:
     """How often the terms stand in a text of words with a space on either side; terms of several words may overlap."""
-    return F.regexp_count(padded, F.lit(f"(?<= )(?=(?:{'|'.join(terms)}) )"))
+    return F.regexp_count(padded, F.lit(f" (?=(?:{'|'.join(terms)}) )"))
 
 
 def language_scores(clean: Column) -> Column:
     """Array of (score, lang) of a text of letters only: .4 common words + .3 stop words + .2 letter shares + .1 word pairs.
 
-    All are counts over the whole text, so that they run compiled and what languages share is counted once."""
+    What is counted is counted over the whole text and bound once, so that languages share it."""
     padded = F.concat(F.lit(" "), clean, F.lit(" "))
-    n = F.regexp_count(clean, F.lit("[^ ]+"))
-    letters = F.length(F.replace(clean, F.lit(" "), F.lit(""))).cast("double")
-    rows = []
+    letters = sorted({c for y in L.LANGUAGE.values() for c in y["letters"]})
+    counts = {"n": F.regexp_count(clean, F.lit("[^ ]+")), "letters": F.length(F.replace(clean, F.lit(" "), F.lit(""))).cast("double")}
+    counts |= {f"c_{c}": ((F.octet_length(clean) - F.octet_length(F.replace(clean, F.lit(c), F.lit("")))) / len(c.encode())).cast("int") for c in letters}
     for lang, y in L.LANGUAGE.items():
-        share = lambda values: F.when(n > 0, _standing(padded, values) / n).otherwise(0.0)
-        alike = reduce(lambda a, b: a + b, [1 - F.abs(T.count_of(clean, c) / letters - f) for c, f in y["letters"].items()]) / len(y["letters"])
-        paired = F.when(n > 1, _standing(padded, y["pairs"]) / (n - 1)).otherwise(0.0) if y["pairs"] else F.lit(0.0)
-        score = 0.4 * share(y["common"]) + 0.3 * share(y["common"] + y["stop"]) + 0.2 * F.when(letters > 0, alike).otherwise(0.0) + 0.1 * paired
-        rows.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
-    return F.array(*rows)
+        counts |= {f"{k}_{lang}": _standing(padded, y[k]) for k in ("common", "stop", "pairs") if y[k]}
+
+    def of(x: Column) -> Column:
+        rows, n = [], x["n"]
+        for lang, y in L.LANGUAGE.items():
+            alike = reduce(lambda a, b: a + b, [1 - F.abs(x[f"c_{c}"] / x["letters"] - f) for c, f in y["letters"].items()]) / len(y["letters"])
+            common, stop = (F.when(n > 0, v / n).otherwise(0.0) for v in (x[f"common_{lang}"], x[f"common_{lang}"] + x[f"stop_{lang}"]))
+            paired = F.when(n > 1, x[f"pairs_{lang}"] / (n - 1)).otherwise(0.0) if y["pairs"] else F.lit(0.0)
+            score = 0.4 * common + 0.3 * stop + 0.2 * F.when(x["letters"] > 0, alike).otherwise(0.0) + 0.1 * paired
+            rows.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
+        return F.array(*rows)
+
+    return T.let(F.struct(*[v.alias(k) for k, v in counts.items()]), of)
 
 
 def scored_language(scores: Column, clean: Column) -> dict[str, Column]:
@@ -99,11 +106,10 @@ def sentiment_overall(s: Column) -> dict[str, Column]:
     return {"score": score, "magnitude": magnitude, "label": label, "confidence": F.when(n > 0, F.least(F.lit(1.0), magnitude * 0.7 + alike * 0.3)).otherwise(0.0)}
 
 
-def linguistic(text: Column, syllables: Column, hard: Column) -> dict[str, Column]:
-    """Lengths, diversity, words that stand once, hard words, formality and abstractness; 0 for a text without words."""
-    w = T.words(text)
-    n, s = T.count_words(text).cast("double"), F.size(T.sentences(text)).cast("double")
-    distinct, once = T.sorted_counts(T.stripped(w))
+def linguistic(text: Column, m: dict[str, Column]) -> dict[str, Column]:
+    """Of a text and its measures(): lengths, diversity, words that stand once, hard words, formality and abstractness; 0 for a text without words."""
+    n, s, syllables, hard = m["words"], m["sentences"], m["syllables"], m["hard"]
+    distinct, once = T.sorted_counts(T.stripped(T.words(text)))
     low = F.lower(text)
     formal, informal = T.how_many(low, L.FORMAL), T.how_many(low, L.INFORMAL)
     out = {

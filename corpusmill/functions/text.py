@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,9 +15,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
+_BEGINS = re.compile(r"\[A-Z\]|\[a-z\]|\[0-9\]|\\d|[A-Za-z0-9]|\(\?:[A-Za-z]+(?:\|[A-Za-z]+)*\)")
+_ENDS = re.compile(r"(?:\[A-Z\]|\[a-z\]|\[0-9\]|\\d)(?:\+|\{[1-9][0-9]*(?:,[0-9]*)?\})?$|(?<!\\)[A-Za-z0-9]$")
+
+
 def pattern(p: str) -> str:
-    """A pattern of the lexicons for the engine's regular expressions."""
-    return p.replace(r"\b", EDGE)
+    """A pattern of the lexicons for the engine's regular expressions: an edge next to what is surely a word character looks to its other side only."""
+    parts = p.split(r"\b")
+    out = parts[0]
+    for left, right in zip(parts[:-1], parts[1:], strict=True):
+        edge = "(?<![0-9A-Za-z_])" if _BEGINS.match(right) else "(?![0-9A-Za-z_])" if _ENDS.search(left) else EDGE
+        out += edge + right
+    return out
 
 
 def let(value: Column, f) -> Column:
@@ -183,6 +193,10 @@ def syllable_counts(text: Column, lang: Column) -> tuple[Column, Column]:
     return total.cast("double"), hard.cast("double")
 
 
+#: Of a lower-cased word: four syllables or more, as syllables() counts them.
+FOUR = f"^[^{_V}]*+(?:{_GROUP}[^{_V}]++){{3}}{_GROUP}(?:[^{_V}]|(?<!e)$)"
+
+
 def vowels(word: Column) -> Column:
     """Vowels of a word's letters, less one for a last e, 1 at the least; 0 for a word without letters."""
     w = F.regexp_replace(F.lower(word), "[^a-z]", "")
@@ -199,14 +213,20 @@ def grades(w: Column, s: Column, y: Column, hard: Column) -> dict[str, Column]:
     return {"kincaid": 0.39 * (w / s) + 11.8 * (y / w) - 15.59, "flesch": 206.835 - 1.015 * (w / s) - 84.6 * (y / w), "fog": 0.4 * (w / s + 100 * hard / w)}
 
 
-def readability(text: Column, syllables: Column, hard: Column) -> dict[str, Column]:
-    """Of a text, its words' syllables and how many are hard: Flesch-Kincaid, Flesch ease, Fog, SMOG (0 below 30 sentences), Coleman-Liau, automated index; 0 for a text without words."""
-    w, s = count_words(text).cast("double"), F.size(sentences(text)).cast("double")
-    letters, characters = F.regexp_count(text, F.lit(r"\p{L}")).cast("double"), F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
-    out = grades(w, s, syllables, hard)
+def measures(text: Column, lang: Column) -> dict[str, Column]:
+    """What scores are made of, each count once: a projection of its own, as expressions under a condition share nothing."""
+    syllables, hard = syllable_counts(text, lang)
+    out = {"words": count_words(text), "sentences": F.size(sentences(text)), "syllables": syllables, "hard": hard, "letters": F.regexp_count(text, F.lit(r"\p{L}")), "characters": F.octet_length(F.replace(text, F.lit(" "), F.lit("")))}
+    return {k: v.cast("double") for k, v in out.items()}
+
+
+def readability(m: dict[str, Column]) -> dict[str, Column]:
+    """Of a text's measures(): Flesch-Kincaid, Flesch ease, Fog, SMOG (0 below 30 sentences), Coleman-Liau, automated index; 0 for a text without words."""
+    w, s, hard = m["words"], m["sentences"], m["hard"]
+    out = grades(w, s, m["syllables"], hard)
     out["smog"] = F.when(s >= 30, 1.043 * F.sqrt(hard * 30 / s) + 3.1291).otherwise(0.0)
-    out["coleman_liau"] = 0.0588 * (letters / w * 100) - 0.296 * (s / w * 100) - 15.8
-    out["ari"] = 4.71 * characters / w + 0.5 * w / s - 21.43
+    out["coleman_liau"] = 0.0588 * (m["letters"] / w * 100) - 0.296 * (s / w * 100) - 15.8
+    out["ari"] = 4.71 * m["characters"] / w + 0.5 * w / s - 21.43
     return {k: F.when((w > 0) & (s > 0), v).otherwise(0.0) for k, v in out.items()}
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.graph import settled
 from corpusmill.operators.vectors import similar_pairs
 
 
@@ -13,11 +14,11 @@ def redundancy(sentences: DataFrame, key: str, least: float = 0.8) -> DataFrame:
     """(key, redundancy): share of a text's pairs of sentences whose word sets are more than `least` alike, from (key, w) with the sorted distinct words.
 
     Sentences of equal sets are one row with a count; the others meet by a prefix of their rarest words, so no text makes all its pairs."""
-    sets = sentences.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.struct(key, "w"))
+    sets = settled(sentences.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.struct(key, "w")))
     own = sets.groupBy(key).agg(F.sum("n").alias("m"), F.sum(F.when(F.size("w") > 0, F.col("n") * (F.col("n") - 1) / 2).otherwise(0.0)).alias("k"))
     # words are told apart by their text, so that only sentences of one text meet
     tagged = sets.where(F.size("w") > 0).select("id", F.transform("w", lambda x: F.concat_ws("\x00", F.col(key).cast("string"), x)).alias("t"))
-    near = similar_pairs(tagged, "id", "t", least).where(F.col("similarity") > least)
+    near = settled(similar_pairs(tagged, "id", "t", least).where(F.col("similarity") > least))
     counts = sets.select("id", "n")
     crossed = near.join(counts.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     crossed = crossed.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(F.col("na") * F.col("nb")).alias("x"))
@@ -25,6 +26,20 @@ def redundancy(sentences: DataFrame, key: str, least: float = 0.8) -> DataFrame:
     return own.join(crossed, key, "left").select(key, F.when(F.col("m") > 1, share).otherwise(0.0).alias("redundancy"))
 
 
+def repeated(words: Column, n: Column) -> Column:
+    """Words, in lower case, that stand more than three times and more often than a tenth of n, in order and joined; null if there are none.
+
+    In order, such a word fills a run of as many places, so it stands at one of the places that far apart: there are ten at most to count."""
+
+    def of(x: Column) -> Column:
+        s, step = x["s"], x["step"]
+        at = F.filter(F.array_distinct(F.transform(F.sequence(step, F.size(s), step), lambda i: F.get(s, i - 1))), lambda c: F.size(F.filter(s, lambda y: y == c)) >= step)
+        return F.when((F.size(s) >= step) & (F.size(at) > 0), F.array_join(at, " "))
+
+    step = F.greatest(F.lit(4), (F.floor(n / 10) + 1).cast("int"))
+    return T.let(F.struct(F.array_sort(F.transform(words, F.lower)).alias("s"), step.alias("step")), lambda x: F.when(F.size(x["s"]) >= x["step"], of(x)))
+
+
 def scores(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, coherence, clarity, completeness, informativeness, redundancy, structure, overall, issues); 0 for empty texts. Keys must be distinct and not null."""
     t = F.col(text)
@@ -33,11 +48,12 @@ def scores(docs: DataFrame, key: str, text: str) -> DataFrame:
     sizes = F.transform("s", T.count_words)
     full = F.filter(sizes, lambda n: n > 0)
     spread = F.sqrt(T.variance_of(full)) / T.mean_of(full)
-    hard = F.size(F.filter("w", lambda x: (F.octet_length(x) > 12) | (T.syllables(x) > 3)))
+    # four syllables take seven letters
+    hard = F.size(F.filter("w", lambda x: (F.octet_length(x) > 12) | ((F.octet_length(x) > 6) & F.lower(x).rlike(T.FOUR))))
     some = lambda p, v: F.when(p, v).otherwise(0.0)
     n = F.size("w")
     parts = base.select(
-        key, "t", "s", n.alias("n"),
+        key, "t", "s", n.alias("n"), repeated(T.cleaned(F.col("w"), 4), n).alias("repeated"),
         F.when(F.size("s") < 2, 1.0).when(F.size(full) == 0, 0.0).otherwise(1 - F.least(spread / 2, F.lit(1.0))).alias("coherence"),
         F.when(n > 0, 1 - F.least(hard / n * 2, F.lit(1.0))).otherwise(0.0).alias("clarity"),
         (some(F.octet_length(t) > 100, 0.3) + some(F.octet_length(t) > 500, 0.2) + some(F.contains(t, F.lit(".")), 0.2) + some(t.rlike("[0-9]"), 0.1) + some(t.rlike("[A-Z][a-z]+"), 0.2)).alias("completeness"),
@@ -45,9 +61,7 @@ def scores(docs: DataFrame, key: str, text: str) -> DataFrame:
         (some(t.rlike("^[A-Z]"), 0.2) + some(T.trimmed(t).rlike("[.!?]$"), 0.2) + some(F.contains(t, F.lit("\n\n")), 0.3) + 0.3 * F.size(F.filter(sizes, lambda x: x.between(5, 30))) / F.size("s")).alias("structure"),
     )
     long = base.select(key, F.explode("s").alias("x")).where(F.octet_length("x") > 10).select(key, F.array_sort(F.array_distinct(T.words(F.lower("x")))).alias("w"))
-    words = base.select(key, F.size("w").alias("n"), F.explode(T.cleaned(F.col("w"), 4)).alias("x")).groupBy(key, "n", F.lower("x").alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    often = words.where((F.col("k") > F.floor(F.col("n") / 10)) & (F.col("k") > 3)).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("x")), " ").alias("repeated"))
-    j = parts.join(redundancy(long, key), key, "left").join(often, key, "left").withColumn("redundancy", F.coalesce("redundancy", F.lit(0.0)))
+    j = parts.join(redundancy(long, key), key, "left").withColumn("redundancy", F.coalesce("redundancy", F.lit(0.0)))
     names = ("coherence", "clarity", "completeness", "informativeness", "redundancy", "structure")
     overall = (F.col("coherence") + F.col("clarity") + F.col("completeness") + F.col("informativeness") + 1 - F.col("redundancy") + F.col("structure")) / 6
     issues = F.array_join(F.array(F.when(F.octet_length("t") < 50, "too short"), F.when((F.size("s") == 1) & (F.col("n") > 50), "single long sentence"), F.concat(F.lit("repeats "), F.col("repeated")), F.when(~F.col("t").rlike("[.!?]"), "no punctuation")), "; ")

@@ -160,8 +160,9 @@ case when mean <= 6 then 'Elementary' when mean <= 8 then 'Middle School' when m
 from (select *, coalesce((kincaid + fog + coleman_liau + ari) / 4, 0) as mean from g)""")
 def readability_linguistic(spark, d):
     """Scores and levels, syllables counted by the language found."""
-    r = T.readability(F.col("text"), *T.syllable_counts(F.col("text"), F.col("lang")))
-    return with_language(spark, d).select("doc_id", *rounded(r), T.level(r["kincaid"]).alias("level"), T.reading_level(r).alias("reading_level"), T.complexity_level(r).alias("complexity"))
+    m = T.measures(F.col("text"), F.col("lang"))
+    r = T.readability({k: F.col(k) for k in m})
+    return with_language(spark, d).select("doc_id", *[v.alias(k) for k, v in m.items()]).select("doc_id", *rounded(r), T.level(r["kincaid"]).alias("level"), T.reading_level(r).alias("reading_level"), T.complexity_level(r).alias("complexity"))
 
 
 @query(f"""with t as (select doc_id, {TEXT} as text from documents), a as (select doc_id, text, {WORDS('text')} as t from t), b as (select doc_id, text, len(t) as n, {_VOW.format(w='t')} as l from a),
@@ -183,8 +184,9 @@ m as (select b.doc_id, case when n > 0 and s > 0 then 1 end as ok, strlen(text)
 coalesce(({_HAS(L.FORMAL)}) / nullif({_HAS(L.FORMAL)} + {_HAS(L.INFORMAL)}, 0), 0.5) as formality, ({_HAS(L.ABSTRACT)}) / n as abstractness from b left join v on b.doc_id = v.doc_id)
 select doc_id, {', '.join(f'coalesce(round(ok * {k}, 6), 0) as {k}' for k in ['sentence_bytes', 'sentence_words', 'word_syllables', 'type_token', 'hapax', 'hard_percent', 'formality', 'abstractness'])} from m""")
 def linguistic_features(spark, d):
-    r = G.linguistic(F.col("text"), *T.syllable_counts(F.col("text"), F.col("lang")))
-    return with_language(spark, d).select("doc_id", *rounded(r))
+    m = T.measures(F.col("text"), F.col("lang"))
+    r = G.linguistic(F.col("text"), {k: F.col(k) for k in m})
+    return with_language(spark, d).select("doc_id", "text", *[v.alias(k) for k, v in m.items()]).select("doc_id", *rounded(r))
 
 
 _STOPS = f"case lang when 'es' then {LIST(L.ANALYSER_STOPS['es'])} when 'fr' then {LIST(L.ANALYSER_STOPS['fr'])} else {LIST(L.ANALYSER_STOPS['en'])} end"
