@@ -45,6 +45,19 @@ def dlp_ssn_valid(spark, d):
     return D.scan(docs(spark, d), kinds=["ssn"]).select("doc_id", "value", "confidence")
 
 
+_NUMBER = "'no ' || lpad((o_custkey * 7 % 1000)::varchar, 3, '0') || sep || lpad((o_orderkey % 100)::varchar, 2, '0') || sep || lpad((o_orderkey * 13 % 10000)::varchar, 4, '0') || '.'"
+
+
+@query(f"""with n as (select o_orderkey, case o_orderkey % 3 when 0 then '-' when 1 then ' ' else '' end as sep, o_custkey from orders), x as (select o_orderkey as doc_id, {_NUMBER} as text from n)
+select doc_id, v as value, ({_SURE['ssn']})::double as confidence from (select doc_id, unnest(regexp_extract_all(text, '{D.TYPES['ssn'][0]}')) as v from x) where {_VALID['ssn']}""")
+def dlp_ssn_numbers(spark, d):
+    """Numbers of orders written as social security numbers, in three ways, those of invalid areas, groups and serials among them."""
+    sep = F.when(F.col("o_orderkey") % 3 == 0, "-").when(F.col("o_orderkey") % 3 == 1, " ").otherwise("")
+    part = lambda c, n: F.lpad((c % 10**n).cast("string"), n, "0")
+    text = F.concat(F.lit("no "), part(F.col("o_custkey") * 7, 3), sep, part(F.col("o_orderkey"), 2), sep, part(F.col("o_orderkey") * 13, 4), F.lit("."))
+    return D.scan(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), kinds=["ssn"]).select("doc_id", "value", "confidence")
+
+
 @query(f"with {FOUND} select doc_id, value from f where kind = 'credit_card'")
 def dlp_card_luhn(spark, d):
     return D.scan(docs(spark, d), kinds=["credit_card"]).select("doc_id", "value")

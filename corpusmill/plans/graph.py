@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions.entities import scan
@@ -103,3 +104,17 @@ def kg_similar_nodes(spark, d):
     """Nodes of one type whose vector is near that of a node, the one of the least id."""
     v = table(spark, d, "embeddings")
     return G.similar_nodes(v, "vec_id", "embedding", F.col("label") == 0, 0.2).withColumn("score", F.round("score", 6))
+
+
+_ROUNDS = 10
+_RANKS = ", ".join(f"r{i + 1} as materialized (select n.node, 0.15 / (select count(*) from n) + 0.85 * coalesce(sum(r.rank / o.out), 0) as rank from n left join e on e.dst = n.node left join o on o.src = e.src left join r{i} r on r.node = e.src group by 1)" for i in range(_ROUNDS))
+
+
+@query(f"""with e as materialized (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where dst is not null and src <> dst),
+n as materialized (select src as node from e union select dst from e), o as materialized (select src, count(*) as out from e group by 1), r0 as (select node, 1.0::double / (select count(*) from n) as rank from n), {_RANKS}
+select node, round(rank, 12) as rank from r{_ROUNDS}""")
+def kg_pagerank_rounds(spark, d):
+    """Ranks of parts after ten rounds, each part with an edge to the one that follows it in an order: a graph with many cycles."""
+    after = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(after).alias("dst")).where("dst is not null and src <> dst")
+    return G.pagerank(e, rounds=_ROUNDS, tolerance=0.0).withColumn("rank", F.round("rank", 12))

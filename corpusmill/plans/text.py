@@ -384,6 +384,15 @@ def column_profile(spark, d):
     return profile(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey")).drop("top")
 
 
+@query("""with c as (select unnest([struct_pack(name := 'l_returnflag', v := l_returnflag::varchar), struct_pack(name := 'l_linestatus', v := l_linestatus::varchar), struct_pack(name := 'l_linenumber', v := l_linenumber::varchar), struct_pack(name := 'l_suppkey', v := l_suppkey::varchar), struct_pack(name := 'l_partkey', v := l_partkey::varchar)], recursive := true) from lineitem),
+n as (select name, v, count(*) as n from c where trim(v) <> '' group by 1, 2), r as (select *, row_number() over (partition by name order by n desc, v) as k from n) select name, string_agg(v, '|' order by k) as top from r where k <= 5 group by 1""")
+def column_top_values(spark, d):
+    """The five most frequent values of columns, with their order."""
+    from corpusmill.sources.files import profile
+
+    return profile(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey", "l_partkey")).select("name", "top")
+
+
 _COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 _CELLS = " union all ".join(f"select '{c}' as name, {c}::varchar as v from customer" for c in _COLS)
 
