@@ -155,9 +155,20 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
+#: Most counts are small: their logarithms of the gamma function are looked up.
+SMALL = 1 << 12
+HALVES, WHOLES = lgamma(np.arange(SMALL) + 0.5), lgamma(np.arange(2 * SMALL) + 1.0)
+
+
 def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log-probability that the KT estimator gives to n0 zeros and n1 ones."""
-    return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1.0) - 2 * HALF
+    big = np.flatnonzero((n0 >= SMALL) | (n1 >= SMALL))
+    a, b = n0.astype(np.int64), n1.astype(np.int64)
+    a[big] = b[big] = 0
+    out = HALVES[a] + HALVES[b] - WHOLES[a + b] - 2 * HALF
+    x, y = n0[big], n1[big]
+    out[big] = lgamma(x + 0.5) + lgamma(y + 0.5) - lgamma(x + y + 1.0) - 2 * HALF
+    return out
 
 
 class Level:
