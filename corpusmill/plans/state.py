@@ -45,17 +45,16 @@ def stream_user_sessions(spark, d):
         return jobs.collected(stateful.sessions(jobs.read_events(spark, d), ["user_id"], "ts", "event_type", "value", 6 * HOUR), "append").withColumn("mean", F.round("mean", 6))
 
 
-def flaky(body: str, attempt: int) -> str | None:
-    """A handler for the query: a record with k fails its first k % 5 attempts."""
-    import json
-
-    return f"attempt {attempt} of k" if attempt <= json.loads(body)["k"] % 5 else None
-
-
 @query(f"""with k as (select event_id, epoch_us(ts) // 1000 as m, json_extract_string(props, '$.k')::int % 5 as fails from events where ts is not null), r as (select event_id, m, least(fails + 1, 3) as tries, fails >= 3 as dead from k)
 select event_id, case when dead then 'dead' else 'completed' end as event, tries::int as tries, case when dead then 'attempt 3 of k' end as error from r where tries = 1 or m + (tries - 1) * {HOUR} <= {_UNTIL}""")
 def stream_retries(spark, d):
-    """Events tried again an hour after each failure, three times at most, then dead with the last error."""
+    """Events tried again an hour after each failure, three times at most, then dead with the last error: one with k fails its first k % 5 attempts."""
+
+    def flaky(body: str, attempt: int) -> str | None:
+        import json
+
+        return f"attempt {attempt} of k" if attempt <= json.loads(body)["k"] % 5 else None
+
     with stateful.rocksdb(spark):
         e = jobs.read_events(spark, d).withColumn("body", F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))))
         out = jobs.collected(stateful.retried(e, ["user_id"], "ts", "body", flaky, 3, HOUR), "append")

@@ -7,15 +7,20 @@ as the lateness lets wait. State lives in RocksDB on the executors, with its cha
 from __future__ import annotations
 
 import contextlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from corpusmill.streaming.jobs import LATENESS
 
+# The driver starts a worker of its own for these processors; they travel to it by value, wherever it looks for modules.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
