@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.entities import luhn
-from corpusmill.functions.text import let, pattern
+from corpusmill.functions.text import SPACE, let, pattern
 
 #: Pattern and base risk of each type. Cards stand in one run of digits or, beyond the reference, in groups.
 TYPES = {
@@ -115,37 +115,54 @@ def folded(c: Column) -> Column:
 
 #: Characters of a gram; shorter patterns are their own gram.
 GRAM = 4
+#: A run of what is no white space.
+RUN = r"[^\x20\x09-\x0D]+"
 
 
-def match_table(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", literal: str = "literal") -> DataFrame:
-    """(_key, _text, the columns of patterns): rows whose text holds the literal of a pattern, A-Z as a-z, for any number of patterns.
+def candidates(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", literal: str = "literal") -> DataFrame:
+    """(_key, _text, _p): rows whose text may hold patterns, with those as an array of structs (_low, the columns of patterns), for any number of patterns.
 
-    A text is cut into its distinct grams once. Each pattern is looked up by the one of its grams that stands in the fewest texts,
-    and only what that finds is held against the text. How many patterns there are changes the size of a join, not the plan.
+    Texts and patterns are runs of white space and of other characters. A pattern stands in a text only if its longest run stands in one of the text's,
+    so runs are looked up once for all texts: by the gram of a pattern's run that stands in the fewest, and only what that finds is held against the run.
+    How many patterns there are changes the size of a join, not the plan. A text travels once, whatever it holds.
     Patterns that are null or empty match nothing; equal ones match each; repeated keys and null keys are rows of their own."""
     taken = list(patterns.columns)
-    p = patterns.where(F.length(literal) > 0).withColumn("_low", folded(F.col(literal))).withColumn("_size", F.least(F.length("_low"), F.lit(GRAM)))
-    sizes = sorted(r["_size"] for r in p.select("_size").distinct().collect())  # GRAM at most
+    runs = lambda t, blank: F.regexp_extract_all(t, F.lit(RUN + (f"|{SPACE}" if blank else "")), F.lit(0))
+    longest = lambda t: F.array_max(F.transform(runs(t, True), lambda r: F.struct((~r.rlike(SPACE)).alias("full"), F.length(r).alias("n"), r.alias("r"))))
+    p = patterns.where(F.length(literal) > 0).withColumn("_low", folded(F.col(literal)))
+    a = p.select("_low", longest(F.col("_low")).alias("a")).distinct().select("_low", F.col("a.full").alias("_full"), F.col("a.r").alias("_run"), F.least("a.n", F.lit(GRAM)).alias("_size"))
+    kinds = a.select("_size", "_full").distinct().collect()  # twice GRAM at most
+    sizes = sorted({r["_size"] for r in kinds})
     cut = lambda t, n: F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
     none = F.array().cast("array<string>")
     grams = lambda t: F.array_distinct(F.concat(none, *[cut(t, n) for n in sizes]))
-    own = reduce(lambda out, n: out.when(F.col("_size") == n, cut(F.col("_low"), n)), sizes, F.when(F.lit(False), none))
-    low = p.select("_low", F.explode(F.array_distinct(own)).alias("_gram")).distinct()
+    own = reduce(lambda out, n: out.when(F.col("_size") == n, cut(F.col("_run"), n)), sizes, F.when(F.lit(False), none))
+    low = a.select("_run", F.explode(F.array_distinct(own)).alias("_gram")).distinct()
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    there = docs.select(F.col(key).alias("_key"), F.explode(grams(folded(t))).alias("_gram"))
-    often = there.join(low.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    # a gram that no text has rules the pattern out
-    rare = low.join(often, "_gram", "left").groupBy("_low").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("m")).where("m.n > 0").select("_low", F.col("m.g").alias("_gram"))
-    met = there.join(rare, "_gram").select(F.col("_key").alias("_k"), "_low").distinct()
-    rows = docs.select(F.col(key).alias("_key"), t.alias("_text"))
-    found = rows.join(met, F.col("_key").eqNullSafe(F.col("_k"))).where(F.contains(folded(F.col("_text")), F.col("_low"))).select("_key", "_text", "_low")
-    return found.join(p, "_low").select("_key", "_text", *taken)
+    blank = not all(r["_full"] for r in kinds)
+    there = docs.select(F.col(key).alias("_k"), F.explode(F.array_distinct(runs(folded(t), blank))).alias("_in"))
+    words = there.select("_in").distinct()
+    cells = words.select("_in", F.explode(grams(F.col("_in"))).alias("_gram"))
+    often = cells.join(low.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a gram that no run has rules the pattern out
+    rare = low.join(often, "_gram", "left").groupBy("_run").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("m")).where("m.n > 0").select("_run", F.col("m.g").alias("_gram"))
+    held = cells.join(rare, "_gram").where(F.contains("_in", F.col("_run"))).select("_in", "_run").join(a.select("_run", "_low"), "_run").groupBy("_in").agg(F.collect_list("_low").alias("_lows"))
+    met = there.join(held, "_in").select("_k", F.explode("_lows").alias("_low")).distinct()
+    met = met.join(p, "_low").groupBy("_k").agg(F.collect_list(F.struct("_low", *taken)).alias("_p"))
+    return docs.select(F.col(key).alias("_key"), t.alias("_text")).join(met, F.col("_key").eqNullSafe(F.col("_k"))).select("_key", "_text", "_p")
+
+
+def match_table(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", literal: str = "literal") -> DataFrame:
+    """(_key, _text, the columns of patterns): rows whose text holds the literal of a pattern, A-Z as a-z; candidates() held against the text."""
+    found = let(folded(F.col("_text")), lambda t: F.filter("_p", lambda x: F.contains(t, x["_low"])))
+    return candidates(docs, patterns, key, text, literal).select("_key", "_text", F.explode(found).alias("_f")).select("_key", "_text", *[f"_f.{c}" for c in patterns.columns])
 
 
 def scan_literal_table(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As scan_literals(), with the patterns as a table (name, literal) of any length."""
-    found = match_table(docs, patterns.select("name", "literal"), key, text)
-    return found.where(F.contains("_text", F.col("literal"))).select(F.col("_key").alias(key), "name", F.col("literal").alias("value"), F.lit(0.7).alias("confidence"), (F.position(F.col("literal"), F.col("_text")) - 1).alias("start"))
+    found = candidates(docs, patterns.select("name", "literal"), key, text)
+    placed = F.transform("_p", lambda x: F.struct(x["name"].alias("name"), x["literal"].alias("value"), F.lit(0.7).alias("confidence"), (F.position(x["literal"], F.col("_text")) - 1).alias("start")))
+    return found.select(F.col("_key").alias(key), F.explode(F.filter(placed, lambda f: f["start"] >= 0)).alias("f")).select(key, "f.*")
 
 
 RULE = "name string, severity string, kind string, pattern string, whole_word boolean, case_sensitive boolean, exclusions array<string>"
