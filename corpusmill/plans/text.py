@@ -46,12 +46,12 @@ def docs(spark, d):
 
 def rounded(columns: dict, digits: int = 6) -> list:
     """Named columns, numbers rounded."""
-    return [v.alias(k) if isinstance(v, str) else (F.round(v, digits) if k not in ("label", "tone", "lang", "candidates", "reading_seconds") else v).alias(k) for k, v in columns.items()]
+    return [v.alias(k) if isinstance(v, str) else (T.half_up(v, digits) if k not in ("label", "tone", "lang", "candidates", "reading_seconds") else v).alias(k) for k, v in columns.items()]
 
 
 def fields(rows, digits: int = 6):
     """doc_id and the fields of r, numbers rounded."""
-    return rows.select("doc_id", *[(F.round(f"r.{f.name}", digits) if f.dataType.typeName() == "double" else F.col(f"r.{f.name}")).alias(f.name) for f in rows.schema["r"].dataType.fields])
+    return rows.select("doc_id", *[(T.half_up(F.col(f"r.{f.name}"), digits) if f.dataType.typeName() == "double" else F.col(f"r.{f.name}")).alias(f.name) for f in rows.schema["r"].dataType.fields])
 
 
 _counts = ", ".join(f"len(list_filter(t, lambda w: list_contains({LIST(v)}, w))) as n_{k}" for k, v in L.SIMPLE_LANGUAGE.items())
@@ -306,7 +306,7 @@ case when text = '' then '' else array_to_string(list_filter([case when strlen(t
 from m left join rep on m.doc_id = rep.doc_id""")
 def quality_scores(spark, d):
     q = Q.scores(docs(spark, d), "doc_id", "text")
-    return q.withColumns({c: F.round(c, 6) for c in q.columns if c not in ("doc_id", "issues")})
+    return q.withColumns({c: T.half_up(F.col(c), 6) for c in q.columns if c not in ("doc_id", "issues")})
 
 
 @query("""with c as (select doc_id, text, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) / greatest(1, len(regexp_extract_all(text, '[.!?]+'))) as per from documents)
