@@ -67,7 +67,8 @@ def _sentence_score(s: Column) -> Column:
     """(score, magnitude) of a sentence: mean of its scored words, intensified by the two words before and flipped by a negator in the three before."""
     marks = [(F.contains(s, F.lit(e)).cast("int"), v) for e, v in L.EMOTICONS.items()]
     n = reduce(lambda a, b: a + b, [m for m, _ in marks])
-    face = F.when(n > 0, reduce(lambda a, b: a + b, [m * v for m, v in marks]) / n).otherwise(0.0)
+    # weights are decimals: sums in hundredths and products at eight digits are exact
+    face = F.when(n > 0, F.round(reduce(lambda a, b: a + b, [m * v for m, v in marks]) * 100) / (n * 100)).otherwise(0.0)
 
     def scores(w: Column) -> Column:
         at = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
@@ -77,9 +78,9 @@ def _sentence_score(s: Column) -> Column:
             own = _case(F.get(w, i), L.SENTIMENT, 0.0)
             strong = _case(before(i, 1), L.INTENSIFIERS, 1.0) * F.when(before(i, 2).isin(list(L.INTENSIFIERS)), _case(before(i, 2), L.INTENSIFIERS, 1.0) * 0.8).otherwise(1.0)
             negated = reduce(lambda a, b: a | b, [before(i, k).isin(L.NEGATORS) for k in (1, 2, 3)])
-            return F.when(F.get(w, i).isin(list(L.SENTIMENT)), own * strong * F.when(negated, -0.5).otherwise(1.0)).otherwise(0.0)
+            return F.when(F.get(w, i).isin(list(L.SENTIMENT)), F.round(own * strong * F.when(negated, -0.5).otherwise(1.0), 8)).otherwise(0.0)
 
-        return F.filter(F.concat(F.array(face), F.transform(at, of)), lambda v: v != 0)
+        return F.filter(F.concat(F.transform(at, of), F.array(face)), lambda v: v != 0)
 
     def summed(scored: Column) -> Column:
         mean = lambda f: F.when(F.size(scored) > 0, F.aggregate(scored, F.lit(0.0), lambda a, v: a + f(v)) / F.size(scored)).otherwise(0.0)
