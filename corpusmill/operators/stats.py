@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.operators.graph import settled
+
 PERCENTS = [50, 90, 95, 99]
 
 
@@ -19,6 +21,8 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[st
     of them an index falls, and only those are ordered, each by itself. No task orders a group."""
     v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 2000).alias("_cuts"))
+    # a sketch depends on the order in which its parts arrive, so all that uses the cuts must read the same ones
+    g = settled(g)
     b = v.join(g, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     up = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     ranges = b.groupBy(*keys, "_b").agg(F.sum("_c").alias("_of")).withColumn("_before", F.coalesce(F.sum("_of").over(up), F.lit(0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import half_up
 from corpusmill.operators import stats as S
 from corpusmill.plans.registry import query
 from corpusmill.session import table
@@ -13,7 +14,8 @@ ROUND = "round({0}, 6) as {0}"
 
 
 def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: half_up(F.col(c), 6) if kinds[c] == "double" else F.round(c, 6) for c in columns})
 
 
 _SERIES = """select date_trunc('{w}', ts)::varchar as start, event_type, count(value) as n, round(sum(value), 6) as total, round(avg(value), 6) as mean, min(value) as least, max(value) as most, round(coalesce(stddev_samp(value), 0), 6) as deviation,
