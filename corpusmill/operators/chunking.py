@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,17 +121,35 @@ CHUNKERS = {"fixed": fixed, "paragraphs": lambda t: fixed(t, keep_paragraphs=Tru
 NAMES = {"fixed": "chunk", "paragraphs": "chunk", "mixed": "adaptive:mixed", "combined": "adaptive:mixed", "sentence": "chunk", "semantic": "semantic", "adaptive": "adaptive:text"}
 
 
+#: Characters of chunks that a Python worker holds before it hands them on.
+HELD = 1 << 20
+
+
 def chunked(docs: DataFrame, key: str, text: str, how: str) -> DataFrame:
     """(key, number, chunk_id, content, completeness, coherence, readability): one row a chunk of the whole text; null text has none."""
     chunker, name = CHUNKERS[how], NAMES[how]
     fields = f"{key} {dict(docs.dtypes)[key]}, number int, chunk_id string, content string, completeness double, coherence double, readability double"
 
+    names = ["number", "chunk_id", "content", "completeness", "coherence", "readability"]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+
     def rows(batches):
         for b in batches:
-            out = [(k, i, f"{k}:{name}:{i}", c, *scores(c)) for k, t in zip(b[key], b[text], strict=True) if t is not None for i, c in enumerate(chunker(t))]
-            yield pd.DataFrame(out, columns=[key, "number", "chunk_id", "content", "completeness", "coherence", "readability"])
-
-    return docs.select(key, text).mapInPandas(rows, fields)
+            schema = pa.schema([(key, b.schema.field(0).type), *zip(names, kinds, strict=True)])
+            made = lambda out, s=schema: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), s, strict=True)], schema=s)
+            out, held = [], 0
+            for k, t in zip(b.column(0), b.column(1), strict=True):
+                k, t = k.as_py(), t.as_py()
+                for i, c in enumerate(chunker(t) if t is not None else ()):
+                    out.append((k, i, f"{k}:{name}:{i}", c, *scores(c)))
+                    held += len(c)
+                    if held >= HELD:
+                        yield made(out)
+                        out, held = [], 0
+            if out:
+                yield made(out)
+
+    return docs.select(key, text).mapInArrow(rows, fields)
 
 
 def row_chunks(df: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
