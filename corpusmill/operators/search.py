@@ -4,6 +4,9 @@ A query reads the folders of its words, and in them the row groups that may hold
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +24,57 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, positions): where the stems of a text's words stand, from 1, stop words counted but left out. Null texts have none.
+#: Words of texts that a task gathers before it hands them on.
+HELD = 1 << 20
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, held): where each word stands, row by row, of some texts at a time; stop words counted but left out."""
+    stop = set(STOP)
+    held: dict[str, list] = {}
+    size = 0
+    for b in batches:
+        for key, words in zip(b["key"], b["words"], strict=True):
+            at: dict[str, list[int]] = {}
+            for i, w in enumerate(words, 1):
+                if w not in stop:
+                    at.setdefault(w, []).append(i)
+            for w, places in at.items():
+                held.setdefault(w, []).append((key, places))
+            size += len(words)
+            if size >= HELD:
+                yield pd.DataFrame({"word": list(held), "held": list(held.values())})
+                held, size = {}, 0
+    if held:
+        yield pd.DataFrame({"word": list(held), "held": list(held.values())})
+
+
+def places(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, at): where the words of a stem stand in a row's text, a row for each word and text.
 
-    Each distinct word of all rows is stemmed once."""
-    at = rows.select(F.col(f"`{key}`").alias("key"), F.posexplode(tokens(F.col(f"`{text}`"))).alias("i", "word")).where(~F.col("word").isin(STOP))
-    own = at.groupBy("key", "word").agg(F.collect_list(F.col("i") + 1).alias("at"))
-    stems = stemmed(own.select("word").distinct(), "word", "term")
-    return own.join(stems, "word").groupBy("key", "term").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    A task gathers some texts by their words, so that each of these is stemmed once for all of them; nothing is shuffled."""
+    t = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    kind = dict(t.dtypes)["key"]
+    words = t.select("key", tokens(F.col("text")).alias("words")).mapInPandas(_gathered, f"word string, held array<struct<key {kind}, at array<int>>>")
+    return stemmed(words, "word", "term").select("term", F.explode("held").alias("x")).select("x.key", "term", "x.at")
+
+
+def _together(placed: DataFrame, *by: str) -> DataFrame:
+    return placed.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+
+
+def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, positions): where the stems of a text's words stand, from 1, stop words counted but left out. Null texts have none."""
+    return _together(places(rows, key, text), "key", "term")
 
 
 def build(rows: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS, files: int | None = None) -> None:
-    """Writes the index of a column of texts. Ranges of (bucket, term, key) go to a file each, so that a word of all rows is split like any others."""
-    p = terms(rows, key, text).withColumn("bucket", bucket(F.col("term"), buckets))
+    """Writes the index of a column of texts. Ranges of (bucket, term, key) go to a file each, so that a word of all rows is split like any others.
+
+    Places travel once, to their range, and are put together there."""
+    p = places(rows, key, text).withColumn("bucket", bucket(F.col("term"), buckets))
     p = p.repartitionByRange(files, "bucket", "term", "key") if files else p.repartitionByRange("bucket", "term", "key")
-    p.sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    _together(p, "bucket", "term", "key").select("key", "term", "positions", "bucket").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def stems_of(spark: SparkSession, query: str) -> list[str]:
