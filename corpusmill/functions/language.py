@@ -13,7 +13,7 @@ from corpusmill.functions import text as T
 
 def letters_only(text: Column) -> Column:
     """Lower case, what is no letter as a space, one space between words."""
-    return T.trimmed(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\x20\x09-\x0D]", " "), T.SPACE, " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
 
 
 def _standing(padded: Column, terms: list[str]) -> Column:

@@ -239,8 +239,7 @@ def keywords_tfidf(spark, d):
 @query()
 def topics_cluster(spark, d):
     """Seeded and clustered topics from each document's 50 best keywords."""
-    t = docs(spark, d)
-    return K.topics(K.keywords(t, "doc_id", "text", 50), t, "doc_id", "text")
+    return K.topics(docs(spark, d), "doc_id", "text")
 
 
 _PAIR = f"length(c[i]) > 2 and length(c[i + 1]) > 2 and not list_contains({LIST(L.PHRASE_STOP)}, c[i]) and not list_contains({LIST(L.PHRASE_STOP)}, c[i + 1])"
