@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from corpusmill.functions import lexicons as L
 from corpusmill.functions import text as T
@@ -16,33 +21,45 @@ def letters_only(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
 
 
-def _standing(padded: Column, terms: list[str]) -> Column:
-    """How often the terms stand in a text of words with a space on either side; terms of several words may overlap."""
-    return F.regexp_count(padded, F.lit(f" (?=(?:{'|'.join(terms)}) )"))
+_LETTERS = sorted({c for y in L.LANGUAGE.values() for c in y["letters"]})
+_TERMS = [(f"{k}_{lang}", [w.encode() for w in dict.fromkeys(y[k])]) for lang, y in L.LANGUAGE.items() for k in ("common", "stop") if y[k]]
+#: With their spaces doubled, so that pairs which share a word are told apart.
+_PAIRS = [(f"pairs_{lang}", [b" " + w.encode().replace(b" ", b"  ") + b" " for w in dict.fromkeys(y["pairs"])]) for lang, y in L.LANGUAGE.items() if y["pairs"]]
+
+
+def _longs(names: list[str]) -> StructType:
+    return reduce(lambda t, n: t.add(n, LongType()), names, StructType())
+
+
+@F.pandas_udf(_longs(["n", "letters", *[f"c_{c}" for c in _LETTERS], *[n for n, _ in _TERMS + _PAIRS]]))
+def language_counts(clean: pd.Series) -> pd.DataFrame:
+    """Of the UTF-8 bytes of texts of letters only: words, letters, each of the letters whose share tells, and how often the words and pairs of each language stand."""
+    rows = []
+    for t in clean:
+        words, wide = Counter(t.split(b" ")) if t else {}, b"  " + t.replace(b" ", b"  ") + b"  "
+        of = np.bincount(np.frombuffer(t, np.uint8), minlength=256)
+        row = [sum(words.values()), of[:32].sum() + of[33:128].sum() + of[192:].sum(), *[of[ord(c)] for c in _LETTERS]]
+        row += [sum(words.get(w, 0) for w in ws) for _, ws in _TERMS]
+        rows.append(row + [sum(map(wide.count, ws)) for _, ws in _PAIRS])
+    return pd.DataFrame(rows, columns=["n", "letters", *[f"c_{c}" for c in _LETTERS], *[n for n, _ in _TERMS + _PAIRS]], dtype="int64")
 
 
 def language_scores(clean: Column) -> Column:
     """Array of (score, lang) of a text of letters only: .4 common words + .3 stop words + .2 letter shares + .1 word pairs.
 
-    What is counted is counted over the whole text and bound once, so that languages share it."""
-    padded = F.concat(F.lit(" "), clean, F.lit(" "))
-    letters = sorted({c for y in L.LANGUAGE.values() for c in y["letters"]})
-    counts = {"n": F.regexp_count(clean, F.lit("[^ ]+")), "letters": F.length(F.replace(clean, F.lit(" "), F.lit(""))).cast("double")}
-    counts |= {f"c_{c}": ((F.octet_length(clean) - F.octet_length(F.replace(clean, F.lit(c), F.lit("")))) / len(c.encode())).cast("int") for c in letters}
-    for lang, y in L.LANGUAGE.items():
-        counts |= {f"{k}_{lang}": _standing(padded, y[k]) for k in ("common", "stop", "pairs") if y[k]}
+    What is counted is counted once over the whole text, by language_counts()."""
 
     def of(x: Column) -> Column:
         rows, n = [], x["n"]
         for lang, y in L.LANGUAGE.items():
-            alike = reduce(lambda a, b: a + b, [1 - F.abs(x[f"c_{c}"] / x["letters"] - f) for c, f in y["letters"].items()]) / len(y["letters"])
+            alike = reduce(lambda a, b: a + b, [1 - F.abs(x[f"c_{c}"] / x["letters"].cast("double") - f) for c, f in y["letters"].items()]) / len(y["letters"])
             common, stop = (F.when(n > 0, v / n).otherwise(0.0) for v in (x[f"common_{lang}"], x[f"common_{lang}"] + x[f"stop_{lang}"]))
             paired = F.when(n > 1, x[f"pairs_{lang}"] / (n - 1)).otherwise(0.0) if y["pairs"] else F.lit(0.0)
             score = 0.4 * common + 0.3 * stop + 0.2 * F.when(x["letters"] > 0, alike).otherwise(0.0) + 0.1 * paired
             rows.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
         return F.array(*rows)
 
-    return T.let(F.struct(*[v.alias(k) for k, v in counts.items()]), of)
+    return T.let(language_counts(clean.cast("binary")), of)
 
 
 def scored_language(scores: Column, clean: Column) -> dict[str, Column]:
@@ -108,9 +125,9 @@ def sentiment_overall(s: Column) -> dict[str, Column]:
 
 
 def linguistic(text: Column, m: dict[str, Column]) -> dict[str, Column]:
-    """Of a text and its measures(): lengths, diversity, words that stand once, hard words, formality and abstractness; 0 for a text without words."""
+    """Of a text, its measures() and, among them, the fields of kinds_of_words(): lengths, diversity, words that stand once, hard words, formality and abstractness; 0 for a text without words."""
     n, s, syllables, hard = m["words"], m["sentences"], m["syllables"], m["hard"]
-    distinct, once = T.sorted_counts(T.stripped(T.words(text)))
+    distinct, once = m["distinct"], m["once"]
     low = F.lower(text)
     formal, informal = T.how_many(low, L.FORMAL), T.how_many(low, L.INFORMAL)
     out = {
@@ -132,22 +149,73 @@ def stop_words(lang: Column) -> Column:
     return reduce(lambda out, kv: out.when(lang == kv[0], own(kv[1])), [kv for kv in L.ANALYSER_STOPS.items() if kv[0] != "en"], F.when(F.lit(False), own([""]))).otherwise(own(L.ANALYSER_STOPS["en"]))
 
 
-def semantic(text: Column, lang: Column) -> dict[str, Column]:
-    """Of a text and the language found in it: repeated content words, content density, abstract words and technical terms a hundred words, tone, subjectivity; 0 where there are no words."""
-    w = T.words(text)
-    n = F.size(w).cast("double")
-    clean, low = T.stripped(w), F.lower(text)
-    stops = stop_words(lang)
-    content = lambda least: F.filter(clean, lambda x: (F.octet_length(x) >= least) & ~F.array_contains(stops, x))
-    distinct, once = T.sorted_counts(content(4))
-    technical = F.size(F.filter(w, lambda x: (F.octet_length(F.regexp_replace(x, r"^[.,!?;:]+|[.,!?;:]+$", "")) > 8) | F.contains(x, F.lit("_")) | x.rlike("[A-Z]{2,}")))
-    tally = lambda terms: reduce(lambda a, b: a + b, [T.count_of(low, t) for t in terms])
-    good, bad, own, facts = (tally(t) for t in (L.TONE_GOOD, L.TONE_BAD, L.SUBJECTIVE, L.OBJECTIVE))
+def _spoken(low: bytes, marks: bytes) -> Counter:
+    """How often the words of a lower-cased text stand, without the marks at their ends. Bytes split at ASCII white space."""
+    out = Counter()
+    for w, n in Counter(low.split()).items():
+        out[w.strip(marks)] += n
+    return out
+
+
+_MARKS, _ALL_MARKS = b".,!?;:", b".,!?;:\"'()[]{}"
+_STOPS = {lang: frozenset(w.encode() for w in words) for lang, words in L.ANALYSER_STOPS.items()}
+_CAPITALS = re.compile(rb"[A-Z]{2}")
+
+
+@F.pandas_udf(_longs(["distinct", "once"]))
+def kinds_of_words(low: pd.Series) -> pd.DataFrame:
+    """How many distinct words a lower-cased text (bytes) has, and how many stand once."""
+    found = [_spoken(t, _MARKS).values() for t in low]
+    return pd.DataFrame([(len(c), sum(n == 1 for n in c)) for c in found], columns=["distinct", "once"], dtype="int64")
+
+
+_TONES = {k: [w.encode() for w in v] for k, v in {"good": L.TONE_GOOD, "bad": L.TONE_BAD, "own": L.SUBJECTIVE, "facts": L.OBJECTIVE}.items()}
+_CONTENT = ["words", "distinct", "once", "content", "technical", "abstract", *_TONES]
+
+
+@F.pandas_udf(_longs(_CONTENT))
+def content_counts(text: pd.Series, low: pd.Series, lang: pd.Series) -> pd.DataFrame:
+    """Of a text and the text in lower case (bytes) and its language: words; distinct content words of four bytes or more and those that stand once; content
+    words of three or more; technical terms; kinds of abstract words; and how often words of each tone stand."""
+    abstract, rows = [w.encode() for w in L.ABSTRACT], []
+    for t, l, name in zip(text, low, lang, strict=True):
+        stops = _STOPS.get(name, _STOPS["en"])
+        w = Counter(t.split())
+        c = {x: n for x, n in _spoken(l, _MARKS).items() if len(x) >= 3 and x not in stops}
+        four = [n for x, n in c.items() if len(x) >= 4]
+        technical = sum(n for x, n in w.items() if len(x.strip(_MARKS)) > 8 or b"_" in x or _CAPITALS.search(x))
+        rows.append([w.total(), len(four), four.count(1), sum(c.values()), technical, sum(x in l for x in abstract), *[sum(map(l.count, v)) for v in _TONES.values()]])
+    return pd.DataFrame(rows, columns=_CONTENT, dtype="int64")
+
+
+def semantic(c: dict[str, Column]) -> dict[str, Column]:
+    """Of content_counts(): repeated content words, content density, abstract words and technical terms a hundred words, tone, subjectivity; 0 where there are no words."""
+    n, distinct, good, bad, own, facts = (c[k] for k in ("words", "distinct", "good", "bad", "own", "facts"))
     zero = lambda v: F.when(n > 0, v).otherwise(0.0)
     return {
-        "repeated": F.when(distinct > 0, (distinct - once) / distinct).otherwise(0.0),
-        "density": zero(F.size(content(3)) / n),
-        "complexity": zero((T.how_many(low, L.ABSTRACT) + F.least(technical, F.lit(10))) / n * 100),
+        "repeated": F.when(distinct > 0, (distinct - c["once"]) / distinct).otherwise(0.0),
+        "density": zero(c["content"] / n),
+        "complexity": zero((c["abstract"] + F.least(c["technical"], F.lit(10))) / n * 100),
         "tone": F.when(good > bad, "positive").when(bad > good, "negative").otherwise("neutral"),
         "subjectivity": F.when(own + facts == 0, 0.5).otherwise(F.try_divide(own.cast("double"), own + facts)),
     }
+
+
+_VOCABULARY = ["words", "distinct_words", "common", "rare", "long_words"]
+
+
+@F.pandas_udf(_longs(_VOCABULARY).add("lengths", StringType()))
+def vocabulary(low: pd.Series, lang: pd.Series) -> pd.DataFrame:
+    """Of a lower-cased text (bytes) and its language: words, distinct ones, common, rare and long ones, and a histogram of lengths in bytes as size:count."""
+    rows = []
+    for t, name in zip(low, lang, strict=True):
+        c = _spoken(t, _ALL_MARKS)
+        total = c.total()
+        c.pop(b"", None)
+        stops, bars = _STOPS.get(name, _STOPS["en"]), Counter()
+        for w, n in c.items():
+            bars[len(w)] += n
+        common = sum(n > 3 and w not in stops for w, n in c.items())
+        rare = sum(n == 1 and len(w) > 6 for w, n in c.items())
+        rows.append((total, len(c), common, rare, sum(len(w) > 8 for w in c), ",".join(f"{k}:{n}" for k, n in sorted(bars.items()))))
+    return pd.DataFrame(rows, columns=[*_VOCABULARY, "lengths"])

@@ -185,8 +185,9 @@ coalesce(({_HAS(L.FORMAL)}) / nullif({_HAS(L.FORMAL)} + {_HAS(L.INFORMAL)}, 0),
 select doc_id, {', '.join(f'coalesce(round(ok * {k}, 6), 0) as {k}' for k in ['sentence_bytes', 'sentence_words', 'word_syllables', 'type_token', 'hapax', 'hard_percent', 'formality', 'abstractness'])} from m""")
 def linguistic_features(spark, d):
     m = T.measures(F.col("text"), F.col("lang"))
-    r = G.linguistic(F.col("text"), {k: F.col(k) for k in m})
-    return with_language(spark, d).select("doc_id", "text", *[v.alias(k) for k, v in m.items()]).select("doc_id", *rounded(r))
+    r = G.linguistic(F.col("text"), {k: F.col(k) for k in (*m, "distinct", "once")})
+    t = with_language(spark, d).withColumn("k", G.kinds_of_words(F.lower("text").cast("binary")))
+    return t.select("doc_id", "text", "k.*", *[v.alias(k) for k, v in m.items()]).select("doc_id", *rounded(r))
 
 
 _STOPS = f"case lang when 'es' then {LIST(L.ANALYSER_STOPS['es'])} when 'fr' then {LIST(L.ANALYSER_STOPS['fr'])} else {LIST(L.ANALYSER_STOPS['en'])} end"
@@ -199,7 +200,9 @@ m as (select b.doc_id, repeated, len({_CONTENT(3)}) / n as density, ({_HAS(L.ABS
 {_MANY(L.TONE_GOOD)} as good, {_MANY(L.TONE_BAD)} as bad, {_MANY(L.SUBJECTIVE)} as own, {_MANY(L.OBJECTIVE)} as facts from b left join r on b.doc_id = r.doc_id)
 select doc_id, coalesce(round(repeated, 6), 0) as repeated, coalesce(round(density, 6), 0) as density, coalesce(round(complexity, 6), 0) as complexity, case when good > bad then 'positive' when bad > good then 'negative' else 'neutral' end as tone, round(coalesce(own / nullif(own + facts, 0), 0.5), 6) as subjectivity from m""")
 def semantic_features(spark, d):
-    return with_language(spark, d).select("doc_id", *rounded(G.semantic(F.col("text"), F.col("lang"))))
+    counts = G.content_counts(F.col("text").cast("binary"), F.lower("text").cast("binary"), "lang")
+    t = with_language(spark, d).select("doc_id", counts.alias("c")).select("doc_id", "c.*")
+    return t.select("doc_id", *rounded(G.semantic({k: F.col(k) for k in t.columns})))
 
 
 _MARKS = ".,!?;:\"''()[]{}"
@@ -211,14 +214,8 @@ g as (select doc_id, sum(n)::bigint as words, count(*) filter (w <> '') as disti
 select g.*, coalesce(lengths, '') as lengths from g left join h on g.doc_id = h.doc_id""".replace("select g.*, coalesce", "select g.doc_id, words, distinct_words, common, rare, long_words, coalesce"))
 def vocabulary_stats(spark, d):
     """Words, distinct ones, common, rare and long ones, and a histogram of lengths in bytes as size:count."""
-    w = with_language(spark, d).select("doc_id", "lang", F.explode(T.stripped(T.words(F.col("text")), ".,!?;:\"'()[]{}")).alias("w"))
-    c = w.groupBy("doc_id", "lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    stop = F.array_contains(G.stop_words(F.col("lang")), F.col("w"))
-    n, size, full = F.col("n"), F.octet_length("w"), F.col("w") != ""
-    tally = lambda p: F.sum(F.when(p, 1).otherwise(0))
-    g = c.groupBy("doc_id", size.alias("size")).agg(F.sum("n").alias("words"), tally(full).alias("distinct_words"), tally((n > 3) & full & ~stop).alias("common"), tally((n == 1) & (size > 6)).alias("rare"), tally(size > 8).alias("long_words"))
-    bars = F.transform(F.array_sort(F.collect_list(F.when(F.col("size") > 0, F.struct("size", "words")))), lambda x: F.concat_ws(":", x["size"].cast("string"), x["words"].cast("string")))
-    return g.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in ("words", "distinct_words", "common", "rare", "long_words")], F.array_join(bars, ",").alias("lengths"))
+    t = with_language(spark, d).select("doc_id", G.vocabulary(F.lower("text").cast("binary"), "lang").alias("v"))
+    return t.select("doc_id", "v.*").where("words > 0")
 
 
 _KW = "list_filter(string_split(c, ' '), lambda w: strlen(w) between 3 and 50 and not list_contains({0}, w))".format(LIST(dict.fromkeys(L.KEYWORD_STOP)))
