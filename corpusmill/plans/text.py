@@ -170,8 +170,8 @@ c as (select doc_id, text, n, nullif(n, 0)::double as w, greatest(1, len(regexp_
 g as (select *, {_GRADES}, 1.043 * sqrt(h * 30 / s) + 3.1291 + 0 * w as smog, 0.0588 * (len(regexp_extract_all(text, '[a-zA-Z]')) / w) * 100 / (w / s) - 0.296 * s * 100 / w - 15.8 as coleman_liau from c)
 select doc_id, {', '.join(f'coalesce(round({k}, 4), 0) as {k}' for k in ['kincaid', 'flesch', 'fog', 'smog', 'coleman_liau'])}, floor(n / 200 * 60)::int as reading_seconds from g""")
 def readability_ml(spark, d):
-    t = docs(spark, d).select("doc_id", "text", F.transform(T.words(F.col("text")), T.vowels).alias("y"))
-    return t.select("doc_id", *rounded(T.readability_model(F.col("text"), F.col("y")), 4))
+    t = docs(spark, d).select("doc_id", T.model_counts(F.col("text").cast("binary"), F.lower("text").cast("binary")).alias("c")).select("doc_id", "c.*")
+    return t.select("doc_id", *rounded(T.readability_model({k: F.col(k) for k in t.columns}), 4))
 
 
 _HAS = lambda terms: " + ".join(f"contains(lower(text), '{x}')::int" for x in terms)
