@@ -17,8 +17,8 @@ _U = "u as materialized (select src, dst, weight from e union select dst, src, w
 
 def edges(spark, d):
     """A supplier and a part for each pair that stands in an order line."""
-    li = table(spark, d, "lineitem").where("l_suppkey is not null and l_partkey is not null")
-    return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), (1.0 + F.col("l_suppkey") % 7).alias("weight")).distinct()
+    li = table(spark, d, "lineitem").where("l_suppkey is not null and l_partkey is not null").select("l_suppkey", "l_partkey").distinct()
+    return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), (1.0 + F.col("l_suppkey") % 7).alias("weight"))
 
 
 def first_supplier(spark):
