@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from corpusmill.functions import text as T
 #: What a text must hold for a kind to be there, cheap to test.
 _NEEDS = {"email": "@", "url": r"://|www\.", "phone": "[0-9]{4}", "credit_card": "[0-9]{4}", "ssn": "[0-9]{4}", "ip_address": r"[0-9]\.[0-9]", "date": "[0-9]", "money": "[0-9]", "percentage": "[0-9]", "location": r"[0-9]{5}|,\s*[A-Z]{2}"}
 
+_RULE_NEEDS = {"ssn": "[0-9]-[0-9]", "credit_card": "4[0-9]{3}", "email": "@", "phone": "[0-9]{3}"}
+
 
 def luhn(digits: Column) -> Column:
     """Whether the digits of a number pass the Luhn sum."""
@@ -95,21 +98,25 @@ def compliance(text: Column, found: Column) -> Column:
 def rule_findings(text: Column) -> Column:
     """Array of the types of personal data that the rule engine finds, one for each match."""
 
-
     def of(kind: str, p: str) -> Column:
-        return F.array_repeat(F.lit(kind), F.size(F.regexp_extract_all(text, F.lit(T.pattern(p)), F.lit(0))))
+        found = F.array_repeat(F.lit(kind), F.size(F.regexp_extract_all(text, F.lit(T.pattern(p)), F.lit(0))))
+        return F.when(text.rlike(_RULE_NEEDS[kind]), found).otherwise(F.array().cast("array<string>"))
 
     return F.concat(*[of(k, p) for k, p in L.RULE_PII.items()])
 
 
 def class_scores(text: Column) -> Column:
     """Array of (kind, confidence, risk) of each class of data: .3 a pattern, .2 a keyword, .1 a word of the context, 1 at most."""
-    low, rows = F.lower(text), []
-    for kind, (patterns, keywords, context, risk) in L.DATA_CLASSES.items():
-        hit = reduce(lambda a, b: a + b, [text.rlike(p).cast("int") for p in patterns])
-        sure = F.round(0.3 * hit + 0.2 * T.how_many(low, keywords) + 0.1 * T.how_many(low, context), 6)
-        rows.append(F.struct(F.lit(kind).alias("kind"), F.least(sure, F.lit(1.0)).alias("confidence"), F.lit(risk).alias("risk")))
-    return F.array(*rows)
+
+    def rows(low: Column) -> Column:
+        out = []
+        for kind, (patterns, keywords, context, risk) in L.DATA_CLASSES.items():
+            hit = reduce(lambda a, b: a + b, [text.rlike(p).cast("int") for p in patterns])
+            sure = F.round(0.3 * hit + 0.2 * T.how_many(low, keywords) + 0.1 * T.how_many(low, context), 6)
+            out.append(F.struct(F.lit(kind).alias("kind"), F.least(sure, F.lit(1.0)).alias("confidence"), F.lit(risk).alias("risk")))
+        return F.array(*out)
+
+    return T.let(F.lower(text), rows)
 
 
 def data_classes(text: Column) -> Column:
@@ -117,14 +124,22 @@ def data_classes(text: Column) -> Column:
     return F.filter(class_scores(text), lambda r: r["confidence"] > 0.3)
 
 
-def rule_scores(text: Column, found: Column, classes: Column) -> dict[str, Column]:
+def phrase(text: Column, low: Column, p: str) -> Column:
+    """Whether the text holds one of the pattern's phrases: those of which the lower-cased text holds the longest word are sought."""
+    assert (m := re.fullmatch(r"\(\?i\)\(([^()]*)\)", p)), p
+    words = [max(re.findall("[a-z]+", re.sub(r"\\.", " ", x)), key=len) for x in m[1].split("|")]
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) & text.rlike(T.pattern(f"(?i){x}")) for w, x in zip(words, m[1].split("|"), strict=True)])
+
+
+def rule_scores(text: Column, found: Column, classes: Column, low: Column | None = None) -> dict[str, Column]:
     """Score of each sensitivity level: its patterns, what the personal data adds, and .3 of the confidence of each class of high risk."""
+    low = F.lower(text) if low is None else low
     high = F.aggregate(F.filter(classes, lambda c: c["risk"] == "high"), F.lit(0.0), lambda s, c: s + 0.3 * c["confidence"])
     out = {}
     for level, (_, patterns, (least, required, bonus, risky)) in L.SENSITIVITY_LEVELS.items():
         score = high
         for p, weight in patterns:
-            score = score + F.when(text.rlike(T.pattern(p)), weight).otherwise(0.0)
+            score = score + F.when(phrase(text, low, p), weight).otherwise(0.0)
         there = reduce(lambda a, b: a & b, [F.array_contains(found, r) for r in required], F.lit(True))
         half = 0.45 * F.size(F.filter(found, lambda k: k.isin(risky))) if risky else F.lit(0.0)
         out[level] = score + F.when(F.size(found) >= least, half + F.when(there, bonus).otherwise(0.0)).otherwise(0.0)

@@ -88,8 +88,8 @@ y as (select x.doc_id, text, coalesce(n, 0) as n, {', '.join(f'coalesce(n_{k}, 0
 select doc_id, case {' '.join(f"when s_{k} >= {t} then '{k}'" for k, (t, *_) in L.SENSITIVITY_LEVELS.items())} end as level, case {' '.join(f"when s_{k} >= {t} then s_{k}" for k, (t, *_) in L.SENSITIVITY_LEVELS.items())} end as score,
 case {' '.join(f"when s_{k} >= {t} then {f'round(least(1, s_{k} / {t}), 6)' if t else '1'}" for k, (t, *_) in L.SENSITIVITY_LEVELS.items())} end::double as confidence from s""")
 def sensitivity_rules(spark, d):
-    t = docs(spark, d).select("doc_id", "text", E.rule_findings(F.col("text")).alias("f"), E.data_classes(F.col("text")).alias("c"))
-    t = t.select("doc_id", *[v.alias(k) for k, v in E.rule_scores(F.col("text"), F.col("f"), F.col("c")).items()])
+    t = docs(spark, d).select("doc_id", "text", F.lower("text").alias("low"), E.rule_findings(F.col("text")).alias("f"), E.data_classes(F.col("text")).alias("c"))
+    t = t.select("doc_id", *[v.alias(k) for k, v in E.rule_scores(F.col("text"), F.col("f"), F.col("c"), F.col("low")).items()])
     level, score, sure = E.rule_level({k: F.col(k) for k in L.SENSITIVITY_LEVELS})
     return t.select("doc_id", level.alias("level"), score.alias("score"), F.round(sure, 6).alias("confidence"))
 
