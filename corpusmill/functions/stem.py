@@ -5,6 +5,8 @@ Letters beyond a-z count as consonants; words hold no apostrophes, as texts are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,77 @@ def stemmed(df: DataFrame, word: str, out: str) -> DataFrame:
     return df.selectExpr(*kept, f"{_last(f'`{word}`')} as `{out}`")
 
 
+_RE_REGION, _RE_VOWEL, _RE_SHORT = re.compile(_REGION), re.compile(_VOWEL), re.compile(_SHORT[:-1] + r"\Z")
+_LONGEST_2, _LONGEST_3 = (sorted(x.items(), key=lambda kv: -len(kv[0])) for x in (STEP_2, STEP_3))
+_LONGEST_4 = sorted(STEP_4, key=lambda s: -len(s))
+
+
+def stem(word: str) -> str:
+    """The stem of a lower-cased word by the same steps, for code that has the words at hand."""
+    if word in SPECIAL:
+        return SPECIAL[word]
+    if len(word) <= 2:
+        return word
+    w = word
+    for v in "aeiouy":
+        w = w.replace(f"{v}y", f"{v}Y")
+    if w[0] == "y":
+        w = "Y" + w[1:]
+    region = lambda x, start: start + m.end() if (m := _RE_REGION.match(x)) else len(w)
+    r1 = 5 if w[:5] in ("gener", "arsen") else 6 if w[:6] == "commun" else region(w, 0)
+    r2 = region(w[r1:], r1)
+    has = lambda x: _RE_VOWEL.search(x) is not None
+    # 1a
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif not w.endswith(("us", "ss")) and w.endswith("s") and has(w[:-2]):
+        w = w[:-1]
+    if w in STAYS:
+        return w
+    # 1b
+    had = w
+    if w.endswith("eedly"):
+        w = w[:-3] if len(w) - 5 >= r1 else w
+    else:
+        for s in ("ingly", "edly", "eed", "ing", "ed"):
+            if s == "eed" and w.endswith(s):
+                w = w[:-1] if len(w) - 3 >= r1 else w
+                break
+            if s != "eed" and w.endswith(s) and has(w[: -len(s)]):
+                w = w[: -len(s)]
+                break
+    if len(had) > len(w) and not had.endswith(("eed", "eedly")):
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w[-2:] in DOUBLES:
+            w = w[:-1]
+        elif r1 >= len(w) and _RE_SHORT.search(w):
+            w += "e"
+    # 1c
+    if w[-1:] in ("y", "Y") and len(w) > 2 and w[-2] not in "aeiouy":
+        w = w[:-1] + "i"
+    for rules, within in ((_LONGEST_2, {"ogi": lambda: w[-4:-3] == "l", "li": lambda: w[-3:-2] in tuple("cdeghkmnrt")}), (_LONGEST_3, {"ative": lambda: len(w) - 5 >= r2})):
+        for s, to in rules:
+            if w.endswith(s):
+                if len(w) - len(s) >= r1 and (s not in within or within[s]()):
+                    w = w[: -len(s)] + to
+                break
+    for s in _LONGEST_4:
+        if w.endswith(s):
+            if len(w) - len(s) >= r2 and (s != "ion" or w[-4:-3] in ("s", "t")):
+                w = w[: -len(s)]
+            break
+    # 5
+    n = len(w) - 1
+    if w.endswith("e") and (n >= r2 or n >= r1 and not _RE_SHORT.search(w[:-1])):
+        w = w[:-1]
+    elif w.endswith("ll") and n >= r2:
+        w = w[:-1]
+    return w.replace("Y", "y")
+
+
 def stem_sql(relation: str, word: str, out: str) -> str:
     """A query over a relation with the same steps: all its columns and the stem."""
     q = f"select *, {word} as w from {relation}"

@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.stem import STOP, stemmed
+from corpusmill.functions.stem import STOP, stem
 
 BUCKETS = 64
 
@@ -24,39 +25,52 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-#: Words of texts that a task gathers before it hands them on.
-HELD = 1 << 20
+#: Words that a task keeps the stems of.
+KNOWN = 1 << 19
 
 
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, held): where each word stands, row by row, of some texts at a time; stop words counted but left out."""
-    stop = set(STOP)
-    held: dict[str, list] = {}
-    size = 0
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term, at) of batches of (key, words): where the words of a stem stand in a text; stop words counted but left out."""
+    numbers: dict[str, int] = {}
+    stems: list[str] = []
+    known: dict[str, int] = dict.fromkeys(STOP, -1)
     for b in batches:
-        for key, words in zip(b["key"], b["words"], strict=True):
-            at: dict[str, list[int]] = {}
-            for i, w in enumerate(words, 1):
-                if w not in stop:
-                    at.setdefault(w, []).append(i)
-            for w, places in at.items():
-                held.setdefault(w, []).append((key, places))
-            size += len(words)
-            if size >= HELD:
-                yield pd.DataFrame({"word": list(held), "held": list(held.values())})
-                held, size = {}, 0
-    if held:
-        yield pd.DataFrame({"word": list(held), "held": list(held.values())})
+        if len(known) > KNOWN:
+            numbers, stems, known = {}, [], dict.fromkeys(STOP, -1)
+        lists = b["words"]
+        flat = lists.flatten().dictionary_encode()
+        of = []
+        for w in flat.dictionary.to_pylist():
+            n = known.get(w)
+            if n is None:
+                s = stem(w)
+                n = numbers.get(s)
+                if n is None:
+                    n = numbers[s] = len(stems)
+                    stems.append(s)
+                known[w] = n
+            of.append(n)
+        term = np.array(of, np.int64)[flat.indices.to_numpy()]
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size) + 1
+        own = np.flatnonzero(term >= 0)
+        order = own[np.lexsort((term[own], row[own]))]
+        row, term, at = row[order], term[order], at[order].astype(np.int32)
+        begins = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])))) if len(row) else np.array([], np.int64)
+        kept, place = np.unique(term[begins], return_inverse=True)
+        names = pa.array([stems[n] for n in kept.tolist()], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)).astype(np.int32)), pa.array(at))
+        yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(row[begins])), names.take(pa.array(place)), lists], names=["key", "term", "at"])
 
 
 def places(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, at): where the words of a stem stand in a row's text, a row for each word and text.
+    """(key, term, at): where the words of a stem stand in a row's text.
 
-    A task gathers some texts by their words, so that each of these is stemmed once for all of them; nothing is shuffled."""
+    A task stems each distinct word once; nothing is shuffled."""
     t = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
     kind = dict(t.dtypes)["key"]
-    words = t.select("key", tokens(F.col("text")).alias("words")).mapInPandas(_gathered, f"word string, held array<struct<key {kind}, at array<int>>>")
-    return stemmed(words, "word", "term").select("term", F.explode("held").alias("x")).select("x.key", "term", "x.at")
+    return t.select("key", tokens(F.col("text")).alias("words")).mapInArrow(_placed, f"key {kind}, term string, at array<int>")
 
 
 def _together(placed: DataFrame, *by: str) -> DataFrame:
@@ -68,13 +82,13 @@ def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return _together(places(rows, key, text), "key", "term")
 
 
-def build(rows: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS, files: int | None = None) -> None:
-    """Writes the index of a column of texts. Ranges of (bucket, term, key) go to a file each, so that a word of all rows is split like any others.
+def build(rows: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS, files: int = 16) -> None:
+    """Writes the index of a column of texts. A bucket is dealt to so many parts by the hash of the key, so that a word of all rows is split like any others.
 
-    Places travel once, to their range, and are put together there."""
-    p = places(rows, key, text).withColumn("bucket", bucket(F.col("term"), buckets))
-    p = p.repartitionByRange(files, "bucket", "term", "key") if files else p.repartitionByRange("bucket", "term", "key")
-    _together(p, "bucket", "term", "key").select("key", "term", "positions", "bucket").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    Places travel once, to their part, and are put together there; texts are read and stemmed once."""
+    p = places(rows, key, text).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("part", bucket(F.col("key"), files))
+    p = p.repartition("bucket", "part")
+    _together(p, "bucket", "part", "term", "key").select("key", "term", "positions", "bucket").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def stems_of(spark: SparkSession, query: str) -> list[str]:
