@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.entities import luhn
 from corpusmill.functions.text import SPACE, let, pattern
+from corpusmill.operators import literals
 
 #: Pattern and base risk of each type. Cards stand in one run of digits or, beyond the reference, in groups.
 TYPES = {
@@ -160,9 +161,8 @@ def match_table(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text:
 
 def scan_literal_table(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As scan_literals(), with the patterns as a table (name, literal) of any length."""
-    found = candidates(docs, patterns.select("name", "literal"), key, text)
-    placed = F.transform("_p", lambda x: F.struct(x["name"].alias("name"), x["literal"].alias("value"), F.lit(0.7).alias("confidence"), (F.position(x["literal"], F.col("_text")) - 1).alias("start")))
-    return found.select(F.col("_key").alias(key), F.explode(F.filter(placed, lambda f: f["start"] >= 0)).alias("f")).select(key, "f.*")
+    found = literals.first_places(docs, patterns, key, text)
+    return found.select(key, "name", "value", F.lit(0.7).alias("confidence"), "start")
 
 
 RULE = "name string, severity string, kind string, pattern string, whole_word boolean, case_sensitive boolean, exclusions array<string>"
